@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .decontaminate import decontaminate
+from .exact_dedup import exact_dedup
 from .near_dup import near_duplicates
+from .sharding import shard
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +21,27 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_docs(spark, sf_dir))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_docs(spark, sf_dir))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
+    "op3_sharding": op3_sharding,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontaminate": op6_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dup": sql.NEAR_DUP,
+    "op5_exact_dedup": sql.EXACT_DEDUP,
+    "op6_decontaminate": sql.DECONTAMINATE,
 }
-ORACLE_SQL: dict[str, str] = {"op1_near_dup": sql.NEAR_DUP}
