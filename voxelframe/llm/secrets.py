@@ -44,27 +44,54 @@ ENCODINGS = (
 )
 
 
-def _tests(run: Column) -> Column:
-    """struct(encoding, length class, decoy, T) of a run."""
-    n = F.length(run).cast("double")
-    encoding = F.coalesce(*[F.when(run.rlike(p), F.lit(k)) for k, (_, p, _) in enumerate(ENCODINGS)])
-    alphabet = F.get(F.array(*[F.lit(a) for *_, a in ENCODINGS]), encoding)
-    size = F.length(alphabet).cast("double")
-    codes = F.transform(F.split(run, ""), lambda c: F.position(c, alphabet).cast("double"))
-    squares = F.aggregate(F.array_distinct(F.split(run, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(run, c, F.lit(""))), F.lit(2.0)))
-    chi = squares * size / n - n
-    z_chi = F.greatest((chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), F.lit(0.0))
-    middle = (size + 1) / 2
-    pairs = lambda f: F.aggregate(F.zip_with(F.slice(codes, F.lit(1), F.length(run) - 1), F.slice(codes, F.lit(2), F.length(run) - 1), f), F.lit(0.0), lambda acc, x: acc + x)
-    odd = F.floor(size / 2) / size
-    change = 2 * odd * (1 - odd)
-    changes = pairs(lambda x, y: F.when((x <= F.floor(size / 2)) != (y <= F.floor(size / 2)), 1.0).otherwise(0.0))
-    z_runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
-    variance = (size * size - 1) / 12
-    z_serial = pairs(lambda x, y: (x - middle) * (y - middle)) / (variance * F.sqrt(n - 1))
-    t = z_chi * z_chi + z_runs * z_runs + z_serial * z_serial
-    decoy = run.rlike("^([a-z]+|[A-Z]?[a-z]+|[A-Z]+)$")
-    return F.struct(encoding.alias("encoding"), F.floor(F.log2(n / 10) * 2).cast("int").alias("size_class"), decoy.alias("decoy"), t.alias("t"))
+def _tested(runs: Column) -> Column:
+    """(start, end, tests: (encoding, length class, decoy, T)) of each run.
+
+    Built in steps whose results are fields, since whatever a lambda over
+    characters names is worked out anew for each character.
+    """
+    encoding = lambda s: F.coalesce(*[F.when(s["match"].rlike(p), F.lit(k)) for k, (_, p, _) in enumerate(ENCODINGS)])
+    alphabets = F.array(*[F.lit(a) for *_, a in ENCODINGS])
+    out = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), encoding(s).alias("encoding")))
+    out = F.transform(out, lambda s: _with(s, ["start", "end", "match", "encoding"], alphabet=F.get(alphabets, s["encoding"])))
+    out = F.transform(
+        out,
+        lambda s: _with(
+            s,
+            ["start", "end", "match", "encoding"],
+            n=F.length(s["match"]).cast("double"),
+            size=F.length(s["alphabet"]).cast("double"),
+            half=F.floor(F.length(s["alphabet"]) / 2).cast("double"),
+            codes=F.transform(F.split(s["match"], ""), lambda c: F.position(c, s["alphabet"]).cast("double")),
+        ),
+    )
+    pairs = lambda s, f: F.aggregate(F.zip_with(F.slice(s["codes"], F.lit(1), F.size(s["codes"]) - 1), F.slice(s["codes"], F.lit(2), F.size(s["codes"]) - 1), f), F.lit(0.0), lambda acc, x: acc + x)
+    out = F.transform(
+        out,
+        lambda s: _with(
+            s,
+            ["start", "end", "match", "encoding", "n", "size", "half"],
+            squares=F.aggregate(F.array_distinct(s["codes"]), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(s["codes"], lambda x: x == c)).cast("double"), F.lit(2.0))),
+            changes=pairs(s, lambda x, y: F.when((x <= s["half"]) != (y <= s["half"]), 1.0).otherwise(0.0)),
+            serial=pairs(s, lambda x, y: (x - (s["size"] + 1) / 2) * (y - (s["size"] + 1) / 2)),
+        ),
+    )
+
+    def tests(s):
+        n, size = s["n"], s["size"]
+        z_chi = F.greatest((s["squares"] * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), F.lit(0.0))
+        change = 2 * s["half"] / size * (1 - s["half"] / size)
+        z_runs = (s["changes"] - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
+        z_serial = s["serial"] / ((size * size - 1) / 12 * F.sqrt(n - 1))
+        t = z_chi * z_chi + z_runs * z_runs + z_serial * z_serial
+        decoy = s["match"].rlike("^([A-Z]?[a-z]+|[A-Z]+)$")
+        return F.struct(s["encoding"].alias("encoding"), F.floor(F.log2(n / 10) * 2).cast("int").alias("size_class"), decoy.alias("decoy"), t.alias("t"))
+
+    return F.transform(out, lambda s: _with(s, ["start", "end"], tests=tests(s)))
+
+
+def _with(s: Column, kept: list[str], **more: Column) -> Column:
+    return F.struct(*[s[k].alias(k) for k in kept], *[c.alias(k) for k, c in more.items()])
 
 
 def _cuts(scanned: DataFrame) -> dict[tuple[int, int], float]:
@@ -110,11 +137,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     assign = F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
     access = F.filter("access", lambda s: F.length(s["match"]) >= 20)
     keep = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    runs = F.transform("run", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _tests(s["match"]).alias("tests")))
-    scanned = stage.put(rows.select("doc_id", keep(assign).alias("assign"), keep(access).alias("access"), keep(F.col("hex")).alias("hex"), runs.alias("runs")), "scanned")
+    scanned = stage.put(rows.select("doc_id", keep(assign).alias("assign"), keep(access).alias("access"), keep(F.col("hex")).alias("hex"), _tested(F.col("run")).alias("runs")), "scanned")
     cuts = _cuts(scanned)
     table = F.create_map(*[F.lit(x) for (e, c), cut in sorted(cuts.items()) for x in (e * 1000 + c, cut)]) if cuts else None
-    base = F.concat(*[F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))) for i, k in enumerate(KINDS[:3])])
+    of_kind = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))
+    base = F.concat(*[F.transform(k, of_kind(i)) for i, k in enumerate(KINDS[:3])])
     scanned = scanned.withColumn("base", F.array_sort(base))
     if table is None:
         more = F.array().cast("array<struct<start:long,kind:int,end:long>>")
