@@ -10,6 +10,7 @@ from . import sql
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .near_dup import near_duplicates
+from .pii import pseudonymise
 from .secrets import scan_secrets
 from .sharding import shard
 
@@ -35,6 +36,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_docs(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_docs(spark, sf_dir))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_pii": op7_pii,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
