@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .near_dup import near_duplicates
 from .pii import pseudonymise
+from .quality import score_quality
 from .secrets import scan_secrets
 from .sharding import shard
 
@@ -23,6 +24,11 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
@@ -46,6 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
