@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .near_dup import near_duplicates
+from .pieces import sample_segmentations
 from .pii import pseudonymise
 from .quality import score_quality
 from .secrets import scan_secrets
 from .sharding import shard
+from .token_counts import count_with_edits, revision
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +37,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_with_edits(_docs(spark, sf_dir), revision(F.col("text")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
@@ -46,6 +54,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_docs(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, a directory of 64 ids, and the id."""
+    return scan_licenses(_docs(spark, sf_dir), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 64), "doc_id"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sample_segmentations(_docs(spark, sf_dir), k=2)
+    field = lambda name: F.transform("samples", lambda s: s[name])
+    return found.select("doc_id", "n_pieces", "digest", "exact", F.size("samples").cast("long").alias("n_samples"), field("n_pieces").alias("sample_pieces"), field("digest").alias("sample_digests"), field("log_p").alias("sample_log_p"), field("inclusion").alias("inclusion"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_docs(spark, sf_dir))
 
@@ -54,9 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
+    "op8_licenses": op8_licenses,
+    "op9_pieces": op9_pieces,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
