@@ -11,7 +11,7 @@ and refills it from the stored keys. Digests can be taken out again.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Stage
@@ -159,6 +159,11 @@ def _index(batches):
     yield from _emit(index.items())
 
 
+def normal_digest(text: Column) -> Column:
+    """SHA-256 of the text with each run of blanks as one space; null counts as empty."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
+
+
 def exact_dedup(docs: DataFrame, text_col: str = "text", removed: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
@@ -170,8 +175,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", removed: DataFrame | No
     returned with kept false and count in no group. Other columns are ignored.
     """
     stage = Stage(docs.sparkSession, "exact")
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row"))
     gone = F.lit(0).cast("long")
     if removed is not None:
         rows = rows.join(removed.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("gone")).distinct(), "doc_id", "left")
