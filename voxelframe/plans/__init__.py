@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from . import statistics  # noqa: F401
+from . import relational, statistics  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
