@@ -21,7 +21,10 @@ Data flow, per stage:
    component are searched for the remaining pairs across components, under the
    signature bound; keys with over BLOCK members are first refined by two
    symbols of another chunk (an exact step: 31 errors leave one of the other
-   15 chunks with at most two).
+   15 chunks with at most two). The pairs are not listed: families of texts are
+   cut into verification blocks of about VERIFY texts, and a text goes once, with
+   its full set, to each block that holds a candidate for it; there the
+   intersections with the whole block are counted through an inverted index.
 5. Confirmed links of both steps give the final components.
 """
 
@@ -42,6 +45,8 @@ CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 MAX_ERRORS = 2 * CHUNKS - 1
 BLOCK = 4096
+#: Texts of a verification block, and texts sent to one copy of it.
+VERIFY, SENT = 1024, 4096
 _TRIPLES = list(combinations(range(CHUNK), CHUNK - 1))
 _PAIRS = list(combinations(range(CHUNK), 2))
 _FILTER_WORDS = 1 << 17
@@ -86,77 +91,119 @@ def _close(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(errors <= MAX_ERRORS))
 
 
+_REST = "key long, sub long, id long, component long, rank long, block long, sig binary"
+
+
 def _refined(batches):
     """Members of a very frequent key, under that key and two symbols of another chunk."""
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
             part = batch.slice(k, 1024)
-            key = part.column(0).to_numpy()
-            own = key >> 50
-            s = _symbols(part.column(3)).astype(np.int64).reshape(-1, CHUNKS, CHUNK)
+            own = part.column(0).to_numpy() >> 50
+            s = _symbols(part.column(6)).astype(np.int64).reshape(-1, CHUNKS, CHUNK)
             for c in range(CHUNKS):
                 rows = np.flatnonzero(own != c)
                 for m, (x, y) in enumerate(_PAIRS):
-                    sub = s[rows, c, x] | s[rows, c, y] << 16 | (c * 8 + m) << 32
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(sub), part.column(1).take(at), part.column(2).take(at), part.column(3).take(at)], ["key", "sub", "id", "component", "sig"])
-
-
-def _cross_pairs(batches):
-    """Pairs of one key from different components under the signature bound; input sorted by (key, sub)."""
-
-    def pairs(key, ids, comp, sig):
-        keys = index_keys(sig)
-        for i in range(0, len(ids), 256):
-            left = slice(i, i + 256)
-            for j in range(i, len(ids), 256):
-                right = slice(j, j + 256)
-                errors = np.zeros((len(ids[left]), len(ids[right])), np.uint8)
-                for c in range(SYMBOLS):
-                    errors += sig[left, c][:, None] != sig[right, c][None, :]
-                x, y = np.nonzero((errors <= MAX_ERRORS) & (comp[left][:, None] != comp[right][None, :]))
-                x, y = x + i, y + j
-                keep = ids[x] != ids[y]
-                x, y = x[keep], y[keep]
-                # a pair is returned under the first key that it shares
-                keep = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
-                x, y = ids[x[keep]], ids[y[keep]]
-                yield from zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)
-
-    def out(found):
-        a, b = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    group, held, found = None, [], []
+                    sub = pa.array(s[rows, c, x] | s[rows, c, y] << 16 | (c * 8 + m) << 32)
+                    taken = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([taken.column(0), sub, *taken.columns[2:]], taken.schema.names)
+
+
+def _candidates(key, ids, comp, rank, block, sig):
+    """(id, block) of each text and each block with a text of another component under the signature bound.
+
+    Of a pair, the text of the smaller component (higher rank) is sent, under
+    the first key that the pair shares.
+    """
+    keys = index_keys(sig)
+    for i in range(0, len(ids), 256):
+        left, sent = slice(i, i + 256), []
+        for j in range(0, len(ids), 256):
+            right = slice(j, j + 256)
+            errors = np.zeros((len(ids[left]), len(ids[right])), np.uint8)
+            for c in range(SYMBOLS):
+                errors += sig[left, c][:, None] != sig[right, c][None, :]
+            x, y = np.nonzero((errors <= MAX_ERRORS) & (comp[left][:, None] != comp[right][None, :]))
+            x, y = x + i, y + j
+            up = (rank[x] > rank[y]) | ((rank[x] == rank[y]) & (ids[x] > ids[y]))
+            x, y = x[up], y[up]
+            up = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
+            sent.append(np.unique(np.stack([x[up], block[y[up]]]), axis=1))
+        x, to = np.unique(np.concatenate(sent, axis=1), axis=1)
+        yield ids[x], to
+
+
+def _search(batches):
+    """_candidates of each (key, sub); input sorted by both."""
+    group, held = None, []
 
     def flush():
-        if len(held) and sum(map(len, (h[0] for h in held))) > 1:
-            ids, comp, sig = (np.concatenate([h[k] for h in held]) for k in range(3))
-            if len(np.unique(comp)) > 1:
-                yield from pairs(group[0], ids, comp, sig)
+        if sum(len(h[0]) for h in held) > 1:
+            cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
+            if (cols[1] != cols[1][0]).any():
+                yield from _candidates(group[0], *cols)
 
+    out, n = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         key, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ids, comp, sig = batch.column(2).to_numpy(), batch.column(3).to_numpy(), _symbols(batch.column(4))
+        cols = [batch.column(k).to_numpy() for k in range(2, 6)] + [_symbols(batch.column(6))]
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
             if group != (key[s], sub[s]):
-                for p in flush():
-                    found.append(p)
-                    if len(found) >= 50_000:
-                        yield out(found)
-                        found = []
+                for found in flush():
+                    out.append(found)
+                    n += len(found[0])
                 group, held = (key[s], sub[s]), []
-            held.append((ids[s:e], comp[s:e], sig[s:e]))
-    for p in flush():
-        found.append(p)
-        if len(found) >= 50_000:
-            yield out(found)
-            found = []
-    if found:
-        yield out(found)
+            held.append([c[s:e] for c in cols])
+        if n > 10_000:
+            yield _id_blocks(out)
+            out, n = [], 0
+    out += list(flush())
+    if out:
+        yield _id_blocks(out)
+
+
+def _id_blocks(found):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["id", "block"])
+
+
+def _confirm(batches):
+    """Links of the texts sent to a block: one for each text and component at most.
+
+    Input sorted by (block, salt, sent): the block's own texts come first and
+    make the inverted index, the sent ones are streamed against it.
+    """
+    group, own, index = None, [], None
+    for batch in batches:
+        a, b = [], []
+        block, salt, sent, ids, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        sets = batch.column(5)
+        for k in range(batch.num_rows):
+            if group != (block[k], salt[k]):
+                group, own, index = (block[k], salt[k]), [], None
+            values = sets[k].values.to_numpy(zero_copy_only=False)
+            if not sent[k]:
+                own.append((ids[k], comp[k], values))
+                continue
+            if not own:
+                continue
+            if index is None:
+                flat = np.concatenate([v for *_, v in own])
+                order = np.argsort(flat, kind="stable")
+                index = flat[order], np.repeat(np.arange(len(own)), [len(v) for *_, v in own])[order], np.array([len(v) for *_, v in own]), np.array([c for _, c, _ in own]), np.array([i for i, *_ in own])
+            flat, texts, sizes, comps, names = index
+            low, high = np.searchsorted(flat, values), np.searchsorted(flat, values, "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(texts[at], minlength=len(own))
+            linked = np.flatnonzero((100 * shared >= 75 * (sizes + len(values) - shared)) & (comps != comp[k]))
+            for m in linked[np.unique(comps[linked], return_index=True)[1]]:
+                a.append(min(ids[k], names[m]))
+                b.append(max(ids[k], names[m]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _id_filter(spark: SparkSession, ids: DataFrame):
@@ -168,16 +215,14 @@ def _id_filter(spark: SparkSession, ids: DataFrame):
     return spark.sparkContext.broadcast(words)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
-    """The pairs (a, b) with 100 * |A & B| >= 75 * |A | B| on full shingle sets."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = _id_filter(spark, ids)
+def _full_sets(docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
+    """(id, set) of the texts whose doc_id is in ids(id), distinct."""
+    words = _id_filter(docs.sparkSession, ids)
 
     def sets(batches):
         for batch in batches:
-            hit = (words.value[batch.column(2).to_numpy() >> 6] >> (batch.column(2).to_numpy() & 63)) & 1
-            batch = batch.filter(pa.array(hit == 1))
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((words.value[bit >> 6] >> (bit & 63)) & 1 == 1))
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 found = [s.view(np.int64) for s in shingle_sets(part.column(1))]
@@ -187,13 +232,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, stage: Stage, na
 
     bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_WORDS * 64)).alias("bit")
     full = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").select("id", "text", bit)
-    full = full.mapInArrow(sets, "id long, set array<long>").join(ids, "id", "left_semi")
+    return full.mapInArrow(sets, "id long, set array<long>").join(ids, "id", "left_semi")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
+    """The pairs (a, b) with 100 * |A & B| >= 75 * |A | B| on full shingle sets."""
+    full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text_col)
     both = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     both = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sizes"))
     return stage.put(both.where("100 * shared >= 75 * (sizes - shared)").select("a", "b").distinct(), name)
 
 
+def _verified_in_blocks(docs: DataFrame, sent: DataFrame, texts: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
+    """Links between texts sent(id, block) and the texts(id, component, block) of those blocks."""
+    salts = sent.groupBy("block").agg(F.floor((F.count("*") - 1) / SENT + 1).cast("int").alias("salts"))
+    sent = sent.join(salts, "block").join(texts.select("id", "component"), "id").select("block", F.pmod(F.hash("id"), "salts").alias("salt"), F.lit(True).alias("sent"), "id", "component")
+    own = texts.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("sent"), "id", "component")
+    rows = stage.put(sent.union(own), f"{name}-rows")
+    full = _full_sets(docs, rows.select("id").distinct(), text_col)
+    dealt = rows.join(full, "id").select("block", "salt", "sent", "id", "component", "set").repartition("block", "salt").sortWithinPartitions("block", "salt", "sent")
+    return stage.put(dealt.mapInArrow(_confirm, "a long, b long").distinct(), name)
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
@@ -213,26 +274,30 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "n")
     members = stage.put(keys.join(shared, "key").select("key", "id", "n"), "members")
     weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
-    centre = members.join(weight, "id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
-    star = members.join(centre, "key").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-    def with_signatures(pairs):
-        left, right = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signatures.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long")
+    centre = members.join(weight, "id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("c")).select("key", F.col("c.id").alias("centre"), "c.w")
+    centred = stage.put(members.join(centre, "key"), "centred")
+    star = centred.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    left, right = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signatures.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    star = star.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long")
+    links = _verified(base, stage.put(star, "star"), "text", stage, "star-links")
 
-    tried = stage.put(with_signatures(star), "star")
-    links = _verified(base, tried, "text", stage, "star-links")
     first = connected_components(links, stage, "first")
-    placed = members.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    ranks = first.groupBy("component").agg((-F.count("*")).alias("rank"))
+    first = first.join(ranks, "component")
+    placed = centred.join(first, "id", "left").select("key", "id", "n", "centre", "w", F.coalesce("component", "id").alias("component"), F.coalesce("rank", F.lit(-1).cast("long")).alias("rank"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stage.put(placed.join(apart, "key", "left_semi").join(signatures, "id").select("key", "id", "component", "sig", "n"), "rest")
-    stage.drop("members", "first-both")
-    cols = ["key", "sub", "id", "component", "sig"]
-    small = rest.where(F.col("n") <= BLOCK).withColumn("sub", F.lit(-1).cast("long")).select(*cols)
-    large = rest.where(F.col("n") > BLOCK).select("key", "id", "component", "sig").mapInArrow(_refined, "key long, sub long, id long, component long, sig binary")
-    found = small.union(large).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    more = stage.put(found.join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.union(_verified(base, more, "text", stage, "more-links"))
+    rest = stage.put(placed.join(apart, "key", "left_semi"), "rest")
+    stage.drop("members", "centred", "first-both")
+    family = rest.groupBy("id", "component").agg(F.min(F.struct("w", "centre")).alias("f")).select("id", "component", F.col("f.centre").alias("family"))
+    blocks = family.groupBy("family").agg(F.floor((F.count("*") - 1) / VERIFY + 1).alias("blocks"))
+    family = family.join(blocks, "family").select("id", "component", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block"))
+    family = stage.put(family, "family")
+    cols = ["key", "sub", "id", "component", "rank", "block", "sig"]
+    rest = rest.join(family.select("id", "block"), "id").join(signatures, "id").withColumn("sub", F.lit(-1).cast("long"))
+    small, large = rest.where(F.col("n") <= BLOCK).select(*cols), rest.where(F.col("n") > BLOCK).select(*cols).mapInArrow(_refined, _REST)
+    sent = small.union(large).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_search, "id long, block long").distinct()
+    links = links.union(_verified_in_blocks(base, stage.put(sent, "sent"), family, "text", stage, "more-links"))
+
     same = some.join(classes.select("n_shingles", "d1", "d2", "id"), ["n_shingles", "d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     placed = connected_components(links.union(same), stage, "all")
     out = sketch.select("doc_id", "n_shingles").join(placed.withColumnRenamed("id", "doc_id"), "doc_id", "left")
