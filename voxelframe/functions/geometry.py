@@ -102,7 +102,7 @@ def inside_polygon(x: Column, y: Column, polygon: Column) -> Column:
     def crossing(k):
         at = lambda m: F.get(polygon, F.pmod(m, F.size(polygon)).cast("int"))
         x1, y1, x2, y2 = at(2 * k), at(2 * k + 1), at(2 * k + 2), at(2 * k + 3)
-        return F.when(((y1 > y) != (y2 > y)) & (x < (x2 - x1) * F.try_divide(y - y1, y2 - y1) + x1), 1).otherwise(0)
+        return F.when(((y1 > y) != (y2 > y)) & (x < F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1), 1).otherwise(0)
 
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, k: acc + crossing(k)) % 2 == 1
 

@@ -47,11 +47,14 @@ def _polar(eccentricities: DataFrame, angles: int) -> DataFrame:
     return spun.withColumn("x", _single(ecc * _single(F.cos(angle)))).withColumn("y", _single(ecc * _single(F.sin(angle))))
 
 
-def log_polar_grid(spark: SparkSession, sigmas=(0.02, 1.0, 10), eccentricities=(0.0, 7 / 8.4, 10), angles: int = 16) -> DataFrame:
-    """Sizes and eccentricities even in the logarithm, every angle; repeats keep their first place, fields out of view go."""
+def log_polar_grid(spark: SparkSession, sigmas=(0.02, 1.0, 10), eccentricities=(0.0, 7 / 8.4, 10), angles: int = 16, centre: float = 0.0) -> DataFrame:
+    """Sizes and eccentricities even in the logarithm, every angle; repeats keep their first place, fields out of view go.
+
+    centre: the innermost eccentricity. At 0 its angles are one field; at a
+    tiny value they stay apart.
+    """
     ecc = log_spaced(spark, eccentricities[2], eccentricities[0] + 0.1, eccentricities[1] + 0.1, "ecc", 0.1)
-    # the innermost ring is the centre itself
-    ecc = ecc.withColumn("ecc", F.when(F.abs("ecc") < 1e-9, 0.0).otherwise(F.col("ecc")))
+    ecc = ecc.withColumn("ecc", F.when(F.abs("ecc") < 1e-9, centre).otherwise(F.col("ecc")))
     sized = _polar(ecc, angles).crossJoin(log_spaced(spark, sigmas[2], sigmas[0], sigmas[1], "sigma"))
     place = (F.col("sigma_pos") * eccentricities[2] + F.col("ecc_pos")) * angles + F.col("angle_pos")
     flat = sized.select((F.col("x") + F.lit(0.0)).alias("x"), (F.col("y") + F.lit(0.0)).alias("y"), _single(F.col("sigma")).alias("sigma"), place.alias("pos"))
@@ -127,7 +130,7 @@ def prf_grid(spark: SparkSession, which: int = 5) -> DataFrame:
         2: lambda: fixed_pyramid_grid(spark, log_points(9, 0.04, 0.8)),
         3: lambda: fixed_pyramid_grid(spark, log_points(9, 0.04, 0.8)),
         4: lambda: log_polar_grid(spark, (0.04, 1.0, 12), (0.0, 1.4, 12)),
-        5: lambda: log_polar_grid(spark),
+        5: lambda: log_polar_grid(spark, centre=2.0**-56),
         6: lambda: scaled_log_polar_grid(spark),
         7: lambda: rect_grid(spark, (0.04, 0.04, 1)),
     }
