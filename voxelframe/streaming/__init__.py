@@ -1 +1 @@
-
+"""Empty on purpose: the operators of this library are all batch operators."""
