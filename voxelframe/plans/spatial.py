@@ -86,7 +86,7 @@ def decoding_fields(t):
     return GR.decoding_fields(GR.prf_grid(t.spark, 5)).select("prf_ix")
 
 
-@query("SELECT a.i * 9 + b.i * 3 + c.i AS pos, a.i * 0.5 + 1 AS v0, b.i * 0.5 + 1 AS v1, c.i * 0.5 + 1 AS v2 FROM range(3) a(i), range(3) b(i), range(3) c(i)")
+@query("SELECT a.i * 9 + b.i * 3 + c.i AS pos, a.i * 0.5::DOUBLE + 1 AS v0, b.i * 0.5::DOUBLE + 1 AS v1, c.i * 0.5::DOUBLE + 1 AS v2 FROM range(3) a(i), range(3) b(i), range(3) c(i)")
 def value_combinations(t):
     return GR.combinations(t.spark, [1.0, 1.5, 2.0], 3)
 
@@ -238,7 +238,7 @@ def crop_boxes(t):
 @query("""
 WITH b AS (SELECT p_partkey, (p_partkey % 60) * 1.5 AS x, (p_partkey % 40) * 1.25 AS y, (p_size + 3) * 1.0 AS w, (p_size % 9 + 2) * 1.0 AS h FROM part),
 v AS (SELECT p_partkey, unnest([x, x + w, x + w, x]) px, unnest([y, y, y + h, y + h]) py, unnest(range(4)) i FROM b)
-SELECT p_partkey, i AS vertex, round((px - 5) / 80 * 200, 6) + 0 AS cropped_x, round((py - 10) / 60 * 100, 6) + 0 AS cropped_y, round(px * 2, 6) + 0 AS scaled_x, round(py * 0.5, 6) + 0 AS scaled_y FROM v
+SELECT p_partkey, i AS vertex, round((px - 5) / 80 * 200, 6) + 0 AS cropped_x, round((py - 10) / 60 * 100, 6) + 0 AS cropped_y, round((px * 2)::DOUBLE, 6) + 0 AS scaled_x, round((py * 0.5)::DOUBLE, 6) + 0 AS scaled_y FROM v
 """)
 def polygons(t):
     k, s = F.col("p_partkey"), F.col("p_size")

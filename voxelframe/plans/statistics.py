@@ -221,7 +221,7 @@ def dprime(t):
 for _kind, _edges in (("linear", "SELECT i, lo + (hi + 0.0001 - lo) / 8 * i e FROM (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer), range(9) g(i)"), ("density", "SELECT i, quantile_cont(c_acctbal, i / 8.0) + CASE WHEN i = 8 THEN 0.0001 ELSE 0 END e FROM customer, range(9) g(i) GROUP BY i")):
     _sql = f"""
     WITH e AS ({_edges if _kind == "linear" else "SELECT g.i, (SELECT list(x) FROM (SELECT unnest(quantile_cont(c_acctbal, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1])) x FROM customer))[g.i + 1] + CASE WHEN g.i = 8 THEN 0.0001 ELSE 0 END e FROM range(9) g(i)"})
-    SELECT a.i AS bin, round((a.e + b.e) / 2, 4) + 0 AS centre, round(avg(c_custkey), 4) + 0 AS mean, round(stddev_pop(c_custkey), 4) + 0 AS sd, round(sum(c_custkey), 4) + 0.0 AS total, count(*) n
+    SELECT a.i AS bin, round((a.e + b.e) / 2, 4) + 0 AS centre, round(avg(c_custkey), 4) + 0 AS mean, round(stddev_pop(c_custkey), 4) + 0 AS sd, round(sum(c_custkey)::DOUBLE, 4) + 0 AS total, count(*) n
     FROM e a JOIN e b ON b.i = a.i + 1 JOIN customer ON c_acctbal >= a.e AND c_acctbal < b.e GROUP BY ALL"""
 
     def _binned(t, kind=_kind):
