@@ -45,6 +45,47 @@ def test_permutations_are_one_to_one(spark):
     assert out.where("n_date = 1").select("text").distinct().count() == 73_000
 
 
+def test_values_beside_each_other(spark):
+    """(text, number of each kind); all digits of the values listed must go."""
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    cases = [
+        (f"{card} 12/25", (1, 0, 0, 0, 0)),
+        (f"{card} 123", (1, 0, 0, 0, 0)),
+        (f"123 {card}", (1, 0, 0, 0, 0)),
+        (f"1234 {card} 12", (1, 0, 0, 0, 0)),
+        (f"{card} {other} {card} 7", (3, 0, 0, 0, 0)),
+        ("3782 822463 10005 11/27 and 41111111 11111111 99", (2, 0, 0, 0, 0)),
+        ("555-123-4567 555-987-6543", (0, 2, 0, 0, 0)),
+        ("2024-01-15 555-123-4567", (0, 1, 0, 1, 0)),
+        ("2024-01-15 2024-02-20", (0, 0, 0, 2, 0)),
+        (f"{card} 192.168.0.1 {card} 2024-01-15 {card} 555.123.4567 {card} 03/25/2021", (4, 1, 1, 2, 0)),
+        (f"1.2.3.4 {card} (555) 123-4567 {other}", (2, 1, 1, 0, 0)),
+        ("1234567890123@mail.example 12 1234567890124.bob@mail.example", (0, 0, 0, 0, 2)),
+        ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", (1, 0, 0, 0, 0)),
+        ("4111 1111 1111 1112 12/25, 2024-13-15 77, 13/25/2021 99/01/2021", (0, 0, 0, 0, 0)),
+        ("12 " * 40_000 + card + " 12", None),
+    ]
+    got = run(spark, [t for t, _ in cases])
+    for (text, counts), r in zip(cases, got, strict=True):
+        if counts is None:
+            assert r.text.endswith(" 12") and card not in r.text and r.n_card >= 1
+            continue
+        assert tuple(r[f"n_{k}"] for k in pii.KINDS) == counts, (text, r)
+        assert (r.text == text) == (sum(counts) == 0)
+        for value in (card, other, "555-123-4567", "2024-01-15", "192.168.0.1", "03/25/2021"):
+            assert value not in r.text
+    alone = run(spark, [card])[0].text
+    assert luhn(alone) and got[0].text == f"{alone} 12/25" and got[1].text == f"{alone} 123" and got[2].text == f"123 {alone}"
+
+
+def test_month_first_dates_are_one_to_one(spark):
+    df = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1900-01-01', cast(id as int)), 'MM/dd/yyyy') AS text FROM range(73000)").where("substr(text, 4, 2) > '12'")
+    day_first = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1900-01-01', cast(id as int)), 'dd/MM/yyyy') AS text FROM range(73000)")
+    both = df.union(day_first)
+    out = pii.pseudonymise(both).where("n_date = 1").select("text")
+    assert out.count() == out.distinct().count() == both.count()
+
+
 def test_sample_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     before, after = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
