@@ -52,6 +52,14 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["gabor_features", "gist_features", "texture_features", "curvature_features"])
+def test_every_supplier_has_features(spark, name):
+    sf = "/root/testdata/sf0.01"
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    assert len(keys) > 40
+    assert sorted(r[0] for r in QUERIES[name](spark, sf).select("image_ix").collect()) == sorted(keys)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

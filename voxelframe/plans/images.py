@@ -9,11 +9,11 @@ from .registry import query
 
 
 def _images(t, side: int = 32):
-    """Deterministic images, one for each supplier under 40."""
+    """Deterministic images, one for each supplier."""
     k = F.col("s_suppkey")
     i = F.sequence(F.lit(0), F.lit(side * side - 1))
     px = F.transform(i, lambda p: (F.pmod(k * 31 + F.floor(p / side) * F.floor(p / side) * 7 + (p % side) * 13 + F.floor(p / side) * (p % side), F.lit(256))).cast("double"))
-    return t.supplier.where("s_suppkey < 40").select(k.alias("image_ix"), F.lit(side).alias("w"), px.alias("px"))
+    return t.supplier.select(k.alias("image_ix"), F.lit(side).alias("w"), px.alias("px"))
 
 
 def _short(df):
@@ -51,6 +51,7 @@ k AS (SELECT image_ix, i, j, avg(v) m FROM p, range(5) x(i), range(5) y(j) WHERE
 SELECT image_ix, i AS block_row, j AS block_col, round(m, 4) + 0 AS mean FROM k
 """)
 def block_means(t):
-    f = K.per_image(_images(t), lambda x: K.block_means(x, 5))
+    """Suppliers under 40 only, as in the SQL."""
+    f = K.per_image(_images(t).where("image_ix < 40"), lambda x: K.block_means(x, 5))
     out = f.select("image_ix", F.posexplode("f").alias("k", "m"))
     return out.select("image_ix", F.floor(F.col("k") / 5).alias("block_row"), (F.col("k") % 5).cast("long").alias("block_col"), (F.round("m", 4) + F.lit(0.0)).alias("mean"))
