@@ -60,6 +60,12 @@ def test_every_supplier_has_features(spark, name):
     assert sorted(r[0] for r in QUERIES[name](spark, sf).select("image_ix").collect()) == sorted(keys)
 
 
+def test_volume_holds_every_supplier(spark, tmp_path):
+    spark.read.parquet(f"{SF}/supplier.parquet").selectExpr("s_suppkey * 500 as s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = QUERIES["scatter_volume"](spark, str(tmp_path))
+    assert out.where("value is not null").count() == spark.read.parquet(f"{SF}/supplier.parquet").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

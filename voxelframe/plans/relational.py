@@ -143,7 +143,8 @@ def label_priority(t):
 
 @query("SELECT g.i AS cell, round(s_acctbal, 2) AS value FROM range(2000) g(i) LEFT JOIN supplier ON s_suppkey = g.i")
 def scatter_volume(t):
-    cells = t.spark.range(2000).withColumnRenamed("id", "cell")
+    last = t.supplier.agg(F.max("s_suppkey")).first()[0] or 0
+    cells = t.spark.range(max(2000, last + 1)).withColumnRenamed("id", "cell")
     return J.scattered(cells, t.supplier.select(F.col("s_suppkey").alias("cell"), F.round("s_acctbal", 2).alias("value")), "cell")
 
 
