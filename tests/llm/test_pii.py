@@ -1,4 +1,8 @@
+import hashlib
+import random
 import re
+import string
+from datetime import date, timedelta
 
 from voxelframe.llm import pii
 
@@ -30,7 +34,7 @@ def test_kinds_keep_format_and_link(spark):
     assert luhn(card) and luhn(dashed) and card == dashed.replace("-", "") and card != "4041894974608795"
     assert all(int(o) < 256 for o in ip.split("."))
     assert r[1].text == f"again {card} and {phone} and {ip} and {iso} and {mail}"
-    assert r[5].n_ip == 2 and r[5].text.startswith("é\x03 ") and r[5].text.count(" word") == 30_000
+    assert r[5].n_ip == 2 and r[5].text.startswith("é\x01 ") and re.search(r"[0-9]\x02 \U0001f600", r[5].text) and r[5].text.count(" word") == 30_000
     other = run(spark, texts[:1], key="another")[0].text
     assert card not in other and ip not in other
 
@@ -101,3 +105,89 @@ def test_sample_table(spark):
 
 def test_empty(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_other_character_is_kept(spark):
+    """Control characters, also those the operator marks and escapes with, come back as they were."""
+    texts = ["no pii \x01 here", "\x03\x04\x03\x05\x03\x06\x03", "\x01\x02\x03" * 50, "\x03\x06\x01\x04", "\x02a\x01 8.8.8.8\x01\x03\x05"]
+    out = run(spark, texts)
+    assert [r.text for r in out[:4]] == texts[:4] and not any(r.n_found for r in out[:4])
+    assert out[4].n_ip == 1 and re.fullmatch(r"\x02a\x01 [0-9.]+\x01\x03\x05", out[4].text)
+
+
+def test_the_key_comes_from_the_session(spark):
+    text = ["call 555-123-4567"]
+    demo = run(spark, text)[0].text
+    assert demo == run(spark, text, key=pii.DEMO_KEY)[0].text
+    spark.conf.set(pii.KEY_SETTING, "a secret")
+    try:
+        assert run(spark, text)[0].text == run(spark, text, key="a secret")[0].text != demo
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def value(key, kind, turn, half, modulus):
+    return int(hashlib.sha256(f"{key}|{kind}|{turn}|{half}".encode()).hexdigest()[:12], 16) % modulus
+
+
+def numbers(key, kind, left, right, sizes, back=False):
+    """The plain Feistel network over two numbers, or its inverse."""
+    for turn in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        sign = -1 if back else 1
+        if turn % 2 == 0:
+            left = (left + sign * value(key, kind, turn, right, sizes[0])) % sizes[0]
+        else:
+            right = (right + sign * value(key, kind, turn, left, sizes[1])) % sizes[1]
+    return left, right
+
+
+def shifted(text, key, kind, turn, other, sign):
+    digest, out = hashlib.sha256(f"{key}|{kind}|{turn}|{other}".encode()).hexdigest(), ""
+    for i, c in enumerate(text):
+        move = int(hashlib.sha256(f"{digest}{i}".encode()).hexdigest()[:8], 16) * sign
+        alphabet = next((a for a in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in a), None)
+        out += alphabet[(alphabet.index(c) + move) % len(alphabet)] if alphabet else c
+    return out
+
+
+def letters(text, key, kind, back=False):
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for turn in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        sign = -1 if back else 1
+        if turn % 2 == 0:
+            left = shifted(left, key, kind, turn, right, sign)
+        else:
+            right = shifted(right, key, kind, turn, left, sign)
+    return left + right
+
+
+def test_pseudonyms_are_the_plain_feistel_network(spark):
+    """Every kind against a plain network, which the inverse network undoes."""
+    key, rng = "k", random.Random(8)
+    cards = ["".join(rng.choices(string.digits, k=n)) for n in (12, 14, 15, 18) for _ in range(5)]
+    cards = [c + next(d for d in string.digits if luhn(c + d)) for c in cards]
+    phones = [f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(0, 9999):04d}" for _ in range(20)]
+    ips = [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(20)]
+    days = [rng.randrange(73_000) for _ in range(20)]
+    dates = [str(date(1900, 1, 1) + timedelta(days=d)) for d in days]
+    mails = ["".join(rng.choices(string.ascii_letters + string.digits + "._%+-", k=n)) + "@x.example" for n in range(1, 21)]
+    got = [r.text for r in run(spark, cards + phones + ips + dates + mails, key=key)]
+
+    for text, new in zip(cards, got[:20], strict=True):
+        assert new[:-1] == letters(text[:-1], key, "card") and luhn(new)
+        assert letters(new[:-1], key, "card", back=True) == text[:-1]
+    for text, new in zip(phones, got[20:40], strict=True):
+        plain, made = text.replace("-", ""), new.replace("-", "")
+        assert made == letters(plain, key, "phone") and letters(made, key, "phone", back=True) == plain
+    for text, new in zip(ips, got[40:60], strict=True):
+        a, b, c, d = map(int, text.split("."))
+        left, right = numbers(key, "ip", a * 256 + b, c * 256 + d, (65536, 65536))
+        assert new == f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+        assert numbers(key, "ip", left, right, (65536, 65536), back=True) == (a * 256 + b, c * 256 + d)
+    for day, new in zip(days, got[60:80], strict=True):
+        left, right = numbers(key, "date", day // 292, day % 292, pii.DAYS)
+        assert new == str(date(1900, 1, 1) + timedelta(days=left * 292 + right))
+        assert numbers(key, "date", left, right, pii.DAYS, back=True) == (day // 292, day % 292)
+    for text, new in zip(mails, got[80:], strict=True):
+        local = text.split("@")[0]
+        assert new == letters(local, key, "email") + "@x.example" and letters(new.split("@")[0], key, "email", back=True) == local

@@ -65,3 +65,82 @@ def test_random_runs_are_told_from_natural_ones(spark):
     got = {r.doc_id: r.n_random for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] for i in range(200)) >= 170
     assert sum(got[1000 + i] for i in range(200)) == 0
+
+
+def plain_random_spans(docs):
+    """{doc_id: spans that the battery and its false-discovery control add}, in plain Python."""
+    import math
+    from statistics import NormalDist
+
+    from voxelframe.llm import secrets as S
+
+    tests = []
+    for i, text in docs.items():
+        for m in re.finditer(S.RUN, text or ""):
+            run = m[0]
+            name, _, alphabet = next(e for e in S.ENCODINGS if re.search(e[1], run))
+            n, size, half = len(run), len(alphabet), len(alphabet) // 2
+            codes = [alphabet.index(c) + 1 for c in run]
+            squares = sum(codes.count(c) ** 2 for c in set(codes))
+            z_chi = max((squares * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n), 0)
+            low = [c <= half for c in codes]
+            share = 2 * half / size * (1 - half / size)
+            z_runs = (sum(a != b for a, b in zip(low, low[1:], strict=False)) - (n - 1) * share) / math.sqrt((n - 1) * share * (1 - share))
+            middle = (size + 1) / 2
+            z_serial = sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:], strict=False)) / ((size**2 - 1) / 12 * math.sqrt(n - 1))
+            p = S.natural(name)
+            s2, s3 = sum(x**2 for x in p), sum(x**3 for x in p)
+            spread = 4 * n * (n - 1) * (n - 2) * (s3 - s2**2) + 2 * n * (n - 1) * (s2 - s2**2)
+            level = max(math.floor((n + n * (n - 1) * s2 - squares) / math.sqrt(spread) * S.STEPS), 0)
+            if not re.fullmatch("[A-Z]?[a-z]+|[A-Z]+", run):
+                tests.append((i, m.start(), m.end(), (name, math.floor(math.log2(n / 10) * 2)), z_chi**2 + z_runs**2 + z_serial**2 <= S.T_MOST, NormalDist().cdf(-level / S.STEPS)))
+    out = {i: [] for i in docs}
+    for kind in {t[3] for t in tests}:
+        mine = sorted((t for t in tests if t[3] == kind), key=lambda t: (not t[4], t[5]))
+        good = [t[5] for t in mine if t[4]]
+        passing = [p for p in good if p * len(mine) <= S.FDR * sum(q <= p for q in good)]
+        for i, a, b, _, random_, p in mine:
+            if random_ and passing and p <= max(passing):
+                out[i].append((a, b))
+    for i, text in docs.items():
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute(text)[1].split(",") if s]
+        out[i] = sorted(s for s in out[i] if not any(a < s[1] and s[0] < b for a, b in base))
+    return out
+
+
+def test_added_spans_are_the_plain_battery(spark):
+    import random
+    import string
+
+    rng = random.Random(11)
+    make = [
+        lambda: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=rng.randint(20, 90))),
+        lambda: "".join(rng.choices(string.ascii_uppercase + "234567", k=rng.randint(20, 60))),
+        lambda: "".join(rng.choices("0123456789ABCDEF", k=rng.randint(20, 70))),
+        lambda: "".join(rng.choices(string.digits, k=rng.randint(20, 40))),
+        lambda: "".join(rng.choice(["Get", "user", "Name", "from_", "the", "/path", "of", "List", "-2"]) for _ in range(rng.randint(6, 14))),
+        lambda: "a" * rng.randint(20, 200),
+        lambda: "1234567890" * 4,
+        lambda: "token=" + "".join(rng.choices(string.ascii_letters + string.digits, k=40)),
+    ]
+    docs = {i: " ".join(rng.choice(make)() for _ in range(rng.randint(0, 8))) + " é." for i in range(250)} | {900: "", 901: None}
+    docs |= {910: docs[3], 911: docs[3]}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")) for r in scan_secrets(df).collect()}
+    want = plain_random_spans(docs)
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_natural_runs_beside_few_secrets(spark):
+    """Natural identifiers of every shape are left alone, and the secrets among them found."""
+    import random
+    import string
+
+    rng = random.Random(12)
+    words = "user account session manager value list index of the from request response time update get set name path file".split()
+    shapes = [lambda w: "".join(x.title() for x in w), "_".join, "-".join, "/".join, lambda w: "".join(w).upper() + "_ID", lambda w: "".join(w)]
+    natural = [(i, " ".join(rng.choice(shapes)(rng.choices(words, k=rng.randint(4, 8))) for _ in range(5))) for i in range(300)]
+    secret = [(1000 + i, "x " + "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64))) for i in range(60)]
+    got = {r.doc_id: r.n_random for r in scan_secrets(spark.createDataFrame(natural + secret, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + i] for i in range(60)) >= 52
+    assert sum(got[i] for i in range(300)) <= 5

@@ -13,67 +13,80 @@ decide.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Stage
 from .words import ALNUM_SPLIT, U64, mix, slices, text_buffer, word_hashes
 
 WINDOW = 10
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WEIGHTS = mix(np.arange(501, 501 + 64, dtype=U64)) | U64(1)
-#: Bytes of benchmark text that one compiled set of tables holds.
-BLOCK_BYTES = 16 << 20
+_OTHERS = mix(np.arange(701, 701 + 64, dtype=U64)) | U64(1)
+#: Bytes of benchmark text that one compiled set of tables holds; they are about 16 times as large.
+BLOCK_BYTES = 8 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").encode().lower())
-
-
-def _combine(h: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+def _combine(h: np.ndarray, last: np.ndarray, n: int, weights: np.ndarray = _WEIGHTS) -> np.ndarray:
     """Hash of the n words that end at each of last."""
     out = np.zeros(len(last), U64)
     for k in range(n):
-        out += h[last - (n - 1 - k)] * _WEIGHTS[k]
+        out += h[last - (n - 1 - k)] * weights[k]
     return mix(out)
 
 
 class Patterns:
-    """The compiled windows of a bounded set of (item_id, text)."""
+    """The compiled windows of a bounded set of (item_id, text): arrays over their words."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
-            w = words_of(text)
-            for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-                window = tuple(w[i : i + WINDOW])
-                by_length.setdefault(len(window), {}).setdefault(window, set()).add(item)
-        self.groups = [self._compile(n, found) for n, found in sorted(by_length.items())]
+        self.names = [name for name, _ in items]
+        self.raw, offsets = text_buffer(pa.array([text for _, text in items], pa.string()))
+        parts = [(i, *word_hashes(self.raw, offsets[i : j + 1], ALNUM_SPLIT)) for i, j in slices(offsets)]
+        joined = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
+        h, self.starts, self.ends = joined(1).astype(U64), joined(3), joined(4)
+        sizes = np.concatenate([np.diff(p[2]) for p in parts]) if parts else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole = sizes[owner]
+        self.groups = []
+        for n in range(1, WINDOW + 1):
+            last = np.flatnonzero((place == n - 1) & (whole == n) if n < WINDOW else place >= n - 1)
+            if len(last):
+                self.groups.append(self._compile(h, n, last, owner[last]))
 
     @staticmethod
-    def _compile(length: int, found: dict[tuple[bytes, ...], set[str]]) -> dict:
+    def _compile(h: np.ndarray, length: int, last: np.ndarray, owner: np.ndarray) -> dict:
+        """Tables of the windows of one length that end at the words last."""
         block = min(3, length)
-        windows = list(found)
-        text = np.frombuffer(b" ".join(w for window in windows for w in window), np.uint8)
-        h, *_ = word_hashes(text, np.array([0, len(text)]), ALNUM_SPLIT)
-        ends = np.arange(len(windows)) * length + length - 1
-        size = 1 << max(12, (8 * len(h)).bit_length())
+        size = 1 << max(12, (8 * len(last)).bit_length())
         mask = U64(size - 1)
-        shift = np.full(size, length - block + 1, np.int16)
-        for back in range(length - block, -1, -1):
-            np.minimum.at(shift, (_combine(h, ends - back, block) & mask).astype(np.int64), back)
+        slot = lambda ends: (_combine(h, ends, block) & mask).astype(np.int64)
+        shift = np.full(size, length - block + 1, np.int8)
+        for back in range(length - block, -1, -1):  # the least comes last
+            shift[slot(last - back)] = back
         suffix = np.zeros(size, bool)
-        suffix[(_combine(h, ends, block) & mask).astype(np.int64)] = True
-        whole = _combine(h, ends, length)
-        order = np.argsort(whole)
-        return {"length": length, "block": block, "shift": shift, "suffix": suffix, "mask": mask, "whole": whole[order], "words": [b" ".join(windows[k]) for k in order], "items": [sorted(found[windows[k]]) for k in order]}
+        suffix[slot(last)] = True
+        whole, other = _combine(h, last, length), _combine(h, last, length, _OTHERS)
+        order = np.lexsort((owner, other, whole))
+        whole, other, last, owner = whole[order], other[order], last[order], owner[order]
+        new = np.ones(len(whole), bool)  # the first of each different window
+        new[1:] = (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])
+        once = new.copy()  # the first of each window and item
+        once[1:] |= owner[1:] != owner[:-1]
+        at = np.flatnonzero(new)
+        items_at = np.append(np.cumsum(once)[at] - 1, once.sum())
+        return {"length": length, "block": block, "shift": shift, "suffix": suffix, "mask": mask, "whole": whole[at], "last": last[at], "items": owner[once], "items_at": items_at}
+
+    def items(self, group: int, window: int) -> list[str]:
+        """The names of the items that have a window."""
+        g = self.groups[group]
+        return [self.names[k] for k in g["items"][g["items_at"][window] : g["items_at"][window + 1]].tolist()]
 
     def search(self, raw: np.ndarray, h: np.ndarray, owner: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Yield (first word, last word, items) of each occurrence within one text."""
-        for g in self.groups:
+        """Yield (first word, last word, group, window) of each occurrence within one text."""
+        for number, g in enumerate(self.groups):
             n, block, step = g["length"], g["block"], g["length"] - g["block"] + 1
             if len(h) < n:
                 continue
@@ -90,10 +103,11 @@ class Patterns:
             k = np.searchsorted(g["whole"], whole)
             same = (k < len(g["whole"])) & (g["whole"][np.minimum(k, len(g["whole"]) - 1)] == whole)
             for e, p, same_hash in zip(last[same].tolist(), k[same].tolist(), whole[same], strict=True):
-                spelt = b" ".join(raw[starts[i] : ends[i]].tobytes().lower() for i in range(e - n + 1, e + 1))
-                while p < len(g["words"]) and g["whole"][p] == same_hash:
-                    if g["words"][p] == spelt:
-                        yield e - n + 1, e, g["items"][p]
+                spelt = [raw[starts[i] : ends[i]].tobytes().lower() for i in range(e - n + 1, e + 1)]
+                while p < len(g["whole"]) and g["whole"][p] == same_hash:
+                    w = int(g["last"][p])
+                    if spelt == [self.raw[self.starts[i] : self.ends[i]].tobytes().lower() for i in range(w - n + 1, w + 1)]:
+                        yield e - n + 1, e, number, p
                         break
                     p += 1
 
@@ -109,14 +123,14 @@ def _scan(held, final: bool):
                 h, first, starts, ends = word_hashes(raw, offsets[i : j + 1], ALNUM_SPLIT)
                 owner = np.repeat(np.arange(j - i), np.diff(first))
                 spans: dict[int, list[int]] = {}
-                items: dict[int, set[str]] = {}
-                for a, b, found in patterns.search(raw, h, owner, starts, ends):
+                windows: dict[int, set[tuple[int, int]]] = {}
+                for a, b, *window in patterns.search(raw, h, owner, starts, ends):
                     d = int(owner[a])
                     spans.setdefault(d, []).extend((a - int(first[d]), b - int(first[d])))
-                    items.setdefault(d, set()).update(found)
+                    windows.setdefault(d, set()).add(tuple(window))
                 for d in range(j - i):
                     s = (old_spans[i + d] or []) + spans.get(d, [])
-                    m = sorted({*(old_items[i + d] or []), *items.get(d, ())})
+                    m = sorted({*(old_items[i + d] or []), *(x for w in windows.get(d, ()) for x in patterns.items(*w))})
                     out.append((int(first[d + 1] - first[d]), s, m))
             if not final:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for _, s, _ in out], pa.list_(pa.int64())), pa.array([m for *_, m in out], pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
@@ -160,14 +174,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     empty text has no words. Benchmark rows without item_id or text are left
     out; rows that repeat an item count once. An empty benchmark hits
     nothing. A benchmark over block_bytes is searched in blocks, one map pass
-    each, so what is broadcast stays bounded.
+    each; what a pass found is kept as a table and its broadcast given up before
+    the next, so that driver and executors hold one block at a time.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     kind = dict(rows.dtypes)["doc_id"]
-    before = None
-    for patterns in pattern_blocks(benchmark, limit=block_bytes):
+    stage, before = Stage(spark, "decontaminate"), None
+    for k, patterns in enumerate(pattern_blocks(benchmark, limit=block_bytes)):
         if before is not None:
-            rows = rows.mapInArrow(_scan(before, False), f"doc_id {kind}, text string, spans array<long>, items array<string>")
+            rows = stage.put(rows.mapInArrow(_scan(before, False), f"doc_id {kind}, text string, spans array<long>, items array<string>"), f"{k}")
+            before.destroy()
+            stage.drop(f"{k - 1}")
         before = spark.sparkContext.broadcast(patterns)
     return rows.mapInArrow(_scan(before, True), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>")

@@ -16,13 +16,17 @@ Data flow, per stage:
 2. Keys that at least two representatives share are found by a partly
    aggregated count; only their members go on.
 3. Each key links its members to the member with the most shared keys (the
-   original of a family of copies), never to each other: edges are linear.
+   original of a family of copies), never to each other: edges are linear. A
+   centre's set goes to each of a number of groups, so that the members of a
+   large family are confirmed in many tasks.
 4. Confirmed links give components. Keys whose members lie in more than one
    component are searched for the remaining pairs across components, under the
    signature bound; keys with over BLOCK members are first refined by two
    symbols of another chunk (an exact step: 31 errors leave one of the other
-   15 chunks with at most two). The pairs are not listed: families of texts are
-   cut into verification blocks of about VERIFY texts, and a text goes once, with
+   15 chunks with at most two). Groups that are still larger are cut into parts
+   of about BLOCK members, and each two parts meet in a task of their own. The
+   pairs are not listed: families of texts are cut into verification blocks of
+   about VERIFY texts or VERIFY_SHINGLES shingles, and a text goes once, with
    its full set, to each block that holds a candidate for it; there the
    intersections with the whole block are counted through an inverted index.
 5. Confirmed links of both steps give the final components.
@@ -47,9 +51,12 @@ MAX_ERRORS = 2 * CHUNKS - 1
 BLOCK = 4096
 #: Texts of a verification block, and texts sent to one copy of it.
 VERIFY, SENT = 1024, 4096
+#: Shingles of a verification block (or one longer text).
+VERIFY_SHINGLES = 1 << 20
 _TRIPLES = list(combinations(range(CHUNK), CHUNK - 1))
 _PAIRS = list(combinations(range(CHUNK), 2))
-_FILTER_WORDS = 1 << 17
+#: 64-bit words of the id filter, at least and at most (64 MB).
+_FILTER_WORDS = (1 << 14, 1 << 23)
 
 
 def _sketch(batches):
@@ -88,10 +95,10 @@ def _close(batches):
     for batch in batches:
         if batch.num_rows:
             errors = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(errors <= MAX_ERRORS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "centre"]).filter(pa.array(errors <= MAX_ERRORS))
 
 
-_REST = "key long, sub long, id long, component long, rank long, block long, sig binary"
+_REST = "key long, sub long, id long, component long, rank long, block long, part int, sig binary"
 
 
 def _refined(batches):
@@ -100,7 +107,7 @@ def _refined(batches):
         for k in range(0, batch.num_rows, 1024):
             part = batch.slice(k, 1024)
             own = part.column(0).to_numpy() >> 50
-            s = _symbols(part.column(6)).astype(np.int64).reshape(-1, CHUNKS, CHUNK)
+            s = _symbols(part.column(7)).astype(np.int64).reshape(-1, CHUNKS, CHUNK)
             for c in range(CHUNKS):
                 rows = np.flatnonzero(own != c)
                 for m, (x, y) in enumerate(_PAIRS):
@@ -109,11 +116,12 @@ def _refined(batches):
                     yield pa.RecordBatch.from_arrays([taken.column(0), sub, *taken.columns[2:]], taken.schema.names)
 
 
-def _candidates(key, ids, comp, rank, block, sig):
+def _candidates(key, ids, comp, rank, block, part, sig):
     """(id, block) of each text and each block with a text of another component under the signature bound.
 
     Of a pair, the text of the smaller component (higher rank) is sent, under
-    the first key that the pair shares.
+    the first key that the pair shares. Where two parts of a group meet (part
+    is not -1), pairs within a part are left to another task.
     """
     keys = index_keys(sig)
     for i in range(0, len(ids), 256):
@@ -123,7 +131,8 @@ def _candidates(key, ids, comp, rank, block, sig):
             errors = np.zeros((len(ids[left]), len(ids[right])), np.uint8)
             for c in range(SYMBOLS):
                 errors += sig[left, c][:, None] != sig[right, c][None, :]
-            x, y = np.nonzero((errors <= MAX_ERRORS) & (comp[left][:, None] != comp[right][None, :]))
+            apart = (part[left][:, None] != part[right][None, :]) | (part[left][:, None] == -1)
+            x, y = np.nonzero((errors <= MAX_ERRORS) & (comp[left][:, None] != comp[right][None, :]) & apart)
             x, y = x + i, y + j
             up = (rank[x] > rank[y]) | ((rank[x] == rank[y]) & (ids[x] > ids[y]))
             x, y = x[up], y[up]
@@ -139,7 +148,7 @@ def _search(batches):
 
     def flush():
         if sum(len(h[0]) for h in held) > 1:
-            cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
+            cols = [np.concatenate([h[k] for h in held]) for k in range(6)]
             if (cols[1] != cols[1][0]).any():
                 yield from _candidates(group[0], *cols)
 
@@ -148,7 +157,7 @@ def _search(batches):
         if not batch.num_rows:
             continue
         key, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cols = [batch.column(k).to_numpy() for k in range(2, 6)] + [_symbols(batch.column(6))]
+        cols = [batch.column(k).to_numpy() for k in range(2, 7)] + [_symbols(batch.column(7))]
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
             if group != (key[s], sub[s]):
@@ -207,17 +216,19 @@ def _confirm(batches):
 
 
 def _id_filter(spark: SparkSession, ids: DataFrame):
-    """A broadcast bitmap of fixed size (1 MB) over hashed ids; false hits only, never false misses."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_WORDS * 64))
+    """(bits, broadcast bitmap) over hashed ids: eight bits an id up to 64 MB; false hits only, never false misses."""
+    low, high = _FILTER_WORDS
+    n = min(high, max(low, 1 << (ids.count() // 8).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(n * 64))
     rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(_FILTER_WORDS, np.int64)
+    words = np.zeros(n, np.int64)
     words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return spark.sparkContext.broadcast(words)
+    return n * 64, spark.sparkContext.broadcast(words)
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
     """(id, set) of the texts whose doc_id is in ids(id), distinct."""
-    words = _id_filter(docs.sparkSession, ids)
+    bits, words = _id_filter(docs.sparkSession, ids)
 
     def sets(batches):
         for batch in batches:
@@ -230,18 +241,29 @@ def _full_sets(docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
                 flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "set"])
 
-    bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_WORDS * 64)).alias("bit")
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")
     full = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").select("id", "text", bit)
     return full.mapInArrow(sets, "id long, set array<long>").join(ids, "id", "left_semi")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
-    """The pairs (a, b) with 100 * |A & B| >= 75 * |A | B| on full shingle sets."""
-    full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text_col)
-    both = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    both = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sizes"))
-    return stage.put(both.where("100 * shared >= 75 * (sizes - shared)").select("a", "b").distinct(), name)
+def _confirmed(docs: DataFrame, rows: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
+    """Links (a, b) of rows(block, salt, sent, id, component): of each text sent to a (block, salt) with those that are not sent."""
+    rows = stage.put(rows, f"{name}-rows")
+    full = _full_sets(docs, rows.select("id").distinct(), text_col)
+    dealt = rows.join(full, "id").select("block", "salt", "sent", "id", "component", "set").repartition("block", "salt").sortWithinPartitions("block", "salt", "sent")
+    return stage.put(dealt.mapInArrow(_confirm, "a long, b long").distinct(), name)
+
+
+def _verified_stars(docs: DataFrame, star: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
+    """The links between the members and centres of star(id, centre).
+
+    A centre's members are dealt to groups, as many as let a centre of all
+    members have about SENT in each; the centre is copied to those in use.
+    """
+    groups = max(16, star.count() // SENT)
+    sent = star.select(F.col("centre").alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("salt"), F.lit(True).alias("sent"), "id", F.col("id").alias("component"))
+    own = sent.select("block", "salt").distinct().select("block", "salt", F.lit(False).alias("sent"), F.col("block").alias("id"), F.col("block").alias("component"))
+    return _confirmed(docs, sent.union(own), text_col, stage, name)
 
 
 def _verified_in_blocks(docs: DataFrame, sent: DataFrame, texts: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
@@ -249,10 +271,17 @@ def _verified_in_blocks(docs: DataFrame, sent: DataFrame, texts: DataFrame, text
     salts = sent.groupBy("block").agg(F.floor((F.count("*") - 1) / SENT + 1).cast("int").alias("salts"))
     sent = sent.join(salts, "block").join(texts.select("id", "component"), "id").select("block", F.pmod(F.hash("id"), "salts").alias("salt"), F.lit(True).alias("sent"), "id", "component")
     own = texts.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("sent"), "id", "component")
-    rows = stage.put(sent.union(own), f"{name}-rows")
-    full = _full_sets(docs, rows.select("id").distinct(), text_col)
-    dealt = rows.join(full, "id").select("block", "salt", "sent", "id", "component", "set").repartition("block", "salt").sortWithinPartitions("block", "salt", "sent")
-    return stage.put(dealt.mapInArrow(_confirm, "a long, b long").distinct(), name)
+    return _confirmed(docs, sent.union(own), text_col, stage, name)
+
+
+def _in_parts(refined: DataFrame) -> DataFrame:
+    """refined with groups (key, sub) of over BLOCK members cut into parts, each two of which meet under a sub of their own."""
+    sizes = refined.groupBy("key", "sub").agg(F.floor((F.count("*") - 1) / BLOCK + 1).cast("int").alias("parts")).where("parts > 1")
+    dealt = refined.drop("part").join(sizes, ["key", "sub"], "left").withColumn("own", F.pmod(F.hash("id"), F.coalesce("parts", F.lit(1))))
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    sub = F.when(F.col("parts").isNull(), F.col("sub")).otherwise(F.xxhash64("sub", F.least("own", "met"), F.greatest("own", "met")))
+    part = F.when(F.col("parts").isNull() | (F.col("own") == F.col("met")), -1).otherwise(F.col("own"))
+    return dealt.select("key", sub.alias("sub"), "id", "component", "rank", "block", part.alias("part"), "sig")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -276,10 +305,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     weight = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
     centre = members.join(weight, "id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("c")).select("key", F.col("c.id").alias("centre"), "c.w")
     centred = stage.put(members.join(centre, "key"), "centred")
-    star = centred.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    left, right = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signatures.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    star = star.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long")
-    links = _verified(base, stage.put(star, "star"), "text", stage, "star-links")
+    star = centred.where("id <> centre").select("id", "centre").distinct()
+    of_centre = signatures.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig"))
+    star = star.join(signatures, "id").join(of_centre, "centre").select("id", "centre", "sig", "centre_sig").mapInArrow(_close, "id long, centre long")
+    links = _verified_stars(base, stage.put(star, "star"), "text", stage, "star-links")
 
     first = connected_components(links, stage, "first")
     ranks = first.groupBy("component").agg((-F.count("*")).alias("rank"))
@@ -289,12 +318,15 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rest = stage.put(placed.join(apart, "key", "left_semi"), "rest")
     stage.drop("members", "centred", "first-both")
     family = rest.groupBy("id", "component").agg(F.min(F.struct("w", "centre")).alias("f")).select("id", "component", F.col("f.centre").alias("family"))
-    blocks = family.groupBy("family").agg(F.floor((F.count("*") - 1) / VERIFY + 1).alias("blocks"))
+    family = family.join(classes.select("id", "n_shingles"), "id")
+    blocks = family.groupBy("family").agg(F.greatest(F.floor((F.count("*") - 1) / VERIFY + 1), F.floor(F.sum("n_shingles") / VERIFY_SHINGLES) + 1).alias("blocks"))
     family = family.join(blocks, "family").select("id", "component", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block"))
     family = stage.put(family, "family")
-    cols = ["key", "sub", "id", "component", "rank", "block", "sig"]
-    rest = rest.join(family.select("id", "block"), "id").join(signatures, "id").withColumn("sub", F.lit(-1).cast("long"))
-    small, large = rest.where(F.col("n") <= BLOCK).select(*cols), rest.where(F.col("n") > BLOCK).select(*cols).mapInArrow(_refined, _REST)
+    cols = ["key", "sub", "id", "component", "rank", "block", "part", "sig"]
+    rest = rest.join(family.select("id", "block"), "id").join(signatures, "id").withColumn("sub", F.lit(-1).cast("long")).withColumn("part", F.lit(-1))
+    small, large = rest.where(F.col("n") <= BLOCK).select(*cols), rest.where(F.col("n") > BLOCK).select(*cols)
+    if large.limit(1).count():
+        large = _in_parts(stage.put(large.mapInArrow(_refined, _REST), "refined"))
     sent = small.union(large).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_search, "id long, block long").distinct()
     links = links.union(_verified_in_blocks(base, stage.put(sent, "sent"), family, "text", stage, "more-links"))
 

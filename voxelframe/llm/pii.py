@@ -18,7 +18,8 @@ document, so equal values stay linked and different ones stay different:
   next such date, so that it meets no date with the day first;
 * e-mail: over the letters and digits of the local part, each within its class.
 
-Round values are SHA-256 of key, kind, round and the other half.
+Round values are SHA-256 of key, kind, round and the other half. Who has the
+key can undo the permutations: the query takes it from KEY_SETTING.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import marked, pieces, plain
+from .spans import escaped, marked, pieces, unescaped
 
 KINDS = ("card", "phone", "ip", "date", "email")
 CARD = r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
@@ -42,6 +43,8 @@ PATTERN = f"{_OTHER}|{RUN}"
 #: Groupings cards are printed in, the longer first; none has over five groups.
 GROUPED = (r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}(?![0-9])", r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{8}[ -][0-9]{8}|[0-9]{6}[ -][0-9]{13})(?![0-9])")
 ROUNDS = 8
+#: Session setting with the secret key; DEMO_KEY, which is public, only where it is unset.
+KEY_SETTING, DEMO_KEY = "spark.voxelframe.pii.key", "voxelframe"
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -238,20 +241,21 @@ def _parts(match: Column) -> Column:
     return F.when(match.rlike("^[0-9](?:[ -]?[0-9]){12}[0-9 -]*$"), _of_run(match)).otherwise(F.array(F.struct(match.alias("p"), _kind(match).alias("kind"))))
 
 
-def pseudonymise(docs: DataFrame, key: str = "voxelframe", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_card, n_phone, n_ip, n_date, n_email, n_found) for every row of docs.
 
-    text is the whole text with each valid value replaced; a null text stays
-    null and has no values; an empty one stays empty. The two marking
-    characters U+0001 and U+0002 become U+0003. Each row stands alone, so
-    repeated rows give equal results. Other columns are ignored.
+    text is the whole text with each valid value replaced and every other
+    character kept; a null text stays null and has no values; an empty one
+    stays empty. key: by default the session's KEY_SETTING. Each row stands
+    alone, so repeated rows give equal results. Other columns are ignored.
     """
-    rows = docs.select("doc_id", F.col(text_col).isNull().alias("none"), marked(plain(F.col(text_col)), PATTERN).alias("marked"))
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY)
+    rows = docs.select("doc_id", F.col(text_col).isNull().alias("none"), marked(escaped(F.col(text_col)), PATTERN).alias("marked"))
     replace = lambda p, kind: F.when(kind == 0, _card(p, key)).when(kind == 1, _phone(p, key)).when(kind == 2, _ip(p, key)).when(kind == 3, _date(p, key)).when(kind == 4, _email(p, key)).otherwise(p)
     kinds = F.flatten(F.transform(pieces(F.col("marked")), lambda p, i: F.when(i % 2 == 1, _parts(p)).otherwise(F.array(F.struct(p.alias("p"), F.lit(None).cast("int").alias("kind"))))))
     rows = rows.select("doc_id", "none", "marked", F.when(F.contains("marked", F.lit("\x01")), kinds).alias("parts"))
     text = F.when(F.col("parts").isNull(), F.col("marked")).otherwise(F.array_join(F.transform("parts", lambda s: F.when(s["kind"].isNull(), s["p"]).otherwise(replace(s["p"], s["kind"]))), ""))
     of_kind = lambda k: lambda s: s["kind"] == k
     counts = [F.coalesce(F.size(F.filter("parts", of_kind(k))), F.lit(0)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    out = rows.select("doc_id", F.when(~F.col("none"), text).alias("text"), *counts)
+    out = rows.select("doc_id", F.when(~F.col("none"), unescaped(text)).alias("text"), *counts)
     return out.withColumn("n_found", sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}")))

@@ -2,21 +2,26 @@
 
 Base spans come from three patterns. The method adds spans: runs of 20 and
 more key characters whose inferred encoding (decimal, hex, base32,
-alphanumeric, base64) passes for uniformly random. For each run the chi-squared
-statistic of its alphabet (standardised by its exact mean and variance at that
-length), the runs test about the middle of the alphabet, and the serial
-correlation at lag one give T = max(z_chi, 0)^2 + z_runs^2 + z_serial^2.
-
-False discoveries are controlled apart for each encoding and length class:
-runs of letters of one case are natural words and serve as decoys. For each
-class and cut, (accepted decoys + 1) / (decoys + 1) is the rate at which
-natural text passes; times the estimated natural runs, over the accepted runs,
-it is the false-discovery rate. The widest cut of at most FDR is used, none if
-no cut has it. These counts cover all documents.
+alphanumeric, base64) passes for uniformly random and is told from natural
+text. Randomness: the chi-squared statistic of the alphabet (standardised by its
+exact mean and variance at that length), the runs test about the middle of the
+alphabet, and the serial correlation at lag one give
+T = max(z_chi, 0)^2 + z_runs^2 + z_serial^2, which must not be over T_MOST.
+
+False discoveries: the null hypothesis is natural text written in that encoding
+(letters as words, with capitals and separators, or as their character codes).
+Its letter frequencies give the exact mean and variance of the sum of squared
+character counts at the run's own length, and so a one-sided p-value that a
+natural run repeats its characters so seldom; short runs cannot have a small
+one. The Benjamini-Hochberg procedure at FDR is applied apart in each encoding
+and length class, over all runs of all documents. Runs of letters of one case
+are natural words and are never added.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +33,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Upper points of chi-squared with 3 degrees of freedom: 0.50, 0.90, 0.99, 0.999.
-CUTS = (2.366, 6.251, 11.345, 16.266)
+#: The 0.999 point of chi-squared with 3 degrees of freedom.
+T_MOST = 16.266
+#: z-values of the natural null are counted in steps of 1 / STEPS, up to LEVELS steps.
+STEPS, LEVELS = 20, 400
+#: Percent of each letter a to z in English text.
+LETTERS = (8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07)
+#: In natural runs of both cases, the share of capitals and that of separators.
+CAPITALS, SEPARATORS = 1 / 6, 1 / 7
 FDR = 0.05
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Name, pattern of the whole run, alphabet in code order.
@@ -44,14 +55,39 @@ ENCODINGS = (
 )
 
 
+def natural(encoding: str) -> list[float]:
+    """Shares of the characters of natural text written in an encoding, in any order."""
+    p = [x / sum(LETTERS) for x in LETTERS]
+    if encoding in ("alnum_lower", "base32"):
+        return p
+    cased = [x * share for x in p for share in (1 - CAPITALS, CAPITALS)]
+    if encoding == "alnum":
+        return cased
+    if encoding == "base64":
+        return [x * (1 - SEPARATORS) for x in cased] + [SEPARATORS / 3] * 3
+    form = "{:d}" if encoding == "decimal" else "{:x}"  # character codes
+    shares: dict[str, float] = {}
+    for k, x in enumerate(p):
+        for c in form.format(ord("a") + k):
+            shares[c] = shares.get(c, 0.0) + x
+    return [x / sum(shares.values()) for x in shares.values()]
+
+
+def natural_moments(encoding: str) -> tuple[float, float]:
+    """Sums of the squared and of the cubed shares."""
+    p = natural(encoding)
+    return sum(x**2 for x in p), sum(x**3 for x in p)
+
+
 def _tested(runs: Column) -> Column:
-    """(start, end, tests: (encoding, length class, decoy, T)) of each run.
+    """(start, end, tests: (encoding, length class, word, T, level)) of each run.
 
     Built in steps whose results are fields, since whatever a lambda over
     characters names is worked out anew for each character.
     """
     encoding = lambda s: F.coalesce(*[F.when(s["match"].rlike(p), F.lit(k)) for k, (_, p, _) in enumerate(ENCODINGS)])
     alphabets = F.array(*[F.lit(a) for *_, a in ENCODINGS])
+    second, third = (F.array(*[F.lit(natural_moments(e)[k]) for e, *_ in ENCODINGS]) for k in range(2))
     out = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), encoding(s).alias("encoding")))
     out = F.transform(out, lambda s: _with(s, ["start", "end", "match", "encoding"], alphabet=F.get(alphabets, s["encoding"])))
     out = F.transform(
@@ -62,6 +98,8 @@ def _tested(runs: Column) -> Column:
             n=F.length(s["match"]).cast("double"),
             size=F.length(s["alphabet"]).cast("double"),
             half=F.floor(F.length(s["alphabet"]) / 2).cast("double"),
+            second=F.get(second, s["encoding"]),
+            third=F.get(third, s["encoding"]),
             codes=F.transform(F.split(s["match"], ""), lambda c: F.position(c, s["alphabet"]).cast("double")),
         ),
     )
@@ -70,7 +108,7 @@ def _tested(runs: Column) -> Column:
         out,
         lambda s: _with(
             s,
-            ["start", "end", "match", "encoding", "n", "size", "half"],
+            ["start", "end", "match", "encoding", "n", "size", "half", "second", "third"],
             squares=F.aggregate(F.array_distinct(s["codes"]), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(s["codes"], lambda x: x == c)).cast("double"), F.lit(2.0))),
             changes=pairs(s, lambda x, y: F.when((x <= s["half"]) != (y <= s["half"]), 1.0).otherwise(0.0)),
             serial=pairs(s, lambda x, y: (x - (s["size"] + 1) / 2) * (y - (s["size"] + 1) / 2)),
@@ -84,8 +122,12 @@ def _tested(runs: Column) -> Column:
         z_runs = (s["changes"] - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
         z_serial = s["serial"] / ((size * size - 1) / 12 * F.sqrt(n - 1))
         t = z_chi * z_chi + z_runs * z_runs + z_serial * z_serial
-        decoy = s["match"].rlike("^([A-Z]?[a-z]+|[A-Z]+)$")
-        return F.struct(s["encoding"].alias("encoding"), F.floor(F.log2(n / 10) * 2).cast("int").alias("size_class"), decoy.alias("decoy"), t.alias("t"))
+        word = s["match"].rlike("^([A-Z]?[a-z]+|[A-Z]+)$")
+        s2, s3 = s["second"], s["third"]
+        spread = 4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2) + 2 * n * (n - 1) * (s2 - s2 * s2)
+        z = (n + n * (n - 1) * s2 - s["squares"]) / F.sqrt(spread)
+        level = F.greatest(F.least(F.floor(z * STEPS), F.lit(LEVELS)), F.lit(0)).cast("int")
+        return F.struct(s["encoding"].alias("encoding"), F.floor(F.log2(n / 10) * 2).cast("int").alias("size_class"), word.alias("word"), t.alias("t"), level.alias("level"))
 
     return F.transform(out, lambda s: _with(s, ["start", "end"], tests=tests(s)))
 
@@ -94,32 +136,24 @@ def _with(s: Column, kept: list[str], **more: Column) -> Column:
     return F.struct(*[s[k].alias(k) for k in kept], *[c.alias(k) for k, c in more.items()])
 
 
-def _cuts(scanned: DataFrame) -> dict[tuple[int, int], float]:
-    """The cut of each (encoding, length class); a few hundred counts reach the driver."""
-    level = F.lit(len(CUTS))
-    for k in reversed(range(len(CUTS))):
-        level = F.when(F.col("r.tests.t") <= CUTS[k], k).otherwise(level)
-    counts = scanned.select(F.explode("runs").alias("r")).select("r.tests.encoding", "r.tests.size_class", "r.tests.decoy", level.alias("level"))
-    classes: dict[tuple[int, int], dict] = {}
-    for r in counts.groupBy("encoding", "size_class", "decoy", "level").count().collect():
-        classes.setdefault((r["encoding"], r["size_class"]), {})[r["decoy"], r["level"]] = r["count"]
-    decoys: dict[int, dict] = {}  # natural runs of a length class, whatever encoding they pass for
-    for (_, size_class), c in classes.items():
-        for (decoy, level_), n in c.items():
-            if decoy:
-                d = decoys.setdefault(size_class, {})
-                d[level_] = d.get(level_, 0) + n
-    cuts = {}
-    for (encoding, size_class), c in classes.items():
-        d = decoys.get(size_class, {})
-        targets = sum(n for (decoy, _), n in c.items() if not decoy)
-        for k, cut in enumerate(CUTS):
-            passed = (sum(n for level_, n in d.items() if level_ <= k) + 1) / (sum(d.values()) + 1)
-            accepted = sum(n for (decoy, level_), n in c.items() if not decoy and level_ <= k)
-            rate = min(passed, 0.5) if sum(d.values()) else 2.0 ** -(10 * 2 ** (size_class / 2) / 4)
-            natural = (targets - accepted) / (1 - rate)
-            if accepted and natural * rate / accepted <= FDR:
-                cuts[encoding, size_class] = cut
+def _cuts(scanned: DataFrame) -> dict[tuple[int, int], int]:
+    """The least level of each (encoding, length class) that is a discovery.
+
+    Benjamini-Hochberg over all tested runs of the class, with the p-value at
+    the lower end of each level. A bounded number of counts reaches the driver.
+    """
+    runs = scanned.select(F.explode("runs").alias("r")).where("not r.tests.word")
+    counts = runs.groupBy("r.tests.encoding", "r.tests.size_class", F.when(F.col("r.tests.t") <= T_MOST, F.col("r.tests.level")).otherwise(-1).alias("level")).count().collect()
+    classes: dict[tuple[int, int], dict[int, int]] = {}
+    for r in counts:
+        classes.setdefault((r["encoding"], r["size_class"]), {})[r["level"]] = r["count"]
+    cuts, tail = {}, NormalDist()
+    for key, levels in classes.items():
+        tested, discovered = sum(levels.values()), 0
+        for level in sorted((x for x in levels if x >= 0), reverse=True):
+            discovered += levels[level]
+            if tail.cdf(-level / STEPS) * tested <= FDR * discovered:
+                cuts[key] = level
     return cuts
 
 
@@ -146,7 +180,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if table is None:
         more = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     else:
-        random = lambda s: (~s["tests"]["decoy"]) & (s["tests"]["t"] <= F.coalesce(F.try_element_at(table, s["tests"]["encoding"] * 1000 + s["tests"]["size_class"]), F.lit(-1.0)))
+        random = lambda s: (~s["tests"]["word"]) & (s["tests"]["t"] <= T_MOST) & F.coalesce(s["tests"]["level"] >= F.try_element_at(table, s["tests"]["encoding"] * 1000 + s["tests"]["size_class"]), F.lit(False))
         apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         more = F.transform(F.filter("runs", lambda s: random(s) & apart(s)), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -14,6 +14,25 @@ def plain(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), _OPEN + _CLOSE, "\x03\x03")
 
 
+#: Of the characters that marks and escapes are made of, what each is written as.
+_ESCAPES = (("\x03", "\x03\x06"), (_OPEN, "\x03\x04"), (_CLOSE, "\x03\x05"))
+
+
+def escaped(text: Column) -> Column:
+    """text without the marking characters, for unescaped() to undo; null becomes empty."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for plain_, code in _ESCAPES:
+        out = F.replace(out, F.lit(plain_), F.lit(code))
+    return out
+
+
+def unescaped(text: Column) -> Column:
+    """The text that escaped() was given."""
+    for plain_, code in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(code), F.lit(plain_))
+    return text
+
+
 def marked(text: Column, pattern: str) -> Column:
     """plain text with each leftmost non-overlapping match between marks."""
     return F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}")

@@ -16,10 +16,15 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one on a local master, and an error on a cluster.
+
+    Executors of a cluster don't share the driver's folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="voxelframe-"))
     return "file://" + _LOCAL[0]

@@ -1,28 +1,38 @@
-"""Edit-aware token counts over a segment tree of pre-tokens.
-
-A document's state is its pre-tokens (their ends in code points) with the
-token count of each at the leaves of a tree of subtree sums. A pre-token
-depends on the text from its start to at most two characters past its end. An
-edit therefore re-splits from the first pre-token that reaches its start, and
-stops at the first new border past the edit that is an old border too; only
-those pre-tokens are encoded again, and only the sums above them are renewed.
+"""Edit-aware token counts over kept segment trees of pre-tokens.
+
+A document's tree has its pre-tokens at the leaves, each with its length in code
+points and its token count, in blocks of at most MOST; every node has the sums
+of its subtree: code points, tokens, pre-tokens. Places are relative to the
+node, so an edit changes nothing beside its path. The trees are a table:
+build_trees() makes it once, apply_edits() reads it and gives the trees after
+the edits, which can be kept and edited again.
+
+A pre-token depends on the text from its start to at most two characters past
+its end. An edit therefore re-splits from the first pre-token that reaches its
+start, and stops at the first new border past the edit that is an old border
+too; only those pre-tokens are encoded again, only the blocks that hold them
+are split or merged, and only the sums above them are renewed.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Stage
+from .words import slices, text_buffer
+
 #: Characters past its end that can decide a pre-token.
 CONTEXT = 2
-#: Leaves of a tree's block; sums are kept for blocks, and for blocks of blocks.
-FANOUT = 64
+#: Children or leaves of a node: at most, and (beside the only ones of a level) at least.
+MOST, LEAST = 128, 32
 CACHE = 200_000
+#: Bytes of text whose trees are in memory at once (or one longer text).
+SLICE = 1 << 20
 _held: dict[str, Counter] = {}
 
 
@@ -67,38 +77,142 @@ def counter(path: str) -> Counter:
     return _held[path]
 
 
+class Node:
+    """A block of leaves (lengths, counts), or a node over others (kids), with the sums of its subtree."""
+
+    __slots__ = ("chars", "counts", "kids", "lengths", "size", "tokens")
+
+    def __init__(self, kids=None, lengths=None, counts=None, sums=None):
+        self.kids, self.lengths, self.counts = kids, lengths, counts
+        if sums is not None:
+            self.size, self.chars, self.tokens = sums
+        elif kids is None:
+            self.size, self.chars, self.tokens = len(lengths), sum(lengths), sum(counts)
+        else:
+            self.size, self.chars, self.tokens = (sum(getattr(k, name) for k in kids) for name in ("size", "chars", "tokens"))
+
+    def width(self) -> int:
+        return len(self.lengths if self.kids is None else self.kids)
+
+
+def _cut(items: list) -> list[list]:
+    """items in even parts of at most MOST."""
+    parts = -(-len(items) // MOST)
+    return [items[len(items) * k // parts : len(items) * (k + 1) // parts] for k in range(parts)]
+
+
+def _blocks(lengths: list[int], counts: list[int]) -> list[Node]:
+    return [Node(lengths=a, counts=b) for a, b in zip(_cut(lengths), _cut(counts), strict=True)]
+
+
+def _over(kids: list[Node]) -> list[Node]:
+    return [Node(kids=part) for part in _cut(kids)]
+
+
+def _part(values, low: int = 0, high: int | None = None) -> list[int]:
+    """A part of a block's lengths or counts as a list; stored blocks hold arrays until they change."""
+    part = values[low:high]
+    return part if isinstance(part, list) else part.tolist()
+
+
+def _joined(a: Node, b: Node) -> list[Node]:
+    """Two neighbours of a level as one or two nodes."""
+    return _blocks(_part(a.lengths) + _part(b.lengths), _part(a.counts) + _part(b.counts)) if a.kids is None else _over(a.kids + b.kids)
+
+
+def _spliced(node: Node, low: int, high: int, lengths: list[int], counts: list[int]) -> list[Node]:
+    """The nodes in place of node once its leaves low to high (exclusive) have become the given ones."""
+    if node.kids is None:
+        return _blocks(_part(node.lengths, 0, low) + lengths + _part(node.lengths, high), _part(node.counts, 0, low) + counts + _part(node.counts, high))
+    kids, at, k = node.kids, 0, 0
+    while k < len(kids) - 1 and at + kids[k].size < low:
+        at += kids[k].size
+        k += 1
+    first, base = k, at
+    new, gone = [], kids[k].size
+    new += _spliced(kids[k], low - base, min(high - base, gone), lengths, counts)
+    at += gone
+    k += 1
+    while k < len(kids) and at + kids[k].size <= high:  # wholly replaced
+        at += kids[k].size
+        k += 1
+    if k < len(kids) and at < high:
+        new += _spliced(kids[k], 0, high - at, [], [])
+        k += 1
+    out = kids[:first] + new + kids[k:]
+    m = max(first - 1, 0)
+    while m < min(first + len(new) + 1, len(out)) and len(out) > 1:
+        if out[m].width() < LEAST:
+            left = max(m - 1, 0)
+            out[left : left + 2] = _joined(out[left], out[left + 1])
+            if out[left].width() >= LEAST:
+                m = left + 1
+        else:
+            m += 1
+    return _over(out)
+
+
 class TokenTree:
     """Token counts of one text under edits."""
 
-    def __init__(self, text: str, tokens: Counter):
-        self.text, self.tokens = text, tokens
-        pieces = tokens.pattern.findall(text)
-        self.ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))).tolist()
-        self.leaves = tokens.counts(pieces)
-        self.encoded = 0
-        self._sum_all()
+    def __init__(self, text: str, tokens: Counter, leaves: list[Node] | None = None):
+        self.text, self.tokens, self.encoded = text, tokens, 0
+        if leaves is None:
+            pieces = tokens.pattern.findall(text)
+            leaves = _blocks(list(map(len, pieces)), tokens.counts(pieces))
+        self._grow(leaves)
 
-    def _sum_all(self) -> None:
-        self.sums = [self.leaves]
-        while len(self.sums[-1]) > 1:
-            below = np.array(self.sums[-1])
-            self.sums.append(np.add.reduceat(below, np.arange(0, len(below), FANOUT)).tolist())
+    def _grow(self, nodes: list[Node]) -> None:
+        while len(nodes) > 1:
+            nodes = _over(nodes)
+        self.root = nodes[0] if nodes else Node(lengths=[], counts=[])
+        while self.root.kids is not None and len(self.root.kids) == 1:
+            self.root = self.root.kids[0]
 
     @property
     def total(self) -> int:
-        return self.sums[-1][0] if self.leaves else 0
+        return self.root.tokens
 
-    def count(self, first: int, last: int) -> int:
+    def leaves(self, node: Node | None = None) -> list[Node]:
+        """The blocks of leaves in order."""
+        node = node or self.root
+        if node.kids is None:
+            return [node] if node.size else []
+        return [x for k in node.kids for x in self.leaves(k)]
+
+    def count(self, first: int, last: int, node: Node | None = None) -> int:
         """Tokens of the pre-tokens first to last (exclusive), from subtree sums."""
-        out, a, b = 0, first, last
-        for level in self.sums:
-            if a // FANOUT == (b - 1) // FANOUT or b - a <= FANOUT:
-                return out + sum(level[a:b])
-            up, down = -(-a // FANOUT) * FANOUT, b // FANOUT * FANOUT
-            out += sum(level[a:up]) + sum(level[down:b])
-            a, b = up // FANOUT, down // FANOUT
+        node = node or self.root
+        if first <= 0 and last >= node.size:
+            return node.tokens
+        if first >= last or last <= 0 or first >= node.size:
+            return 0
+        if node.kids is None:
+            return sum(_part(node.counts, max(first, 0), last))
+        out, at = 0, 0
+        for k in node.kids:
+            if first < at + k.size and last > at:
+                out += self.count(first - at, last - at, k)
+            at += k.size
         return out
 
+    def upto(self, place: int) -> tuple[int, int]:
+        """How many pre-tokens end at or before place, and where the last of them ends."""
+        node, n, at = self.root, 0, 0
+        while node.kids is not None:
+            for k in node.kids:  # noqa: B007
+                if at + k.chars > place:
+                    break
+                n, at = n + k.size, at + k.chars
+            else:
+                return n, at
+            node = k
+        for x in _part(node.lengths):
+            if at + x > place:
+                break
+            n, at = n + 1, at + x
+        return n, at
+
     def edit(self, start: int, length: int, new: str) -> int:
         """Replace length characters from start by new; gives the number of pre-tokens encoded again.
 
@@ -108,82 +222,115 @@ class TokenTree:
         stop = min(start + max(length, 0), len(self.text))
         shift = len(new) - (stop - start)
         self.text = self.text[:start] + new + self.text[stop:]
-        low = bisect_right(self.ends, start - CONTEXT - 1)  # the first pre-token that reads past start
-        at, fresh, high = (self.ends[low - 1] if low else 0), [], None
-        edited = start + len(new)
+        low, at = self.upto(start - CONTEXT - 1)  # the first pre-token that reads past start
+        fresh, high, edited = [], self.root.size, start + len(new)
         for m in self.tokens.pattern.finditer(self.text, at):
             fresh.append(m.group())
-            at = m.end()
-            if at >= edited:
-                k = bisect_left(self.ends, at - shift)
-                if k < len(self.ends) and self.ends[k] == at - shift and at - shift >= stop:
-                    high = k + 1
+            if m.end() >= edited and m.end() - shift >= stop:
+                n, border = self.upto(m.end() - shift)
+                if border == m.end() - shift and n:
+                    high = n
                     break
-        if high is None:
-            high = len(self.ends)
-        counts = self.tokens.counts(fresh)
-        first_end = self.ends[low - 1] if low else 0
-        ends = (first_end + np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))).tolist()
-        tail = self.ends[high:]
-        self.ends[low:] = ends + ([e + shift for e in tail] if shift else tail)
-        grown = len(fresh) - (high - low)
-        self.leaves[low:high] = counts
+        self._grow(_spliced(self.root, low, max(high, low), list(map(len, fresh)), self.tokens.counts(fresh)))
         self.encoded += len(fresh)
-        if grown:  # leaves after the edit move, so blocks from there on change
-            self._renew(low, len(self.leaves))
-        else:
-            self._renew(low, low + len(fresh))
         return len(fresh)
 
-    def _renew(self, first: int, last: int) -> None:
-        level = 0
-        while len(self.sums[level]) > 1:
-            below = self.sums[level]
-            if level + 1 == len(self.sums):
-                self.sums.append([])
-            above = self.sums[level + 1]
-            n = -(-len(below) // FANOUT)
-            a, b = first // FANOUT, min(n, -(-last // FANOUT))
-            del above[n:]
-            above.extend([0] * (n - len(above)))
-            for k in range(a, max(b, a)):
-                above[k] = sum(below[k * FANOUT : (k + 1) * FANOUT])
-            first, last, level = a, b, level + 1
-        del self.sums[level + 1 :]
 
+_TREE = "lengths array<int>, counts array<int>, blocks array<struct<size:int,chars:int,tokens:int>>, n_tokens long, n_pretokens long"
+_BLOCK = pa.struct([("size", pa.int32()), ("chars", pa.int32()), ("tokens", pa.int32())])
+EDITS = "array<struct<start:int,length:int,text:string>>"
 
-def count_with_edits(docs: DataFrame, edits: Column | None = None, path: str | None = None, text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_pretokens_after, n_reencoded[, text_after]) for every row of docs.
 
-    edits: a column of array<struct<start:int, length:int, text:string>>,
-    applied in order, places in code points of the text as it then is; a null
-    array, a null edit and null fields (0, 0, '') change nothing. A null text
-    counts as empty. Other columns are ignored.
+def _stored(trees: list[TokenTree]) -> list[pa.Array]:
+    """The columns of _TREE."""
+    leaves = [t.leaves() for t in trees]
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    flat = lambda name: pa.array(np.concatenate([np.zeros(0, np.int32), *(np.asarray(getattr(b, name), np.int32) for blocks in leaves for b in blocks)]))
+    of = ends(t.root.size for t in trees)
+    sums = [pa.array([getattr(b, name) for blocks in leaves for b in blocks], pa.int32()) for name in ("size", "chars", "tokens")]
+    blocks = pa.ListArray.from_arrays(ends(map(len, leaves)), pa.StructArray.from_arrays(sums, fields=list(_BLOCK)))
+    return [pa.ListArray.from_arrays(of, flat("lengths")), pa.ListArray.from_arrays(of, flat("counts")), blocks, pa.array([t.total for t in trees], pa.int64()), pa.array([t.root.size for t in trees], pa.int64())]
+
+
+def _loaded(text: str, lengths: np.ndarray, counts: np.ndarray, blocks: list[dict], tokens: Counter) -> TokenTree:
+    """A tree from its stored blocks and their sums; nothing is split or encoded."""
+    at, leaves = 0, []
+    for b in blocks:
+        end = at + b["size"]
+        leaves.append(Node(lengths=lengths[at:end], counts=counts[at:end], sums=(b["size"], b["chars"], b["tokens"])))
+        at = end
+    return TokenTree(text, tokens, leaves)
+
+
+def build_trees(docs: DataFrame, path: str | None = None, text_col: str = "text", edits: Column | None = None) -> DataFrame:
+    """(doc_id, text, edits, lengths, counts, blocks, n_tokens, n_pretokens) for every row of docs.
+
+    lengths and counts are those of the leaves in order, blocks the sums of the
+    lowest nodes. edits (a column of docs, none by default) is only carried
+    along. A null text counts as empty and has no leaves. Other columns are
+    ignored.
+    """
+    path, kind = path or default_ranks(), dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        tokens = counter(path)
+        for batch in batches:
+            for i, j in slices(text_buffer(batch.column(1))[1], SLICE):
+                part = batch.slice(i, j - i)
+                trees = [TokenTree(t, tokens) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *_stored(trees)], ["doc_id", "text", "edits", "lengths", "counts", "blocks", "n_tokens", "n_pretokens"])
+
+    rows = docs.select("doc_id", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.lit(None) if edits is None else edits).cast(EDITS).alias("edits"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text string, edits {EDITS}, {_TREE}")
+
+
+def apply_edits(trees: DataFrame, edits: Column | None = None, path: str | None = None, keep_trees: bool = True) -> DataFrame:
+    """The trees after the edits, with n_edits, n_reencoded, n_tokens_before and n_pretokens_before, for every row of trees.
+
+    edits: a column of EDITS over trees (the carried ones by default), applied in order, places in code
+    points of the text as it then is; a null array, a null edit and null fields
+    (0, 0, '') change nothing. Only pre-tokens that an edit touches are split
+    and encoded; all others are read from the table. Without keep_trees the
+    result has no text, lengths, counts and blocks.
     """
-    path = path or default_ranks()
-    kind = dict(docs.dtypes)["doc_id"]
-    shape = "array<struct<start:int,length:int,text:string>>"
-    edits = F.lit(None).cast(shape) if edits is None else edits.cast(shape)
+    path, kind = path or default_ranks(), dict(trees.dtypes)["doc_id"]
+    numbers = ["n_edits", "n_reencoded", "n_tokens_before", "n_pretokens_before"]
 
     def run(batches):
         tokens = counter(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part, out, texts = batch.slice(k, 256), [], []
-                for text, todo in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    tree = TokenTree(text or "", tokens)
-                    before = (tree.total, len(tree.leaves))
-                    for e in todo or []:
+            for i, j in slices(text_buffer(batch.column(1))[1], SLICE):
+                part = batch.slice(i, j - i)
+                ids, texts, lengths, counts, blocks, n_tokens, n_pretokens, todo = part.columns
+                held = []
+                for k, (text, sums, changes) in enumerate(zip(texts.to_pylist(), blocks.to_pylist(), todo.to_pylist(), strict=True)):
+                    tree = _loaded(text, lengths[k].values.to_numpy(), counts[k].values.to_numpy(), sums, tokens)
+                    for e in changes or []:
                         if e is not None:
                             tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
-                    out.append((*before, len(todo or []), tree.total, len(tree.leaves), tree.encoded))
-                    texts.append(tree.text)
-                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols, *([pa.array(texts)] if with_text else [])], names)
-
-    names = ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_pretokens_after", "n_reencoded", *(["text_after"] if with_text else [])]
-    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:7]) + (", text_after string" if with_text else "")
-    return docs.select("doc_id", F.col(text_col).cast("string").alias("text"), edits.alias("edits")).mapInArrow(run, schema)
+                    held.append(tree)
+                stored = _stored(held) if keep_trees else [pa.array([t.total for t in held], pa.int64()), pa.array([t.root.size for t in held], pa.int64())]
+                more = [pa.array([len(x or []) for x in todo.to_pylist()], pa.int64()), pa.array([t.encoded for t in held], pa.int64()), n_tokens, n_pretokens]
+                yield pa.RecordBatch.from_arrays([ids, *([pa.array([t.text for t in held], pa.string())] if keep_trees else []), *stored, *more], names)
+
+    edits = F.col("edits") if edits is None else edits
+    schema = f"doc_id {kind}, " + (f"text string, {_TREE}, " if keep_trees else "n_tokens long, n_pretokens long, ") + ", ".join(f"{n} long" for n in numbers)
+    names = ["doc_id", *(["text", "lengths", "counts", "blocks"] if keep_trees else []), "n_tokens", "n_pretokens", *numbers]
+    return trees.select("doc_id", "text", "lengths", "counts", "blocks", "n_tokens", "n_pretokens", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
+
+
+def count_with_edits(docs: DataFrame, edits: Column | None = None, path: str | None = None, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_pretokens_after, n_reencoded[, text_after]) for every row of docs.
+
+    Builds the trees, keeps them as a table, and applies edits (a column of
+    docs, see apply_edits) to that table. A null text counts as empty. Other
+    columns are ignored.
+    """
+    trees = Stage(docs.sparkSession, "tokens").put(build_trees(docs, path, text_col, edits), "trees")
+    out = apply_edits(trees, path=path, keep_trees=with_text)
+    before = [F.col("n_tokens_before").alias("n_tokens"), F.col("n_pretokens_before").alias("n_pretokens")]
+    after = [F.col("n_tokens").alias("n_tokens_after"), F.col("n_pretokens").alias("n_pretokens_after")]
+    return out.select("doc_id", *before, "n_edits", *after, "n_reencoded", *([F.col("text").alias("text_after")] if with_text else []))
 
 
 def revision(text: Column) -> Column:
