@@ -208,3 +208,45 @@ def test_sources(spark, tmp_path):
     assert T.recast(df, {"id": "bigint"}) is df and dict(T.recast(df, {"id": "int"}).dtypes)["id"] == "int"
     T.write_partitioned(df.withColumn("p", F.col("id") % 2), str(tmp_path / "out"), ["p"])
     assert spark.read.parquet(str(tmp_path / "out")).where("p = 0").count() == 2
+
+
+def test_ranks_by_draw_are_exact(spark):
+    """Ranks over buckets equal a plain sort, also within null and lopsided groups."""
+    from voxelframe.operators import sampling as P
+
+    rows = [(k, None if k % 7 == 0 else "big" if k % 7 < 6 else "small") for k in range(4000)]
+    df = spark.createDataFrame(rows, "k long, g string").repartition(5)
+    got = {r.k: (r.rank, r.n) for r in P.ranked_by_draw(df, ["g"], P.draw(F.col("k"), 3), "k", "rank", "n").collect()}
+    drawn = {r.k: r.d for r in df.select("k", P.draw(F.col("k"), 3).alias("d")).collect()}
+    for g in ("big", "small", None):
+        mine = sorted((k for k, x in rows if x == g), key=lambda k: (drawn[k], k))
+        assert [got[k] for k in mine] == [(i + 1, len(mine)) for i in range(len(mine))]
+    few = P.first_by_draw(df.withColumn("n", F.lit(25)), ["g"], P.draw(F.col("k"), 3), "k", "n").collect()
+    assert len(few) == 75 and {r.k for r in few} == {k for k, (rank, _) in got.items() if rank <= 25}
+
+
+def test_quantiles_are_exact(spark):
+    from voxelframe.operators.aggregates import quantiles
+
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=9000), np.concatenate([np.zeros(6000), rng.normal(size=3000) * 1e-9, [1e12]]), np.array([2.5]), np.repeat([1.0, 2.0], 5000)):
+        shares = [0, 0.1, 1 / 3, 0.5, 0.9, 0.999, 1]
+        got = quantiles(spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3), shares, buckets=16, few=40)
+        np.testing.assert_allclose(got, np.quantile(values, shares), rtol=1e-12, atol=1e-18)
+    assert quantiles(spark.createDataFrame([], "x double"), [0.5]) == [0.0]
+
+
+def test_adjusted_p_is_exact(spark):
+    from voxelframe.functions import stats as S
+
+    rng = np.random.default_rng(6)
+    p = [float(x) for x in np.concatenate([rng.random(300), rng.random(100) ** 8, [0.0, 1.0, 0.5, 0.5]])] + [None]
+    df = spark.createDataFrame(list(enumerate(p)), "i long, p double").withColumn("g", F.lit(None).cast("string")).repartition(3)
+    got = {r.i: r.p_adj for r in S.adjusted(df, "p", ["g"]).collect()}
+    order = sorted((i for i in got if p[i] is not None), key=lambda i: p[i])
+    n, least = len(order), 1.0
+    for k in range(n, 0, -1):
+        least = min(least, p[order[k - 1]] * n / k)
+        assert abs(got[order[k - 1]] - least) < 1e-12
+    assert got[len(p) - 1] is None and len(got) == len(p)
+    assert abs(spark.range(1).select(S._harmonic(F.lit(5000))).first()[0] - sum(1 / k for k in range(1, 5001))) < 1e-12

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.joins import same_keys
+
 
 def r6(c: Column) -> Column:
     """Rounded to 6 places, without a negative zero."""
@@ -146,20 +148,48 @@ def dprime(df: DataFrame, by: list[str], actual: str, predicted: str) -> DataFra
     return both.groupBy(*by).agg(F.max("n").alias("n"), F.when(~bad, F.avg(z)).alias("dprime"))
 
 
-def adjusted(df: DataFrame, p: str, by: list[str], method: str = "bh") -> DataFrame:
-    """Benjamini-Hochberg (bh) or -Yekutieli (by) adjusted p for each row, within the keys by, as p_adj.
+#: Ranges of p-values that ranks are counted in, finer near 0.
+P_BUCKETS = 1024
+
 
-    Ranks come from a window within the keys; ties share the largest rank's value.
+def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
+    """df without null p, with bucket __b, rank __r and size __n within the keys by.
+
+    Ranks are counted within buckets of p, and buckets by their counts, so that
+    no task sorts a whole family.
     """
+    rows = df.where(F.col(p).isNotNull()).withColumn("__b", F.least(F.floor(F.pow(F.col(p), F.lit(0.25)) * P_BUCKETS), F.lit(P_BUCKETS - 1)).cast("int"))
     family = Window.partitionBy(*by)
-    n = F.count(p).over(family)
-    rank = F.row_number().over(family.orderBy(F.col(p).asc_nulls_last()))
-    ranked = df.withColumn("__n", n).withColumn("__r", rank)
-    factor = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("__n"), F.lit(1)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k.cast("double"))
-    raw = F.col(p) * F.col("__n") * factor / F.col("__r")
-    back = family.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranked.withColumn("p_adj", F.when(F.col(p).isNotNull(), F.least(F.min(raw).over(back), F.lit(1.0))))
-    return out.drop("__n", "__r")
+    counts = rows.groupBy(*by, "__b").agg(F.count("*").alias("__k"))
+    counts = counts.select(*by, "__b", (F.sum("__k").over(family.orderBy("__b")) - F.col("__k")).alias("__before"), F.sum("__k").over(family).alias("__n"))
+    ranked = rows.withColumn("__w", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(p)))
+    ranked = same_keys(ranked, counts, [*by, "__b"])
+    return ranked.withColumn("__r", F.col("__before") + F.col("__w")).drop("__before", "__w")
+
+
+def _harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n; from 1000 on by its asymptotic series, which is exact to double precision there."""
+    n = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000.0)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k.cast("double"))
+    return F.when(n < 1000, small).otherwise(F.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n))
+
+
+def adjusted(df: DataFrame, p: str, by: list[str], method: str = "bh") -> DataFrame:
+    """Benjamini-Hochberg (bh) or -Yekutieli (by) adjusted p for each row, within the keys by, as p_adj; null for a null p.
+
+    Ties share the largest rank's value. The least value over all later ranks
+    is that of the row's own bucket of p and of the later buckets.
+    """
+    ranked = _ranked(df, p, by)
+    factor = F.lit(1.0) if method == "bh" else _harmonic(F.col("__n"))
+    ranked = ranked.withColumn("__raw", F.col(p) * F.col("__n") * factor / F.col("__r"))
+    least = ranked.groupBy(*by, "__b").agg(F.min("__raw").alias("__least"))
+    later = Window.partitionBy(*by).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(*by, "__b", F.min("__least").over(later).alias("__later"))
+    own = Window.partitionBy(*by, "__b").orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = same_keys(ranked.withColumn("__own", F.min("__raw").over(own)), least, [*by, "__b"])
+    out = out.select(*df.columns, F.least("__own", "__later", F.lit(1.0)).alias("p_adj"))
+    return out.union(df.where(F.col(p).isNull()).select(*df.columns, F.lit(None).cast("double").alias("p_adj")))
 
 
 def step_up_threshold(df: DataFrame, p: str, by: list[str], q: float, method: str = "bh") -> DataFrame:
@@ -168,18 +198,17 @@ def step_up_threshold(df: DataFrame, p: str, by: list[str], q: float, method: st
     method: bh, by (rank / n * q / c) or holm_step_up (q / (n - rank + 1), the
     last rank that passes) or holm (the first that fails ends it).
     """
-    family = Window.partitionBy(*by)
-    ranked = df.where(F.col(p).isNotNull()).withColumn("__n", F.count(p).over(family)).withColumn("__r", F.row_number().over(family.orderBy(p)))
+    ranked = _ranked(df, p, by)
     n, r = F.col("__n"), F.col("__r")
     if method in ("bh", "by"):
-        c = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k.cast("double"))
+        c = F.lit(1.0) if method == "bh" else _harmonic(n)
         passes = F.col(p) <= r / n * q / c
     else:
         passes = F.col(p) <= F.lit(q) / (n - r + 1)
         if method == "holm":
-            upto = family.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-            ranked = ranked.withColumn("__ok", F.min(passes.cast("int")).over(upto))
-            passes = F.col("__ok") == 1
+            first = ranked.groupBy(*by).agg(F.min(F.when(~passes, r)).alias("__first"))
+            ranked = same_keys(ranked, first, by)
+            passes = F.coalesce(r < F.col("__first"), F.lit(True))
     return ranked.groupBy(*by).agg(F.coalesce(F.max(F.when(passes, F.col(p))), F.lit(0.0)).alias("threshold"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import same_keys
+
 
 def repeat_average(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and number of repeats."""
@@ -14,17 +16,21 @@ def repeat_average(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def session_zscore(df: DataFrame, by: list[str], value: str, divide: float = 300.0, epsilon: float = 1e-6) -> DataFrame:
     """z of value / divide within by (population deviation plus epsilon); NULL becomes 0."""
-    w = Window.partitionBy(*by)
     v = F.col(value) / divide
-    return df.withColumn("z", F.coalesce((v - F.avg(v).over(w)) / (F.coalesce(F.stddev_pop(v).over(w), F.lit(0.0)) + epsilon), F.lit(0.0)))
+    z = (v - F.col("__mean")) / (F.coalesce("__sd", F.lit(0.0)) + epsilon)
+    return _with_moments(df, by, v).withColumn("z", F.coalesce(z, F.lit(0.0))).drop("__mean", "__sd")
+
+
+def _with_moments(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """df with the mean and population deviation of value within by; sums are partial before any shuffle, and rows stay where they are if the groups are few."""
+    return same_keys(df, df.groupBy(*by).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd")), by)
 
 
 def zscore(df: DataFrame, by: list[str], value: str, train: Column | None = None, epsilon: float = 0.0) -> DataFrame:
     """z of value by the statistics of the train rows of by (all rows without train); NULL where they do not vary."""
-    w = Window.partitionBy(*by)
     v = F.col(value)
-    seen = v if train is None else F.when(train, v)
-    return df.withColumn("z", F.try_divide(v - F.avg(seen).over(w), F.nullif(F.stddev_pop(seen).over(w) + epsilon, F.lit(0.0))))
+    out = _with_moments(df, by, v if train is None else F.when(train, v))
+    return out.withColumn("z", F.try_divide(v - F.col("__mean"), F.nullif(F.col("__sd") + epsilon, F.lit(0.0)))).drop("__mean", "__sd")
 
 
 def binned(df: DataFrame, x: str, y: str, bins: int, kind: str = "linear") -> DataFrame:
@@ -47,8 +53,7 @@ def binned(df: DataFrame, x: str, y: str, bins: int, kind: str = "linear") -> Da
         edges = [low + width * k for k in range(bins)] + [high + 0.0001]
         centres = [e + width / 2 for e in edges[:-1]]
     else:
-        found = rows.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0]
-        edges = [*(found or [0.0] * (bins + 1))]
+        edges = quantiles(rows.select(F.col(x).cast("double").alias("x")), [k / bins for k in range(bins + 1)])
         edges[-1] += 0.0001
         centres = [(a + b) / 2 for a, b in zip(edges, edges[1:], strict=False)]
     number = sum((F.when(F.col(x) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
@@ -56,6 +61,48 @@ def binned(df: DataFrame, x: str, y: str, bins: int, kind: str = "linear") -> Da
     return out.select("bin", F.get(F.array(*[F.lit(float(c)) for c in centres]), F.col("bin")).alias("centre"), "mean", "sd", "total", "n")
 
 
+def quantiles(values: DataFrame, shares: list[float], buckets: int = 1024, few: int = 4096) -> list[float]:
+    """Exact quantiles of the column x with linear interpolation; 0 for no values.
+
+    Each pass counts the values of the open intervals in even buckets and goes
+    on in those that hold a wanted rank, until one has few values or a single
+    one. A bounded number of counts reaches the driver.
+    """
+    low, high, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if not n:
+        return [0.0] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    found: dict[int, float] = {}
+    intervals = [(low, high, 0, n)]  # ends (both in), values before, values
+    wanted = sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))})
+    while intervals:
+        small = [i for i in intervals if i[0] == i[1] or i[3] <= few]
+        for a, b, before, count in small:
+            mine = [r for r in wanted if before <= r < before + count]
+            if a == b:
+                found |= dict.fromkeys(mine, a)
+                continue
+            listed = sorted(r.x for r in values.where(F.col("x").between(a, b)).collect())
+            found |= {r: listed[r - before] for r in mine}
+        intervals = [i for i in intervals if i not in small]
+        if not intervals:
+            break
+        number, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (a, b, *_) in enumerate(intervals):
+            inside = F.col("x").between(a, b)
+            number = F.when(inside, k).otherwise(number)
+            bucket = F.when(inside, F.least(F.floor((F.col("x") - a) / (b - a) * buckets), F.lit(buckets - 1)).cast("int")).otherwise(bucket)
+        counts = values.select("x", number.alias("k"), bucket.alias("b")).where("k is not null").groupBy("k", "b").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect()
+        nexts = []
+        for k, (_, _, before, _) in enumerate(intervals):
+            for r in sorted((r for r in counts if r.k == k), key=lambda r: r.b):
+                if any(before <= w < before + r.n for w in wanted):
+                    nexts.append((r.low, r.high, before, r.n))
+                before += r.n
+        intervals = nexts
+    return [found[int(p)] + (found[min(int(p) + 1, n - 1)] - found[int(p)]) * (p - int(p)) for p in places]
+
+
 def two_level_mean(df: DataFrame, within: list[str], across: list[str], value: str) -> DataFrame:
     """Mean of the within-groups' means for each of across, and its standard error (population deviation)."""
     first = df.groupBy(*across, *within).agg(F.avg(value).alias("m"))

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def same_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with right's other columns where all keys are equal, or both null; an equi-join."""
+    there = right.select(*(F.col(c).alias(f"__on_{c}") for c in on), *(c for c in right.columns if c not in on))
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+    return left.join(there, condition).drop(*(f"__on_{c}" for c in on))
+
+
 def unused_sample(candidates: DataFrame, used: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n candidates that are not used, drawn by a hash of the key; a top-k, so no full sort."""
     free = candidates.join(used.select(key).distinct(), key, "left_anti")

@@ -46,12 +46,11 @@ def curvature_features(t):
 
 
 @query("""
-WITH p AS (SELECT s_suppkey AS image_ix, r, c, ((s_suppkey * 31 + r * r * 7 + c * 13 + r * c) % 256)::DOUBLE v FROM supplier, range(32) a(r), range(32) b(c) WHERE s_suppkey < 40),
+WITH p AS (SELECT s_suppkey AS image_ix, r, c, ((s_suppkey * 31 + r * r * 7 + c * 13 + r * c) % 256)::DOUBLE v FROM supplier, range(32) a(r), range(32) b(c)),
 k AS (SELECT image_ix, i, j, avg(v) m FROM p, range(5) x(i), range(5) y(j) WHERE r >= i * 32 // 5 AND r < (i + 1) * 32 // 5 AND c >= j * 32 // 5 AND c < (j + 1) * 32 // 5 GROUP BY ALL)
 SELECT image_ix, i AS block_row, j AS block_col, round(m, 4) + 0 AS mean FROM k
 """)
 def block_means(t):
-    """Suppliers under 40 only, as in the SQL."""
-    f = K.per_image(_images(t).where("image_ix < 40"), lambda x: K.block_means(x, 5))
+    f = K.per_image(_images(t), lambda x: K.block_means(x, 5))
     out = f.select("image_ix", F.posexplode("f").alias("k", "m"))
     return out.select("image_ix", F.floor(F.col("k") / 5).alias("block_row"), (F.col("k") % 5).cast("long").alias("block_col"), (F.round("m", 4) + F.lit(0.0)).alias("mean"))

@@ -149,18 +149,19 @@ def scatter_volume(t):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey % 500 id, (l_partkey % 190)::INTEGER x0, (l_suppkey % 170)::INTEGER y0, (l_linenumber * 7)::INTEGER w FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey < 2000),
-l AS (SELECT row_number() OVER (ORDER BY id, x0, y0, w) id, x0, x0 + w x1, y0, y0 + 9 y1 FROM (SELECT DISTINCT * FROM a)),
-r AS (SELECT s_suppkey id, (s_suppkey % 13 * 15)::INTEGER x0, (s_suppkey % 13 * 15 + 25)::INTEGER x1, (s_suppkey % 7 * 25)::INTEGER y0, (s_suppkey % 7 * 25 + 20)::INTEGER y1 FROM supplier WHERE s_suppkey < 60)
+WITH a AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT id, (l_partkey % 190)::INTEGER x0, (l_suppkey % 170)::INTEGER y0, (l_linenumber * 7)::INTEGER w FROM lineitem),
+l AS (SELECT id, x0, x0 + w x1, y0, y0 + 9 y1 FROM a),
+r AS (SELECT n_nationkey::BIGINT id, (n_nationkey % 13 * 15)::INTEGER x0, (n_nationkey % 13 * 15 + 25)::INTEGER x1, (n_nationkey % 7 * 25)::INTEGER y0, (n_nationkey % 7 * 25 + 20)::INTEGER y1 FROM nation)
 SELECT l.id AS left_id, r.id AS right_id, ((least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)))::BIGINT AS pixels
 FROM l, r WHERE least(l.x1, r.x1) > greatest(l.x0, r.x0) AND least(l.y1, r.y1) > greatest(l.y0, r.y0)
   AND (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) > 10
 """)
 def box_overlap(t):
-    li = t.lineitem.where("l_linenumber <= 2 and l_orderkey < 2000").select((F.col("l_orderkey") % 500).alias("id"), (F.col("l_partkey") % 190).cast("int").alias("x0"), (F.col("l_suppkey") % 170).cast("int").alias("y0"), (F.col("l_linenumber") * 7).alias("w")).distinct()
-    left = li.select(F.row_number().over(Window.orderBy("id", "x0", "y0", "w")).cast("long").alias("id"), "x0", (F.col("x0") + F.col("w")).alias("x1"), "y0", (F.col("y0") + 9).alias("y1"))
-    k = F.col("s_suppkey")
-    right = t.supplier.where("s_suppkey < 60").select(k.alias("id"), (k % 13 * 15).cast("int").alias("x0"), (k % 13 * 15 + 25).cast("int").alias("x1"), (k % 7 * 25).cast("int").alias("y0"), (k % 7 * 25 + 20).cast("int").alias("y1"))
+    """Boxes of all line items against a fixed set of fields."""
+    li = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"), (F.col("l_partkey") % 190).cast("int").alias("x0"), (F.col("l_suppkey") % 170).cast("int").alias("y0"), (F.col("l_linenumber") * 7).cast("int").alias("w"))
+    left = li.select("id", "x0", (F.col("x0") + F.col("w")).alias("x1"), "y0", (F.col("y0") + 9).alias("y1"))
+    k = F.col("n_nationkey")
+    right = t.nation.select(k.cast("long").alias("id"), (k % 13 * 15).cast("int").alias("x0"), (k % 13 * 15 + 25).cast("int").alias("x1"), (k % 7 * 25).cast("int").alias("y0"), (k % 7 * 25 + 20).cast("int").alias("y1"))
     return J.box_overlap(left, right, 16).withColumn("pixels", F.col("pixels").cast("long"))
 
 
@@ -244,7 +245,7 @@ def orientation_peaks(t):
 
 def _frequent(size):
     return f"""
-    WITH s AS (SELECT o_custkey, list_sort(list(m)) items FROM (SELECT DISTINCT o_custkey, month(o_orderdate)::INTEGER m FROM orders WHERE o_orderkey % 6 = 0) GROUP BY o_custkey HAVING count(*) = {size}),
+    WITH s AS (SELECT o_custkey, list_sort(list(m)) items FROM (SELECT DISTINCT o_custkey, month(o_orderdate)::INTEGER m FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_custkey HAVING count(*) = {size}),
     b AS (SELECT items, row_number() OVER (ORDER BY count(*) DESC, items) - 1 g FROM s GROUP BY items QUALIFY g < 4)
     SELECT o_custkey, array_to_string(s.items, '/') AS peaks, coalesce(b.g, 4)::BIGINT AS "group" FROM s LEFT JOIN b ON s.items = b.items"""
 
@@ -252,7 +253,7 @@ def _frequent(size):
 for _size, _name in ((2, "bimodal_groups"), (3, "trimodal_groups")):
 
     def _groups(t, size=_size):
-        peaks = t.orders.where("o_orderkey % 6 = 0").select("o_custkey", F.month("o_orderdate").alias("m")).distinct()
+        peaks = t.orders.where("o_orderpriority = '1-URGENT'").select("o_custkey", F.month("o_orderdate").alias("m")).distinct()
         return R.frequent_sets(peaks, "o_custkey", "m", size, 4).select("o_custkey", F.array_join("items", "/").alias("peaks"), F.col("group").cast("long").alias("group"))
 
     _groups.__name__ = _name
@@ -327,17 +328,17 @@ def cross_validation_folds(t):
 
 
 @query(f"""
-WITH d AS (SELECT o_custkey, o_orderkey, o_totalprice - 150000 AS d FROM orders WHERE o_custkey % 30 = 0), r AS (SELECT o_custkey, avg(d) m FROM d GROUP BY ALL),
+WITH d AS (SELECT o_custkey, o_orderkey, o_totalprice - 150000 AS d FROM orders), r AS (SELECT o_custkey, avg(d) m FROM d GROUP BY ALL),
 s AS (SELECT o_custkey, i, avg(d * CASE WHEN {_draw('o_orderkey', 'i')} % 2 = 0 THEN 1 ELSE -1 END) s FROM d, range(50) g(i) GROUP BY ALL)
 SELECT o_custkey, round(any_value(m), 4) + 0 AS mean_diff, round(least(2 * least(avg(CASE WHEN m >= s THEN 1.0 ELSE 0 END), avg(CASE WHEN m <= s THEN 1.0 ELSE 0 END)), 1), 6) + 0.0::DOUBLE AS p FROM s JOIN r USING (o_custkey) GROUP BY o_custkey HAVING count(*) > 0
 """)
 def sign_flip_test(t):
-    d = t.orders.where("o_custkey % 30 = 0").withColumn("base", F.lit(150000.0))
+    d = t.orders.withColumn("base", F.lit(150000.0))
     return P.sign_flip_p(d, ["o_custkey"], "o_orderkey", "o_totalprice", "base", 50).select("o_custkey", (F.round("mean_diff", 4) + F.lit(0.0)).alias("mean_diff"), r6(F.col("p")).alias("p"))
 
 
 @query(f"""
-WITH k AS (SELECT label, vec_id, i AS iter, row_number() OVER (PARTITION BY label, i ORDER BY vec_id) p, row_number() OVER (PARTITION BY label, i ORDER BY {_draw('vec_id', 'i')}, vec_id) m FROM embeddings, range(3) g(i))
+WITH k AS (SELECT label, vec_id, i AS iter, row_number() OVER (PARTITION BY label, i ORDER BY {_draw('vec_id', P.PLACES)}, vec_id) p, row_number() OVER (PARTITION BY label, i ORDER BY {_draw('vec_id', 'i')}, vec_id) m FROM embeddings, range(3) g(i))
 SELECT a.label, a.iter::INTEGER AS iter, a.vec_id, b.vec_id AS source FROM k a JOIN k b ON a.label = b.label AND a.iter = b.iter AND a.p = b.m
 """)
 def permutation_plan(t):
@@ -345,7 +346,7 @@ def permutation_plan(t):
 
 
 @query(f"""
-WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 p, count(*) OVER (PARTITION BY label) n FROM embeddings),
+WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_draw('vec_id', P.PLACES)}, vec_id) - 1 p, count(*) OVER (PARTITION BY label) n FROM embeddings),
 s AS (SELECT n.*, i AS iter, ({_draw('p * 31 + 7', 'i')}) % n AS s FROM n, range(3) g(i))
 SELECT s.label, s.iter::INTEGER AS iter, s.vec_id, b.vec_id AS source FROM s JOIN n b ON b.label = s.label AND b.p = s.s
 """)

@@ -123,11 +123,12 @@ def field_masks(t):
     return GR.field_masks(_small(t), 20)
 
 
-_IMG = "(SELECT l_orderkey AS image_ix, r.r AS row, c.c AS col, ((l_orderkey * 31 + r.r * r.r * 7 + c.c * 13 + r.r * c.c) % 256)::DOUBLE AS v, ((l_orderkey * 17 + r.r * 5 + c.c * c.c * 3) % 256)::DOUBLE AS u FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 40) o, range(20) r(r), range(20) c(c))"
+_IMG = "(SELECT s_suppkey AS image_ix, r.r AS row, c.c AS col, ((s_suppkey * 31 + r.r * r.r * 7 + c.c * 13 + r.r * c.c) % 256)::DOUBLE AS v, ((s_suppkey * 17 + r.r * 5 + c.c * c.c * 3) % 256)::DOUBLE AS u FROM supplier o, range(20) r(r), range(20) c(c))"
 
 
 def _images(t):
-    o = t.lineitem.where("l_orderkey < 40").select(F.col("l_orderkey").alias("image_ix")).distinct()
+    """Deterministic images, one for each supplier."""
+    o = t.supplier.select(F.col("s_suppkey").alias("image_ix"))
     px = o.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(19))))
     i, r, c = F.col("image_ix"), F.col("row"), F.col("col")
     return px.select(i, r, c, ((i * 31 + r * r * 7 + c * 13 + r * c) % 256).cast("double").alias("v"), ((i * 17 + r * 5 + c * c * 3) % 256).cast("double").alias("u"))
@@ -177,7 +178,7 @@ def field_coverage(t):
 
 @query(f"""
 WITH a AS (SELECT prf_ix, row, col FROM (SELECT *, g / max(g) OVER (PARTITION BY prf_ix) h FROM {_PIXELS}) WHERE h > 0.14),
-b AS (SELECT s_suppkey AS id, r.r AS row, c.c AS col FROM supplier, range(20) r(r), range(20) c(c) WHERE s_suppkey < 50 AND r.r BETWEEN s_suppkey % 13 AND s_suppkey % 13 + 4 AND c.c BETWEEN s_suppkey % 11 AND s_suppkey % 11 + 5)
+b AS (SELECT s_suppkey AS id, r.r AS row, c.c AS col FROM supplier, range(20) r(r), range(20) c(c) WHERE r.r BETWEEN s_suppkey % 13 AND s_suppkey % 13 + 4 AND c.c BETWEEN s_suppkey % 11 AND s_suppkey % 11 + 5)
 SELECT id AS left_id, prf_ix AS right_id, count(*) AS pixels FROM b JOIN a USING (row, col) GROUP BY ALL HAVING count(*) > 10
 """)
 def mask_overlap(t):
@@ -185,7 +186,7 @@ def mask_overlap(t):
     from ..operators.joins import pixel_overlap
 
     k = F.col("s_suppkey")
-    b = t.supplier.where("s_suppkey < 50").select(k.alias("id"), F.explode(F.sequence(k % 13, k % 13 + 4)).alias("row"), (k % 11).alias("c")).select("id", F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.col("c").cast("int"), F.col("c").cast("int") + 5)).alias("col"))
+    b = t.supplier.select(k.alias("id"), F.explode(F.sequence(k % 13, k % 13 + 4)).alias("row"), (k % 11).alias("c")).select("id", F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.col("c").cast("int"), F.col("c").cast("int") + 5)).alias("col"))
     return pixel_overlap(b, GR.field_masks(_small(t), 20).withColumnRenamed("prf_ix", "id"), [])
 
 

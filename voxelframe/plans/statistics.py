@@ -154,22 +154,16 @@ def significance_thresholds(t):
 
 
 @query(f"""
-WITH s AS (SELECT * FROM {_PVALUES} WHERE family = 3), r AS (SELECT *, count(*) OVER () n, row_number() OVER (ORDER BY p) k FROM s),
+WITH r AS (SELECT *, count(*) OVER (PARTITION BY family) n, row_number() OVER (PARTITION BY family ORDER BY p) k FROM {_PVALUES}),
 l AS (SELECT i, exp(ln(0.1) + (ln(0.000001) - ln(0.1)) * i / 99) q FROM range(100) g(i)),
-t AS (SELECT i, q, coalesce(max(CASE WHEN p <= k / (n * 1.0) * q THEN p END), 0) c FROM l, r GROUP BY ALL)
-SELECT id, round(coalesce(min(CASE WHEN p <= c THEN q END), 1), 9) AS level FROM s, t GROUP BY id
+t AS (SELECT family, i, q, coalesce(max(CASE WHEN p <= k / (n * 1.0) * q THEN p END), 0) c FROM l, r GROUP BY ALL)
+SELECT family, id, round(coalesce(min(CASE WHEN p <= c THEN q END), 1), 9) AS level FROM r JOIN t USING (family) GROUP BY ALL
 """)
 def threshold_scan(t):
-    """The smallest of 100 levels at which each value passes; one small family."""
-    p = _pvalues(t).where("family = 3")
+    """The smallest of 100 levels at which each value passes: the first that is not under its adjusted p."""
     levels = F.array(*[F.lit(q) for q in S.scan_thresholds()])
-    rows = p.withColumn("q", F.explode(levels)).withColumn("k", F.explode(F.array(F.lit(1))))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("family", "q")
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("p")))
-    rows = rows.withColumn("c", F.max(F.when(F.col("p") <= F.col("k") / F.col("n") * F.col("q"), F.col("p"))).over(w))
-    return rows.groupBy("id").agg(F.round(F.coalesce(F.min(F.when(F.col("p") <= F.col("c"), F.col("q"))), F.lit(1.0)), 9).alias("level"))
+    passed = F.array_min(F.filter(levels, lambda q: q >= F.col("p_adj")))
+    return S.adjusted(_pvalues(t), "p", ["family"]).select("family", "id", F.round(F.coalesce(passed, F.lit(1.0)), 9).alias("level"))
 
 
 @query("""
@@ -185,13 +179,12 @@ def variance_partition(t):
 
 
 @query("""
-WITH c AS (SELECT count(*) n FROM (SELECT l_partkey, l_suppkey, count(*) r FROM lineitem GROUP BY ALL)),
-k AS (SELECT count(*) FILTER (r >= 3) a, count(*) FILTER (r = 2) b, count(*) FILTER (r = 1) d FROM (SELECT l_partkey, count(*) r FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY ALL)),
+WITH k AS (SELECT count(*) FILTER (r >= 3) a, count(*) FILTER (r = 2) b, count(*) FILTER (r = 1) d FROM (SELECT l_orderkey, count(*) r FROM lineitem GROUP BY ALL)),
 s AS (SELECT s_suppkey, abs(s_acctbal) / 5000 x FROM supplier)
 SELECT s_suppkey, round(100 * x * x / (x * x + 1.0 / 3), 6) + 0 AS nc3, round(100 * x * x / (x * x + (a / 3.0 + b / 2.0 + d) / (a + b + d)), 6) + 0 AS nc_unequal FROM s, k
 """)
 def noise_ceilings(t):
-    reps = t.lineitem.where("l_suppkey % 3 = 0").groupBy("l_partkey").count()
+    reps = t.lineitem.groupBy("l_orderkey").count()
     k = reps.agg(*[F.count_if(c).cast("double").alias(n) for c, n in ((F.col("count") >= 3, "a"), (F.col("count") == 2, "b"), (F.col("count") == 1, "d"))])
     rows = t.supplier.select("s_suppkey", (F.abs("s_acctbal") / 5000).alias("x"), F.lit(1).alias("one")).join(F.broadcast(k.withColumn("one", F.lit(1))), "one")
     return rows.select("s_suppkey", r6(S.noise_ceiling(F.col("x"), 3)).alias("nc3"), r6(S.noise_ceiling_unequal(F.col("x"), F.col("a"), F.col("b"), F.col("d"))).alias("nc_unequal"))
