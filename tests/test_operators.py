@@ -250,3 +250,66 @@ def test_adjusted_p_is_exact(spark):
         assert abs(got[order[k - 1]] - least) < 1e-12
     assert got[len(p) - 1] is None and len(got) == len(p)
     assert abs(spark.range(1).select(S._harmonic(F.lit(5000))).first()[0] - sum(1 / k for k in range(1, 5001))) < 1e-12
+
+
+def _refit_data(spark, n=90, p=4, channels=3):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2, n, p)) * 2 + 1
+    y = x[0] @ rng.normal(size=(p, channels)) + 0.3 * rng.normal(size=(n, channels))
+    split = np.array([("trn", "trn", "trn", "holdout", "val")[k % 5] for k in range(n)])
+    feats = spark.createDataFrame([(f, k, split[k], x[f, k].tolist()) for f in (0, 1) for k in range(n)], "prf_ix int, image_ix long, split string, f array<double>")
+    resp = spark.createDataFrame([(k, v, float(y[k, v])) for k in range(n) for v in range(channels)], "image_ix long, voxel_ix long, y double")
+    return x, y, split, feats, resp
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_refits_match_plain_fits(spark, monkeypatch, bootstrap):
+    """Every iteration equals a fit on the moved or drawn rows themselves, with grouped penalties and column masks, over many small parts."""
+    monkeypatch.setattr(M, "IMAGES", 7)
+    monkeypatch.setattr(M, "PARTIALS", 3)
+    x, y, split, feats, resp = _refit_data(spark)
+    fields = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "voxel_ix long, prf_ix int")
+    penalties = M.group_penalties([0.0, 5.0], [0, 0, 1, 1])
+    masks = {"full": [0, 1, 2, 3], "some": [1, 3]}
+    fits, scores = M.refit(feats, resp, penalties, fields, 3, masks, bootstrap=bootstrap)
+    images = feats.select("split", "image_ix").distinct()
+    plan = (P.bootstrap if bootstrap else P.permutation)(images, ["split"], "image_ix", 3).collect()
+    got = {(r.voxel_ix, r.version, r.iter): r for r in fits.collect()}
+    score = {(r.voxel_ix, r.version, r.iter): r for r in scores.collect()}
+    assert len(got) == len(score) == 3 * 2 * 3
+    seen = split != "val"
+    for (v, version, i), r in got.items():
+        field = {0: 0, 1: 1, 2: 0}[v]
+        z = (x[field] - x[field][seen].mean(0)) / (x[field][seen].std(0) + 1e-6)
+        d = np.c_[z[:, masks[version]], np.ones(len(z))]
+        rows = {s: [(q.source if bootstrap else q.image_ix, q.source) for q in plan if q.iter == i and q.split == s] for s in ("trn", "holdout", "val")}
+        of = lambda s: (d[[a for a, _ in rows[s]]], y[[b for _, b in rows[s]], v])  # noqa: B023, E731
+        (a, b), (a_out, b_out), (a_val, b_val) = map(of, ("trn", "holdout", "val"))
+        ws = [np.linalg.solve(a.T @ a + np.diag(lam[[*masks[version], 4]]), a.T @ b) for lam in penalties]
+        losses = [((a_out @ w - b_out) ** 2).sum() for w in ws]
+        k = int(np.argmin(losses))
+        assert r.prf_ix == field and r.loss == pytest.approx(losses[k], rel=1e-8) and losses[r.lambda_ix] == pytest.approx(losses[k], rel=1e-9)
+        assert np.allclose([*(r.w[c] for c in masks[version]), r.bias], ws[r.lambda_ix], atol=1e-8)
+        yhat = a_val @ ws[r.lambda_ix]
+        assert score[v, version, i].r2 == pytest.approx(1 - ((yhat - b_val) ** 2).sum() / ((b_val - b_val.mean()) ** 2).sum(), abs=1e-8)
+
+
+def test_channels_with_missing_images(spark):
+    """A channel is fitted on its own images, and one without train images has no fit."""
+    x, y, split, feats, resp = _refit_data(spark)
+    some = resp.where("not (voxel_ix = 1 and image_ix < 30) and not (voxel_ix = 2 and image_ix % 5 < 3)")
+    got = {(r.prf_ix, r.voxel_ix): r for r in M.fit_ridge(feats, some, [3.0]).collect()}
+    assert set(got) == {(f, v) for f in (0, 1) for v in (0, 1)}
+    seen, z = split != "val", {}
+    for f in (0, 1):
+        z[f] = np.c_[(x[f] - x[f][seen].mean(0)) / (x[f][seen].std(0) + 1e-6), np.ones(90)]
+    for (f, v), r in got.items():
+        on = (split == "trn") & ((v == 0) | (np.arange(90) >= 30))
+        w = np.linalg.solve(z[f][on].T @ z[f][on] + np.diag([3.0] * 4 + [0]), z[f][on].T @ y[on, v])
+        assert np.allclose([*r.w, r.bias], w, atol=1e-8)
+
+
+def test_simulated_noise_is_repeatable(spark):
+    df = spark.range(4000).select(F.col("id").alias("image_ix"), F.lit(1).alias("voxel_ix"), F.lit(2.0).alias("v"))
+    a, b = ([r.y for r in M.simulated(df.repartition(k), 0.5, 3).orderBy("image_ix").collect()] for k in (1, 7))
+    assert a == b and abs(np.mean(a) - 2) < 0.03 and abs(np.std(a) - 0.5) < 0.03

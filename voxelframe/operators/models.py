@@ -1,9 +1,12 @@
 """Linear encoding models.
 
-Design matrices are one row of features an image and field (array<double>), so
-a field's block is images x features. Fits run by field in applyInPandas over
-sufficient size: a group holds one field's images, never all fields; responses
-of many channels are cut into blocks of channels, each a group of its own.
+Design matrices are one row of features an image and field (array<double>).
+Ridge fits come from sums: features and responses of the same images meet once,
+in groups of images and fields, which give partial sums of products; only these
+(features x features, features x channels) are added up by field and block of
+channels. No response is copied for each field. Losses of held-out images come
+from their own sums. Permutations and bootstraps refit from the same sums over
+moved or weighted rows.
 """
 
 from __future__ import annotations
@@ -14,91 +17,148 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
+#: Images and fields whose products are formed in one task, and partial sums added up in one step.
+IMAGES, FIELDS, PARTIALS = 512, 64, 64
+#: Means and deviations that may be sent to every task: fields x features.
+MOST_MOMENTS = 4_000_000
 
 
-def standardise(x: np.ndarray, seen: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(z, mean, sd): by the statistics of the seen rows (population deviation plus epsilon)."""
-    m, s = x[seen].mean(axis=0), x[seen].std(axis=0) + epsilon
-    return (x - m) / s, m, s
+def feature_moments(features: DataFrame) -> DataFrame:
+    """(prf_ix, n, mean, sd) of each field's features: population deviation plus EPSILON; means and squares about them are merged, so precision is kept."""
 
+    def partial(batches):
+        for pdf in batches:
+            for field, rows in pdf.groupby("prf_ix"):
+                x = np.array(rows.f.tolist(), float)
+                m = x.mean(axis=0)
+                yield pd.DataFrame({"prf_ix": [field], "n": [len(x)], "mean": [m], "sd": [((x - m) ** 2).sum(axis=0)]})
 
-def cofactor(x: np.ndarray, penalties: list[float], penalise_last: bool = False) -> np.ndarray:
-    """(X'X + diag(penalty))^-1 X' for each penalty, in double precision.
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf.n.to_numpy(float)
+        m, q = np.stack(pdf["mean"]), np.stack(pdf["sd"])
+        mean = (n[:, None] * m).sum(axis=0) / n.sum()
+        var = (q.sum(axis=0) + (n[:, None] * (m - mean) ** 2).sum(axis=0)) / n.sum()
+        return pd.DataFrame({"prf_ix": pdf.prf_ix[:1], "n": [int(n.sum())], "mean": [mean], "sd": [np.sqrt(var) + EPSILON]})
 
-    The last column is the bias and carries no penalty unless asked. A
-    singular system gets 1e-8 on its diagonal.
-    """
-    g, out = x.T @ x, []
-    for penalty in penalties:
-        d = np.full(x.shape[1], float(penalty))
-        if not penalise_last and len(d):
-            d[-1] = 0.0
-        a = g + np.diag(d)
-        try:
-            out.append(np.linalg.solve(a, x.T))
-        except np.linalg.LinAlgError:
-            out.append(np.linalg.solve(a + 1e-8 * np.eye(len(a)), x.T))
-    return np.stack(out)
-
-
-def fit_field(x: np.ndarray, y: np.ndarray, trn: np.ndarray, out: np.ndarray, penalties: list[float], masks: dict[str, np.ndarray] | None = None) -> list[dict]:
-    """Ridge for each column of y and each mask of columns: least holdout loss, the first penalty on ties.
-
-    Features are standardised over train and holdout together; a bias is added.
-    """
-    z, m, s = standardise(x, trn | out)
-    masks = masks or {"full": np.ones(x.shape[1], bool)}
-    rows = []
-    for name, used in masks.items():
-        d = np.concatenate([z[:, used], np.ones((len(z), 1))], axis=1)
-        w = cofactor(d[trn], penalties) @ y[trn]  # penalties x columns x channels
-        loss = ((d[out] @ w - y[out]) ** 2).sum(axis=1)
-        best = loss.argmin(axis=0)
-        for c in range(y.shape[1]):
-            full = np.zeros(x.shape[1])
-            full[used] = w[best[c], :-1, c]
-            rows.append({"version": name, "channel": c, "lambda_ix": int(best[c]), "loss": float(loss[best[c], c]), "w": full.tolist(), "bias": float(w[best[c], -1, c]), "mean": m.tolist(), "sd": s.tolist()})
-    return rows
+    schema = "prf_ix int, n long, mean array<double>, sd array<double>"
+    return features.select("prf_ix", "f").mapInPandas(partial, schema).groupBy("prf_ix").applyInPandas(merge, schema)
+
+
+def ridge_weights(gram: np.ndarray, products: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """(X'X + diag(penalty))^-1 X'Y; a singular system gets 1e-8 on its diagonal."""
+    a = gram + np.diag(penalty)
+    try:
+        return np.linalg.solve(a, products)
+    except np.linalg.LinAlgError:
+        return np.linalg.solve(a + 1e-8 * np.eye(len(a)), products)
+
+
+def _penalty_vectors(penalties, width: int) -> np.ndarray:
+    """Penalties of each column and the bias: a scalar stands for all columns and no penalty of the bias."""
+    if np.ndim(penalties) == 2:
+        return np.asarray(penalties, float)
+    return np.concatenate([np.repeat(np.asarray(penalties, float)[:, None], width, axis=1), np.zeros((len(penalties), 1))], axis=1)
 
 
 FIT = "prf_ix int, voxel_ix long, version string, lambda_ix int, loss double, bias double, w array<double>, mean array<double>, sd array<double>"
+_SUMS = "prf_ix int, iter int, block long, part int, holdout boolean, gram array<double>, products array<double>, squares array<double>"
 
 
-def fit_ridge(features: DataFrame, responses: DataFrame, penalties: list[float], masks: dict[str, list[int]] | None = None, block: int = 1000) -> DataFrame:
-    """All (field, channel, version) fits of features(prf_ix, image_ix, split, f) to responses(image_ix, voxel_ix, y).
+def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[str, list[int]] | None = None, block: int = 256, plan: DataFrame | None = None, with_features: bool = False, fields: DataFrame | None = None) -> DataFrame:
+    """All (field, channel, version[, iter]) fits of features(prf_ix, image_ix, split, f) to responses(image_ix, voxel_ix, y).
 
-    Images without a response of a channel are left out of that channel's
-    block; the block's channels must share images (as recorded trials do).
-    Blocks of channels are spread over tasks by (field, block).
+    Least holdout loss over penalties (numbers, or rows of one for each column
+    and the bias, see group_penalties), the first on ties. Features are
+    standardised over train and holdout together; a bias is added. Images
+    without a response of a channel are left out for that channel; channels
+    without train or holdout images have no row.
+
+    plan(iter, image_ix, source) refits for each iteration: responses move from
+    source to image_ix (a permutation), or with_features whole rows are drawn
+    from source (a bootstrap). fields(voxel_ix, prf_ix) restricts each channel
+    to its field.
     """
     chosen = {k: list(v) for k, v in (masks or {}).items()}
-    feats = features.where("split in ('trn', 'holdout')").select("prf_ix", "image_ix", "split", "f")
-    blocks = responses.select("image_ix", "voxel_ix", "y", F.floor(F.col("voxel_ix") / block).alias("block"))
-    y = blocks.groupBy("block", "image_ix").agg(F.sort_array(F.collect_list(F.struct("voxel_ix", "y"))).alias("ys"))
-    joined = feats.join(y, "image_ix")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("image_ix")
-        names = sorted({r["voxel_ix"] for ys in pdf.ys for r in ys})
-        at = {v: k for k, v in enumerate(names)}
-        y = np.full((len(pdf), len(names)), np.nan)
-        for k, ys in enumerate(pdf.ys):
-            for r in ys:
-                y[k, at[r["voxel_ix"]]] = r["y"]
-        x, split = np.array(pdf.f.tolist(), float), pdf.split.to_numpy()
-        used = {k: np.isin(np.arange(x.shape[1]), v) for k, v in chosen.items()} or None
-        rows = []
-        for pattern in np.unique(np.isnan(y), axis=1).T:  # channels with the same images are fitted together
-            cols = np.flatnonzero((np.isnan(y) == pattern[:, None]).all(axis=0))
-            ok = ~pattern
-            trn, out = (split[ok] == "trn"), (split[ok] == "holdout")
-            if trn.sum() == 0 or out.sum() == 0:
-                continue
-            for r in fit_field(x[ok], y[np.ix_(ok, cols)], trn, out, penalties, used):
-                rows.append({"prf_ix": int(pdf.prf_ix.iloc[0]), "voxel_ix": names[cols[r.pop("channel")]], **r})
-        return pd.DataFrame(rows, columns=["prf_ix", "voxel_ix", "version", "lambda_ix", "loss", "bias", "w", "mean", "sd"])
-
-    return joined.groupBy("prf_ix", "block").applyInPandas(one, FIT)
+    feats = features.where("split in ('trn', 'holdout')").select("prf_ix", "image_ix", (F.col("split") == "holdout").alias("holdout"), "f")
+    found = feature_moments(feats).collect()
+    if sum(len(r["mean"]) for r in found) > MOST_MOMENTS:
+        raise ValueError("fit fewer fields or features at once")
+    moments = {r.prf_ix: (np.array(r["mean"]), np.array(r["sd"])) for r in found}
+    images = feats.agg(F.approx_count_distinct("image_ix")).first()[0]
+    parts = max(1, images // IMAGES)
+
+    real = responses.where("y is not null")
+    # channels of a block have the same images
+    channels = real.groupBy("voxel_ix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("image_ix")).alias("h"))
+    channels = channels.withColumn("prf", F.lit(None).cast("int")) if fields is None else channels.join(fields.select("voxel_ix", F.col("prf_ix").alias("prf")), "voxel_ix")
+    channels = channels.select("voxel_ix", "prf", F.xxhash64("n", "h", F.floor(F.col("voxel_ix") / block), F.coalesce("prf", F.lit(-1))).alias("block"))
+    y = real.join(channels, "voxel_ix").groupBy("block", "prf", "image_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("voxel_ix", "y"))), lambda s: s["y"]).alias("ys"))
+    if plan is None:
+        y = y.select("block", "prf", F.lit(0).alias("iter"), "image_ix", F.lit(1.0).alias("times"), "ys")
+    elif with_features:
+        times = plan.groupBy("iter", F.col("source").alias("image_ix")).agg(F.count("*").cast("double").alias("times"))
+        y = y.join(times, "image_ix").select("block", "prf", "iter", "image_ix", "times", "ys")
+    else:
+        moved = plan.select("iter", F.col("image_ix").alias("to"), F.col("source").alias("image_ix"))
+        y = y.join(moved, "image_ix").select("block", "prf", "iter", F.col("to").alias("image_ix"), F.lit(1.0).alias("times"), "ys")
+    part, chunk = F.pmod(F.xxhash64("image_ix"), F.lit(parts)).cast("int").alias("part"), F.floor(F.col("prf_ix") / FIELDS).alias("chunk")
+    chunks = sorted({k // FIELDS for k in moments})
+    y = y.select("*", part, F.explode(F.array(*[F.lit(c) for c in chunks]) if fields is None else F.array(F.floor(F.col("prf") / FIELDS))).alias("chunk")).withColumn("chunk", F.col("chunk").cast("long"))
+
+    def partial(fx: pd.DataFrame, fy: pd.DataFrame) -> pd.DataFrame:
+        of_field, rows = {}, []
+        for field, x in fx.groupby("prf_ix"):
+            x = x.sort_values("image_ix")
+            m, sd = moments[field]
+            z = (np.array(x.f.tolist(), float).reshape(len(x), -1) - m) / sd
+            of_field[field] = x.image_ix.to_numpy(), np.concatenate([z, np.ones((len(z), 1))], axis=1), x.holdout.to_numpy(bool)
+        for (number, name), mine in fy.groupby(["iter", "block"]):
+            data, times, at = np.array(mine.ys.tolist(), float), mine.times.to_numpy(float), mine.image_ix.to_numpy()
+            only = mine.prf.iloc[0]
+            for field in of_field if pd.isna(only) else [int(only)] if int(only) in of_field else []:
+                ids, z, holdout = of_field[field]
+                k = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+                ok = ids[k] == at
+                for held in (False, True):
+                    on = ok & (holdout[k] == held)
+                    if on.any():
+                        zw, yy = z[k[on]] * times[on][:, None], data[on]
+                        rows.append((field, number, name, mine.part.iloc[0], held, (zw.T @ z[k[on]]).ravel(), (zw.T @ yy).ravel(), (times[on][:, None] * yy**2).sum(axis=0)))
+        return pd.DataFrame(rows, columns=["prf_ix", "iter", "block", "part", "holdout", "gram", "products", "squares"])
+
+    def added(pdf: pd.DataFrame) -> dict[bool, list[np.ndarray]]:
+        return {held: [np.sum(list(rows[c]), axis=0) for c in ("gram", "products", "squares")] for held, rows in pdf.groupby("holdout")}
+
+    def reduce_(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = [pdf[c].iloc[0] for c in ("prf_ix", "iter", "block", "part")]
+        return pd.DataFrame([(*head, held, *sums) for held, sums in added(pdf).items()], columns=["prf_ix", "iter", "block", "part", "holdout", "gram", "products", "squares"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, sums = [], added(pdf)
+        if len(sums) == 2:
+            field, names = int(pdf.prf_ix.iloc[0]), list(pdf.voxels.iloc[0])
+            m, sd = moments[field]
+            vectors = _penalty_vectors(penalties, len(m))
+            (g, xy, _), (g_out, xy_out, yy_out) = ((s[0].reshape(len(m) + 1, -1), s[1].reshape(len(m) + 1, -1), s[2]) for s in (sums[False], sums[True]))
+            for version, used in (chosen or {"full": range(len(m))}).items():
+                at = [*used, len(m)]
+                square = np.ix_(at, at)
+                w = np.stack([ridge_weights(g[square], xy[at], v[at]) for v in vectors])  # penalties x columns x channels
+                loss = yy_out - 2 * (w * xy_out[at]).sum(axis=1) + (w * (g_out[square] @ w)).sum(axis=1)
+                best = loss.argmin(axis=0)
+                for c, voxel in enumerate(names):
+                    full = np.zeros(len(m))
+                    full[at[:-1]] = w[best[c], :-1, c]
+                    rows.append((field, voxel, version, int(pdf.iter.iloc[0]), int(best[c]), max(float(loss[best[c], c]), 0.0), float(w[best[c], -1, c]), full, m, sd))
+        return pd.DataFrame(rows, columns=["prf_ix", "voxel_ix", "version", "iter", "lambda_ix", "loss", "bias", "w", "mean", "sd"])
+
+    sums = feats.select("*", part, chunk).groupBy("part", "chunk").cogroup(y.groupBy("part", "chunk")).applyInPandas(partial, _SUMS)
+    while parts > PARTIALS:
+        sums = sums.withColumn("part", F.floor(F.col("part") / PARTIALS).cast("int")).groupBy("prf_ix", "iter", "block", "part").applyInPandas(reduce_, _SUMS)
+        parts = -(-parts // PARTIALS)
+    voxels = channels.groupBy("block").agg(F.sort_array(F.collect_list("voxel_ix")).alias("voxels"))
+    out = sums.join(voxels, "block").groupBy("prf_ix", "iter", "block").applyInPandas(solve, FIT.replace("version string,", "version string, iter int,"))
+    return out if plan is not None else out.drop("iter")
 
 
 def best_field(fits: DataFrame) -> DataFrame:
@@ -108,34 +168,54 @@ def best_field(fits: DataFrame) -> DataFrame:
 
 
 def predict(features: DataFrame, fits: DataFrame) -> DataFrame:
-    """(voxel_ix, version, image_ix, yhat): the fits applied to features(prf_ix, image_ix, f)."""
+    """(voxel_ix, version[, iter], image_ix, yhat): the fits applied to features(prf_ix, image_ix, f)."""
     z = F.zip_with(F.zip_with("f", "mean", lambda a, m: a - m), "sd", lambda a, s: a / s)
     dot = F.aggregate(F.zip_with(z, "w", lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v)
-    return features.join(fits, "prf_ix").select("voxel_ix", "version", "image_ix", (dot + F.col("bias")).alias("yhat"))
+    return features.join(fits, "prf_ix").select("voxel_ix", "version", *_iter(fits), "image_ix", (dot + F.col("bias")).alias("yhat"))
+
+
+def _iter(df: DataFrame) -> list[str]:
+    return ["iter"] if "iter" in df.columns else []
 
 
 def validate(predicted: DataFrame, responses: DataFrame) -> DataFrame:
-    """(voxel_ix, version, n, cc, r2) of predictions against responses."""
+    """(voxel_ix, version[, iter], n, cc, r2) of predictions against responses."""
     from ..functions.stats import corr, r2
 
     both = predicted.join(responses, ["voxel_ix", "image_ix"])
-    return both.groupBy("voxel_ix", "version").agg(F.count("*").alias("n"), corr(F.col("y"), F.col("yhat")).alias("cc"), r2(F.col("y"), F.col("yhat")).alias("r2"))
+    return both.groupBy("voxel_ix", "version", *_iter(predicted)).agg(F.count("*").alias("n"), corr(F.col("y"), F.col("yhat")).alias("cc"), r2(F.col("y"), F.col("yhat")).alias("r2"))
 
 
 def resampled(predicted: DataFrame, responses: DataFrame, plan: DataFrame, both_sides: bool = False) -> DataFrame:
     """cc and r2 for each iteration of plan(iter, image_ix, source).
 
     A permutation moves the responses only; a bootstrap (both_sides) draws
-    predictions and responses together.
+    predictions and responses together. Predictions of refits meet the plan of
+    their own iteration.
     """
     from ..functions.stats import corr, r2
 
     moved = responses.select("voxel_ix", F.col("image_ix").alias("source"), "y").join(plan, "source")
     on = F.col("source") if both_sides else F.col("image_ix")
-    both = predicted.join(moved.select("voxel_ix", "iter", on.alias("image_ix"), "y"), ["voxel_ix", "image_ix"])
+    both = predicted.join(moved.select("voxel_ix", "iter", on.alias("image_ix"), "y"), ["voxel_ix", "image_ix", *_iter(predicted)])
     return both.groupBy("voxel_ix", "version", "iter").agg(corr(F.col("y"), F.col("yhat")).alias("cc"), r2(F.col("y"), F.col("yhat")).alias("r2"))
 
 
+def refit(features: DataFrame, responses: DataFrame, penalties, fields: DataFrame, iterations: int, masks: dict[str, list[int]] | None = None, bootstrap: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(fits, scores) of iterations of a permutation or bootstrap of all splits, each channel at its field of fields(voxel_ix, prf_ix).
+
+    Rows are permuted or drawn within a split. scores has cc and r2 of each
+    iteration's fit on its own permuted or drawn val images.
+    """
+    from . import sampling as P
+
+    images = features.select("split", "image_ix").distinct()
+    plan = (P.bootstrap if bootstrap else P.permutation)(images, ["split"], "image_ix", iterations, seed)
+    fits = fit_ridge(features, responses, penalties, masks, plan=plan, with_features=bootstrap, fields=fields)
+    predicted = predict(features.where("split = 'val'"), fits)
+    return fits, resampled(predicted, responses, plan.where("split = 'val'").drop("split"), both_sides=bootstrap)
+
+
 def residuals(predicted: DataFrame, responses: DataFrame) -> DataFrame:
     """y - yhat as float, for each channel, version and image."""
     return predicted.join(responses, ["voxel_ix", "image_ix"]).select("voxel_ix", "version", "image_ix", (F.col("y") - F.col("yhat")).cast("float").alias("residual"))
@@ -318,5 +398,9 @@ def feature_residuals(df: DataFrame, by: list[str], key: str, targets: str, sour
 
 
 def simulated(features: DataFrame, noise: float, seed: int = 0) -> DataFrame:
-    """(image_ix, voxel_ix, y): each chosen feature(image_ix, voxel_ix, v) plus Gaussian noise."""
-    return features.select("image_ix", "voxel_ix", (F.col("v") + noise * F.randn(seed)).alias("y"))
+    """(image_ix, voxel_ix, y): each chosen feature(image_ix, voxel_ix, v) plus Gaussian noise that keys and seed decide."""
+    from ..functions.stats import inverse_normal
+    from .sampling import MODULUS, draw
+
+    share = (draw(F.col("image_ix") * 10_007 + F.col("voxel_ix"), seed) + 0.5) / MODULUS
+    return features.select("image_ix", "voxel_ix", (F.col("v") + noise * inverse_normal(share)).alias("y"))

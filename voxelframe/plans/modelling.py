@@ -14,7 +14,7 @@ from ..operators import sampling as P
 from .registry import query
 
 
-def _design(t, fields: int = 3, width: int = 16):
+def _design(t, fields: int = 4, width: int = 16):
     """features(prf_ix, image_ix, split, f) from embeddings: field p holds entries 16p to 16p + 15."""
     e = t.embeddings.select(F.col("vec_id").alias("image_ix"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     e = P.split(e, [], "image_ix", F.col("image_ix") % 5 == 0)
@@ -25,7 +25,7 @@ def _responses(t, channels: int = 12):
     """responses(image_ix, voxel_ix, y): channel c answers to a few entries."""
     e = t.embeddings.select(F.col("vec_id").alias("image_ix"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     v = e.withColumn("voxel_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(channels - 1).cast("long"))))
-    at = lambda k: F.get("e", F.pmod(F.col("voxel_ix") * 7 + k, F.lit(48)).cast("int"))
+    at = lambda k: F.get("e", F.pmod(F.col("voxel_ix") * 7 + k, F.lit(64)).cast("int"))
     noise = F.pmod(F.col("image_ix") * 7919 + F.col("voxel_ix") * 104729, F.lit(1009)) / 1009.0 - 0.5
     return v.select("image_ix", "voxel_ix", (2 * at(0) - at(1) + 0.5 * at(2) + 0.3 * noise).alias("y"))
 
@@ -69,6 +69,73 @@ def bootstrap_validation(t):
     return M.resampled(M.predict(val, best), responses, plan, both_sides=True).select("voxel_ix", "version", "iter", F.round("r2", 4).alias("r2"))
 
 
+def _draw(key, seed):
+    return f"((({key}) + 1) * 48271 + (({seed}) + 1) * 69621 + (({key}) % 7919) * (({seed}) % 7907 + 1) * 31) % 1000003"
+
+
+#: One feature for each of four fields, standardised over train and holdout; y of three channels.
+_ONE = f"""
+WITH v AS (SELECT vec_id i, vec_id % 5 = 0 AS sh FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY sh ORDER BY {_draw('i', 0)}, i) k, count(*) OVER (PARTITION BY sh) n FROM v),
+s AS (SELECT i, CASE WHEN sh THEN 'val' WHEN k <= ceil(n * 0.1 - 1e-9) THEN 'holdout' ELSE 'trn' END AS split FROM k),
+x AS (SELECT vec_id i, f.f, embedding[f.f * 16 + 1]::DOUBLE x FROM embeddings, range(4) f(f)),
+m AS (SELECT f, avg(x) m, stddev_pop(x) + 1e-6 d FROM x JOIN s USING (i) WHERE split <> 'val' GROUP BY f),
+z AS (SELECT i, f, split, (x - m) / d z FROM x JOIN m USING (f) JOIN s USING (i)),
+y AS (SELECT vec_id i, c.c, 2 * embedding[c * 7 % 64 + 1]::DOUBLE - embedding[(c * 7 + 1) % 64 + 1]::DOUBLE + 0.5 * embedding[(c * 7 + 2) % 64 + 1]::DOUBLE + 0.3 * ((vec_id * 7919 + c * 104729) % 1009 / 1009.0 - 0.5) y FROM embeddings, range(3) c(c)),"""
+_LAMBDAS = (0.0, 10.0, 1000.0)
+#: From rows r(iter, f, c, split, z, y, t: times).
+_SOLVED = f"""
+g AS (SELECT iter, f, c, split, sum(t) n, sum(t * z) sz, sum(t * z * z) szz, sum(t * y) sy, sum(t * z * y) szy, sum(t * y * y) syy FROM r WHERE split <> 'val' GROUP BY ALL),
+w AS (SELECT iter, f, c, j, ((n * szy - sz * sy) / (n * (szz + l) - sz * sz)) w, (((szz + l) * sy - sz * szy) / (n * (szz + l) - sz * sz)) b FROM g, (VALUES {", ".join(f"({j}, {v}::DOUBLE)" for j, v in enumerate(_LAMBDAS))}) p(j, l) WHERE split = 'trn'),
+l AS (SELECT w.*, syy - 2 * (w * szy + b * sy) + w * w * szz + 2 * w * b * sz + b * b * n AS loss FROM w JOIN g USING (iter, f, c) WHERE split = 'holdout'),
+best AS (SELECT iter, f, c, arg_min(struct_pack(j, w, b, loss), struct_pack(loss, j)) s FROM l GROUP BY ALL)
+"""
+
+
+def _one_feature(t):
+    return _design(t).withColumn("f", F.slice("f", 1, 1)), _responses(t, 3)
+
+
+def _fitted(fits, *more):
+    return fits.select("prf_ix", "voxel_ix", *more, "lambda_ix", F.round(F.col("w")[0], 5).alias("w"), F.round("bias", 5).alias("bias"), F.round("loss", 3).alias("loss"))
+
+
+@query(f"{_ONE} r AS (SELECT 0 AS iter, f, c, split, z, y, 1 AS t FROM z JOIN y USING (i)), {_SOLVED} SELECT f::INTEGER AS prf_ix, c AS voxel_ix, s.j::INTEGER AS lambda_ix, round(s.w, 5) + 0 AS w, round(s.b, 5) + 0 AS bias, round(s.loss, 3) + 0 AS loss FROM best")
+def single_feature_fit(t):
+    """Ridge with one feature and a bias, whose solution SQL can state."""
+    return _fitted(M.fit_ridge(*_one_feature(t), list(_LAMBDAS)))
+
+
+_PLAN = f"""
+n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {_draw('i', P.PLACES)}, i) p, count(*) OVER (PARTITION BY split) n FROM s),
+q AS (SELECT a.split, a.iter, a.i AS source, a.p FROM (SELECT split, i, o.iter, row_number() OVER (PARTITION BY split, o.iter ORDER BY {_draw('i', 'o.iter')}, i) p FROM s, range(3) o(iter)) a),
+perm AS (SELECT n.split, q.iter, n.i, q.source FROM n JOIN q ON n.split = q.split AND n.p = q.p),
+boot AS (SELECT d.split, d.iter, d.i, b.i AS source FROM (SELECT n.*, o.iter, ({_draw('(p - 1) * 31 + 7', 'o.iter')}) % n AS s FROM n, range(3) o(iter)) d JOIN n b ON b.split = d.split AND b.p - 1 = d.s),
+best_field AS (SELECT c, c % 4 AS f FROM range(3) x(c)),"""
+_MOVED = "SELECT iter, z.f, c, z.split, z, y.y, 1 AS t FROM perm JOIN z ON z.i = perm.i JOIN y ON y.i = perm.source JOIN best_field USING (c, f)"
+_DRAWN = "SELECT iter, z.f, c, z.split, z, y.y, 1 AS t FROM boot JOIN z ON z.i = boot.source JOIN y ON y.i = boot.source JOIN best_field USING (c, f)"
+_SCORED = "SELECT c AS voxel_ix, iter::INTEGER AS iter, round(covar_pop(y, s.b + s.w * z) / nullif(sqrt(var_pop(y) * var_pop(s.b + s.w * z)), 0), 5) + 0 AS cc, round(1 - sum(pow(s.b + s.w * z - y, 2)) / (var_pop(y) * count(*)), 5) + 0 AS r2 FROM r JOIN best USING (iter, f, c) WHERE split = 'val' GROUP BY ALL"
+
+
+def _refitted(t, bootstrap):
+    features, responses = _one_feature(t)
+    fields = t.spark.range(3).select(F.col("id").alias("voxel_ix"), (F.col("id") % 4).cast("int").alias("prf_ix"))
+    return M.refit(features, responses, list(_LAMBDAS), fields, 3, bootstrap=bootstrap)
+
+
+for _name, _rows, _boot in (("permutation_refit", _MOVED, False), ("bootstrap_refit", _DRAWN, True)):
+
+    def _fits(t, boot=_boot):
+        return _fitted(_refitted(t, boot)[0], "iter")
+
+    def _scores(t, boot=_boot):
+        five = lambda c: F.round(c, 5) + F.lit(0.0)
+        return _refitted(t, boot)[1].select("voxel_ix", "iter", five("cc").alias("cc"), five("r2").alias("r2"))
+
+    _fits.__name__, _scores.__name__ = _name, f"{_name}_scores"
+    query(f"{_ONE}{_PLAN} r AS ({_rows}), {_SOLVED} SELECT f::INTEGER AS prf_ix, c AS voxel_ix, iter::INTEGER AS iter, s.j::INTEGER AS lambda_ix, round(s.w, 5) + 0 AS w, round(s.b, 5) + 0 AS bias, round(s.loss, 3) + 0 AS loss FROM best")(_fits)
+    query(f"{_ONE}{_PLAN} r AS ({_rows}), {_SOLVED} {_SCORED}")(_scores)
+
+
 @query()
 def model_residuals(t):
     design, responses = _design(t), _responses(t)
