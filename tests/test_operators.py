@@ -313,3 +313,109 @@ def test_simulated_noise_is_repeatable(spark):
     df = spark.range(4000).select(F.col("id").alias("image_ix"), F.lit(1).alias("voxel_ix"), F.lit(2.0).alias("v"))
     a, b = ([r.y for r in M.simulated(df.repartition(k), 0.5, 3).orderBy("image_ix").collect()] for k in (1, 7))
     assert a == b and abs(np.mean(a) - 2) < 0.03 and abs(np.std(a) - 0.5) < 0.03
+
+
+def test_p_of_t_and_f(spark):
+    """Against the incomplete beta function in plain Python, and known points."""
+    cases = [(0.0, 5.0), (2.571, 5.0), (-1.96, 1e5), (0.3, 1.5), (12.0, 40.0), (1.0, 3000.0)]
+    got = [r[0] for r in spark.createDataFrame(cases, "t double, d double").select(S.t_p(F.col("t"), F.col("d"))).collect()]
+    for (t, d), p in zip(cases, got, strict=True):
+        assert p == pytest.approx(M._beta_share(d / 2, 0.5, d / (d + t * t)), rel=1e-9, abs=1e-300)
+    assert got[0] == pytest.approx(1) and got[1] == pytest.approx(0.05, abs=1e-4) and got[2] == pytest.approx(0.05, abs=1e-4)
+    cases = [(3.49, 3.0, 12.0), (1.0, 1.0, 1.0), (0.2, 7.0, 400.0), (50.0, 2.0, 9.0), (0.0, 2.0, 9.0)]
+    got = [r[0] for r in spark.createDataFrame(cases, "f double, a double, b double").select(S.f_p(F.col("f"), F.col("a"), F.col("b"))).collect()]
+    for (f, a, b), p in zip(cases, got, strict=True):
+        assert p == pytest.approx(M._beta_share(b / 2, a / 2, b / (b + a * f)), rel=1e-9)
+    assert got[0] == pytest.approx(0.05, abs=1e-3) and got[1] == pytest.approx(0.5) and got[4] == 1.0
+    assert spark.range(1).select(S.t_p(F.lit(1.0), F.lit(0.0))).first()[0] is None
+
+
+def test_stored_components_match_svd(spark, tmp_path):
+    """Stored weights applied to new rows equal a plain decomposition, over several parts of a group and with a null key."""
+    rng = np.random.default_rng(14)
+    x = {g: rng.normal(size=(120, 3)) @ rng.normal(size=(3, 5)) + rng.normal(size=5) for g in ("a", None)}
+    rows = [(g, k, v.tolist()) for g in x for k, v in enumerate(x[g])]
+    df = spark.createDataFrame(rows, "g string, k long, v array<double>").repartition(5)
+    M.fit_pca(df.where("k < 80"), ["g"], "v", 99.9).write.parquet(str(tmp_path / "w"))
+    kept = spark.read.parquet(str(tmp_path / "w"))
+    got = {(r.g, r.k): r.scores for r in M.apply_pca(df, ["g"], "k", "v", kept).collect()}
+    assert len(got) == 240
+    for g in x:
+        m = x[g][:80].mean(0)
+        _, s, vt = np.linalg.svd(x[g][:80] - m, full_matrices=False)
+        vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None]
+        scores = (x[g] - m) @ vt[:3].T
+        assert all(np.allclose(got[g, k], scores[k], atol=1e-8) for k in range(120))
+    assert M.apply_pca(df.withColumn("g", F.lit("none")), ["g"], "k", "v", kept).count() == 0
+
+
+def test_feature_and_result_stores(spark, tmp_path):
+    import datetime
+
+    from voxelframe.sources import stores as ST
+    from voxelframe.operators import trials as TR
+
+    df = spark.range(40).select((F.col("id") % 4).cast("int").alias("prf_ix"), (F.col("id") % 10).alias("image_ix"), F.array(F.col("id") * 1.0, F.lit(None).cast("double")).alias("f"))
+    ST.write_features(df, str(tmp_path / "f"))
+    back = ST.read_features(spark, str(tmp_path / "f"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    one = TR.selected_features(back, spark.range(3).withColumnRenamed("id", "image_ix"), [2])
+    assert "PartitionFilters: [isnotnull(prf_ix" in one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) or one.inputFiles()
+    assert {(r.prf_ix, r.image_ix) for r in one.collect()} == {(r.prf_ix, r.image_ix) for r in df.collect() if r.prf_ix == 2 and r.image_ix < 3}
+    assert {(r.k, r.defined) for r in TR.defined_columns(back).collect()} == {(0, True), (1, False)}
+    when = datetime.datetime(2021, 1, 31, 12, 5, 30)
+    for k in range(3):
+        spark.range(k + 1).write.parquet(ST.result_path(str(tmp_path), "s1", ST.model_name(["a", "b"]), when + datetime.timedelta(days=k)) + "/fits")
+    spark.range(99).write.parquet(ST.result_path(str(tmp_path), "s1", "a_plus_b", when + datetime.timedelta(days=9), debug=True) + "/fits")
+    assert [ST.load_result(spark, str(tmp_path), "s1", "a_plus_b", "fits", n).count() for n in (0, 2)] == [3, 1]
+    with pytest.raises(ValueError):
+        ST.load_result(spark, str(tmp_path), "s1", "a_plus_b", "fits", 3)
+
+
+def test_image_files(spark, tmp_path):
+    """PNG files with every line filter, with a palette and grey, and PPM files give their pixels back."""
+    import struct
+    import zlib
+
+    from voxelframe.sources import stores as ST
+
+    rng = np.random.default_rng(15)
+
+    def png(a, colour, palette=None, modes=None):
+        h, w, c = a.shape
+        rows, before = b"", np.zeros((w, c), int)
+        for y in range(h):
+            mode, line, out = (modes or [0])[y % len(modes or [0])], a[y].astype(int), []
+            for x in range(w):
+                left, corner = (line[x - 1], before[x - 1]) if x else (np.zeros(c, int), np.zeros(c, int))
+                p = left + before[x] - corner
+                near = [np.abs(p - v) for v in (left, before[x], corner)]
+                paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], before[x], corner))
+                out.append((line[x] - [0, left, before[x], (left + before[x]) // 2, paeth][mode]) % 256)
+            rows += bytes([mode]) + np.array(out, np.uint8).tobytes()
+            before = line
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + (chunk(b"PLTE", palette.tobytes()) if palette is not None else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    rgb, grey, ix = rng.integers(0, 256, (11, 6, 3)), rng.integers(0, 256, (4, 5, 1)), rng.integers(0, 7, (3, 3, 1))
+    palette = rng.integers(0, 256, (7, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(png(rgb, 2, modes=[0, 1, 2, 3, 4]))
+    (tmp_path / "b.png").write_bytes(png(grey, 0, modes=[4, 3]))
+    (tmp_path / "c.png").write_bytes(png(ix, 3, palette))
+    (tmp_path / "d.ppm").write_bytes(b"P6\n# note\n6 11\n255\n" + rgb.astype(np.uint8).tobytes())
+    got = {r.path[-5:]: np.array(r.px).reshape(r.height, r.w, r.channels) for r in ST.image_files(spark, str(tmp_path)).collect()}
+    assert (got["a.png"] == rgb).all() and (got["b.png"] == grey).all() and (got["c.png"] == palette[ix[..., 0]]).all() and (got["d.ppm"] == rgb).all()
+
+
+def test_trials_and_residual_checks(spark):
+    from voxelframe.operators import trials as TR
+
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.1)], "trial_ix long, r double")
+    assert TR.checked_residuals(rows, rows).count() == 2
+    with pytest.raises(ValueError, match="1 missing trials from 3"):
+        TR.checked_residuals(rows, spark.createDataFrame([(1,), (2,), (3,)], "trial_ix long"))
+    assert TR.checked_residuals(rows.limit(0), rows.limit(0)).count() == 0
+    chosen = [r.prf_ix for r in TR.spread_grid(GR.prf_grid(spark, 5)).collect()]
+    assert len(chosen) == len(set(chosen)) > 50
+    out = TR.concatenated({"a": rows, "b": rows.limit(0), "c": rows}, "trial_ix").collect()
+    assert [(r.subject, r.trial_ix) for r in out] == [("a", 1), ("a", 2), ("c", 4), ("c", 5)]

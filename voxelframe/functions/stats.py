@@ -51,6 +51,65 @@ def welch_t(value: Column, group: Column) -> Column:
     return F.try_divide(F.avg(a) - F.avg(b), F.nullif(F.sqrt(F.try_divide(F.var_samp(a), F.count(a)) + F.try_divide(F.var_samp(b), F.count(b))), F.lit(0.0)))
 
 
+# Lanczos's approximation of the gamma function, g = 7: fixed coefficients.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of x >= 0.5."""
+    series = F.lit(_LANCZOS[0])
+    for k, c in enumerate(_LANCZOS[1:]):
+        series = series + c / (x + k)
+    t = x + 6.5
+    return math.log(2 * math.pi) / 2 + (x - 0.5) * F.log(t) - t + F.log(series)
+
+
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function for a, b >= 0.5 (Lentz's continued fraction, in as many steps as a and b need)."""
+    turned = x > (a + 1) / (a + b + 2)
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def fraction(s):
+        p, q, y = s["p"], s["q"], s["y"]
+
+        def half(t, term):
+            d, c = 1 / safe(1 + term * t["d"]), safe(1 + term / t["c"])
+            return bind(F.struct(c.alias("c"), d.alias("d"), t["h"].alias("h")), lambda u: state(u["c"], u["d"], u["h"] * u["c"] * u["d"]))
+
+        def step(t, m):
+            first = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            second = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            return bind(half(t, first), lambda u: half(u, second))
+
+        start = bind(1 / safe(1 - (p + q) * y / (p + 1)), lambda d: state(F.lit(1.0), d, d))
+        steps = F.transform(F.sequence(F.lit(1), (F.lit(40) + 4 * F.sqrt(F.greatest(p, q))).cast("int")), lambda m: m.cast("double"))
+        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(y) + q * F.log(1 - y))
+        return front * F.aggregate(steps, start, step, lambda t: t["h"]) / p
+
+    parts = F.struct(F.when(turned, b).otherwise(a).cast("double").alias("p"), F.when(turned, a).otherwise(b).cast("double").alias("q"), F.when(turned, 1 - x).otherwise(x).cast("double").alias("y"))
+    inside = bind(parts, fraction)
+    return F.when(x.isNull() | a.isNull() | b.isNull(), None).when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(turned, 1 - inside).otherwise(inside))
+
+
+def t_p(t: Column, dof: Column) -> Column:
+    """Two-sided p of t with dof degrees of freedom; NULL without any."""
+    return F.when(dof > 0, beta_share(dof / 2.0, F.lit(0.5), dof / (dof + t * t)))
+
+
+def f_p(f: Column, between: Column, within: Column) -> Column:
+    """p of a variance ratio; NULL without degrees of freedom."""
+    return F.when((between > 0) & (within > 0), beta_share(within / 2.0, between / 2.0, within / (within + between * f)))
+
+
+def welch_dof(value: Column, group: Column) -> Column:
+    """Degrees of freedom of welch_t (Welch and Satterthwaite)."""
+    a, b = F.when(group, value), F.when(~group, value)
+    va, vb = F.try_divide(F.var_samp(a), F.count(a)), F.try_divide(F.var_samp(b), F.count(b))
+    return F.try_divide((va + vb) * (va + vb), F.nullif(F.try_divide(va * va, F.count(a) - 1) + F.try_divide(vb * vb, F.count(b) - 1), F.lit(0.0)))
+
+
 def anova_f(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """One-way F for each key of by: (by, n, groups, f). Two partial aggregations, no join."""
     each = df.groupBy(*by, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("w"))

@@ -302,41 +302,126 @@ def _beta_share(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-def pca(df: DataFrame, by: list[str], key: str, vector: str, train: Column | None = None, min_pct: float = 95.0, max_pc: int = 100, zscore: bool = False) -> DataFrame:
-    """Scores by group: (by, key, scores), components until over min_pct of the retained ones' variance.
+def _keys(values) -> pd.Series:
+    """Group keys as plain objects with None for null, whatever pandas has made of them."""
+    values = pd.Series(list(values), dtype=object)
+    return values.where(values.notna(), None)
+
+
+def scatter(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """(by, n, mean, squares) of vectors: squares is the flat matrix of products about the mean. Partial sums are merged, so no task holds a group."""
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{b} {types[b]}" for b in by), "n long, mean array<double>, squares array<double>"])
+
+    def partial(batches):
+        for pdf in batches:
+            for key, rows in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
+                x = np.array(rows[vector].tolist(), float)
+                m = x.mean(axis=0)
+                yield pd.DataFrame({**{b: _keys([k]) for b, k in zip(by, key, strict=True)}, "n": [len(x)], "mean": [m], "squares": [((x - m).T @ (x - m)).ravel()]})
 
-    Fitted on train rows (all without train). With zscore, train rows and the
-    others are standardised apart. The sign makes each component's largest
-    weight positive. Singular values come from the group's own matrix.
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, m = pdf.n.to_numpy(float), np.stack(pdf["mean"])
+        mean = (n[:, None] * m).sum(axis=0) / n.sum()
+        squares = np.sum(list(pdf.squares), axis=0) + ((m - mean).T @ (n[:, None] * (m - mean))).ravel()
+        return pd.DataFrame({**{b: _keys(pdf[b][:1]) for b in by}, "n": [int(n.sum())], "mean": [mean], "squares": [squares]})
+
+    parts = df.select(*by, vector).where(F.col(vector).isNotNull()).mapInPandas(partial, schema)
+    salted = schema + ", salt int"  # many partial sums of a group are merged in two steps
+    first = parts.withColumn("salt", (F.rand(1) * 32).cast("int")).groupBy(*by, "salt").applyInPandas(lambda pdf: merge(pdf).assign(salt=pdf.salt.iloc[0]), salted)
+    return first.drop("salt").groupBy(*by).applyInPandas(merge, schema)
+
+
+def fit_pca(df: DataFrame, by: list[str], vector: str, min_pct: float = 95.0, max_pc: int = 100) -> DataFrame:
+    """(by, n, mean, weights, pct, n_comp): components by group, as a table to be stored.
+
+    weights holds max_pc components one after the other, pct their percent of
+    the retained variance, n_comp the number that reaches over min_pct. The
+    sign makes each component's largest weight positive.
     """
+    types = dict(df.dtypes)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, seen = np.array(pdf[vector].tolist(), float), pdf["__seen"].to_numpy(bool)
-        if not seen.any():
-            return pdf[[*by, key]].assign(scores=[[] for _ in range(len(pdf))])
-        if zscore:
-            for part in (seen, ~seen):
-                if part.any():
-                    s = x[part].std(axis=0)
-                    x[part] = (x[part] - x[part].mean(axis=0)) / np.where(s > 0, s, 1)
-        weights, pct, mean = principal(x[seen], max_pc)
-        keep = min(int(np.searchsorted(np.cumsum(pct), min_pct, "right")) + 1, len(pct))
-        scores = (x - mean) @ weights[:keep].T
-        return pdf[[*by, key]].assign(scores=scores.tolist())
+    def one(batches):
+        for pdf in batches:
+            out = []
+            for n, mean, squares in zip(pdf.n, pdf["mean"], pdf.squares, strict=True):
+                weights, pct = principal(np.asarray(squares).reshape(len(mean), -1), int(n), max_pc)
+                out.append((weights.ravel(), pct, count_components(pct, min_pct)))
+            head = {b: _keys(pdf[b]) for b in by}
+            yield pd.DataFrame({**head, "n": pdf.n.to_numpy(), "mean": list(pdf["mean"])}).assign(weights=[o[0] for o in out], pct=[o[1] for o in out], n_comp=[o[2] for o in out])
+
+    schema = ", ".join([*(f"{b} {types[b]}" for b in by), "n long, mean array<double>, weights array<double>, pct array<double>, n_comp int"])
+    return scatter(df, by, vector).mapInPandas(one, schema)
+
+
+def count_components(pct: np.ndarray, min_pct: float) -> int:
+    """Components until their percents add up to over min_pct."""
+    return min(int(np.searchsorted(np.cumsum(pct), min_pct, "right")) + 1, len(pct))
+
+
+#: Parts that a group's rows are dealt to when stored components are applied.
+APPLY_PARTS = 8
+
+
+def apply_pca(df: DataFrame, by: list[str], key: str, vector: str, components: DataFrame) -> DataFrame:
+    """(by, key, scores): rows under the stored components of their group; groups without components have no row.
 
+    Each part of a group meets its components once, ahead of its rows, so the
+    weights are not copied to every row.
+    """
     types = dict(df.dtypes)
-    rows = df.select(*by, key, vector, (F.lit(True) if train is None else train).alias("__seen"))
-    return rows.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in [*by, key]) + ", scores array<double>")
-
-
-def principal(x: np.ndarray, max_pc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights by component, percent of the retained variance, mean)."""
-    mean = x.mean(axis=0)
-    _, s, vt = np.linalg.svd(x - mean, full_matrices=False)
-    n = min(max_pc, len(s))
-    vt = vt[:n] * np.sign(vt[np.arange(n), np.abs(vt[:n]).argmax(axis=1)])[:, None]
-    var = s[:n] ** 2
-    return vt, 100 * var / max(var.sum(), 1e-300), mean
+    salt = F.pmod(F.xxhash64(key), F.lit(APPLY_PARTS)).cast("int").alias("salt")
+    none = lambda kind: F.lit(None).cast(kind)
+    head = components.select(*by, F.explode(F.sequence(F.lit(0), F.lit(APPLY_PARTS - 1))).alias("salt"), F.lit(0).alias("row"), none(types[key]).alias("key"), F.col("mean").alias("v"), "weights", "n_comp")
+    rows = df.select(*by, salt, F.lit(1).alias("row"), F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), none("array<double>").alias("weights"), none("int").alias("n_comp"))
+    dealt = head.union(rows).repartition(*by, "salt").sortWithinPartitions(*by, "salt", "row")
+    group = [*by, "salt"]
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            new, names = (pdf.row == 0).to_numpy(), list(zip(*(_keys(pdf[c]) for c in group), strict=True))
+            starts = np.array([k == 0 or names[k] != names[k - 1] for k in range(len(pdf))], bool)
+            for part in np.split(np.arange(len(pdf)), np.flatnonzero(new | starts)[np.flatnonzero(new | starts) > 0]):
+                if not len(part):
+                    continue
+                first, at = pdf.iloc[part[0]], part
+                if new[part[0]]:
+                    mean = np.asarray(first.v, float)
+                    held = names[at[0]], mean, np.asarray(first.weights, float).reshape(-1, len(mean))[: int(first.n_comp)]
+                    part = part[1:]
+                if len(part) and held is not None and held[0] == names[part[0]]:
+                    x = np.array(pdf.v.iloc[part].tolist(), float)
+                    head = {c: _keys([v] * len(part)) for c, v in zip(by, held[0][:-1], strict=True)}
+                    yield pd.DataFrame({**head, key: list(pdf.key.iloc[part]), "scores": list((x - held[1]) @ held[2].T)})
+
+    return dealt.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*by, key]) + ", scores array<double>")
+
+
+def pca(df: DataFrame, by: list[str], key: str, vector: str, train: Column | None = None, min_pct: float = 95.0, max_pc: int = 100, zscore: bool = False) -> DataFrame:
+    """Scores by group: (by, key, scores), components until over min_pct of the retained ones' variance.
+
+    Fitted on train rows (all without train); groups without any have no row.
+    With zscore, train rows and the others are standardised apart.
+    """
+    rows = df.select(*by, key, F.transform(vector, lambda x: x.cast("double")).alias("__v"), (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("__seen"))
+    if zscore:
+        width = F.size("mean")
+        stats = scatter(rows, [*by, "__seen"], "__v")
+        sd = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.sqrt(F.get("squares", k * width + k) / F.col("n")))
+        stats = stats.select(*by, "__seen", "mean", sd.alias("sd"))
+        z = F.zip_with(F.zip_with("__v", "mean", lambda v, m: v - m), "sd", lambda v, s: v / F.when(s > 0, s).otherwise(1.0))
+        rows = rows.join(stats, [*by, "__seen"]).select(*by, key, z.alias("__v"), "__seen")
+    return apply_pca(rows, by, key, "__v", fit_pca(rows.where("__seen"), by, "__v", min_pct, max_pc))
+
+
+def principal(squares: np.ndarray, n: int, max_pc: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by component, percent of the retained variance) from the products about the mean of n rows."""
+    values, vectors = np.linalg.eigh(squares)
+    kept = min(max_pc, n, len(values))
+    values, vt = np.maximum(values[::-1][:kept], 0), vectors[:, ::-1].T[:kept]
+    vt = vt * np.where(vt[np.arange(kept), np.abs(vt).argmax(axis=1)] < 0, -1, 1)[:, None]
+    return vt, 100 * values / max(values.sum(), 1e-300)
 
 
 def discriminate(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:

@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from . import catalogue, images, modelling, relational, spatial, statistics  # noqa: F401
+from . import catalogue, datasets, images, modelling, relational, spatial, statistics  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -156,7 +156,24 @@ def partial_correlations(t):
 def pca_by_class(t):
     e = t.embeddings.select("label", "vec_id", "embedding")
     out = M.pca(e, ["label"], "vec_id", "embedding", F.col("vec_id") % 4 != 0, 95.0, 20)
-    return out.select("label", "vec_id", F.size("scores").alias("components"), F.transform(F.slice("scores", 1, 3), lambda x: F.round(F.abs(x), 3)).alias("first"))
+    return out.select("label", "vec_id", F.size("scores").alias("components"), F.transform("scores", lambda x: F.round(x, 3)).alias("scores"))
+
+
+@query("""
+WITH v AS (SELECT label, vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b FROM embeddings),
+m AS (SELECT label, avg(a) ma, avg(b) mb, var_pop(a) aa, var_pop(b) bb, covar_pop(a, b) ab FROM v WHERE vec_id % 4 <> 0 GROUP BY label),
+e AS (SELECT *, (aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab) l1, (aa + bb) / 2 - sqrt(pow((aa - bb) / 2, 2) + ab * ab) l2 FROM m),
+w AS (SELECT *, ab / sqrt(ab * ab + pow(l1 - aa, 2)) x, (l1 - aa) / sqrt(ab * ab + pow(l1 - aa, 2)) y FROM e),
+s AS (SELECT *, CASE WHEN (CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) < 0 THEN -1 ELSE 1 END s FROM w)
+SELECT label, vec_id, round(s * (x * (a - ma) + y * (b - mb)), 5) + 0 AS score, round(100 * l1 / (l1 + l2), 5) + 0 AS pct FROM v JOIN s USING (label)
+""")
+def stored_components(t):
+    """Components of two features fitted on some rows, kept as a table, and applied to all rows."""
+    e = t.embeddings.select("label", "vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
+    kept = M.fit_pca(e.where("vec_id % 4 <> 0"), ["label"], "v", min_pct=0.0)
+    five = lambda c: F.round(c, 5) + F.lit(0.0)
+    scores = M.apply_pca(e, ["label"], "vec_id", "v", kept)
+    return scores.join(kept.select("label", "pct"), "label").select("label", "vec_id", five(F.col("scores")[0]).alias("score"), five(F.col("pct")[0]).alias("pct"))
 
 
 @query()

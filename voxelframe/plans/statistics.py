@@ -83,6 +83,53 @@ def two_sample_t(t):
     return t.customer.withColumn("k", k).groupBy("c_nationkey").agg(F.count(F.when(F.col("k"), v)).alias("n1"), F.count(F.when(~F.col("k"), v)).alias("n0"), r6(S.pooled_t(v, F.col("k"))).alias("t_pooled"), r6(S.welch_t(v, F.col("k"))).alias("t_welch"))
 
 
+def _integral(low, high, power):
+    """Simpson's rule in SQL over x of power(x), on 1000 intervals."""
+    x = f"(({low}) + (({high}) - ({low})) * k / 1000.0)"
+    return f"(SELECT (({high}) - ({low})) / 3000.0 * sum(CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {power(x)}) FROM range(1001) s(k))"
+
+
+def _t_tail(t, dof):
+    """Two-sided tail of t in SQL: the density over angles whose tangent is t / sqrt(dof), by the root of the angle from the right one."""
+    density = lambda x: f"pow(abs(sin({x} * {x})), ({dof}) - 1) * 2 * {x}"
+    return f"2 * exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0)) / sqrt(pi()) * " + _integral("0.0", f"sqrt(pi() / 2 - atan(abs({t}) / sqrt({dof})))", density)
+
+
+def _f_tail(f, between, within):
+    """Tail of a variance ratio in SQL: the beta density over angles."""
+    density = lambda x: f"pow(abs(sin({x})), ({within}) - 1) * pow(abs(cos({x})), ({between}) - 1)"
+    top = f"asin(sqrt(({within}) / (({within}) + ({between}) * ({f}))))"
+    return f"2 * exp(lgamma((({within}) + ({between})) / 2.0) - lgamma(({within}) / 2.0) - lgamma(({between}) / 2.0)) * " + _integral("0.0", top, density)
+
+
+@query(f"""
+WITH g AS (SELECT c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 WHEN c_mktsegment = 'MACHINERY' THEN 0 END k, c_acctbal v FROM customer),
+a AS (SELECT c_nationkey, count(v) FILTER (k = 1) n1, count(v) FILTER (k = 0) n0, avg(v) FILTER (k = 1) m1, avg(v) FILTER (k = 0) m0, var_samp(v) FILTER (k = 1) v1, var_samp(v) FILTER (k = 0) v0 FROM g GROUP BY ALL),
+t AS (SELECT c_nationkey, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) t, n1 + n0 - 2.0 d, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) w, pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) e FROM a WHERE n1 > 1 AND n0 > 1)
+SELECT c_nationkey, round(e, 5) + 0 AS welch_dof, round({_t_tail('t', 'd')}, 6) + 0 AS p_pooled, round({_t_tail('w', 'e')}, 6) + 0 AS p_welch FROM t
+""")
+def two_sample_p(t):
+    """Two-sided p of the pooled and the unequal-variance t."""
+    seg, v = F.col("c_mktsegment"), F.col("c_acctbal")
+    k = F.col("k")
+    rows = t.customer.withColumn("k", F.when(seg == "BUILDING", True).when(seg == "MACHINERY", False)).groupBy("c_nationkey")
+    n1, n0 = F.count(F.when(k, v)), F.count(F.when(~k, v))
+    rows = rows.agg(n1.alias("n1"), n0.alias("n0"), S.pooled_t(v, k).alias("t"), S.welch_t(v, k).alias("w"), S.welch_dof(v, k).alias("e")).where("n1 > 1 and n0 > 1")
+    return rows.select("c_nationkey", (F.round("e", 5) + F.lit(0.0)).alias("welch_dof"), r6(S.t_p(F.col("t"), F.col("n1") + F.col("n0") - 2)).alias("p_pooled"), r6(S.t_p(F.col("w"), F.col("e"))).alias("p_welch"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_type, count(value) n, avg(value) m, coalesce(var_pop(value) * count(value), 0) w FROM events GROUP BY ALL),
+g AS (SELECT user_id, sum(n) n, count(*) k, sum(n * m) / sum(n) gm, sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2) b, sum(w) w FROM e GROUP BY user_id),
+f AS (SELECT user_id, k - 1.0 AS b, (n - k) * 1.0 AS w, (b / (k - 1)) / (w / (n - k)) f FROM g WHERE k > 1 AND n > k AND w > 0)
+SELECT user_id, round({_f_tail('f', 'b', 'w')}, 5) + 0 AS p FROM f
+""")
+def anova_p(t):
+    """p of the one-way F."""
+    rows = S.anova_f(t.events, ["user_id"], "event_type", "value").where("f is not null")
+    return rows.select("user_id", (F.round(S.f_p(F.col("f"), F.col("groups") - 1, F.col("n") - F.col("groups")), 5) + F.lit(0.0)).alias("p"))
+
+
 @query("""
 WITH e AS (SELECT user_id, event_type, count(value) n, avg(value) m, coalesce(var_pop(value) * count(value), 0) w FROM events GROUP BY ALL),
 g AS (SELECT user_id, sum(n) n, count(*) k, sum(n * m) / sum(n) gm, sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2) b, sum(w) w FROM e GROUP BY user_id)
@@ -205,10 +252,23 @@ def _predictions(t):
     return t.orders.where("o_orderstatus in ('F', 'O')").select((F.col("o_custkey") % 25).alias("g"), F.col("o_orderstatus").alias("a"), F.when(k == 0, "F").when(k == 1, "O").otherwise(F.col("o_orderstatus")).alias("p"))
 
 
-@query()
+def _sql_inverse_normal(p):
+    """Acklam's rational approximation in SQL, by the same fixed coefficients."""
+    horner = lambda cs, x: "(" * (len(cs) - 1) + f"{cs[0]!r}" + "".join(f") * {x} + {c!r}" for c in cs[1:])
+    tail = lambda q: f"(({horner(S._C, q)}) / ({horner((*S._D, 1.0), q)}))"
+    q = f"({p} - 0.5)"
+    middle = f"(({horner(S._A, f'({q} * {q})')}) * {q} / ({horner((*S._B, 1.0), f'({q} * {q})')}))"
+    return f"(CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 1 - 0.02425 THEN -{tail(f'sqrt(-2 * ln(1 - {p}))')} ELSE {middle} END)"
+
+
+@query(f"""
+WITH d AS (SELECT o_custkey % 25 g, o_orderstatus a, CASE WHEN o_orderkey % 4 = 0 THEN 'F' WHEN o_orderkey % 4 = 1 THEN 'O' ELSE o_orderstatus END p FROM orders WHERE o_orderstatus IN ('F', 'O')),
+c AS (SELECT g, k.k, count(*) n, count(*) FILTER (a = k) real, count(*) FILTER (a = k AND p = k) hit, count(*) FILTER (a <> k AND p = k) said FROM d, (VALUES ('F'), ('O')) k(k) GROUP BY ALL),
+r AS (SELECT g, n, CASE hit WHEN 0 THEN 1 / (2.0 * n) WHEN real THEN 1 - 1 / (2.0 * n) ELSE hit / (real * 1.0::DOUBLE) END h, CASE said WHEN 0 THEN 1 / (2.0 * n) WHEN n - real THEN 1 - 1 / (2.0 * n) ELSE said / ((n - real) * 1.0::DOUBLE) END f, real FROM c)
+SELECT g, n, CASE WHEN min(real) > 0 THEN round(avg(CASE WHEN real > 0 AND real < n THEN {_sql_inverse_normal('h::DOUBLE')} - {_sql_inverse_normal('f::DOUBLE')} END), 6) + 0 END AS dprime FROM r GROUP BY g, n
+""")
 def dprime(t):
-    """Inverse normal is not in SQL; tested against statistics.NormalDist."""
-    return S.dprime(_predictions(t), ["g"], "a", "p")
+    return S.dprime(_predictions(t), ["g"], "a", "p").withColumn("dprime", r6(F.col("dprime")))
 
 
 for _kind, _edges in (("linear", "SELECT i, lo + (hi + 0.0001 - lo) / 8 * i e FROM (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer), range(9) g(i)"), ("density", "SELECT i, quantile_cont(c_acctbal, i / 8.0) + CASE WHEN i = 8 THEN 0.0001 ELSE 0 END e FROM customer, range(9) g(i) GROUP BY i")):
