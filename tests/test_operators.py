@@ -178,8 +178,8 @@ def test_kernels():
     assert e.sum(axis=0).argmax() == 0
     p = K.steerable_pyramid(x, 2)
     assert p["bands"][0].shape == (3, 4, 32, 32) and p["bands"][1].shape == (3, 4, 16, 16) and p["low"].shape == (3, 8, 8)
-    t = K.texture_statistics(x, np.ones((32, 32)), 2, 4, 5)
-    assert np.allclose(t["pixel"][:, 0], x.mean(axis=(-2, -1))) and all(np.isfinite(v).all() for v in t.values())
+    t = K.texture_statistics(x, (0.0, 0.0, 50.0), 2, 4)
+    assert np.allclose(t["pixel_stats"][:, 0], x.mean(axis=(-2, -1)), rtol=1e-3) and all(np.isfinite(v).all() for v in t.values())
     assert K.inside([2, 2, 8, 2, 8, 6, 2, 6], 10, 10).sum() == 24
 
 
@@ -419,3 +419,48 @@ def test_trials_and_residual_checks(spark):
     assert len(chosen) == len(set(chosen)) > 50
     out = TR.concatenated({"a": rows, "b": rows.limit(0), "c": rows}, "trial_ix").collect()
     assert [(r.subject, r.trial_ix) for r in out] == [("a", 1), ("a", 2), ("c", 4), ("c", 5)]
+
+
+def test_texture_groups_match_the_dictionary():
+    """Widths and names group by group, and values of several groups by plain loops over pixels."""
+    from voxelframe.operators.catalogue import TEXTURE_GROUPS
+
+    rng = np.random.default_rng(16)
+    x, field = rng.normal(size=(2, 64, 64)).cumsum(axis=1), (0.1, -0.15, 0.12)
+    t = K.texture_statistics(x, field)
+    assert [(name, v.shape) for name, v in t.items()] == [(name, (2, n)) for name, n, _ in TEXTURE_GROUPS]
+    assert all(np.isfinite(v).all() for v in t.values())
+
+    def weights(n):
+        g = np.array([[np.exp(-((c / (n - 1) - 0.5 - 0.1) ** 2 + (r / (n - 1) - 0.5 - 0.15) ** 2) / (2 * 0.12**2)) for c in range(n)] for r in range(n)])
+        return g / g.sum()
+
+    p = K.steerable_pyramid(x)
+    w = weights(64)
+    mean = (x * w).sum(axis=(1, 2))
+    assert np.allclose(t["pixel_stats"][:, 0], mean) and np.allclose(t["pixel_stats"][:, 1], ((x - mean[:, None, None]) ** 2 * w).sum(axis=(1, 2)) + 1e-6)
+    assert np.allclose(t["pixel_stats"][:, 4:], np.stack([x.min(axis=(1, 2)), x.max(axis=(1, 2))], axis=1))
+    bands = p["bands"][::-1]  # coarse to fine
+    for scale, band in enumerate(bands):
+        w = weights(band.shape[-1])
+        assert np.allclose(t["mean_magnitudes"].reshape(2, 4, 4)[:, scale], (np.abs(band) * w).sum(axis=(2, 3)))
+        assert np.allclose(t["mean_realparts"].reshape(2, 4, 4)[:, scale], (band.real * w).sum(axis=(2, 3)))
+        for name, part in (("magnitude", np.abs(band)), ("real", band.real)):
+            pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+            for k, (a, b) in enumerate(pairs):
+                u, v = (part[:, c] - (part[:, c] * w).sum(axis=(1, 2))[:, None, None] for c in (a, b))
+                assert np.allclose(t[f"{name}_within_scale_crosscorrs"].reshape(2, 4, 6)[:, scale, k], (u * v * w).sum(axis=(1, 2)) / w.size)
+    # the finest autocorrelation of the high residual, at each shift, by its definition
+    rows, cols = K.field_patch(field, 64, 7)
+    w = weights(64)[rows, cols]
+    patch = p["high"][:, rows, cols]
+    d = (patch - (patch * w).sum(axis=(1, 2))[:, None, None] / w.sum()) * np.sqrt(w)
+    side = d.shape[-1]
+    want = np.array([[[sum(d[n, r, c] * d[n, (r + a) % side, (c + b) % side] for r in range(side) for c in range(side)) for b in range(-3, 4)] for a in range(-3, 4)] for n in range(2)])
+    assert np.allclose(t["highpass_resid_autocorrs"], K.unique_correlations(want))
+    coarse = K.expand(p["low"], 2)
+    w = weights(coarse.shape[-1])
+    a, b = coarse, np.roll(coarse, 1, axis=2)
+    a, b = (v - (v * w).sum(axis=(1, 2))[:, None, None] for v in (a, b))
+    assert np.allclose(t["real_spatshift_within_scale_crosscorrs"][:, 0], (a * b * w).sum(axis=(1, 2)) / w.size)
+    assert np.allclose(K.expand(p["recon"][-1], 2).shape, p["recon"][-2].shape) and np.abs(p["recon"][0] - x).mean() < np.abs(x - x.mean()).mean()

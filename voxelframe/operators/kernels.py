@@ -22,10 +22,11 @@ def per_image(images: DataFrame, function, width: str = "w", pixels: str = "px",
                 out: list = [None] * part.num_rows
                 for size in np.unique(sizes):
                     at = np.flatnonzero(sizes == size)
-                    x = np.array([part.column(2)[int(i)].as_py() for i in at], float)
+                    x = np.stack([part.column(2)[int(i)].values.to_numpy(zero_copy_only=False) for i in at]).astype(float)
                     for i, row in zip(at, np.asarray(function(x.reshape(len(at), -1, int(size)))).reshape(len(at), -1), strict=True):
-                        out[i] = row.tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "f"])
+                        out[i] = row
+                ends = np.cumsum([0, *map(len, out)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.float64()))], [key, "f"])
 
     kind = dict(images.dtypes)[key]
     return images.select(key, width, pixels).mapInArrow(run, f"{key} {kind}, f array<double>")
@@ -228,7 +229,8 @@ def curvature_scores(x: np.ndarray, curved: list[np.ndarray], angular: list[np.n
 
 
 def steerable_pyramid(x: np.ndarray, scales: int = 4, orientations: int = 4) -> dict:
-    """high residual, bands[scale] of (n, orientation, h, w) complex, low residual.
+    """high residual, bands[scale] of (n, orientation, h, w) complex, low residual, and recon[scale]: the image
+    put together from that scale and all coarser ones (the last is the low residual alone).
 
     Raised-cosine radial masks an octave wide and cosine-power angular masks
     over half the plane, so a band's real part is its even response; each
@@ -242,61 +244,102 @@ def steerable_pyramid(x: np.ndarray, scales: int = 4, orientations: int = 4) ->
 
     f = np.fft.fft2(x)
     low, high, _ = masks(x.shape[-2:], 0)
-    out = {"high": np.fft.ifft2(f * high).real, "bands": []}
-    f = f * low
+    out = {"high": np.fft.ifft2(f * high).real, "bands": [], "recon": []}
+    f, passed = f * low, low
     from math import factorial
 
     norm = np.sqrt(2 ** (2 * (orientations - 1)) * factorial(orientations - 1) ** 2 / (orientations * factorial(2 * (orientations - 1))))
     for _ in range(scales):
         low, high, angle = masks(f.shape[-2:], 1)
+        out["recon"].append(np.fft.ifft2(f * passed).real)
         bands = []
         for k in range(orientations):
             turned = np.mod(angle - np.pi * k / orientations + np.pi, 2 * np.pi) - np.pi
             bands.append(np.fft.ifft2(f * high * 2 * norm * np.cos(turned) ** (orientations - 1) * (np.abs(turned) < np.pi / 2) * (-1j) ** (orientations - 1)))
         out["bands"].append(np.stack(bands, axis=1))
-        f = np.fft.fftshift(f * low, axes=(-2, -1))
         h, w = f.shape[-2:]
-        f = np.fft.ifftshift(f[..., h // 4 : h // 4 + h // 2, w // 4 : w // 4 + w // 2], axes=(-2, -1)) / 4
+        middle = lambda v: np.fft.ifftshift(np.fft.fftshift(v, axes=(-2, -1))[..., h // 4 : h // 4 + h // 2, w // 4 : w // 4 + w // 2], axes=(-2, -1))  # noqa: B023, E731
+        f, passed = middle(f * low) / 4, middle(passed * low)
     out["low"] = np.fft.ifft2(f).real
+    out["recon"].append(np.fft.ifft2(f * passed).real)
     return out
 
 
-def texture_statistics(x: np.ndarray, weights: np.ndarray, scales: int = 4, orientations: int = 4, shift: int = 7) -> dict[str, np.ndarray]:
-    """Groups of texture statistics under one weight map: pixel moments, means of band magnitudes, their
-    autocorrelations and cross-correlations between orientations and between scales, by group name."""
-    def scaled(h, w):
-        s = resize(weights, h, w)
-        return s / s.sum()
+#: Sides of the autocorrelations, from the low residual to the finest scale of four.
+AUTO_SIZES = (3, 3, 5, 7, 7)
+#: Rolls (rows, columns) of the low residual.
+SHIFTS = ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))
 
-    def moments(v, w):
-        m = (v * w).sum(axis=(-2, -1), keepdims=True)
-        var = ((v - m) ** 2 * w).sum(axis=(-2, -1)) + 1e-6
-        return np.stack([m[..., 0, 0], var, ((v - m) ** 3 * w).sum(axis=(-2, -1)) / var**1.5, ((v - m) ** 4 * w).sum(axis=(-2, -1)) / var**2], axis=-1)
 
-    pyramid = steerable_pyramid(x, scales, orientations)
-    mags = [np.abs(b) for b in pyramid["bands"]]
-    out = {"pixel": moments(x, scaled(*x.shape[-2:]))}
-    low = pyramid["low"]
-    out["low_moments"] = moments(low, scaled(*low.shape[-2:]))[..., 2:]
-    out["high_variance"] = moments(pyramid["high"], scaled(*x.shape[-2:]))[..., 1:2]
-    out["mean_magnitude"] = np.concatenate([(m * scaled(*m.shape[-2:])).sum(axis=(-2, -1)) for m in mags], axis=-1)
-    out["magnitude_autocorr"] = np.concatenate([unique_correlations(auto_correlation(m, scaled(*m.shape[-2:]), shift)).reshape(len(x), -1) for m in mags], axis=-1)
-    out["low_autocorr"] = unique_correlations(auto_correlation(low, scaled(*low.shape[-2:]), shift))
-
-    def cross(a, b, w):
-        a, b = (v - (v * w).sum(axis=(-2, -1), keepdims=True) for v in (a, b))
-        return np.einsum("nihw,njhw,hw->nij", a, b, w)
+def field_patch(field: tuple[float, float, float], n: int, least: int, sd: float = 2.0) -> tuple[slice, slice]:
+    """Rows and columns of the square about a field's centre, sd deviations to each side, at least so large, moved and cut to the image."""
+    x, y, sigma = field
+    side = min(n, max(least, int(np.ceil(2 * sd * sigma * n)) | 1))
+
+    def part(c):
+        first = int(round((c + 0.5) * (n - 1))) - side // 2
+        first = min(max(first, 0), n - side)
+        return slice(first, first + side)
+
+    return part(-y), part(x)
+
 
+def texture_statistics(x: np.ndarray, field: tuple[float, float, float], scales: int = 4, orientations: int = 4) -> dict[str, np.ndarray]:
+    """(n, columns) arrays by group name, in the order of the texture dictionary: statistics of a steerable pyramid
+    under a field (x, y, sigma) whose weights are taken anew at each resolution.
+
+    Scales go from coarse to fine. Autocorrelations are of the square about the
+    field; covariances between maps are over the whole image, divided by its
+    pixels. The coarser map's phase is doubled before real parts are compared.
+    """
+    pyramid = steerable_pyramid(x, scales, orientations)
+    bands, recon, n = pyramid["bands"][::-1], pyramid["recon"][::-1], len(x)
+    sizes = (AUTO_SIZES[-1:] * scales + AUTO_SIZES)[-(scales + 1) :] if scales > 4 else AUTO_SIZES[-(scales + 1) :]
+    weights = {side: blob((field[0], -field[1]), field[2], side) for side in {v.shape[-1] for v in (x, *recon, *bands)}}
+    weights = {side: w / max(w.sum(), 1e-300) for side, w in weights.items()}
+    flat = lambda parts: np.concatenate([p.reshape(n, -1) for p in parts], axis=-1)
+
+    def mean(v):
+        return (v * weights[v.shape[-1]]).sum(axis=(-2, -1))
+
+    def moments(v):
+        d = v - mean(v)[..., None, None]
+        var = mean(d**2) + 1e-6
+        return np.stack([mean(v), var, mean(d**3) / var**1.5, mean(d**4) / var**2], axis=-1)
+
+    def auto(v, size):
+        rows, cols = field_patch(field, v.shape[-1], size)
+        w = weights[v.shape[-1]][rows, cols]
+        return unique_correlations(auto_correlation(v[..., rows, cols], w, size) * w.sum())
+
+    def cross(a, b):
+        w = weights[a.shape[-1]]
+        a, b = (v - mean(v)[..., None, None] for v in (a, b))
+        return np.einsum("nihw,njhw,hw->nij", a, b, w) / w.size
+
+    mags = [np.abs(b) for b in bands]
+    parents = [expand(b, 2) for b in bands[:-1]]
+    turned = [np.abs(p) * np.exp(2j * np.angle(p)) for p in parents]
     i, j = np.triu_indices(orientations, 1)
-    out["orientation_corr"] = np.concatenate([cross(m, m, scaled(*m.shape[-2:]))[:, i, j] for m in mags], axis=-1)
-    out["scale_corr"] = np.concatenate([cross(m, expand(p, 2)[..., : m.shape[-2], : m.shape[-1]], scaled(*m.shape[-2:])).reshape(len(x), -1) for m, p in zip(mags, mags[1:], strict=False)], axis=-1)
-    phased = []
-    for b, p in zip(pyramid["bands"], pyramid["bands"][1:], strict=False):
-        up = expand(p, 2)
-        up = np.abs(up) * np.exp(2j * np.angle(up))
-        phased.append(cross(b.real, np.concatenate([up.real, up.imag], axis=1), scaled(*b.shape[-2:])).reshape(len(x), -1))
-    out["phase_corr"] = np.concatenate(phased, axis=-1)
-    return out
+    coarse = expand(pyramid["low"], 2)
+    moved = np.stack([np.roll(coarse, s, axis=(-2, -1)) for s in SHIFTS], axis=1)
+    k, m = np.triu_indices(len(SHIFTS), 1)
+    return {
+        "pixel_stats": np.concatenate([moments(x), x.min(axis=(-2, -1))[:, None], x.max(axis=(-2, -1))[:, None]], axis=-1),
+        "mean_magnitudes": flat(mean(v) for v in mags),
+        "mean_realparts": flat(mean(b.real) for b in bands),
+        "marginal_stats_lowpass_recons": flat(moments(v)[..., 2:] for v in recon),
+        "variance_highpass_resid": moments(pyramid["high"])[..., 1:2],
+        "magnitude_feature_autocorrs": flat(auto(v - v.mean(axis=(-2, -1), keepdims=True), size) for v, size in zip(mags, sizes[1:], strict=True)),
+        "lowpass_recon_autocorrs": flat(auto(v, size) for v, size in zip(recon, sizes, strict=True)),
+        "highpass_resid_autocorrs": flat([auto(pyramid["high"], sizes[-1])]),
+        "magnitude_within_scale_crosscorrs": flat(cross(v, v)[:, i, j] for v in mags),
+        "real_within_scale_crosscorrs": flat(cross(b.real, b.real)[:, i, j] for b in bands),
+        "magnitude_across_scale_crosscorrs": flat(cross(v, np.abs(p)) for v, p in zip(mags[1:], parents, strict=True)),
+        "real_imag_across_scale_crosscorrs": flat(cross(b.real, part) for b, p in zip(bands[1:], turned, strict=True) for part in (p.real, p.imag)),
+        "real_spatshift_within_scale_crosscorrs": cross(moved, moved)[:, k, m],
+        "real_spatshift_across_scale_crosscorrs": flat([cross(bands[0].real, moved)]),
+    }
 
 
 def inside(polygon: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -17,6 +17,45 @@ def pooled(images: DataFrame, weights: DataFrame) -> DataFrame:
     return images.join(weights, ["row", "col"]).groupBy("image_ix", "prf_ix").agg(F.sum(F.col("w") * F.col("v")).alias("f"))
 
 
+#: Values of a grid's weights that may be sent to every task.
+MOST_WEIGHTS = 20_000_000
+
+
+def pooled_images(images: DataFrame, grid: DataFrame, side: int, by: list[str]) -> DataFrame:
+    """(by, f): weighted sums of images(by, px; side by side pixels by row) under every field of grid, in order of prf_ix.
+
+    A grid is a generated table: its weights are made once a task from its
+    checked rows, and a batch of images is one matrix product, so no pixel is
+    joined or shuffled. For maps of a network, by holds image and channel.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    fields = grid.select("prf_ix", "x", "y", "sigma").orderBy("prf_ix").limit(MOST_WEIGHTS // (side * side) + 1).collect()
+    if len(fields) * side * side > MOST_WEIGHTS:
+        raise ValueError("pool under fewer fields or smaller images at once")
+    places = [(r.x, r.y, r.sigma) for r in fields]
+
+    def run(batches):
+        line = np.linspace(-0.5, 0.5, side)
+        weights = np.empty((side * side, len(places)))
+        for k, (x, y, sigma) in enumerate(places):
+            g = np.exp(-((line[None, :] - x) ** 2 + (line[:, None] + y) ** 2) / (2 * sigma**2))
+            total = g.sum()
+            weights[:, k] = (g / total if total else g * np.nan).ravel()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                px = part.column(len(by))
+                f = px.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) @ weights
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * len(places)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(by))), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.ravel()))], [*by, "f"])
+
+    types = dict(images.dtypes)
+    rows = images.select(*by, F.col("px").cast("array<double>").alias("px")).where("px is not null")
+    return rows.mapInArrow(run, ", ".join(f"{b} {types[b]}" for b in by) + ", f array<double>")
+
+
 def scaled_pool(images: DataFrame, weights: DataFrame) -> DataFrame:
     """As pooled, with weights scaled to 0..1 within each field, and the mean over pixels."""
     w = Window.partitionBy("prf_ix")

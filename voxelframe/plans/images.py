@@ -33,10 +33,26 @@ def gist_features(t):
 
 @query()
 def texture_features(t):
+    """All 641 texture statistics under one field."""
     import numpy as np
 
-    w = K.blob((0, 0), 0.2, 32)
-    return _short(K.per_image(_images(t), lambda x: np.concatenate(list(K.texture_statistics(x, w, 2, 4, 5).values()), axis=-1)))
+    return _short(K.per_image(_images(t), lambda x: np.concatenate(list(K.texture_statistics(x, (0.0, 0.0, 0.2)).values()), axis=-1)))
+
+
+_SIDE = "(SELECT s_suppkey AS image_ix, r, c, ((s_suppkey * 31 + r * r * 7 + c * 13 + r * c) % 256)::DOUBLE v FROM supplier, range(32) a(r), range(32) b(c))"
+
+
+@query(f"""
+WITH g AS (SELECT r, c, exp(-(pow(-0.5 + c / 31.0 - 0.1, 2) + pow(-0.5 + r / 31.0 + 0.2, 2)) / (2 * 0.15 * 0.15)) g FROM range(32) a(r), range(32) b(c)), w AS (SELECT r, c, g / sum(g) OVER () w FROM g),
+m AS (SELECT image_ix, sum(w * v) m FROM {_SIDE} JOIN w USING (r, c) GROUP BY ALL),
+s AS (SELECT image_ix, any_value(m) m, sum(w * pow(v - m, 2)) + 1e-6 var, sum(w * pow(v - m, 3)) c3, sum(w * pow(v - m, 4)) c4, min(v) low, max(v) high FROM {_SIDE} JOIN w USING (r, c) JOIN m USING (image_ix) GROUP BY ALL)
+SELECT image_ix, round(m, 5) + 0 AS mean, round(var, 4) + 0 AS var, round(c3 / pow(var, 1.5), 5) + 0 AS skew, round(c4 / (var * var), 5) + 0 AS kurtosis, low, high FROM s
+""")
+def texture_pixel_stats(t):
+    """The texture statistics' first group, which SQL can state."""
+    f = K.per_image(_images(t), lambda x: K.texture_statistics(x, (0.1, 0.2, 0.15))["pixel_stats"])
+    places = (5, 4, 5, 5, 1, 1)
+    return f.select("image_ix", *((F.round(F.col("f")[k], n) + F.lit(0.0)).alias(name) for k, (name, n) in enumerate(zip(("mean", "var", "skew", "kurtosis", "low", "high"), places, strict=True))))
 
 
 @query()

@@ -160,6 +160,42 @@ def pooled_features(t):
     return PX.pooled(_images(t).select("image_ix", "row", "col", "v"), GR.gaussian_weights(_small(t), 20)).withColumn("f", F.round("f", 4) + F.lit(0.0))
 
 
+def _arrays(t, layers: int = 1):
+    """(image_ix, layer, px): the images of _images as arrays by row."""
+    k, i = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(399))
+    rows = t.supplier.select(k, F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
+    r, c = lambda p: F.floor(p / 20), lambda p: p % 20
+    px = F.transform(i, lambda p: F.pmod(k * 31 + F.col("layer") * 5 + r(p) * r(p) * 7 + c(p) * 13 + r(p) * c(p), F.lit(256)).cast("double"))
+    return rows.select(k.alias("image_ix"), "layer", px.alias("px"))
+
+
+def _map_sql(grid, layers):
+    pixels = f"(SELECT f.prf_ix, r.r AS row, c.c AS col, exp(-(pow(-0.5 + c.c / 19.0 - x, 2) + pow(-0.5 + r.r / 19.0 + y, 2)) / (2 * sigma * sigma)) AS g FROM ({grid}) f, range(20) r(r), range(20) c(c))"
+    images = f"(SELECT s_suppkey AS image_ix, k.k::INTEGER AS layer, r.r AS row, c.c AS col, ((s_suppkey * 31 + k.k * 5 + r.r * r.r * 7 + c.c * 13 + r.r * c.c) % 256)::DOUBLE AS v FROM supplier, range({layers}) k(k), range(20) r(r), range(20) c(c))"
+    return f"WITH w AS (SELECT prf_ix, row, col, g / sum(g) OVER (PARTITION BY prf_ix) w FROM {pixels}), f AS (SELECT image_ix, layer, prf_ix, sum(w * v) f FROM {images} JOIN w USING (row, col) GROUP BY ALL)"
+
+
+_FULL = "SELECT i AS prf_ix, (i % 40) / 40.0 - 0.5 AS x, (i // 40) / 40.0 - 0.45 AS y, 0.03 + 0.01 * (i % 11) AS sigma FROM range(1456) g(i)"
+
+
+@query(f"{_map_sql(_FULL, 1)} SELECT image_ix, count(*) AS fields, round(min(f), 4) + 0 AS least, round(max(f), 4) + 0 AS most, round(sum(f * (prf_ix % 7)), 2) + 0 AS mixed FROM f GROUP BY ALL")
+def pooled_all_fields(t):
+    """Every image under 1,456 fields."""
+    i = F.col("id")
+    grid = t.spark.range(1456).select(i.alias("prf_ix"), (i % 40 / 40.0 - 0.5).alias("x"), (F.floor(i / 40) / 40.0 - 0.45).alias("y"), (0.03 + 0.01 * (i % 11)).alias("sigma"))
+    f = PX.pooled_images(_arrays(t), grid, 20, ["image_ix"])
+    mixed = F.aggregate(F.transform("f", lambda v, k: v * (k % 7)), F.lit(0.0), lambda a, v: a + v)
+    four = lambda c: F.round(c, 4) + F.lit(0.0)
+    return f.select("image_ix", F.size("f").cast("long").alias("fields"), four(F.array_min("f")).alias("least"), four(F.array_max("f")).alias("most"), (F.round(mixed, 2) + F.lit(0.0)).alias("mixed"))
+
+
+@query(f"{_map_sql(_SMALL, 3)} SELECT image_ix, layer, prf_ix, round(f, 4) + 0 AS f FROM f")
+def pooled_maps(t):
+    """Stored maps of several channels, as a network gives them, pooled by field."""
+    f = PX.pooled_images(_arrays(t, 3), _small(t), 20, ["image_ix", "layer"])
+    return f.select("image_ix", "layer", F.posexplode("f").alias("prf_ix", "f")).select("image_ix", "layer", F.col("prf_ix").cast("long").alias("prf_ix"), (F.round("f", 4) + F.lit(0.0)).alias("f"))
+
+
 @query(f"SELECT image_ix, prf_ix, round(avg(v * (g - lo) / (hi - lo)), 4) + 0 AS f FROM {_IMG} i JOIN (SELECT *, min(g) OVER (PARTITION BY prf_ix) lo, max(g) OVER (PARTITION BY prf_ix) hi FROM {_PIXELS}) USING (row, col) GROUP BY ALL")
 def scaled_pool(t):
     return PX.scaled_pool(_images(t).select("image_ix", "row", "col", "v"), GR.gaussian_weights(_small(t), 20)).withColumn("f", F.round("f", 4) + F.lit(0.0))
