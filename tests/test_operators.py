@@ -464,3 +464,29 @@ def test_texture_groups_match_the_dictionary():
     a, b = (v - (v * w).sum(axis=(1, 2))[:, None, None] for v in (a, b))
     assert np.allclose(t["real_spatshift_within_scale_crosscorrs"][:, 0], (a * b * w).sum(axis=(1, 2)) / w.size)
     assert np.allclose(K.expand(p["recon"][-1], 2).shape, p["recon"][-2].shape) and np.abs(p["recon"][0] - x).mean() < np.abs(x - x.mean()).mean()
+
+
+def test_stored_fits_predict_other_images(spark, tmp_path):
+    """A whole job: fit, keep, load the latest run, predict images that were not fitted."""
+    import datetime
+
+    from voxelframe.sources import stores as ST
+
+    x, y, split, feats, resp = _refit_data(spark)
+    ST.fit_and_store(feats, resp, [0.0, 1.0], str(tmp_path), "s1", ["a"], datetime.datetime(2021, 1, 31, 12, 5))
+    fits = ST.load_result(spark, str(tmp_path), "s1", "a", "fits")
+    assert {r.prf_ix for r in fits.collect()} == {0}
+    scores = ST.load_result(spark, str(tmp_path), "s1", "a", "scores").collect()
+    assert len(scores) == 3 and all(r.n == 18 and r.r2 > 0.8 for r in scores)
+    other = spark.createDataFrame([(0, 1000 + k, [float(k), 1.0, 2.0, 3.0]) for k in range(4)], "prf_ix int, image_ix long, f array<double>")
+    got = {(r.voxel_ix, r.image_ix): r.yhat for r in M.predict(other, fits).collect()}
+    w = {r.voxel_ix: r for r in fits.collect()}
+    for (v, image), yhat in got.items():
+        f = np.array([image - 1000.0, 1.0, 2.0, 3.0])
+        assert yhat == pytest.approx(float(((f - w[v]["mean"]) / w[v].sd) @ w[v].w + w[v].bias))
+
+
+def test_max_pool_and_maps():
+    x = np.arange(2 * 9 * 8, dtype=float).reshape(2, 9, 8)
+    want = np.array([[[x[n, 4 * i : 4 * i + 4, 4 * j : 4 * j + 4].max() for j in range(2)] for i in range(2)] for n in range(2)])
+    assert (K.max_pool(x, 4) == want).all()

@@ -41,6 +41,14 @@ def texture_columns(spark: SparkSession) -> DataFrame:
     return each.select(number, "group_ix", "group_name", "simple_ix", "simple_name").withColumn("low_level", F.col("column") < LOW_LEVEL)
 
 
+def component_groups(names: Column) -> Column:
+    """Number of the simple group of a component, from the name of the texture group (or of one of its scales) that it was fitted on."""
+    out = F.lit(None).cast("int")
+    for name, _, simple in TEXTURE_GROUPS:
+        out = F.when(F.contains(names, F.lit(name)), SIMPLE.index(simple)).otherwise(out)
+    return out
+
+
 def scale_groups(columns: DataFrame, kind: str, scale: str) -> DataFrame:
     """A dense number for each (kind, scale) pair, in order; numbered over the distinct pairs."""
     pairs = columns.select(kind, scale).distinct().withColumn("pair_ix", F.dense_rank().over(Window.orderBy(kind, scale)) - 1)

@@ -21,6 +21,17 @@ def texture_columns(t):
     return C.texture_columns(t.spark)
 
 
+@query(f"""
+WITH g(group_ix, group_name, n, simple_ix, simple_name) AS (VALUES {_GROUPS})
+SELECT p_partkey, simple_ix FROM part JOIN g ON group_ix = p_partkey % 14
+""")
+def component_groups(t):
+    """Components of a decomposition by group and scale, in the ten simple groups."""
+    names = F.array(*[F.lit(name) for name, *_ in C.TEXTURE_GROUPS])
+    name = F.concat(F.get(names, (F.col("p_partkey") % 14).cast("int")), F.lit("_scale"), (F.col("p_size") % 4).cast("string"))
+    return t.part.select("p_partkey", C.component_groups(name).alias("simple_ix"))
+
+
 @query("""
 WITH p AS (SELECT p_brand, p_size % 4 AS scale, dense_rank() OVER (ORDER BY p_brand, p_size % 4) - 1 AS pair_ix FROM (SELECT DISTINCT p_brand, p_size FROM part))
 SELECT DISTINCT p_partkey, pair_ix FROM part JOIN p ON p.p_brand = part.p_brand AND p.scale = part.p_size % 4

@@ -178,6 +178,53 @@ def checked_residuals(t):
     return TR.checked_residuals(rows, trials).withColumn("residual", F.round("residual", 4) + F.lit(0.0))
 
 
+@query("""
+WITH x AS (SELECT f.f AS prf_ix, label, k.k AS feat_ix, embedding[f.f * 16 + k.k + 1]::DOUBLE v FROM embeddings, range(4) f(f), range(16) k(k)),
+a AS (SELECT prf_ix, feat_ix, c.c AS axis, v, (label = c.c)::INTEGER l FROM x, range(10) c(c))
+SELECT prf_ix::INTEGER AS prf_ix, feat_ix, axis, count(*) AS n, round(covar_pop(v, l) / nullif(sqrt(var_pop(v) * var_pop(l)), 0), 6) + 0 AS r FROM a GROUP BY ALL
+""")
+def field_label_correlations(t):
+    """Correlation of each feature of each field with each label, from one pass over sums by class."""
+    f = _features(t).join(t.embeddings.select(F.col("vec_id").alias("image_ix"), "label"), "image_ix")
+    long = f.select("prf_ix", "label", F.posexplode("f").alias("feat_ix", "v"))
+    sums = long.groupBy("prf_ix", "feat_ix", "label").agg(F.count("*").alias("c"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    each = sums.withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    hit = F.col("label") == F.col("axis")
+    a = each.groupBy("prf_ix", "feat_ix", "axis").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.when(hit, F.col("c")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("s")).otherwise(0.0)).alias("p"))
+    n, k = F.col("n"), F.col("k")
+    r = F.try_divide(F.col("p") / n - F.col("s") / n * (k / n), F.nullif(F.sqrt((F.col("q") / n - F.col("s") / n * (F.col("s") / n)) * (k / n) * (1 - k / n)), F.lit(0.0)))
+    return a.select("prf_ix", F.col("feat_ix").cast("long").alias("feat_ix"), F.col("axis").cast("long").alias("axis"), "n", r6(r).alias("r"))
+
+
+@query("""
+WITH s AS (SELECT label AS "set", vec_id FROM embeddings UNION ALL SELECT 100 + vec_id % 3, vec_id FROM embeddings), f AS (SELECT vec_id, k.k AS feat_ix, embedding[k.k + 1]::DOUBLE v FROM embeddings, range(64) k(k))
+SELECT "set", feat_ix, count(*) n, round(avg(v), 6) + 0 AS mean, round(var_pop(v), 6) + 0 AS var FROM s JOIN f USING (vec_id) GROUP BY ALL
+""")
+def feature_stats_by_set(t):
+    """Mean and variance of each feature over sets of trials that overlap."""
+    from ..operators.aggregates import feature_stats
+
+    k = F.col("vec_id")
+    sets = t.embeddings.select(F.col("label").cast("long").alias("set"), k).union(t.embeddings.select((100 + k % 3).cast("long"), k))
+    rows = sets.join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("set", F.posexplode("embedding").alias("feat_ix", "v")).withColumn("v", F.col("v").cast("double"))
+    out = feature_stats(rows, ["set", "feat_ix"], "v")
+    return out.select("set", F.col("feat_ix").cast("long").alias("feat_ix"), "n", r6(F.col("mean")).alias("mean"), r6(F.col("var")).alias("var"))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, l_partkey, round(avg(l_discount), 8) v FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY v DESC, l_partkey) k FROM s)
+SELECT l_suppkey, round(avg(p_retailprice) FILTER (k <= 10), 4) + 0 AS top, round(avg(p_retailprice), 4) + 0 AS "all" FROM k JOIN part ON p_partkey = l_partkey GROUP BY ALL
+""")
+def top_image_scores(t):
+    """Mean score of each channel's ten best images beside that of all its images."""
+    from ..operators.ranking import top
+
+    s = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.round(F.avg("l_discount"), 8).alias("v"))
+    scores = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    mean = lambda df, name: df.join(scores, "l_partkey").groupBy("l_suppkey").agg((F.round(F.avg("p_retailprice"), 4) + F.lit(0.0)).alias(name))
+    return mean(top(s, ["l_suppkey"], F.col("v"), "l_partkey", 10), "top").join(mean(s, "all"), "l_suppkey")
+
+
 @query()
 def simulation_fields(t):
     """A spread subset of the default grid; tested against a plain loop."""

@@ -26,6 +26,12 @@ def gabor_features(t):
     return _short(K.per_image(_images(t), lambda x: K.gabor_energy(x, 6, 3).mean(axis=(-2, -1))))
 
 
+@query()
+def gabor_maps(t):
+    """Gabor energy without averaging: the largest value of each 4 by 4 block of each filter's map."""
+    return _short(K.per_image(_images(t), lambda x: K.max_pool(K.gabor_energy(x, 4, 2), 4)))
+
+
 @query()
 def gist_features(t):
     return _short(K.per_image(_images(t), K.gist))

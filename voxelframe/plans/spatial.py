@@ -245,6 +245,49 @@ def colours(t):
     return t.part.select(p, r6(C.linear(rgb[0])).alias("linear_r"), *(r6(c).alias(n) for c, n in zip(C.xyz(*rgb), "xyz", strict=True)), *(five(c).alias(n) for c, n in zip(C.lab(*rgb), "lab", strict=True)), r6(C.saturation(*rgb)).alias("saturation"), r6(C.luma(*rgb)).alias("luma"))
 
 
+_CRGB = "(SELECT s_suppkey AS image_ix, r.r AS row, c.c AS col, ((s_suppkey * 37 + r.r * 11) % 256)::DOUBLE r, ((s_suppkey * 91 + c.c * 7) % 256)::DOUBLE g, ((s_suppkey * 53 + r.r * c.c) % 256)::DOUBLE b FROM supplier, range(20) r(r), range(20) c(c))"
+
+
+@query(f"""
+WITH l AS (SELECT *, {_LIN('r')} lr, {_LIN('g')} lg, {_LIN('b')} lb FROM {_CRGB}),
+x AS (SELECT *, 0.4124564 * lr + 0.3575761 * lg + 0.1804375 * lb x, 0.2126729 * lr + 0.7151522 * lg + 0.0721750 * lb y, 0.0193339 * lr + 0.1191920 * lg + 0.9503041 * lb z FROM l),
+f AS (SELECT *, {_F('(x / 0.95047)')} fx, {_F('y')} fy, {_F('(z / 1.08883)')} fz FROM x),
+k AS (SELECT image_ix, row, col, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b, CASE WHEN greatest(r, g, f.b) = 0 THEN 0 ELSE (greatest(r, g, f.b) - least(r, g, f.b)) / greatest(r, g, f.b) END AS s FROM f)
+SELECT image_ix, prf_ix, round(sum(w * l), 4) + 0 AS l, round(sum(w * a), 4) + 0 AS a, round(sum(w * b), 4) + 0 AS b, round(sum(w * s), 5) + 0 AS saturation FROM k JOIN {_W} USING (row, col) GROUP BY ALL
+""")
+def colour_features(t):
+    """Lightness, opponent colours and saturation of every image, averaged within each field."""
+    i, r, c = F.col("image_ix"), F.col("row"), F.col("col")
+    px = t.supplier.select(F.col("s_suppkey").alias("image_ix")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    rgb = [((i * 37 + r * 11) % 256).cast("double"), ((i * 91 + c * 7) % 256).cast("double"), ((i * 53 + r * c) % 256).cast("double")]
+    maps = px.select(i, r, c, *(v.alias(n) for v, n in zip((*C.lab(*rgb), C.saturation(*rgb)), ("l", "a", "b", "s"), strict=True)))
+    rows = maps.join(GR.gaussian_weights(_small(t), 20), ["row", "col"]).groupBy("image_ix", "prf_ix")
+    pooled = lambda n, k: (F.round(F.sum(F.col("w") * F.col(n)), k) + F.lit(0.0))
+    return rows.agg(*(pooled(n, 4).alias(n) for n in "lab"), pooled("s", 5).alias("saturation"))
+
+
+@query(f"""
+SELECT prf_ix, round((x * 8.4)::DOUBLE, 6) + 0 AS x, round((y * 8.4)::DOUBLE, 6) + 0 AS y, round((sigma * 8.4)::DOUBLE, 6) + 0 AS size, round(sqrt((x * x + y * y)::DOUBLE) * 8.4, 6) + 0 AS eccentricity FROM {_SMALL}
+""")
+def field_degrees(t):
+    """Place and size of fields in degrees of a screen 8.4 wide."""
+    x, y, s = (F.col(k) * 8.4 for k in ("x", "y", "sigma"))
+    return _small(t).select("prf_ix", r6(x).alias("x"), r6(y).alias("y"), r6(s).alias("size"), r6(F.sqrt(x * x + y * y)).alias("eccentricity"))
+
+
+@query("""
+WITH g AS (SELECT i AS prf_ix, (i % 40) / 40.0::DOUBLE - 0.497 AS x, (i // 40) / 40.0::DOUBLE - 0.447 AS y, 0.013 + 0.01 * (i % 11) AS s FROM range(1456) g(i)),
+c AS (SELECT prf_ix, ceil(s * 2 * 240) AS reach, 120.0 - y * 240 AS r0, x * 240 + 120.0 AS c0 FROM g),
+n AS (SELECT prf_ix, reach, CASE WHEN ceil(r0) = floor(r0) THEN r0 + 0.0001 ELSE r0 END AS r, CASE WHEN ceil(c0) = floor(c0) THEN c0 + 0.0001 ELSE c0 END AS c FROM c)
+SELECT prf_ix, greatest(least(floor(r - reach), 240), 0)::INTEGER AS xmin, greatest(least(ceil(r + reach), 240), 0)::INTEGER AS xmax, greatest(least(floor(c - reach), 240), 0)::INTEGER AS ymin, greatest(least(ceil(c + reach), 240), 0)::INTEGER AS ymax FROM n
+""")
+def clipped_boxes(t):
+    """Pixel boxes of 1,456 fields, clipped to the image."""
+    i = F.col("id")
+    g = t.spark.range(1456).select(i.alias("prf_ix"), (i % 40 / 40.0 - 0.497).alias("x"), (F.floor(i / 40) / 40.0 - 0.447).alias("y"), (0.013 + 0.01 * (i % 11)).alias("sigma"))
+    return g.select("prf_ix", G.prf_box(F.col("x"), F.col("y"), F.col("sigma"), 240).alias("b")).select("prf_ix", "b.*")
+
+
 @query("""
 WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 360)::DOUBLE a, (s_suppkey % 50) / 6.0 + 0.01 e FROM supplier), c AS (SELECT *, e * cos(radians(a)) x, e * sin(radians(a)) y FROM p), b AS (SELECT *, degrees(atan2(y, x)) d FROM c)
 SELECT s_suppkey, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(CASE WHEN d < -1e-9 THEN d + 360 ELSE d END, 5) + 0 AS angle, round(sqrt(x * x + y * y), 6) + 0 AS eccentricity, round(2 * exp(3 * (cos((a - 90) / 180 * pi()) - 1)) + 1, 6) AS von_mises FROM b

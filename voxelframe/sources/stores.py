@@ -125,6 +125,17 @@ def model_name(parts: list[str], field_fits: bool = True, pooled: bool = True) -
     return "_plus_".join(parts) + ("" if field_fits else "_precomputed_fields") + ("" if pooled else "_whole_image")
 
 
+def fit_and_store(features: DataFrame, responses: DataFrame, penalties, root: str, subject: str, parts: list[str], when: datetime.datetime, masks: dict | None = None) -> str:
+    """Fits all fields, keeps each channel's best one, validates it, and writes the tables fits and scores to the run's folder, which is returned."""
+    from ..operators import models as M
+
+    path = result_path(root, subject, model_name(parts), when)
+    M.best_field(M.fit_ridge(features, responses, penalties, masks)).write.parquet(f"{path}/fits")
+    fits = features.sparkSession.read.parquet(f"{path}/fits")
+    M.validate(M.predict(features.where("split = 'val'"), fits), responses).write.parquet(f"{path}/scores")
+    return path
+
+
 def load_result(spark: SparkSession, root: str, subject: str, model: str, table: str, n_from_end: int = 0) -> DataFrame:
     """A table of the n-th latest run of a model; the folders are listed, their tables not read."""
     jvm = spark._jvm
