@@ -111,6 +111,8 @@ class CuckooIndex:
         return ((r[0], r[1]) for r in self.content if r is not None)
 
 
+#: Rows whose digests one task's index holds at most, but for chance.
+TASK_ROWS = 500_000
 _COMBINED = "digest binary, no_id boolean, doc_id long, row long, live long, removed long"
 
 
@@ -167,6 +169,7 @@ def normal_digest(text: Column) -> Column:
 def exact_dedup(docs: DataFrame, text_col: str = "text", removed: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
+    doc_id is an integer of any width; others raise an error when cast.
     Texts are equal when identical after each run of blanks ([ \\t-\\r]) became
     one space; null counts as empty. Of equal texts the row with the smallest
     doc_id stays; of rows that repeat a doc_id and text, one; a row with a
@@ -182,7 +185,9 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", removed: DataFrame | No
         gone = F.coalesce("gone", F.lit(0).cast("long"))
     rows = stage.put(rows.select("doc_id", "digest", "row", gone.alias("gone")), "rows")
     keyed = rows.select("digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "row", (1 - F.col("gone")).alias("live"), F.col("gone").alias("removed"))
-    live = keyed.mapInArrow(_combine, _COMBINED).repartition("digest").mapInArrow(_index, _COMBINED)
+    parts = rows.count() // TASK_ROWS
+    spread = ("digest",) if parts <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else (parts, "digest")
+    live = keyed.mapInArrow(_combine, _COMBINED).repartition(*spread).mapInArrow(_index, _COMBINED)
     live = live.select("digest", F.when(~F.col("no_id"), F.col("doc_id")).alias("keep_id"), F.col("row").alias("keep_row"), F.col("live").alias("group_size"))
     out = rows.join(live, "digest", "left")
     return out.select(
