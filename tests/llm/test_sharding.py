@@ -41,3 +41,23 @@ def test_edges(spark):
     assert {r["size"] for r in rows if r.doc_id == 1} == {8} and {r["size"] for r in rows if r.doc_id == 2} == {100_008}
     assert all(r.text_crc32 == 0 for r in rows if r.doc_id == 1)
     assert shard(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
+
+
+def test_shards_are_ranges_of_a_plain_sort(spark):
+    """By brute force: ordered by text hash and doc_id, shard numbers never fall and slots count up from 0."""
+    import xxhash
+
+    docs = [(i, f"text {i % 700} " * (1 + i % 9)) for i in range(2500)] + [(9000 + i, "same text") for i in range(400)]
+    rows = {r.doc_id: r for r in shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 6).collect()}
+    order = sorted(docs, key=lambda d: (xxhash.xxh64(d[1].encode(), seed=42).hexdigest(), d[0]))
+    before, slot = 0, 0
+    for i, _ in order:
+        r = rows[i]
+        assert r.shard >= before
+        slot, before = (slot if r.shard == before else 0), r.shard
+        assert r.slot == slot
+        slot += 1
+    sizes = {}
+    for i, text in docs:
+        sizes[rows[i].shard] = sizes.get(rows[i].shard, 0) + len(text) + 8
+    assert len(sizes) == 6 and max(sizes.values()) < 1.1 * min(sizes.values())
