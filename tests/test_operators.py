@@ -490,3 +490,19 @@ def test_max_pool_and_maps():
     x = np.arange(2 * 9 * 8, dtype=float).reshape(2, 9, 8)
     want = np.array([[[x[n, 4 * i : 4 * i + 4, 4 * j : 4 * j + 4].max() for j in range(2)] for i in range(2)] for n in range(2)])
     assert (K.max_pool(x, 4) == want).all()
+
+
+def test_combined_versions_by_rule():
+    from voxelframe.operators.catalogue import combined_versions
+
+    got = combined_versions({"m": {"a": 1, "b": 1, "c": 1}, "n": {"x": 2}, "o": {"p": 1, "q": 1}})
+    assert got["just_n"] == [3, 4] and got["leave_out_m"] == [3, 4, 5, 6] and got["m_leave_out_b_no_other_modules"] == [0, 2]
+    assert got["o_just_p_plus_other_modules"] == [0, 1, 2, 3, 4, 5] and "m_just_a_plus_other_modules" not in got and not any(k.startswith("n_") for k in got)
+    assert set(combined_versions({"m": {"a": 1}, "n": {"b": 1}}, solo=False)) == {"full_combined", "leave_out_m", "leave_out_n"}
+    assert set(combined_versions({"m": {"a": 2}})) == {"full_combined", "just_m"}
+
+
+def test_array_slices(spark, tmp_path):
+    np.save(tmp_path / "m.npy", np.arange(10.0).reshape(2, 5))
+    rows = T.array_files(spark, str(tmp_path / "m.npy"), 4).orderBy("start").collect()
+    assert [r.start for r in rows] == [0, 4, 8] and sum((r["values"] for r in rows), []) == list(range(10)) and all(r.shape == [2, 5] for r in rows)

@@ -128,7 +128,7 @@ def gram(df: DataFrame, vector: str, width: int, by: list[str] | None = None) ->
     def partial(batches):
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            data = np.array(batch.column(len(by)).to_pylist(), float).reshape(-1, width)
+            data = batch.column(len(by)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) or [()] * len(data)
             rows: dict[tuple, list[int]] = {}
             for k, key in enumerate(keys):

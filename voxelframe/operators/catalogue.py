@@ -52,7 +52,7 @@ def component_groups(names: Column) -> Column:
 def scale_groups(columns: DataFrame, kind: str, scale: str) -> DataFrame:
     """A dense number for each (kind, scale) pair, in order; numbered over the distinct pairs."""
     pairs = columns.select(kind, scale).distinct().withColumn("pair_ix", F.dense_rank().over(Window.orderBy(kind, scale)) - 1)
-    return columns.join(F.broadcast(pairs), [kind, scale])
+    return columns.join(pairs, [kind, scale])
 
 
 def cluster_groups(cluster: Column) -> list[Column]:
@@ -61,36 +61,33 @@ def cluster_groups(cluster: Column) -> list[Column]:
     return [double, junction, ~double & ~junction & ~other, other]
 
 
+#: Versions of a combined model: name, needed (modules, subsets of the module; None for any number), and the test that
+#: its columns pass: whether they are of the version's module, and whether they are in its subset of the module's groups.
+_VERSIONS = (
+    ("full_combined", lambda n, k: True, lambda own, inside: True),
+    ("just_{module}", lambda n, k: True, lambda own, inside: own),
+    ("leave_out_{module}", lambda n, k: n > 2, lambda own, inside: not own),
+    ("{module}_{subset}_no_other_modules", lambda n, k: k > 0, lambda own, inside: own and inside),
+    ("{module}_{subset}_plus_other_modules", lambda n, k: k == 2, lambda own, inside: not own or inside),
+)
+
+
 def combined_versions(modules: dict[str, dict[str, int]], solo: bool = True) -> dict[str, list[int]]:
-    """Column masks of modules joined side by side; a module is its groups' widths by name.
+    """Column masks of modules joined side by side, by the rules of _VERSIONS; a module is its groups' widths by name.
 
-    full, just_<module> (with solo), leave_out_<module> (over two modules, or
-    without solo), and for a module of several groups its group versions alone
-    and, for exactly two groups, beside all other modules.
+    Without solo no module stands alone, and each is left out however many there are.
     """
     from .models import partial_versions
 
-    start, where, groups = 0, {}, {}
-    for name, parts in modules.items():
-        groups[name] = {}
-        for part, n in parts.items():
-            groups[name][part] = list(range(start, start + n))
-            start += n
-        where[name] = [c for cols in groups[name].values() for c in cols]
-    everything = list(range(start))
-    out = {"full_combined": everything}
-    for name, cols in where.items():
-        rest = [c for c in everything if c not in set(cols)]
-        if solo:
-            out[f"just_{name}"] = cols
-        if len(modules) > 2 or not solo:
-            out[f"leave_out_{name}"] = rest
-        inner = {k: v for k, v in partial_versions(groups[name]).items() if k != "full"}
-        for part, used in inner.items():
-            out[f"{name}_{part}_no_other_modules"] = used
-        if len(inner) == 2:
-            for part, used in inner.items():
-                out[f"{name}_{part}_plus_other_modules"] = sorted(used + rest)
+    columns = [(module, group) for module, groups in modules.items() for group, n in groups.items() for _ in range(n)]
+    subsets = {module: {name: set(used) for name, used in partial_versions({g: [g] for g in groups}).items() if name != "full"} for module, groups in modules.items()}
+    out = {}
+    for pattern, applies, keeps in _VERSIONS:
+        for module in modules:
+            if "just_{" in pattern and not solo or not (applies(len(modules), len(subsets[module])) or "leave_out" in pattern and not solo):
+                continue
+            for name, groups in subsets[module].items() if "{subset}" in pattern else [("", set())]:
+                out[pattern.format(module=module, subset=name)] = [k for k, (m, g) in enumerate(columns) if keeps(m == module, g in groups)]
     return out
 
 

@@ -47,8 +47,8 @@ def label_colours(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(line, r"^(\d+)", 1).cast("int").alias("id"), F.regexp_extract(line, r"^\d+\s+(\S+)", 1).alias("name"))
 
 
-def array_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, shape, values) of .npy files with numeric arrays, read in Arrow batches."""
+def array_files(spark: SparkSession, path: str, slice_: int = 1_000_000) -> DataFrame:
+    """(path, shape, start, values) of .npy files with numeric arrays: slices of the unrolled values from start on."""
     import io
 
     import numpy as np
@@ -56,11 +56,14 @@ def array_files(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(a.shape)], pa.list_(pa.int64())), pa.array([a.astype(float).ravel().tolist()], pa.list_(pa.float64()))], ["path", "shape", "values"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, shape array<long>, values array<double>")
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                flat = a.ravel()
+                for start in range(0, max(len(flat), 1), slice_):
+                    values = pa.array(flat[start : start + slice_].astype(float))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(a.shape)], pa.list_(pa.int64())), pa.array([start], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], ["path", "shape", "start", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, shape array<long>, start long, values array<double>")
 
 
 def volumes(spark: SparkSession, path: str) -> DataFrame:
