@@ -191,3 +191,12 @@ def test_pseudonyms_are_the_plain_feistel_network(spark):
     for text, new in zip(mails, got[80:], strict=True):
         local = text.split("@")[0]
         assert new == letters(local, key, "email") + "@x.example" and letters(new.split("@")[0], key, "email", back=True) == local
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    long = "plain words, " * 100_000 + "call 555-123-4567 " + "9" * 200_000
+    df = spark.createDataFrame([(1, "call 555-123-4567"), (1, "call 555-123-4567"), (2, long)], "doc_id long, text string")
+    rows = pii.pseudonymise(df).collect()
+    first = [r.text for r in rows if r.doc_id == 1]
+    assert len(rows) == 3 and first[0] == first[1] and [r.n_found for r in rows if r.doc_id == 2] == [1]
+    assert next(r.text for r in rows if r.doc_id == 2) == long.replace("call 555-123-4567", first[0])

@@ -25,32 +25,39 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under shingle similarity of at least 0.75."""
     return near_duplicates(_docs(spark, sf_dir))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from the labels that are not held out."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal bytes."""
     return shard(_docs(spark, sf_dir))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a fixed revision of its kept tree."""
     return count_with_edits(_docs(spark, sf_dir), revision(F.col("text")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document, and whether it is that row."""
     return exact_dedup(_docs(spark, sf_dir))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window."""
     found = decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced; the key comes from the session's setting."""
     return pseudonymise(_docs(spark, sf_dir))
 
 
@@ -60,12 +67,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's encoding and two sampled segmentations, as digests."""
     found = sample_segmentations(_docs(spark, sf_dir), k=2)
     field = lambda name: F.transform("samples", lambda s: s[name])
     return found.select("doc_id", "n_pieces", "digest", "exact", F.size("samples").cast("long").alias("n_samples"), field("n_pieces").alias("sample_pieces"), field("digest").alias("sample_digests"), field("log_p").alias("sample_log_p"), field("inclusion").alias("inclusion"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of secrets in every text."""
     return scan_secrets(_docs(spark, sf_dir))
 
 
