@@ -506,3 +506,37 @@ def test_array_slices(spark, tmp_path):
     np.save(tmp_path / "m.npy", np.arange(10.0).reshape(2, 5))
     rows = T.array_files(spark, str(tmp_path / "m.npy"), 4).orderBy("start").collect()
     assert [r.start for r in rows] == [0, 4, 8] and sum((r["values"] for r in rows), []) == list(range(10)) and all(r.shape == [2, 5] for r in rows)
+
+
+def test_feature_sets_open_side_by_side(spark, tmp_path):
+    from voxelframe.sources import features as FS
+    from voxelframe.sources import stores as ST
+
+    a = spark.range(12).select((F.col("id") % 3).cast("int").alias("prf_ix"), F.floor(F.col("id") / 3).alias("image_ix"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("f"))
+    b = spark.range(4).select(F.lit(0).alias("prf_ix"), F.col("id").alias("image_ix"), F.array(F.col("id") * 10.0).alias("f"))
+    ST.write_features(a, str(tmp_path / "a"))
+    ST.write_features(b, str(tmp_path / "b"))
+    sets = FS.FeatureSets(FS.FeatureSet("net", str(tmp_path / "a"), {"low": 1, "high": 1}), FS.FeatureSet("labels", str(tmp_path / "b"), {"all": 1}, by_field=False))
+    features, masks = sets.open(spark, ["net", "labels"], spark.range(2).withColumnRenamed("id", "image_ix"), [1, 2])
+    assert {(r.prf_ix, r.image_ix, tuple(r.f)) for r in features.collect()} == {(p, i, (3.0 * i + p, 2.0, 10.0 * i)) for p in (1, 2) for i in (0, 1)}
+    assert masks["just_labels"] == [2] and masks["net_just_low_plus_other_modules"] == [0, 2]
+    with pytest.raises(ValueError):
+        FS.FeatureSets(FS.FeatureSet("x", "p"), FS.FeatureSet("x", "q"))
+
+
+def test_separate_boxes(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in range(120):
+        x, y = rng.integers(0, 40, 2)
+        rows.append((int(k % 4), k, float(x), float(x + rng.integers(3, 20)), float(y), float(y + rng.integers(3, 20)), float(rng.choice([0.5, 0.9, 0.95, 0.99]))))
+    got = {r.id for r in J.separate_boxes(spark.createDataFrame(rows, "image_ix int, id int, x0 double, x1 double, y0 double, y1 double, score double")).collect()}
+    want = set()
+    for image in range(4):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == image and r[6] >= 0.9), key=lambda r: (-r[6], r[1])):
+            share = lambda a, b: (s := max(min(a[3], b[3]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[4], b[4]), 0)) / ((a[3] - a[2]) * (a[5] - a[4]) + (b[3] - b[2]) * (b[5] - b[4]) - s)
+            if all(share(r, q) <= 0.4 for q in kept):
+                kept.append(r)
+        want |= {r[1] for r in kept}
+    assert got == want and 4 < len(got) < 90

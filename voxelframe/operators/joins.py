@@ -62,6 +62,28 @@ def box_overlap(left: DataFrame, right: DataFrame, cell: int, more_than: int = 1
     return both.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), (w * h).alias("pixels")).where(F.col("pixels") > more_than)
 
 
+def separate_boxes(boxes: DataFrame, least: float = 0.9, overlap: float = 0.4) -> DataFrame:
+    """Detections(image_ix, id, x0, x1, y0, y1, score) of at least that score, without those that share over that part of the union with a better one of their image that stays; ties by id."""
+    import numpy as np
+    import pandas as pd
+
+    columns = ["image_ix", "id", "x0", "x1", "y0", "y1", "score"]
+    types = dict(boxes.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
+        x0, x1, y0, y1 = (pdf[c].to_numpy(float) for c in columns[2:6])
+        area, left, kept = (x1 - x0) * (y1 - y0), np.ones(len(pdf), bool), []
+        for k in range(len(pdf)):
+            if left[k]:
+                kept.append(k)
+                both = np.clip(np.minimum(x1[k], x1) - np.maximum(x0[k], x0), 0, None) * np.clip(np.minimum(y1[k], y1) - np.maximum(y0[k], y0), 0, None)
+                left &= both <= overlap * (area + area[k] - both)
+        return pdf.iloc[kept][columns]
+
+    return boxes.where(F.col("score") >= least).select(*columns).groupBy("image_ix").applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in columns))
+
+
 def pixel_overlap(left: DataFrame, right: DataFrame, by: list[str], more_than: int = 10) -> DataFrame:
     """Shared pixels of two masks(id, row, col) for each pair of ids that has over more_than."""
     l = left.select(F.col("id").alias("left_id"), "row", "col", *by)  # noqa: E741
