@@ -540,3 +540,22 @@ def test_separate_boxes(spark):
                 kept.append(r)
         want |= {r[1] for r in kept}
     assert got == want and 4 < len(got) < 90
+
+
+def test_components_by_group_of_columns(spark):
+    """Each group of columns has its own decomposition, and labels name every texture column."""
+    from voxelframe.operators.catalogue import TEXTURE_GROUPS, texture_labels
+
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(50, 7)) @ rng.normal(size=(7, 7))
+    groups = {"a": [0, 2, 4], "b": [1, 3, 5, 6]}
+    df = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "prf_ix int, k long, f array<double>")
+    rows = M.column_groups(df, ["prf_ix", "k"], "f", groups)
+    scores = M.apply_pca(rows, ["prf_ix", "group"], "k", "v", M.fit_pca(rows, ["prf_ix", "group"], "v", 100.0)).collect()
+    assert len(scores) == 100
+    for name, cols in groups.items():
+        s = np.array([r.scores for r in sorted((r for r in scores if r.group == name), key=lambda r: r.k)])
+        part = x[:, cols] - x[:, cols].mean(0)
+        assert np.allclose(np.sort((s**2).sum(0)), np.sort(np.linalg.svd(part, compute_uv=False) ** 2))
+    labels = texture_labels()
+    assert [(name, sum(r[0] == name for r in labels)) for name, *_ in TEXTURE_GROUPS] == [(name, n) for name, n, _ in TEXTURE_GROUPS]

@@ -43,6 +43,6 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return sum((F.lit(w) * c for w, c in zip(LUMA[1:], (g, b), strict=True)), F.lit(LUMA[0]) * r) / 255
 
 
-def scaled(pixels: Column) -> Column:
-    """An array of 0..255 as 0..1."""
-    return F.transform(pixels, lambda x: x / F.lit(255.0))
+def scaled(pixels: Column, most: float = 255.0) -> Column:
+    """An array of 0..most as 0..1."""
+    return F.transform(pixels, lambda x: x / F.lit(most))

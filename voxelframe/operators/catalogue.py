@@ -41,6 +41,35 @@ def texture_columns(spark: SparkSession) -> DataFrame:
     return each.select(number, "group_ix", "group_name", "simple_ix", "simple_name").withColumn("low_level", F.col("column") < LOW_LEVEL)
 
 
+def texture_labels(scales: int = 4, orientations: int = 4) -> list[tuple[str, int | None, int | None, int | None]]:
+    """(group, scale, orientation, other orientation or shift) of each texture column in order; scales from coarse to fine, null for residuals and pixels."""
+    from itertools import combinations, product
+
+    from .kernels import AUTO_SIZES, SHIFTS
+
+    auto = [(size * size + 1) // 2 for size in AUTO_SIZES[-(scales + 1) :]]
+    levels, pairs, shifts = [None, *range(scales)], list(combinations(range(orientations), 2)), range(len(SHIFTS))
+    each = list(product(range(scales), range(orientations)))
+    across = [(s, a, b) for s in range(1, scales) for a, b in product(range(orientations), repeat=2)]
+    places = {
+        "pixel_stats": [(None, None, None)] * 6,
+        "mean_magnitudes": [(s, o, None) for s, o in each],
+        "mean_realparts": [(s, o, None) for s, o in each],
+        "marginal_stats_lowpass_recons": [(s, None, None) for s in levels for _ in range(2)],
+        "variance_highpass_resid": [(None, None, None)],
+        "magnitude_feature_autocorrs": [(s, o, None) for s, o in each for _ in range(auto[s + 1])],
+        "lowpass_recon_autocorrs": [(s, None, None) for s, n in zip(levels, auto, strict=True) for _ in range(n)],
+        "highpass_resid_autocorrs": [(None, None, None)] * auto[-1],
+        "magnitude_within_scale_crosscorrs": [(s, a, b) for s in range(scales) for a, b in pairs],
+        "real_within_scale_crosscorrs": [(s, a, b) for s in range(scales) for a, b in pairs],
+        "magnitude_across_scale_crosscorrs": across,
+        "real_imag_across_scale_crosscorrs": [(s, a, b) for s in range(1, scales) for _ in ("real", "imaginary") for a, b in product(range(orientations), repeat=2)],
+        "real_spatshift_within_scale_crosscorrs": [(0, a, b) for a, b in combinations(shifts, 2)],
+        "real_spatshift_across_scale_crosscorrs": [(0, o, k) for o, k in product(range(orientations), shifts)],
+    }
+    return [(name, *place) for name, _, _ in TEXTURE_GROUPS for place in places[name]]
+
+
 def component_groups(names: Column) -> Column:
     """Number of the simple group of a component, from the name of the texture group (or of one of its scales) that it was fitted on."""
     out = F.lit(None).cast("int")

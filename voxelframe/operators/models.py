@@ -354,6 +354,12 @@ def fit_pca(df: DataFrame, by: list[str], vector: str, min_pct: float = 95.0, ma
     return scatter(df, by, vector).mapInPandas(one, schema)
 
 
+def column_groups(df: DataFrame, keys: list[str], vector: str, groups: dict[str, list[int]]) -> DataFrame:
+    """(keys, group, v): each row once for each group of columns, for decompositions by group."""
+    parts = [F.struct(F.lit(name).alias("group"), F.array(*[F.get(vector, F.lit(c)) for c in cols]).alias("v")) for name, cols in groups.items()]
+    return df.select(*keys, F.explode(F.array(*parts)).alias("__g")).select(*keys, "__g.*")
+
+
 def count_components(pct: np.ndarray, min_pct: float) -> int:
     """Components until their percents add up to over min_pct."""
     return min(int(np.searchsorted(np.cumsum(pct), min_pct, "right")) + 1, len(pct))

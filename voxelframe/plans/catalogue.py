@@ -32,6 +32,19 @@ def component_groups(t):
     return t.part.select("p_partkey", C.component_groups(name).alias("simple_ix"))
 
 
+@query(f"""
+WITH g(group_ix, group_name, n, simple_ix, simple_name) AS (VALUES {_GROUPS}), c AS (SELECT *, unnest(range(n)) k FROM g)
+SELECT group_name, CASE WHEN group_ix IN (1, 2) THEN k // 4 WHEN group_ix IN (8, 9) THEN k // 6 WHEN group_ix = 10 THEN 1 + k // 16 WHEN group_ix = 11 THEN 1 + k // 32 WHEN group_ix > 11 THEN 0
+  WHEN group_ix = 3 THEN nullif(k // 2 - 1, -1) WHEN group_ix = 6 THEN CASE WHEN k < 5 THEN NULL WHEN k < 10 THEN 0 WHEN k < 23 THEN 1 WHEN k < 48 THEN 2 ELSE 3 END
+  WHEN group_ix = 5 THEN CASE WHEN k < 20 THEN 0 WHEN k < 72 THEN 1 WHEN k < 172 THEN 2 ELSE 3 END END::INTEGER AS scale, count(*) AS n
+FROM c GROUP BY ALL
+""")
+def texture_scales(t):
+    """Texture columns of each group at each scale."""
+    rows = t.spark.createDataFrame(C.texture_labels(), "group_name string, scale int, orientation int, other int")
+    return rows.groupBy("group_name", "scale").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH p AS (SELECT p_brand, p_size % 4 AS scale, dense_rank() OVER (ORDER BY p_brand, p_size % 4) - 1 AS pair_ix FROM (SELECT DISTINCT p_brand, p_size FROM part))
 SELECT DISTINCT p_partkey, pair_ix FROM part JOIN p ON p.p_brand = part.p_brand AND p.scale = part.p_size % 4

@@ -12,6 +12,7 @@ from ..operators import grids as GR
 from ..operators import models as M
 from ..operators import sampling as P
 from .registry import query
+from .statistics import t_tail
 
 
 def _design(t, fields: int = 4, width: int = 16):
@@ -143,13 +144,14 @@ def model_residuals(t):
     return M.residuals(M.predict(design, best), responses).select("voxel_ix", "image_ix", F.round("residual", 3).alias("residual"))
 
 
-@query("""
-WITH d AS (SELECT p_brand, p_size x, p_retailprice y, p_partkey % 13 c FROM part), r AS (SELECT p_brand, count(*) n, corr(x, y) xy, corr(x, c) xc, corr(y, c) yc FROM d GROUP BY p_brand)
-SELECT p_brand, n, round((xy - xc * yc) / sqrt((1 - xc * xc) * (1 - yc * yc)), 6) + 0 AS r FROM r
+@query(f"""
+WITH d AS (SELECT p_brand, p_size x, p_retailprice y, p_partkey % 13 c FROM part), r AS (SELECT p_brand, count(*) n, corr(x, y) xy, corr(x, c) xc, corr(y, c) yc FROM d GROUP BY p_brand),
+p AS (SELECT p_brand, n, n - 2.0 AS d, (xy - xc * yc) / sqrt((1 - xc * xc) * (1 - yc * yc)) AS r FROM r), t AS (SELECT *, r * sqrt(d / (1 - r * r)) AS t FROM p)
+SELECT p_brand, n, round(r, 6) + 0 AS r, round({t_tail('t', 'd')}, 5) + 0 AS p FROM t
 """)
 def partial_correlations(t):
     d = t.part.select("p_brand", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 13).cast("double").alias("c"))
-    return M.partial_correlations(d, ["p_brand"], "x", "y", ["c"]).select("p_brand", "n", r6(F.col("r")).alias("r"))
+    return M.partial_correlations(d, ["p_brand"], "x", "y", ["c"]).select("p_brand", "n", r6(F.col("r")).alias("r"), (F.round("p", 5) + F.lit(0.0)).alias("p"))
 
 
 @query()

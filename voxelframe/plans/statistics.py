@@ -89,7 +89,7 @@ def _integral(low, high, power):
     return f"(SELECT (({high}) - ({low})) / 3000.0 * sum(CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {power(x)}) FROM range(1001) s(k))"
 
 
-def _t_tail(t, dof):
+def t_tail(t, dof):
     """Two-sided tail of t in SQL: the density over angles whose tangent is t / sqrt(dof), by the root of the angle from the right one."""
     density = lambda x: f"pow(abs(sin({x} * {x})), ({dof}) - 1) * 2 * {x}"
     return f"2 * exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0)) / sqrt(pi()) * " + _integral("0.0", f"sqrt(pi() / 2 - atan(abs({t}) / sqrt({dof})))", density)
@@ -106,7 +106,7 @@ def _f_tail(f, between, within):
 WITH g AS (SELECT c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 WHEN c_mktsegment = 'MACHINERY' THEN 0 END k, c_acctbal v FROM customer),
 a AS (SELECT c_nationkey, count(v) FILTER (k = 1) n1, count(v) FILTER (k = 0) n0, avg(v) FILTER (k = 1) m1, avg(v) FILTER (k = 0) m0, var_samp(v) FILTER (k = 1) v1, var_samp(v) FILTER (k = 0) v0 FROM g GROUP BY ALL),
 t AS (SELECT c_nationkey, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) t, n1 + n0 - 2.0 d, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) w, pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) e FROM a WHERE n1 > 1 AND n0 > 1)
-SELECT c_nationkey, round(e, 5) + 0 AS welch_dof, round({_t_tail('t', 'd')}, 6) + 0 AS p_pooled, round({_t_tail('w', 'e')}, 6) + 0 AS p_welch FROM t
+SELECT c_nationkey, round(e, 5) + 0 AS welch_dof, round({t_tail('t', 'd')}, 6) + 0 AS p_pooled, round({t_tail('w', 'e')}, 6) + 0 AS p_welch FROM t
 """)
 def two_sample_p(t):
     """Two-sided p of the pooled and the unequal-variance t."""

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.color import scaled
 from .tables import recent_runs, write_partitioned
 
 FEATURES = "prf_ix int, image_ix long, f array<double>"
@@ -25,7 +26,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def scaled_images(images: DataFrame, divide: float = 255.0) -> DataFrame:
     """images(image_ix, w, px) with values from 0 to 1."""
-    return images.withColumn("px", F.transform("px", lambda v: v / divide))
+    return images.withColumn("px", scaled(F.col("px"), divide))
 
 
 def noise_images(spark: SparkSession, n: int, side: int, seed: int = 0, mean: float = 127.5, sd: float = 30.0) -> DataFrame:
