@@ -84,8 +84,7 @@ def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[
     if sum(len(r["mean"]) for r in found) > MOST_MOMENTS:
         raise ValueError("fit fewer fields or features at once")
     moments = {r.prf_ix: (np.array(r["mean"]), np.array(r["sd"])) for r in found}
-    images = feats.agg(F.approx_count_distinct("image_ix")).first()[0]
-    parts = max(1, images // IMAGES)
+    parts = max(1, max((r.n for r in found), default=0) // IMAGES)
 
     real = responses.where("y is not null")
     # channels of a block have the same images
