@@ -559,3 +559,16 @@ def test_components_by_group_of_columns(spark):
         assert np.allclose(np.sort((s**2).sum(0)), np.sort(np.linalg.svd(part, compute_uv=False) ** 2))
     labels = texture_labels()
     assert [(name, sum(r[0] == name for r in labels)) for name, *_ in TEXTURE_GROUPS] == [(name, n) for name, n, _ in TEXTURE_GROUPS]
+
+
+def test_feature_residuals_match_least_squares(spark):
+    rng = np.random.default_rng(19)
+    x = {g: rng.normal(size=(60, 3)) for g in ("a", None)}
+    y = {g: x[g] @ rng.normal(size=(3, 2)) + rng.normal(size=(60, 2)) + 5 for g in x}
+    df = spark.createDataFrame([(g, k, y[g][k].tolist(), x[g][k].tolist()) for g in x for k in range(60)], "g string, k int, t array<double>, s array<double>").repartition(4)
+    got = {(r.g, r.k): r.residual for r in M.feature_residuals(df, ["g"], "k", "t", "s", F.col("k") < 40).collect()}
+    assert len(got) == 120
+    for g in x:
+        d = np.c_[x[g], np.ones(60)]
+        want = y[g] - d @ np.linalg.lstsq(d[:40], y[g][:40], rcond=None)[0]
+        assert all(np.allclose(got[g, k], want[k], atol=1e-9) for k in range(60))

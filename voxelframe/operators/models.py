@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import same_keys
+
 EPSILON = 1e-6
 #: Images and fields whose products are formed in one task, and partial sums added up in one step.
 IMAGES, FIELDS, PARTIALS = 512, 64, 64
@@ -474,17 +476,30 @@ def dprime_of(predicted: np.ndarray, actual: np.ndarray) -> float | None:
 
 
 def feature_residuals(df: DataFrame, by: list[str], key: str, targets: str, sources: str, train: Column) -> DataFrame:
-    """(by, key, residual): targets less their least-squares prediction from sources, fitted on train rows."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, s, seen = (np.array(pdf[c].tolist(), float) for c in (targets, sources, "__seen"))
-        d = np.concatenate([s, np.ones((len(s), 1))], axis=1)
-        w = np.linalg.lstsq(d[seen.astype(bool)], t[seen.astype(bool)], rcond=None)[0]
-        return pdf[[*by, key]].assign(residual=(t - d @ w).tolist())
+    """(by, key, residual): targets less their least-squares prediction from sources and a bias, fitted on train rows.
 
+    The fit comes from merged sums of products; groups without train rows have no row.
+    """
     types = dict(df.dtypes)
-    rows = df.select(*by, key, targets, sources, train.cast("int").alias("__seen"))
-    return rows.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in [*by, key]) + ", residual array<double>")
+    double = lambda c: F.transform(c, lambda v: v.cast("double"))
+    rows = df.select(*by, key, double(targets).alias("__t"), double(sources).alias("__s"), F.coalesce(train, F.lit(False)).alias("__seen"))
+    seen = rows.where("__seen")
+    sums = scatter(seen.select(*by, F.concat("__s", "__t").alias("__v")), by, "__v")
+    widths = seen.groupBy(*by).agg(F.max(F.size("__s")).alias("p"))
+
+    def solve(batches):
+        for pdf in batches:
+            w = []
+            for p, mean, squares in zip(pdf.p, pdf["mean"], pdf.squares, strict=True):
+                m = np.asarray(squares).reshape(len(mean), -1)
+                w.append((np.linalg.pinv(m[:p, :p]) @ m[:p, p:]).T.ravel())  # sources of each target side by side
+            yield pd.DataFrame({**{b: _keys(pdf[b]) for b in by}, "p": pdf.p.to_numpy(), "mean": list(pdf["mean"]), "w": w})
+
+    fits = same_keys(sums, widths, by).select(*by, "p", "mean", "squares").mapInPandas(solve, ", ".join([*(f"{b} {types[b]}" for b in by), "p int, mean array<double>, w array<double>"]))
+    both = same_keys(rows, fits, by)
+    shifted = F.zip_with("__s", F.slice("mean", F.lit(1), F.col("p")), lambda v, m: v - m)
+    predicted = lambda j: F.aggregate(F.zip_with(shifted, F.slice("w", j * F.col("p") + 1, F.col("p")), lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v)
+    return both.select(*by, key, F.transform("__t", lambda v, j: v - F.get("mean", F.col("p") + j) - predicted(j)).alias("residual"))
 
 
 def simulated(features: DataFrame, noise: float, seed: int = 0) -> DataFrame:

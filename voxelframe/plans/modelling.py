@@ -195,6 +195,17 @@ def pairwise_decoding(t):
     return M.decode(e, ["a", "b"], "vec_id", "embedding", "y").select("a", "b", "n", F.round("accuracy", 4).alias("accuracy"), F.round("dprime", 4).alias("dprime"))
 
 
+@query("""
+WITH v AS (SELECT label, vec_id, embedding[1]::DOUBLE y, embedding[9]::DOUBLE x FROM embeddings), f AS (SELECT label, regr_slope(y, x) s, regr_intercept(y, x) i FROM v WHERE vec_id % 3 <> 0 GROUP BY label)
+SELECT label, vec_id, round(y - i - s * x, 5) + 0 AS residual FROM v JOIN f USING (label)
+""")
+def single_feature_residuals(t):
+    """What one feature leaves of another, a fit that SQL can state."""
+    e = t.embeddings.select("label", "vec_id", F.slice("embedding", 1, 1).alias("target"), F.slice("embedding", 9, 1).alias("source"))
+    out = M.feature_residuals(e, ["label"], "vec_id", "target", "source", F.col("vec_id") % 3 != 0)
+    return out.select("label", "vec_id", (F.round(F.col("residual")[0], 5) + F.lit(0.0)).alias("residual"))
+
+
 @query()
 def feature_residuals(t):
     e = t.embeddings.select("label", "vec_id", F.slice("embedding", 1, 8).alias("target"), F.slice("embedding", 9, 8).alias("source"))
