@@ -68,10 +68,40 @@ def test_one_large_family(spark, monkeypatch):
     """Star of copies and refined keys give the brute-force result."""
     monkeypatch.setattr(near_dup, "BLOCK", 20)
     monkeypatch.setattr(near_dup, "VERIFY", 16)
+    monkeypatch.setattr(near_dup, "GROUPS", 7)
     rng = random.Random(8)
     check(spark, list(enumerate(families(rng, 2, 120, 50))))
 
 
+def test_groups_over_three_blocks_after_refinement(spark, monkeypatch):
+    """Texts that share whole signatures' parts in many components: refined groups are cut into parts, and no link is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", 6)
+    monkeypatch.setattr(near_dup, "GROUPS", 5)
+    monkeypatch.setattr(near_dup, "VERIFY_SHINGLES", 400)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]  # most shingles of every text: keys shared by all, similarity about the bound
+    texts = [" ".join(passage + [f"t{c}x{k}" for k in range(rng.randint(3, 20))]) for c in range(40)]
+    check(spark, list(enumerate(texts)))
+
+
+def test_parts_meet_once(spark):
+    """Every pair of a large group meets in one task, and small groups stay whole."""
+    rows = [(1, 5, k, k, -1, 0, -1, b"") for k in range(20)] + [(2, 5, k, k, -1, 0, -1, b"") for k in range(4)]
+    near_dup_block, near_dup.BLOCK = near_dup.BLOCK, 6
+    try:
+        df = spark.createDataFrame(rows, "key long, sub long, id long, component long, rank long, block long, part int, sig binary")
+        dealt = near_dup._in_parts(df).collect()
+    finally:
+        near_dup.BLOCK = near_dup_block
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.key, r.sub), []).append((r.id, r.part))
+    for key, n in ((1, 20), (2, 4)):
+        pairs = [frozenset((a, b)) for (k, _), g in groups.items() if k == key for i, (a, p) in enumerate(g) for b, q in g[i + 1 :] if a != b and (p == -1 or p != q)]
+        assert sorted(map(sorted, pairs)) == sorted([a, b] for a in range(n) for b in range(a + 1, n))
+    assert max(len(g) for (k, _), g in groups.items() if k == 1) < 20
+
+
 def test_nulls_repeats_and_empty(spark):
     text = " ".join(map(str, range(30)))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None), (3, "a b")], "doc_id long, text string")

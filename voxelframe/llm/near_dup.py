@@ -51,6 +51,8 @@ MAX_ERRORS = 2 * CHUNKS - 1
 BLOCK = 4096
 #: Texts of a verification block, and texts sent to one copy of it.
 VERIFY, SENT = 1024, 4096
+#: Groups that a centre's members are dealt to, at least, and members of a group if one centre had them all.
+GROUPS, MEMBERS = 256, 256
 #: Shingles of a verification block (or one longer text).
 VERIFY_SHINGLES = 1 << 20
 _TRIPLES = list(combinations(range(CHUNK), CHUNK - 1))
@@ -257,11 +259,12 @@ def _confirmed(docs: DataFrame, rows: DataFrame, text_col: str, stage: Stage, na
 def _verified_stars(docs: DataFrame, star: DataFrame, text_col: str, stage: Stage, name: str) -> DataFrame:
     """The links between the members and centres of star(id, centre).
 
-    A centre's members are dealt to groups, as many as let a centre of all
-    members have about SENT in each; the centre is copied to those in use.
+    A centre's members are dealt to groups by their ids, and the centre is
+    copied to the groups that have any: at most one copy a member. No step
+    brings a centre's members together.
     """
-    groups = max(16, star.count() // SENT)
-    sent = star.select(F.col("centre").alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("salt"), F.lit(True).alias("sent"), "id", F.col("id").alias("component"))
+    groups = max(GROUPS, star.count() // MEMBERS)
+    sent = star.select(F.col("centre").alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("salt"), F.lit(True).alias("sent"), "id", F.col("id").alias("component"))
     own = sent.select("block", "salt").distinct().select("block", "salt", F.lit(False).alias("sent"), F.col("block").alias("id"), F.col("block").alias("component"))
     return _confirmed(docs, sent.union(own), text_col, stage, name)
 
@@ -287,6 +290,7 @@ def _in_parts(refined: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
+    doc_id is an integer of any width; others raise an error when cast.
     Null, empty and wordless texts have no shingles and link with nothing.
     Rows that repeat a doc_id are one node: its component follows from all its
     texts. A row with a null doc_id is a node of its own: component_id is null
