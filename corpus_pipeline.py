@@ -29,15 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, the one of least doc_id; told apart by doc_id and digest."""
-    found = exact_dedup(docs)
-    keyed = docs.select(*COLUMNS).withColumn("__digest", normal_digest(F.col("text")))
-    groups = found.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = groups.where("not kept")
-    out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["__digest"] == gone["digest"]), "left_anti")
-    if groups.where("kept and n > 1").limit(1).count():  # rows repeated with their doc_id
-        out = out.dropDuplicates(["doc_id", "__digest"])
-    return out.select(*COLUMNS)
+    """One row of each group of equal texts, the one of least doc_id.
+
+    doc_id tells rows apart; only rows that repeat one of which some row stays
+    (and those without one) are told apart by their texts' digests as well.
+    """
+    docs, found = docs.select(*COLUMNS), exact_dedup(docs)
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    decided = ids.where("not stays or n > 1").select(F.col("doc_id").alias("id"))
+    out = docs.join(decided, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    repeated = ids.where("stays and n > 1").select(F.col("doc_id").alias("id"))
+    if repeated.limit(1).count():
+        stay = found.where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+        rows = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("__digest", normal_digest(F.col("text")))
+        rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__digest") == F.col("digest")), "left_semi")
+        out = out.union(rows.dropDuplicates(["doc_id", "__digest"]).select(*COLUMNS))
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
