@@ -46,11 +46,16 @@ def _quantiles(sample: list[tuple[str, int]], parts: int) -> list[str]:
     return out
 
 
+def _array(values: list, kind: str) -> Column:
+    """A constant array, folded from one text instead of built value by value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _range_of(key: Column, splitters: list[str]) -> Column:
     """Number of splitters <= key, by binary search."""
     if not splitters:
         return F.lit(0)
-    bounds, steps = F.lit(splitters), [1 << k for k in range(len(splitters).bit_length() - 1, -1, -1)]
+    bounds, steps = _array(splitters, "string"), [1 << k for k in range(len(splitters).bit_length() - 1, -1, -1)]
     return F.aggregate(
         F.lit(steps),
         F.lit(0),
@@ -61,6 +66,7 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
 def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs.
 
+    doc_id is an integer of any width; others raise an error when cast.
     size is the text's UTF-8 bytes plus 8; a null text has none and the CRC of
     the empty text. law is 'bytes': the shards' sizes are near equal; they
     differ by about a splitter's range (an even shard over 128) or a part of a
@@ -93,7 +99,7 @@ def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text") -> DataFr
         overfull = [r for r in counts.values() if r.bytes > limit and r.n > 1]
         if not overfull or k == ROUNDS:
             break
-        numbers = F.array(*[F.lit(r.range) for r in overfull])
+        numbers = _array([r.range for r in overfull], "int")
         bytes_ = sum(r.bytes for r in overfull)
         want = min(parts * SAMPLES_PER_RANGE, int(bytes_ / limit * 4 * SAMPLES_PER_RANGE) + 1)
         sample = _sample(ranges.where(F.array_contains(numbers, F.col("range"))), bytes_, want, k)
@@ -114,7 +120,7 @@ def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text") -> DataFr
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.get(F.lit(at), F.col("range")).alias("shard"),
-        (F.get(F.lit(slots), F.col("range")).cast("long") + within).alias("slot"),
+        F.get(_array(at, "int"), F.col("range")).alias("shard"),
+        (F.get(_array(slots, "long"), F.col("range")) + within).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
