@@ -146,7 +146,9 @@ def sign_flip_p(df: DataFrame, by: list[str], key: str, a: str, b: str, iteratio
     flipped = _iterated(diff, iterations).groupBy(*by, "iter").agg(F.avg(F.col("d") * sign).alias("m"))
     both = flipped.join(real, by) if by else flipped.withColumn("__1", F.lit(1)).join(real.withColumn("__1", F.lit(1)), "__1").drop("__1")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    p = F.least(2 * F.least(share(F.col("mean_diff") >= F.col("m")), share(F.col("mean_diff") <= F.col("m"))), F.lit(1.0))
+    # rounded, so that equal means tie whatever the order of summation
+    real_, moved = F.round("mean_diff", 6), F.round("m", 6)
+    p = F.least(2 * F.least(share(real_ >= moved), share(real_ <= moved)), F.lit(1.0))
     return both.groupBy(*by).agg(F.first("mean_diff").alias("mean_diff"), p.alias("p"))
 
 

@@ -328,8 +328,8 @@ def cross_validation_folds(t):
 
 
 @query(f"""
-WITH d AS (SELECT o_custkey, o_orderkey, o_totalprice - 150000 AS d FROM orders), r AS (SELECT o_custkey, avg(d) m FROM d GROUP BY ALL),
-s AS (SELECT o_custkey, i, avg(d * CASE WHEN {_draw('o_orderkey', 'i')} % 2 = 0 THEN 1 ELSE -1 END) s FROM d, range(50) g(i) GROUP BY ALL)
+WITH d AS (SELECT o_custkey, o_orderkey, o_totalprice - 150000 AS d FROM orders), r AS (SELECT o_custkey, round(avg(d), 6) m FROM d GROUP BY ALL),
+s AS (SELECT o_custkey, i, round(avg(d * CASE WHEN {_draw('o_orderkey', 'i')} % 2 = 0 THEN 1 ELSE -1 END), 6) s FROM d, range(50) g(i) GROUP BY ALL)
 SELECT o_custkey, round(any_value(m), 4) + 0 AS mean_diff, round(least(2 * least(avg(CASE WHEN m >= s THEN 1.0 ELSE 0 END), avg(CASE WHEN m <= s THEN 1.0 ELSE 0 END)), 1), 6) + 0.0::DOUBLE AS p FROM s JOIN r USING (o_custkey) GROUP BY o_custkey HAVING count(*) > 0
 """)
 def sign_flip_test(t):
