@@ -18,6 +18,7 @@ from .quality import score_quality
 from .secrets import scan_secrets
 from .sharding import shard
 from .token_counts import count_with_edits, revision
+from .vector_codes import vector_codes
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_docs(spark, sf_dir))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every usable vector, and the errors of its label."""
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_quality": op2_quality,
@@ -89,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_pieces": op9_pieces,
     "op10_secrets": op10_secrets,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dup": sql.NEAR_DUP,
     "op5_exact_dedup": sql.EXACT_DEDUP,
     "op6_decontaminate": sql.DECONTAMINATE,
+    "op12_vector_codes": sql.VECTOR_CODES,
 }

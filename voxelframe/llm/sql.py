@@ -52,3 +52,28 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_NEAR = """SELECT vec_id, p, min(d * 64 + e) AS m FROM (
+  SELECT x.vec_id, x.p, c.e, ((x.v[1] - c.v[1]) ** 2 + (x.v[2] - c.v[2]) ** 2 + (x.v[3] - c.v[3]) ** 2 + (x.v[4] - c.v[4]) ** 2)::HUGEINT AS d
+  FROM x JOIN {book} c USING (p)) GROUP BY vec_id, p"""
+_MOVED = """SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM {book} c LEFT JOIN (
+  SELECT x.p, (m % 64)::BIGINT AS e, [floor(sum(v[1])::DOUBLE / count(*))::BIGINT, floor(sum(v[2])::DOUBLE / count(*))::BIGINT, floor(sum(v[3])::DOUBLE / count(*))::BIGINT, floor(sum(v[4])::DOUBLE / count(*))::BIGINT] AS v
+  FROM x JOIN {near} USING (vec_id, p) GROUP BY 1, 2) m ON m.p = c.p AND m.e = c.e"""
+#: For vectors of 64 components.
+VECTOR_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, [floor(256 * y::DOUBLE)::BIGINT FOR y IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+x AS (SELECT vec_id, p::BIGINT AS p, q[4 * p + 1:4 * p + 4] AS v FROM kept, range(16) t(p)),
+c0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+n0 AS ({_NEAR.format(book="c0")}),
+c1 AS ({_MOVED.format(book="c0", near="n0")}),
+n1 AS ({_NEAR.format(book="c1")}),
+c2 AS ({_MOVED.format(book="c1", near="n1")}),
+n2 AS ({_NEAR.format(book="c2")}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', (m % 64)::BIGINT), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM n2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(concat_ws(',', v[1], v[2], v[3], v[4]), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
