@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
@@ -84,6 +85,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scoring phrases of two and three words of each language."""
+    return collocations(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_quality": op2_quality,
@@ -96,10 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_secrets": op10_secrets,
     "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dup": sql.NEAR_DUP,
     "op5_exact_dedup": sql.EXACT_DEDUP,
     "op6_decontaminate": sql.DECONTAMINATE,
     "op12_vector_codes": sql.VECTOR_CODES,
+    "op13_collocations": sql.COLLOCATIONS,
 }

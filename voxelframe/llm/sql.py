@@ -77,3 +77,27 @@ books AS (SELECT sha256(string_agg(concat_ws(',', v[1], v[2], v[3], v[4]), ',' O
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
 FROM coded JOIN kept USING (vec_id), books
 """
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(body, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS body FROM documents)),
+f AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 4) t(k) WHERE len(ws) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT lang, phrase, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (
+  SELECT lang, phrase, j, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts JOIN c USING (lang, phrase) JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_phrase AS (
+  SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, 3)) AS i FROM c WHERE k = 3)) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, c.a DESC, phrase) AS rank, phrase, c.a, l, r, n, score
+FROM c JOIN least_cut USING (lang, phrase) JOIN n USING (lang) LEFT JOIN inner_phrase i USING (lang, phrase)
+WHERE i.a IS NULL OR 100 * i.a < 50 * c.a
+QUALIFY rank <= 2000
+"""

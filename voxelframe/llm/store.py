@@ -43,6 +43,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/voxelframe-{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.tables: dict[str, str] = {}
         atexit.register(self.close)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,9 +54,19 @@ class Stage:
         self.paths[name] = path
         return self.spark.read.schema(schema).parquet(path)
 
+    def put_sorted(self, df: DataFrame, name: str, deal: str, order: list[str], buckets: int) -> DataFrame:
+        """Write df as a table of so many files, dealt by one column and sorted by it and order; rows dealt so before give one file each."""
+        path, table = f"{self.root}/{name}-{len(self.paths)}", f"voxelframe_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, deal).sortBy(deal, *order).saveAsTable(table)
+        self.paths[name] = path
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
+            if table := self.tables.pop(name, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             if path := self.paths.pop(name, None):
                 remove(self.spark, path)
 
@@ -63,6 +74,7 @@ class Stage:
         """Delete what is left; runs when the application ends."""
         try:
             if self.spark.sparkContext._jsc is not None:
+                self.drop(*self.tables)
                 remove(self.spark, self.root)
         except Exception:  # the session has ended before; its folder goes with the cluster's clean-up
             pass
