@@ -19,6 +19,7 @@ from .quality import score_quality
 from .secrets import scan_secrets
 from .sharding import shard
 from .token_counts import count_with_edits, revision
+from .url_filter import judge_urls
 from .vector_codes import vector_codes
 
 
@@ -80,6 +81,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_docs(spark, sf_dir))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; the trees learn from the URLs that a rule decides."""
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product code of every usable vector, and the errors of its label."""
     return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_pieces": op9_pieces,
     "op10_secrets": op10_secrets,
+    "op11_url_filter": op11_url_filter,
     "op12_vector_codes": op12_vector_codes,
     "op13_collocations": op13_collocations,
 }
