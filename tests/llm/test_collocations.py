@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 from support import same_rows
 
 from voxelframe.llm import collocations as module
@@ -88,6 +89,7 @@ def test_very_long_text_and_piece(spark):
 
 def test_large_dictionaries_are_split_by_frequency(spark, monkeypatch):
     monkeypatch.setattr(module, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(module, "BROADCAST_PHRASES", 2)
     monkeypatch.setattr(module, "HOT", 5)
     check(spark, made(3))
 
@@ -99,12 +101,23 @@ def test_settings_are_put_back_and_tables_dropped(spark):
     assert phrases.where("a < 10").count() == 0 and sizes.count() == 3
 
 
-def test_merge_join_keeps_the_tables_partitions(spark, tmp_path):
+def test_merge_join_needs_no_shuffle_and_no_sort(spark):
     from voxelframe.llm.store import Stage
 
-    rows = spark.range(1000).selectExpr("id div 7 as piece", "cast(id % 7 as int) as pos", "id % 3 as id")
+    rows = spark.range(1000).selectExpr("id div 7 as piece", "cast(id % 7 as int) as pos", "cast(id % 7 + 1 as int) as next", "id % 3 as id")
     with module._settings(spark, module._IN_PLACE | {"spark.sql.adaptive.enabled": "false"}):
-        relation = Stage(spark, "test").put_sorted(rows.repartition(4, "piece"), "r", "piece", ["pos"], 4)
-        plan = module._adjacent(relation)._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        assert plan.count("Sort [") == 1  # only the side whose place is moved
+        relation = Stage(spark, "test").put_dealt(rows.repartition(4, "piece").sortWithinPartitions("piece", "pos"), "r", "piece", [["piece", "next"], ["piece", "pos"]], 4)
+        pairs = module._adjacent(relation)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        want = [(k // 7, k % 7, k % 3, (k + 1) % 3) for k in range(999) if k % 7 < 6]
+        assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_relations_stay_in_order(spark):
+    docs = table(spark, made(5))
+    dealt = module.pieces(docs).repartition(3, "piece").sortWithinPartitions("piece")
+    parts = module.occurrences(dealt).select(F.spark_partition_id().alias("p"), "piece", "pos").collect()
+    for p in {r.p for r in parts}:
+        here = [(r.piece, r.pos) for r in parts if r.p == p]
+        assert here == sorted(here) and len(here) == len(set(here))

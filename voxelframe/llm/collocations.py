@@ -24,15 +24,15 @@ LONGEST, LEAST, TOP, SCALE = 3, 10, 2000, 1_000_000
 SHARE_PERCENT = 50
 #: Rows of a relation to one file.
 FILE_ROWS = 2_000_000
-#: Dictionaries of at most so many rows are sent to every task.
-BROADCAST_ROWS = 1_000_000
+#: Dictionaries of at most so many rows of numbers or words, and tables of at most so many phrases, are sent to every task.
+BROADCAST_ROWS, BROADCAST_PHRASES = 1_000_000, 50_000
 #: A key with at least 1 / HOT of all rows is joined apart; there are at most HOT of them.
 HOT = 1000
 SALTS = 8
 #: Counts as decimals: products of three of them and SCALE stay exact.
 _COUNT = "decimal(15,0)"
-#: A table dealt by piece serves joins by piece and place, and is read in its order.
-_IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+#: A table dealt by piece serves joins by piece and place, is read in its order, and is written in the order of its rows.
+_IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.maxConcurrentOutputFileWriters": "64"}
 
 
 @contextmanager
@@ -63,8 +63,8 @@ def occurrences(found: DataFrame) -> DataFrame:
     return found.select("lang", "piece", F.posexplode(F.split("body", r"[\x20\x09]+")).alias("pos", "word")).where("word != ''")
 
 
-def _few(table: DataFrame) -> bool:
-    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _few(table: DataFrame, most: int) -> bool:
+    return table.limit(most + 1).count() <= most
 
 
 def _numbered(rows: DataFrame, dictionary: DataFrame, keys: list[str], total: int) -> tuple[DataFrame, bool]:
@@ -74,7 +74,7 @@ def _numbered(rows: DataFrame, dictionary: DataFrame, keys: list[str], total: in
     large share of all rows are few and go to every task, the others are
     joined by a shuffle in which no key is large.
     """
-    if _few(dictionary):
+    if _few(dictionary, BROADCAST_ROWS):
         return rows.join(F.broadcast(dictionary.drop("a")), keys), True
     hot = F.broadcast(dictionary.where(F.col("a") * HOT >= total).drop("a"))
     rest = rows.join(hot.drop("id"), keys, "left_anti").join(dictionary.where(F.col("a") * HOT < total).drop("a"), keys)
@@ -83,16 +83,17 @@ def _numbered(rows: DataFrame, dictionary: DataFrame, keys: list[str], total: in
 
 def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined with a table of counts or phrases; a key that many rows share is dealt to SALTS tasks."""
-    if _few(table):
+    if _few(table, BROADCAST_PHRASES):
         return rows.join(F.broadcast(table), keys)
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     return dealt.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"]).drop("salt")
 
 
-def _adjacent(relation: DataFrame) -> DataFrame:
-    """(piece, pos, l, r): each place of the relation merge-joined with the next one of its piece."""
-    left = relation.select("piece", (F.col("pos") + 1).alias("pos"), F.col("id").alias("l"))
-    return left.join(relation.select("piece", "pos", F.col("id").alias("r")).hint("merge"), ["piece", "pos"])
+def _adjacent(relation: list[DataFrame]) -> DataFrame:
+    """(piece, pos, l, r): each place of the relation merge-joined with the next one of its piece; pos is that of l."""
+    first, second = relation
+    left = first.select("piece", F.col("pos").alias("begins"), F.col("next").alias("pos"), F.col("id").alias("l"))
+    return left.join(second.select("piece", "pos", F.col("id").alias("r")).hint("merge"), ["piece", "pos"]).select("piece", F.col("begins").alias("pos"), "l", "r")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "lang", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -106,22 +107,27 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     phrases = [stage.put(words.where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.array("lower").alias("words"), "a"), "phrases")]
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE_ROWS + 1), 100_000)
 
-    spelled = written.withColumn("lower", lowered(F.col("word"))).drop("a")
-    spelled = stage.put(_looked_up(spelled, phrases[0].select("id", "lang", F.col("words")[0].alias("lower"), "a"), ["lang", "lower"]).select("lang", "word", "a", "id"), "spelled")
-    dealt = pieces(docs, text_col, group_col).repartition(buckets, "piece")
-    rows, placed = _numbered(occurrences(dealt), spelled, ["lang", "word"], total)
-    keep = lambda rows, placed, name: stage.put_sorted(rows.select("piece", "pos", "id") if placed else rows.select("piece", "pos", "id").repartition(buckets, "piece"), name, "piece", ["pos"], buckets)
-    relation = keep(rows, placed, "relation")
-    for size in range(2, longest + 1):
-        with _settings(spark, _IN_PLACE):
+    frequent = phrases[0].select("id", "lang", F.col("words")[0].alias("lower"))
+    spelled = stage.put(written.withColumn("lower", lowered(F.col("word"))).join(frequent, ["lang", "lower"]).select("lang", "word", "a", "id"), "spelled")
+
+    def kept(rows: DataFrame, placed: bool, name: str) -> list[DataFrame]:
+        """The relation as a table that is sorted by (piece, pos) and so by (piece, next) as well; rows that stay in place are in order."""
+        rows = rows.select("piece", "pos", (F.col("pos") + 1).alias("next"), "id")
+        rows = rows if placed else rows.repartition(buckets, "piece").sortWithinPartitions("piece", "pos")
+        return stage.put_dealt(rows, name, "piece", [["piece", "next"], ["piece", "pos"]], buckets)
+
+    with _settings(spark, _IN_PLACE):
+        dealt = pieces(docs, text_col, group_col).repartition(buckets, "piece").sortWithinPartitions("piece")
+        relation = kept(*_numbered(occurrences(dealt), spelled, ["lang", "word"], total), "relation")
+        for size in range(2, longest + 1):
             pairs = _adjacent(relation)
             counted = stage.put(pairs.groupBy("l", "r").agg(F.count("*").alias("a")).where(F.col("a") >= least).select("l", "r", "a", F.monotonically_increasing_id().alias("id")), f"groups-{size}")
             if size < longest:
-                relation = keep(*_numbered(pairs, counted, ["l", "r"], total), f"relation-{size}")
-        known = phrases[-1]
-        longer = _looked_up(counted, known.select(F.col("id").alias("l"), "lang", "words"), ["l"])
-        longer = _looked_up(longer, known.select(F.col("id").alias("r"), F.element_at("words", -1).alias("last")), ["r"])
-        phrases.append(stage.put(longer.select("id", "lang", F.concat("words", F.array("last")).alias("words"), "a"), f"phrases-{size}"))
+                relation = kept(*_numbered(pairs, counted, ["l", "r"], total), f"relation-{size}")
+            known = phrases[-1]
+            longer = _looked_up(counted, known.select(F.col("id").alias("l"), "lang", "words"), ["l"])
+            longer = _looked_up(longer, known.select(F.col("id").alias("r"), F.element_at("words", -1).alias("last")), ["r"])
+            phrases.append(stage.put(longer.select("id", "lang", F.concat("words", F.array("last")).alias("words"), "a"), f"phrases-{size}"))
     out = phrases[0]
     for more in phrases[1:]:
         out = out.union(more)

@@ -43,7 +43,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/voxelframe-{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
-        self.tables: dict[str, str] = {}
+        self.tables: dict[str, list[str]] = {}
         atexit.register(self.close)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -54,18 +54,27 @@ class Stage:
         self.paths[name] = path
         return self.spark.read.schema(schema).parquet(path)
 
-    def put_sorted(self, df: DataFrame, name: str, deal: str, order: list[str], buckets: int) -> DataFrame:
-        """Write df as a table of so many files, dealt by one column and sorted by it and order; rows dealt so before give one file each."""
-        path, table = f"{self.root}/{name}-{len(self.paths)}", f"voxelframe_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, deal).sortBy(deal, *order).saveAsTable(table)
-        self.paths[name] = path
-        self.tables[name] = table
-        return self.spark.table(table)
+    def put_dealt(self, df: DataFrame, name: str, deal: str, orders: list[list[str]], buckets: int) -> list[DataFrame]:
+        """Write df, whose partitions are dealt by a column and sorted by each of the orders, and read it once as sorted by each.
+
+        Rows are written as they come, one file a bucket; the orders have to
+        hold, and tasks have to hold whole buckets.
+        """
+        path, first = f"{self.root}/{name}-{len(self.paths)}", f"voxelframe_{uuid.uuid4().hex}"
+        columns, out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), []
+        df.write.option("path", path).format("parquet").bucketBy(buckets, deal).saveAsTable(first)
+        self.paths[name], self.tables[name] = path, [first]
+        for order in orders:
+            table = f"voxelframe_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({deal}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+            self.tables[name].append(table)
+            out.append(self.spark.table(table))
+        return out
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            if table := self.tables.pop(name, None):
+            for table in self.tables.pop(name, []):
                 self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             if path := self.paths.pop(name, None):
                 remove(self.spark, path)
