@@ -144,3 +144,50 @@ def test_natural_runs_beside_few_secrets(spark):
     got = {r.doc_id: r.n_random for r in scan_secrets(spark.createDataFrame(natural + secret, "doc_id long, text string")).collect()}
     assert sum(got[1000 + i] for i in range(60)) >= 52
     assert sum(got[i] for i in range(300)) <= 5
+
+
+def test_time_grows_with_the_number_of_matches(spark):
+    """Sixteen times the matches take less than forty times as long; quadratic work would take 256 times as long."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from voxelframe.llm.spans import marked, with_found
+
+    def seconds(n):
+        df = with_found(spark.range(1).select(marked(F.repeat(F.lit("token=abcdef "), F.lit(n)), ASSIGN.pattern.replace("(?ai:", "(?i:")).alias("s")), "s")
+        started = time.time()
+        row = df.select(F.size("s").alias("n"), F.element_at("s", -1).alias("last")).first()
+        assert row.n == n and row["last"].start == 13 * (n - 1) and row["last"].end == 13 * n - 1
+        return time.time() - started
+
+    seconds(100)
+    few = min(seconds(8_000) for _ in range(2))
+    assert seconds(128_000) < 40 * max(few, 0.2)
+
+
+def test_running_sums_of_every_length(spark):
+    from pyspark.sql import functions as F
+
+    from voxelframe.llm.spans import with_before
+
+    sizes = [0, 1, 2, 63, 64, 65, 127, 128, 129, 4095, 4096, 4097, 5000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n int").withColumn("v", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: (x * 7 % 11).cast("long"))).otherwise(F.array().cast("array<long>")))
+    for r in with_before(df, "v", "s", F.lit(0).cast("long"), lambda a, b: a + b).collect():
+        v = [k * 7 % 11 for k in range(1, r.n + 1)]
+        assert r.s == [sum(v[:k]) for k in range(r.n)]
+
+
+def test_spans_apart_from_others(spark):
+    import random
+
+    from voxelframe.llm.spans import with_apart
+
+    rng = random.Random(9)
+    made = lambda n: sorted({(a, a + rng.randint(1, 9)) for a in rng.sample(range(400), n)})
+    rows = [(k, made(rng.randint(0, 90)), made(rng.randint(0, 20))) for k in range(40)] + [(40, [], []), (41, [(1, 5)], [(1, 5)]), (42, [(1, 5), (5, 9)], [(9, 10)]), (43, [(1, 9)], [(3, 4)])]
+    shape = "array<struct<start:long,end:long>>"
+    df = spark.createDataFrame(rows, f"k long, s {shape}, o {shape}")
+    for r in with_apart(df, "s", "o", "got").collect():
+        want = [tuple(s) for s in r.s if not any(o.start < s.end and s.start < o.end for o in r.o)]
+        assert [tuple(x) for x in r.got] == sorted(want), r.k

@@ -25,7 +25,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import found, marked, plain
+from .spans import marked, plain, with_apart, with_found
 from .store import Stage
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -167,7 +167,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     stage = Stage(docs.sparkSession, "secrets")
     rows = docs.select("doc_id", plain(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", *[marked(F.col("text"), p).alias(k) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("run", RUN))])
-    rows = rows.select("doc_id", *[found(F.col(k)).alias(k) for k in ("assign", "access", "hex", "run")])
+    for kind in ("assign", "access", "hex", "run"):
+        rows = with_found(rows, kind)
     assign = F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
     access = F.filter("access", lambda s: F.length(s["match"]) >= 20)
     keep = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -181,8 +182,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         more = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     else:
         random = lambda s: (~s["tests"]["word"]) & (s["tests"]["t"] <= T_MOST) & F.coalesce(s["tests"]["level"] >= F.try_element_at(table, s["tests"]["encoding"] * 1000 + s["tests"]["size_class"]), F.lit(False))
-        apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        more = F.transform(F.filter("runs", lambda s: random(s) & apart(s)), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
+        scanned = with_apart(scanned.withColumn("random", F.filter("runs", random)), "random", "base", "random")
+        more = F.transform("random", lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return scanned.withColumn("more", more).select(
