@@ -88,19 +88,18 @@ def with_lexical(urls: DataFrame) -> DataFrame:
     return rows.withColumns(names | {s: F.substring_index(host, ".", -k - 1) for k, s in enumerate(SUFFIXES)}).drop("query")
 
 
-def suffix_statistics(sample: DataFrame) -> DataFrame:
-    """(suffix, without, rate, seen) from sample(y, fold, suffixes): the share of y = 1 and the log count of each suffix.
+def suffix_statistics(sample: DataFrame, overall: float) -> DataFrame:
+    """(suffix, without, rate, seen) from sample(y, fold, suffixes): the share of y = 1, drawn to the overall one, and the log count of each suffix.
 
     Once without each fold, and once with all of them (without = -1). It has at
     most 2 * (FOLDS + 1) rows for each row of the sample.
     """
-    overall = sample.agg(F.coalesce(F.avg("y"), F.lit(0.5)).alias("overall"))
     suffix = sample.select("y", "fold", F.explode(F.array_distinct(F.array(*SUFFIXES))).alias("suffix"))
     every = [-1, *range(FOLDS)]
     sums = suffix.groupBy("suffix").agg(*[agg.alias(f"{name}{k}") for k in every for name, agg in (("n", F.sum((F.col("fold") != k).cast("long"))), ("b", F.sum(F.when(F.col("fold") != k, F.col("y")).otherwise(0))))])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("without"), F.col(f"n{k}").alias("n"), F.col(f"b{k}").alias("b")) for k in every]))
-    rate = F.round((F.col("s.b") + PRIOR * F.col("overall")) / (F.col("s.n") + PRIOR), 6)
-    return sums.select("suffix", each.alias("s")).crossJoin(F.broadcast(overall)).select("suffix", "s.without", rate.alias("rate"), F.round(F.log1p(F.col("s.n").cast("double")), 6).alias("seen"), F.round("overall", 6).alias("overall"))
+    rate = F.round((F.col("s.b") + PRIOR * overall) / (F.col("s.n") + PRIOR), 6)
+    return sums.select("suffix", each.alias("s")).select("suffix", "s.without", rate.alias("rate"), F.round(F.log1p(F.col("s.n").cast("double")), 6).alias("seen"))
 
 
 def _with_statistics(rows: DataFrame, statistics: DataFrame, overall: float) -> DataFrame:
@@ -229,8 +228,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, label
     sample = labelled.select(F.col("url").cast("string").alias("url"), F.col("y").cast("int").alias("y")).where("url is not null and y in (0, 1)").distinct()
     sample = sample.orderBy(F.xxhash64("url"), "url", "y").limit(max_labelled).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS)).cast("int"))
     sample = stage.put(with_lexical(sample), "sample")
-    statistics = stage.put(suffix_statistics(sample), "statistics")
-    overall = (statistics.select("overall").first() or [0.5])[0]
+    overall = round(sample.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0], 6)
+    statistics = stage.put(suffix_statistics(sample, overall), "statistics")
     model = fit_boosted(_with_statistics(sample.withColumnRenamed("fold", "without"), statistics, overall), FEATURES, stage)
     rows = _with_statistics(with_lexical(urls.withColumn("without", F.lit(-1))), statistics.where("without = -1"), overall)
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
