@@ -21,6 +21,12 @@ from .joins import same_keys
 EPSILON = 1e-6
 #: Images and fields whose products are formed in one task, and partial sums added up in one step.
 IMAGES, FIELDS, PARTIALS = 512, 64, 64
+#: Channels times iterations in one such task, fits applied in one, and iterations that are solved together.
+RESPONSES, FITS, MOVED_TOGETHER, DRAWN_TOGETHER = 8192, 1024, 16, 4
+#: Pairs of a deal and a chunk that may be sent to every task.
+MOST_DEALS = 1_000_000
+#: Mark of products that all iterations share.
+SHARED = -1
 #: Means and deviations that may be sent to every task: fields x features.
 MOST_MOMENTS = 4_000_000
 
@@ -63,7 +69,8 @@ def _penalty_vectors(penalties, width: int) -> np.ndarray:
 
 
 FIT = "prf_ix int, voxel_ix long, version string, lambda_ix int, loss double, bias double, w array<double>, mean array<double>, sd array<double>"
-_SUMS = "prf_ix int, iter int, block long, part int, holdout boolean, gram array<double>, products array<double>, squares array<double>"
+_SUMS = "prf_ix int, iter int, shared int, block long, part int, holdout boolean, gram array<double>, products array<double>, squares array<double>"
+_SUM_COLUMNS = [c.split()[0] for c in _SUMS.split(", ")]
 
 
 def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[str, list[int]] | None = None, block: int = 256, plan: DataFrame | None = None, with_features: bool = False, fields: DataFrame | None = None) -> DataFrame:
@@ -79,6 +86,11 @@ def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[
     source to image_ix (a permutation), or with_features whole rows are drawn
     from source (a bootstrap). fields(voxel_ix, prf_ix) restricts each channel
     to its field.
+
+    A task holds IMAGES images of FIELDS fields with the responses of about
+    RESPONSES channels and iterations. A permutation of channels that answer to
+    all images leaves the features' products alone: they are formed once, and
+    all iterations of a slice are solved as one system.
     """
     chosen = {k: list(v) for k, v in (masks or {}).items()}
     feats = features.where("split in ('trn', 'holdout')").select("prf_ix", "image_ix", (F.col("split") == "holdout").alias("holdout"), "f")
@@ -87,24 +99,37 @@ def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[
         raise ValueError("fit fewer fields or features at once")
     moments = {r.prf_ix: (np.array(r["mean"]), np.array(r["sd"])) for r in found}
     parts = max(1, max((r.n for r in found), default=0) // IMAGES)
+    iterations = [0] if plan is None else sorted(r[0] for r in plan.select("iter").distinct().collect())
+    together = 1 if plan is None else DRAWN_TOGETHER if with_features else MOVED_TOGETHER
 
     real = responses.where("y is not null")
+    images = plan.select(F.col("source").alias("image_ix")).distinct() if plan is not None else None
+    if images is not None:
+        real = real.join(images, "image_ix", "left_semi")
     # channels of a block have the same images
     channels = real.groupBy("voxel_ix").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("image_ix")).alias("h"))
     channels = channels.withColumn("prf", F.lit(None).cast("int")) if fields is None else channels.join(fields.select("voxel_ix", F.col("prf_ix").alias("prf")), "voxel_ix")
-    channels = channels.select("voxel_ix", "prf", F.xxhash64("n", "h", F.floor(F.col("voxel_ix") / block), F.coalesce("prf", F.lit(-1))).alias("block"))
-    y = real.join(channels, "voxel_ix").groupBy("block", "prf", "image_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("voxel_ix", "y"))), lambda s: s["y"]).alias("ys"))
+    every = images.count() if plan is not None and not with_features else -1
+    channels = channels.select("voxel_ix", "prf", (F.col("n") == every).alias("complete"), F.xxhash64("n", "h", F.floor(F.col("voxel_ix") / block), F.coalesce("prf", F.lit(-1))).alias("block"))
+    y = real.join(channels, "voxel_ix").groupBy("block", "prf", "complete", "image_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("voxel_ix", "y"))), lambda s: s["y"]).alias("ys"))
+    kept = ["block", "prf", "complete"]
     if plan is None:
-        y = y.select("block", "prf", F.lit(0).alias("iter"), "image_ix", F.lit(1.0).alias("times"), "ys")
+        y = y.select(*kept, F.lit(0).alias("iter"), "image_ix", F.lit(1.0).alias("times"), "ys")
     elif with_features:
         times = plan.groupBy("iter", F.col("source").alias("image_ix")).agg(F.count("*").cast("double").alias("times"))
-        y = y.join(times, "image_ix").select("block", "prf", "iter", "image_ix", "times", "ys")
+        y = y.join(times, "image_ix").select(*kept, "iter", "image_ix", "times", "ys")
     else:
         moved = plan.select("iter", F.col("image_ix").alias("to"), F.col("source").alias("image_ix"))
-        y = y.join(moved, "image_ix").select("block", "prf", "iter", F.col("to").alias("image_ix"), F.lit(1.0).alias("times"), "ys")
+        y = y.join(moved, "image_ix").select(*kept, "iter", F.col("to").alias("image_ix"), F.lit(1.0).alias("times"), "ys")
     part, chunk = F.pmod(F.xxhash64("image_ix"), F.lit(parts)).cast("int").alias("part"), F.floor(F.col("prf_ix") / FIELDS).alias("chunk")
     chunks = sorted({k // FIELDS for k in moments})
-    y = y.select("*", part, F.explode(F.array(*[F.lit(c) for c in chunks]) if fields is None else F.array(F.floor(F.col("prf") / FIELDS))).alias("chunk")).withColumn("chunk", F.col("chunk").cast("long"))
+    deals = max(1, -(-channels.count() * len(iterations) // RESPONSES))
+    deal = F.pmod(F.xxhash64("block", "iter"), F.lit(deals)).cast("int").alias("deal")
+    of_block = (F.array(*[F.lit(c) for c in chunks]) if fields is None else F.array(F.floor(F.col("prf") / FIELDS))).cast("array<long>")
+    y = y.select("*", part, deal, F.explode(of_block).alias("chunk"))
+    # features go where a block of theirs is dealt
+    wanted = channels.select("block", "prf").distinct().select("block", "prf", F.explode(F.array(*[F.lit(i) for i in iterations])).alias("iter")).select(deal, F.explode(of_block).alias("chunk")).distinct()
+    first = iterations[0] if iterations else 0
 
     def partial(fx: pd.DataFrame, fy: pd.DataFrame) -> pd.DataFrame:
         of_field, rows = {}, []
@@ -115,7 +140,7 @@ def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[
             of_field[field] = x.image_ix.to_numpy(), np.concatenate([z, np.ones((len(z), 1))], axis=1), x.holdout.to_numpy(bool)
         for (number, name), mine in fy.groupby(["iter", "block"]):
             data, times, at = np.array(mine.ys.tolist(), float), mine.times.to_numpy(float), mine.image_ix.to_numpy()
-            only = mine.prf.iloc[0]
+            only, complete = mine.prf.iloc[0], bool(mine.complete.iloc[0])
             for field in of_field if pd.isna(only) else [int(only)] if int(only) in of_field else []:
                 ids, z, holdout = of_field[field]
                 k = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
@@ -124,44 +149,58 @@ def fit_ridge(features: DataFrame, responses: DataFrame, penalties, masks: dict[
                     on = ok & (holdout[k] == held)
                     if on.any():
                         zw, yy = z[k[on]] * times[on][:, None], data[on]
-                        rows.append((field, number, name, mine.part.iloc[0], held, (zw.T @ z[k[on]]).ravel(), (zw.T @ yy).ravel(), (times[on][:, None] * yy**2).sum(axis=0)))
-        return pd.DataFrame(rows, columns=["prf_ix", "iter", "block", "part", "holdout", "gram", "products", "squares"])
-
-    def added(pdf: pd.DataFrame) -> dict[bool, list[np.ndarray]]:
-        return {held: [np.sum(list(rows[c]), axis=0) for c in ("gram", "products", "squares")] for held, rows in pdf.groupby("holdout")}
+                        gram = (zw.T @ z[k[on]]).ravel() if not complete or number == first else []
+                        rows.append((field, number, SHARED if complete else number, name, mine.part.iloc[0], held, gram, (zw.T @ yy).ravel(), (times[on][:, None] * yy**2).sum(axis=0)))
+        return pd.DataFrame(rows, columns=_SUM_COLUMNS)
 
     def reduce_(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = [pdf[c].iloc[0] for c in ("prf_ix", "iter", "block", "part")]
-        return pd.DataFrame([(*head, held, *sums) for held, sums in added(pdf).items()], columns=["prf_ix", "iter", "block", "part", "holdout", "gram", "products", "squares"])
+        head = [pdf[c].iloc[0] for c in _SUM_COLUMNS[:5]]
+        return pd.DataFrame([(*head, held, *(_added(rows, c) for c in _SUM_COLUMNS[6:])) for held, rows in pdf.groupby("holdout")], columns=_SUM_COLUMNS)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, sums = [], added(pdf)
-        if len(sums) == 2:
-            field, names = int(pdf.prf_ix.iloc[0]), list(pdf.voxels.iloc[0])
-            m, sd = moments[field]
-            vectors = _penalty_vectors(penalties, len(m))
-            (g, xy, _), (g_out, xy_out, yy_out) = ((s[0].reshape(len(m) + 1, -1), s[1].reshape(len(m) + 1, -1), s[2]) for s in (sums[False], sums[True]))
+        rows, field, names = [], int(pdf.prf_ix.iloc[0]), list(pdf.voxels.iloc[0])
+        m, sd = moments[field]
+        vectors, width = _penalty_vectors(penalties, len(m)), len(m) + 1
+        for _, same in pdf.groupby("shared"):
+            grams = {held: _added(g, "gram").reshape(width, width) for held, g in same[same.gram.map(len) > 0].groupby("holdout")}
+            sums = {key: (_added(r, "products").reshape(width, -1), _added(r, "squares")) for key, r in same[same.products.map(len) > 0].groupby(["iter", "holdout"])}
+            numbers = [i for i in sorted({i for i, _ in sums}) if (i, False) in sums and (i, True) in sums]
+            if len(grams) < 2 or not numbers:
+                continue
+            xy, xy_out = (np.stack([sums[i, held][0] for i in numbers], axis=1).reshape(width, -1) for held in (False, True))
+            yy_out = np.concatenate([sums[i, True][1] for i in numbers])
             for version, used in (chosen or {"full": range(len(m))}).items():
                 at = [*used, len(m)]
                 square = np.ix_(at, at)
-                w = np.stack([ridge_weights(g[square], xy[at], v[at]) for v in vectors])  # penalties x columns x channels
-                loss = yy_out - 2 * (w * xy_out[at]).sum(axis=1) + (w * (g_out[square] @ w)).sum(axis=1)
+                w = np.stack([ridge_weights(grams[False][square], xy[at], v[at]) for v in vectors])  # penalties x columns x (iterations and channels)
+                loss = yy_out - 2 * (w * xy_out[at]).sum(axis=1) + (w * (grams[True][square] @ w)).sum(axis=1)
                 best = loss.argmin(axis=0)
-                for c, voxel in enumerate(names):
+                for c, (number, voxel) in enumerate((i, v) for i in numbers for v in names):
                     full = np.zeros(len(m))
                     full[at[:-1]] = w[best[c], :-1, c]
-                    rows.append((field, voxel, version, int(pdf.iter.iloc[0]), int(best[c]), max(float(loss[best[c], c]), 0.0), float(w[best[c], -1, c]), full, m, sd))
+                    rows.append((field, voxel, version, int(number), int(best[c]), max(float(loss[best[c], c]), 0.0), float(w[best[c], -1, c]), full, m, sd))
         return pd.DataFrame(rows, columns=["prf_ix", "voxel_ix", "version", "iter", "lambda_ix", "loss", "bias", "w", "mean", "sd"])
 
-    sums = feats.select("*", part, chunk).groupBy("part", "chunk").cogroup(y.groupBy("part", "chunk")).applyInPandas(partial, _SUMS)
+    dealt = feats.select("*", part, chunk).join(F.broadcast(wanted) if deals * len(chunks) <= MOST_DEALS else wanted, "chunk")
+    sums = dealt.groupBy("part", "chunk", "deal").cogroup(y.groupBy("part", "chunk", "deal")).applyInPandas(partial, _SUMS)
     while parts > PARTIALS:
         sums = sums.withColumn("part", F.floor(F.col("part") / PARTIALS).cast("int")).groupBy("prf_ix", "iter", "block", "part").applyInPandas(reduce_, _SUMS)
         parts = -(-parts // PARTIALS)
+    slices = sorted({i // together for i in iterations})
+    empty = F.array().cast("array<double>")
+    own = F.floor(F.col("iter") / together).cast("int")
+    products = sums.select(*[c if c != "gram" else empty.alias("gram") for c in _SUM_COLUMNS], own.alias("slice"))
+    in_slices = F.when(F.col("shared") == SHARED, F.array(*[F.lit(i) for i in slices])).otherwise(F.array(own))
+    grams = sums.where(F.size("gram") > 0).select(*[c if c not in ("products", "squares") else empty.alias(c) for c in _SUM_COLUMNS], F.explode(in_slices).alias("slice"))
     voxels = channels.groupBy("block").agg(F.sort_array(F.collect_list("voxel_ix")).alias("voxels"))
-    out = sums.join(voxels, "block").groupBy("prf_ix", "iter", "block").applyInPandas(solve, FIT.replace("version string,", "version string, iter int,"))
+    out = products.union(grams).join(voxels, "block").groupBy("prf_ix", "block", "slice").applyInPandas(solve, FIT.replace("version string,", "version string, iter int,"))
     return out if plan is not None else out.drop("iter")
 
 
+def _added(rows: pd.DataFrame, column: str) -> np.ndarray:
+    return np.sum([np.asarray(v, float) for v in rows[column]], axis=0)
+
+
 def best_field(fits: DataFrame) -> DataFrame:
     """Each channel's field of least full-model loss (the first on ties), and all versions of that field."""
     full = fits.where("version = 'full'").groupBy("voxel_ix").agg(F.min(F.struct("loss", "prf_ix", "lambda_ix")).alias("s")).select("voxel_ix", F.col("s.prf_ix").alias("prf_ix"))
@@ -169,10 +208,31 @@ def best_field(fits: DataFrame) -> DataFrame:
 
 
 def predict(features: DataFrame, fits: DataFrame) -> DataFrame:
-    """(voxel_ix, version[, iter], image_ix, yhat): the fits applied to features(prf_ix, image_ix, f)."""
-    z = F.zip_with(F.zip_with("f", "mean", lambda a, m: a - m), "sd", lambda a, s: a / s)
-    dot = F.aggregate(F.zip_with(z, "w", lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v)
-    return features.join(fits, "prf_ix").select("voxel_ix", "version", *_iter(fits), "image_ix", (dot + F.col("bias")).alias("yhat"))
+    """(voxel_ix, version[, iter], image_ix, yhat): the fits applied to features(prf_ix, image_ix, f).
+
+    About IMAGES images meet about FITS fits of their field in a task, as one
+    product of matrices.
+    """
+    images, models = (df.groupBy("prf_ix").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] for df in (features, fits))
+    parts, deals = max(1, -(-images // IMAGES)), max(1, -(-models // FITS))
+    named = ["voxel_ix", "version", *_iter(fits)]
+    part = F.pmod(F.xxhash64("image_ix"), F.lit(parts)).cast("int")
+    deal = F.pmod(F.xxhash64(*named), F.lit(deals)).cast("int")
+    x = features.select("prf_ix", "image_ix", "f", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    w = fits.select("prf_ix", *named, "bias", "w", "mean", "sd", deal.alias("deal"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def apply(fx: pd.DataFrame, fw: pd.DataFrame) -> pd.DataFrame:
+        if not len(fx) or not len(fw):
+            return pd.DataFrame([], columns=[*named, "image_ix", "yhat"])
+        weights = np.array(fw.w.tolist(), float) / np.array(fw.sd.tolist(), float)
+        base = fw.bias.to_numpy(float) - (weights * np.array(fw["mean"].tolist(), float)).sum(axis=1)
+        yhat = weights @ np.array(fx.f.tolist(), float).T + base[:, None]
+        return pd.DataFrame({**{c: np.repeat(fw[c].to_numpy(), len(fx)) for c in named}, "image_ix": np.tile(fx.image_ix.to_numpy(), len(fw)), "yhat": yhat.ravel()})
+
+    types = dict(fits.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in named), f"image_ix {dict(features.dtypes)['image_ix']}", "yhat double"])
+    keys = ["prf_ix", "part", "deal"]
+    return x.groupBy(*keys).cogroup(w.groupBy(*keys)).applyInPandas(apply, schema)
 
 
 def _iter(df: DataFrame) -> list[str]:
@@ -431,48 +491,24 @@ def principal(squares: np.ndarray, n: int, max_pc: int) -> tuple[np.ndarray, np.
     return vt, 100 * values / max(values.sum(), 1e-300)
 
 
-def discriminate(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """Cross-validated predictions of linear discriminant analysis with equal treatment of folds."""
-    out = y.copy()
-    for f in np.unique(fold):
-        trn, tst = fold != f, fold == f
-        classes = np.unique(y[trn])
-        means = np.stack([x[trn & (y == c)].mean(axis=0) for c in classes])
-        centred = np.concatenate([x[trn & (y == c)] - m for c, m in zip(classes, means, strict=True)])
-        inverse = np.linalg.pinv(centred.T @ centred / max(len(centred) - len(classes), 1), rcond=1e-4)
-        prior = np.log([(y[trn] == c).mean() for c in classes])
-        score = x[tst] @ inverse @ means.T - 0.5 * np.einsum("ij,jk,ik->i", means, inverse, means) + prior
-        out[tst] = classes[score.argmax(axis=1)]
-    return out
-
-
 def decode(df: DataFrame, by: list[str], key: str, vector: str, label: str, k: int = 10) -> DataFrame:
-    """(by, n, accuracy, dprime) of k-fold discriminant analysis; folds by a hash order of key, NULL with one class."""
-    from .sampling import folds
-
-    types = dict(df.dtypes)
-    rows = folds(df.where(F.col(label).isNotNull()).select(*by, key, vector, F.col(label).cast("int").alias("y")), by, key, k)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold = np.array(pdf[vector].tolist(), float), pdf.y.to_numpy(), pdf.fold.to_numpy()
-        head = {b: [pdf[b].iloc[0]] for b in by}
-        if len(np.unique(y)) < 2 or len(np.unique(fold)) < 2:
-            return pd.DataFrame({**head, "n": [len(y)], "accuracy": [None], "dprime": [None]})
-        p = discriminate(x, y, fold)
-        return pd.DataFrame({**head, "n": [len(y)], "accuracy": [float((p == y).mean())], "dprime": [dprime_of(p, y)]})
+    """(by, n, accuracy, dprime) of k-fold discriminant analysis, see discriminant.decode."""
+    from .discriminant import decode
 
-    return rows.groupBy(*by).applyInPandas(one, ", ".join([*(f"{b} {types[b]}" for b in by), "n long, accuracy double, dprime double"]))
+    return decode(df, by, key, vector, label, k)
 
 
-def dprime_of(predicted: np.ndarray, actual: np.ndarray) -> float | None:
-    """Mean over classes of z(hits) - z(false alarms), with rates kept off 0 and 1."""
+def dprime_of(predicted: np.ndarray, actual: np.ndarray, times: np.ndarray | None = None) -> float | None:
+    """Mean over classes of z(hits) - z(false alarms), with rates kept off 0 and 1; pairs may come with their counts."""
     from statistics import NormalDist
 
-    classes, n, z = np.unique(actual), len(actual), NormalDist().inv_cdf
+    times = np.ones(len(actual)) if times is None else np.asarray(times, float)
+    classes, n, z = np.unique(actual), times.sum(), NormalDist().inv_cdf
     if not np.isin(predicted, classes).all() or len(classes) < 2:
         return None
     clip = lambda p: min(max(p, 1 / (2 * n)), 1 - 1 / (2 * n)) if p in (0.0, 1.0) else p
-    return float(np.mean([z(clip(float((predicted[actual == c] == c).mean()))) - z(clip(float((predicted[actual != c] == c).mean()))) for c in classes]))
+    rate = lambda c, of: clip(float(times[of & (predicted == c)].sum() / times[of].sum()))
+    return float(np.mean([z(rate(c, actual == c)) - z(rate(c, actual != c)) for c in classes]))
 
 
 def feature_residuals(df: DataFrame, by: list[str], key: str, targets: str, sources: str, train: Column) -> DataFrame:

@@ -13,12 +13,12 @@ _GROUPS = ", ".join(f"({k}, '{name}', {n}, {C.SIMPLE.index(simple)}, '{simple}')
 
 
 @query(f"""
-WITH g(group_ix, group_name, n, simple_ix, simple_name) AS (VALUES {_GROUPS})
-SELECT (row_number() OVER (ORDER BY group_ix, k) - 1)::INTEGER AS "column", group_ix, group_name, simple_ix, simple_name, (row_number() OVER (ORDER BY group_ix, k) - 1) < 49 AS low_level
-FROM (SELECT *, unnest(range(n)) k FROM g)
+WITH g(group_ix, group_name, n, simple_ix, simple_name) AS (VALUES {_GROUPS}), c AS (SELECT (row_number() OVER (ORDER BY group_ix, k) - 1)::INTEGER AS "column", group_ix, group_name, simple_ix, simple_name, (row_number() OVER (ORDER BY group_ix, k) - 1) < 49 AS low_level FROM (SELECT *, unnest(range(n)) k FROM g))
+SELECT p_partkey, c.* FROM part JOIN c ON "column" = p_partkey % 641
 """)
 def texture_columns(t):
-    return C.texture_columns(t.spark)
+    """The group of the texture column that each part stands for."""
+    return t.part.select("p_partkey", (F.col("p_partkey") % 641).cast("int").alias("column")).join(C.texture_columns(t.spark), "column")
 
 
 @query(f"""
@@ -33,16 +33,18 @@ def component_groups(t):
 
 
 @query(f"""
-WITH g(group_ix, group_name, n, simple_ix, simple_name) AS (VALUES {_GROUPS}), c AS (SELECT *, unnest(range(n)) k FROM g)
+WITH g(group_ix, group_name, n, simple_ix, simple_name) AS (VALUES {_GROUPS}), u AS (SELECT *, unnest(range(n)) k FROM g), c AS (SELECT *, row_number() OVER (ORDER BY group_ix, k) - 1 AS place FROM u)
 SELECT group_name, CASE WHEN group_ix IN (1, 2) THEN k // 4 WHEN group_ix IN (8, 9) THEN k // 6 WHEN group_ix = 10 THEN 1 + k // 16 WHEN group_ix = 11 THEN 1 + k // 32 WHEN group_ix > 11 THEN 0
   WHEN group_ix = 3 THEN nullif(k // 2 - 1, -1) WHEN group_ix = 6 THEN CASE WHEN k < 5 THEN NULL WHEN k < 10 THEN 0 WHEN k < 23 THEN 1 WHEN k < 48 THEN 2 ELSE 3 END
-  WHEN group_ix = 5 THEN CASE WHEN k < 20 THEN 0 WHEN k < 72 THEN 1 WHEN k < 172 THEN 2 ELSE 3 END END::INTEGER AS scale, count(*) AS n
-FROM c GROUP BY ALL
+  WHEN group_ix = 5 THEN CASE WHEN k < 20 THEN 0 WHEN k < 72 THEN 1 WHEN k < 172 THEN 2 ELSE 3 END END::INTEGER AS scale, count(*) AS n, round(avg(p_retailprice), 4) + 0 AS mean
+FROM c JOIN part ON p_partkey % 641 = place GROUP BY ALL
 """)
 def texture_scales(t):
-    """Texture columns of each group at each scale."""
-    rows = t.spark.createDataFrame(C.texture_labels(), "group_name string, scale int, orientation int, other int")
-    return rows.groupBy("group_name", "scale").agg(F.count("*").alias("n"))
+    """Parts by the group and scale of the texture column that each stands for."""
+    labels = [(k, *row) for k, row in enumerate(C.texture_labels())]
+    columns = t.spark.createDataFrame(labels, "at long, group_name string, scale int, orientation int, other int")
+    rows = t.part.select((F.col("p_partkey") % 641).alias("at"), "p_retailprice").join(columns, "at")
+    return rows.groupBy("group_name", "scale").agg(F.count("*").alias("n"), (F.round(F.avg("p_retailprice"), 4) + F.lit(0.0)).alias("mean"))
 
 
 @query("""
@@ -55,22 +57,26 @@ def scale_groups(t):
 
 
 @query(f"""
-SELECT i AS cluster, i IN {C.DOUBLE_LINES} AS double, i IN {C.JUNCTIONS} AS junction, i NOT IN {C.DOUBLE_LINES + C.JUNCTIONS + C.OTHER_CLUSTERS} AS single, i = 107 AS other FROM range(150) g(i)
+SELECT p_partkey, i AS cluster, i IN {C.DOUBLE_LINES} AS double, i IN {C.JUNCTIONS} AS junction, i NOT IN {C.DOUBLE_LINES + C.JUNCTIONS + C.OTHER_CLUSTERS} AS single, i = 107 AS other FROM (SELECT p_partkey, p_partkey % 150 AS i FROM part)
 """)
 def cluster_groups(t):
-    flags = C.cluster_groups(F.col("id"))
-    return t.spark.range(150).select(F.col("id").alias("cluster"), *(f.alias(n) for f, n in zip(flags, ("double", "junction", "single", "other"), strict=True)))
+    """The groups of the cluster that each part belongs to."""
+    flags = C.cluster_groups(F.col("cluster"))
+    return t.part.select("p_partkey", (F.col("p_partkey") % 150).alias("cluster")).select("p_partkey", "cluster", *(f.alias(n) for f, n in zip(flags, ("double", "junction", "single", "other"), strict=True)))
 
 
 @query("""
 WITH v AS (SELECT version, unnest(cols) AS "column" FROM (VALUES
   ('full_combined', [0,1,2,3,4,5]), ('just_gabor', [0,1,2]), ('just_semantic', [3,4,5]),
   ('semantic_just_a_no_other_modules', [3]), ('semantic_just_b_no_other_modules', [4,5]), ('semantic_just_a_plus_other_modules', [0,1,2,3]), ('semantic_just_b_plus_other_modules', [0,1,2,4,5])) x(version, cols))
-SELECT version, "column" FROM v
+SELECT vec_id, version, count(*) AS width, round(sum(embedding["column" + 1]::DOUBLE), 5) + 0 AS total FROM embeddings, v GROUP BY ALL
 """)
 def combined_versions(t):
+    """Sums of the columns that each version of a combined model uses."""
     found = C.combined_versions({"gabor": {"all": 3}, "semantic": {"a": 1, "b": 2}})
-    return t.spark.createDataFrame([(k, c) for k, cols in found.items() for c in cols], "version string, column int")
+    versions = F.array(*[F.struct(F.lit(k).alias("version"), F.array(*[F.lit(c) for c in cols]).alias("cols")) for k, cols in found.items()])
+    total = F.aggregate(F.col("v.cols"), F.lit(0.0), lambda acc, c: acc + F.get("embedding", c).cast("double"))
+    return t.embeddings.select("vec_id", "embedding", F.explode(versions).alias("v")).select("vec_id", "v.version", F.size("v.cols").cast("long").alias("width"), (F.round(total, 5) + F.lit(0.0)).alias("total"))
 
 
 @query("""

@@ -11,9 +11,9 @@ from ..sources import stores as ST
 from .registry import query
 
 
-@query("SELECT i AS trial_ix, (i // 750)::BIGINT AS session FROM range(30000) g(i)")
+@query("SELECT o_orderkey AS trial_ix, (o_orderkey // 750)::BIGINT AS session FROM orders")
 def session_index(t):
-    return t.spark.range(30_000).select(F.col("id").alias("trial_ix"), TR.session_of(F.col("id")).alias("session"))
+    return t.orders.select(F.col("o_orderkey").alias("trial_ix"), TR.session_of(F.col("o_orderkey")).alias("session"))
 
 
 @query("SELECT o_orderkey AS trial_ix, o_custkey - 1 AS image_ix FROM orders")
@@ -169,13 +169,13 @@ def region_map(t):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey AS trial_ix, sum(l_quantity) - 100 AS residual FROM lineitem GROUP BY ALL) SELECT trial_ix, round(residual, 4) + 0 AS residual FROM r
+WITH r AS (SELECT l_orderkey AS trial_ix, sum(l_quantity) - 100 AS residual FROM lineitem GROUP BY ALL) SELECT trial_ix, round(residual, 4) + 0 AS residual FROM r WHERE trial_ix IN (SELECT o_orderkey FROM orders)
 """)
 def checked_residuals(t):
     """Residuals that cover exactly the trials of the model they are added to."""
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("trial_ix")).agg((F.sum("l_quantity") - 100).alias("residual"))
-    trials = t.lineitem.select(F.col("l_orderkey").alias("trial_ix"))
-    return TR.checked_residuals(rows, trials).withColumn("residual", F.round("residual", 4) + F.lit(0.0))
+    trials = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_orderkey").alias("trial_ix"))
+    return TR.checked_residuals(rows.join(t.orders.select(F.col("o_orderkey").alias("trial_ix")), "trial_ix", "left_semi"), trials).withColumn("residual", F.round("residual", 4) + F.lit(0.0))
 
 
 @query("""
@@ -227,19 +227,21 @@ def top_image_scores(t):
 
 @query()
 def simulation_fields(t):
-    """A spread subset of the default grid; tested against a plain loop."""
+    """Channels whose field is in a spread subset of the default grid; the subset is tested against a plain loop."""
     from ..operators.grids import prf_grid
 
-    return TR.spread_grid(prf_grid(t.spark, 5))
+    grid = prf_grid(t.spark, 5)
+    channels = t.customer.select(F.col("c_custkey").alias("voxel_ix"), (F.col("c_custkey") % grid.count()).cast("int").alias("prf_ix"))
+    return channels.join(TR.spread_grid(grid), "prf_ix")
 
 
 @query(f"""
-WITH n AS (SELECT i AS image_ix, p, ({_draw('i * 65537 + p', 5)} + 0.5) / 1000003 AS u FROM range(20) a(i), range(64) b(p))
+WITH n AS (SELECT s_suppkey AS image_ix, p, ({_draw('s_suppkey * 65537 + p', 5)} + 0.5) / 1000003 AS u FROM supplier, range(64) b(p))
 SELECT image_ix, sum(CASE WHEN u < 0.5 THEN 1 ELSE 0 END)::BIGINT AS below, count(*) AS n FROM n GROUP BY ALL
 """)
 def noise_images(t):
-    """Pixels under the mean of each noise image."""
-    px = ST.noise_images(t.spark, 20, 8, 5).select("image_ix", F.explode("px").alias("v"))
+    """Pixels under the mean of a noise image for each supplier."""
+    px = ST.noise_images(t.supplier.select(F.col("s_suppkey").alias("image_ix")), 8, 5).select("image_ix", F.explode("px").alias("v"))
     return px.groupBy("image_ix").agg(F.count_if(F.col("v") < 127.5).alias("below"), F.count("*").alias("n"))
 
 

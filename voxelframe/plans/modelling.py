@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import r6
+from ..operators import discriminant as DI
 from ..operators import grids as GR
 from ..operators import models as M
 from ..operators import sampling as P
+from ..operators import trials as TR
 from .registry import query
 from .statistics import t_tail
 
@@ -184,7 +186,7 @@ def lda_decoding(t):
     e = t.embeddings.withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("y", (F.col("label") == F.col("axis")).cast("int"))
     chosen = P.balanced(e, ["axis"], ["y"], "vec_id", 1)
     rows = chosen.join(t.embeddings.select("vec_id", "embedding"), "vec_id")
-    return M.decode(rows, ["axis"], "vec_id", "embedding", "y").select("axis", "n", F.round("accuracy", 4).alias("accuracy"), F.round("dprime", 4).alias("dprime"))
+    return DI.decode(rows, ["axis"], "vec_id", "embedding", "y").select("axis", "n", F.round("accuracy", 4).alias("accuracy"), F.round("dprime", 4).alias("dprime"))
 
 
 @query()
@@ -192,7 +194,38 @@ def pairwise_decoding(t):
     """Every pair of the ten classes; a row goes to the nine pairs that it is in."""
     e = t.embeddings.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(9)))).where("other <> label")
     e = e.withColumn("a", F.least("label", "other").cast("long")).withColumn("b", F.greatest("label", "other").cast("long")).withColumn("y", (F.col("label") == F.col("a")).cast("int"))
-    return M.decode(e, ["a", "b"], "vec_id", "embedding", "y").select("a", "b", "n", F.round("accuracy", 4).alias("accuracy"), F.round("dprime", 4).alias("dprime"))
+    return DI.decode(e, ["a", "b"], "vec_id", "embedding", "y").select("a", "b", "n", F.round("accuracy", 4).alias("accuracy"), F.round("dprime", 4).alias("dprime"))
+
+
+def _discriminant(rows: str, by: str, total: str) -> str:
+    """SQL of ten-fold discriminant analysis of two features, from rows r(by, i, y, u, v), with a tie going to the lower class."""
+    return f"""
+WITH r AS ({rows}), f AS (SELECT *, (row_number() OVER (PARTITION BY {by} ORDER BY {_draw('i', 0)}, i) - 1) % 10 AS fold FROM r),
+t AS (SELECT a.{by}, a.fold, b.y, count(*) n, avg(b.u) mu, avg(b.v) mv, var_pop(b.u) * count(*) uu, var_pop(b.v) * count(*) vv, covar_pop(b.u, b.v) * count(*) uv
+  FROM (SELECT DISTINCT {by}, fold FROM f) a JOIN f b ON a.{by} = b.{by} AND a.fold <> b.fold GROUP BY ALL),
+c AS (SELECT {by}, fold, sum(n) n, greatest(sum(n) - count(*), 1) d, sum(uu) uu, sum(vv) vv, sum(uv) uv FROM t GROUP BY ALL),
+w AS (SELECT t.{by}, t.fold, t.y, t.n / c.n AS p, mu, mv, c.vv * c.d / (c.uu * c.vv - c.uv * c.uv) a, -c.uv * c.d / (c.uu * c.vv - c.uv * c.uv) b, c.uu * c.d / (c.uu * c.vv - c.uv * c.uv) e FROM t JOIN c USING ({by}, fold)),
+s AS (SELECT f.{by}, f.i, f.y, arg_max(w.y, struct_pack(s := round((a * mu + b * mv) * u + (b * mu + e * mv) * v - 0.5 * (a * mu * mu + 2 * b * mu * mv + e * mv * mv) + ln(p), 9), y := -w.y)) AS g FROM f JOIN w USING ({by}, fold) GROUP BY ALL)
+SELECT {total} FROM s GROUP BY ALL"""
+
+
+@query(_discriminant("SELECT a.k AS axis, vec_id AS i, (label = a.k)::INTEGER AS y, embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v FROM embeddings, range(10) a(k)", "axis", "axis::INTEGER AS axis, count(*) AS n, round(avg((y = g)::INTEGER), 6) + 0 AS accuracy"))
+def two_feature_decoding(t):
+    """Each class against the rest from two features, a discriminant that SQL can state."""
+    e = t.embeddings.select("vec_id", F.slice("embedding", 1, 2).alias("f"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("axis"), "label").withColumn("y", (F.col("label") == F.col("axis")).cast("int"))
+    return DI.decode(e, ["axis"], "vec_id", "f", "y").select("axis", "n", r6(F.col("accuracy")).alias("accuracy"))
+
+
+_LOCALIZER = f"SELECT 0 AS one, p_partkey AS i, substr(p_brand, 7, 1)::INTEGER AS y, p_size::DOUBLE + substr(p_brand, 7, 1)::INTEGER * 7 AS u, p_retailprice AS v FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY {_draw('p_partkey', 1718)}, p_partkey) k FROM part) WHERE k <= 41"
+
+
+@query(_discriminant(_LOCALIZER, "one", "y, g::INTEGER AS predicted, count(*) AS n"))
+def localizer_decoding(t):
+    """Domains of the balanced localizer set, decoded from two features: how often each was taken for each."""
+    domain = F.substring("p_brand", 7, 1).cast("int")
+    rows = t.part.select("p_brand", "p_partkey", domain.alias("y"), F.array(F.col("p_size") + domain * 7.0, F.col("p_retailprice")).alias("f"))
+    chosen = TR.balanced_set(rows, "p_brand", "p_partkey", 41, 1718)
+    return DI.cross_validated(chosen, [], "p_partkey", "f", "y").groupBy("y", "predicted").agg(F.count("*").alias("n"))
 
 
 @query("""

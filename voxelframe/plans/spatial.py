@@ -61,45 +61,67 @@ _GRIDS = {
 _GRIDS[3] = _GRIDS[2]
 
 
+def _of_channels(t, grid):
+    """Each channel (customer) with the field of a grid that is its own."""
+    k = F.col("c_custkey")
+    return t.customer.select(k.alias("voxel_ix"), (k % grid.count()).cast("int").alias("prf_ix")).join(grid, "prf_ix")
+
+
+def _of_channels_sql(grid):
+    return f"WITH g AS ({grid}) SELECT c_custkey AS voxel_ix, g.* FROM customer JOIN g ON g.prf_ix = c_custkey % (SELECT count(*) FROM g)"
+
+
 def _add_grid(which):
     def grid(t):
-        return _rounded(GR.prf_grid(t.spark, which))
+        return _of_channels(t, _rounded(GR.prf_grid(t.spark, which)))
 
     grid.__name__ = f"prf_grid_{which}"
-    query(_GRIDS[which])(grid)
+    query(_of_channels_sql(_GRIDS[which]))(grid)
 
 
 for _which in sorted(_GRIDS):
     _add_grid(_which)
 
 
-@query("SELECT 0 AS prf_ix, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS sigma")
+@query(_of_channels_sql("SELECT 0 AS prf_ix, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS sigma"))
 def prf_grid_0(t):
-    return GR.prf_grid(t.spark, 0)
+    return _of_channels(t, GR.prf_grid(t.spark, 0))
 
 
 @query(f"""
 WITH m AS ({_GRIDS[5]}), r AS (SELECT prf_ix, dense_rank() OVER (ORDER BY round(sqrt(x * x + y * y) * 8.4, 2)) e, dense_rank() OVER (ORDER BY round(sigma * 8.4, 2)) s FROM m)
-SELECT prf_ix FROM r WHERE e <= 8 AND s > 5
+SELECT c_custkey AS voxel_ix, prf_ix FROM customer JOIN r ON prf_ix = c_custkey % (SELECT count(*) FROM m) WHERE e <= 8 AND s > 5
 """)
 def decoding_fields(t):
-    return GR.decoding_fields(GR.prf_grid(t.spark, 5)).select("prf_ix")
+    """Channels whose field is one of those used for decoding."""
+    grid = GR.prf_grid(t.spark, 5)
+    return _of_channels(t, grid).join(GR.decoding_fields(grid).select("prf_ix"), "prf_ix", "left_semi").select("voxel_ix", "prf_ix")
 
 
-@query("SELECT a.i * 9 + b.i * 3 + c.i AS pos, a.i * 0.5::DOUBLE + 1 AS v0, b.i * 0.5::DOUBLE + 1 AS v1, c.i * 0.5::DOUBLE + 1 AS v2 FROM range(3) a(i), range(3) b(i), range(3) c(i)")
+@query("SELECT s_suppkey, a.i * 9 + b.i * 3 + c.i AS pos, round((a.i * 0.5::DOUBLE + 1) * s_acctbal + (b.i * 0.5::DOUBLE + 1) * s_nationkey + (c.i * 0.5::DOUBLE + 1), 4) + 0 AS total FROM supplier, range(3) a(i), range(3) b(i), range(3) c(i)")
 def value_combinations(t):
-    return GR.combinations(t.spark, [1.0, 1.5, 2.0], 3)
+    """Every combination of three weights, applied to each supplier."""
+    weights = GR.combinations(t.spark, [1.0, 1.5, 2.0], 3)
+    one = t.supplier.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(26)))).join(weights, "pos")
+    return one.select("s_suppkey", F.col("pos").cast("long").alias("pos"), (F.round(F.col("v0") * F.col("s_acctbal") + F.col("v1") * F.col("s_nationkey") + F.col("v2"), 4) + F.lit(0.0)).alias("total"))
 
 
 def _penalty_sql(kind):
     n, top = GR.PENALTY_GRIDS[kind]
-    return f"SELECT '{kind}' AS kind, i::INTEGER AS lambda_ix, CASE WHEN i = 0 THEN 0 ELSE round(exp(ln(0.01) + (ln({top} + 0.01) - ln(0.01)) * i / {n - 1}) - 0.01, 3) END AS lambda FROM range({n}) g(i)"
+    return f"SELECT '{kind}' AS kind, i::INTEGER AS lambda_ix, CASE WHEN i = 0 THEN 0 ELSE round(exp(ln(0.01) + (ln({top} + 0.01) - ln(0.01)) * i / {n - 1}) - 0.01, 3) END AS \"lambda\" FROM range({n}) g(i)"
 
 
-@query(" UNION ALL ".join(_penalty_sql(k) for k in GR.PENALTY_GRIDS))
+@query(f"""
+WITH p AS ({" UNION ALL ".join(_penalty_sql(k) for k in GR.PENALTY_GRIDS)}), s AS (SELECT label, sum(embedding[1]::DOUBLE * embedding[2]::DOUBLE) xy, sum(pow(embedding[1]::DOUBLE, 2)) xx FROM embeddings GROUP BY label)
+SELECT label, kind, lambda_ix, "lambda", round(xy / (xx + "lambda"), 5) + 0 AS weight FROM s, p
+""")
 def ridge_penalties(t):
+    """One weight of each class under every penalty of every kind of features."""
     rows = [(kind, i, v) for kind in GR.PENALTY_GRIDS for i, v in enumerate(GR.ridge_penalties(kind))]
-    return t.spark.createDataFrame(rows, "kind string, lambda_ix int, lambda double").withColumn("lambda", F.round("lambda", 3))
+    penalties = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("lambda_ix"), F.lit(round(v, 3)).alias("lambda")) for kind, i, v in rows])
+    x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    sums = t.embeddings.groupBy("label").agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx")).select("*", F.explode(penalties).alias("p"))
+    return sums.select("label", "p.*", (F.round(F.col("xy") / (F.col("xx") + F.col("p.lambda")), 5) + F.lit(0.0)).alias("weight"))
 
 
 _SMALL = "(SELECT i AS prf_ix, (i % 3 - 1) * 0.3 AS x, (i // 3 - 1) * 0.35 AS y, 0.05 + 0.03 * (i % 4) AS sigma FROM range(9) g(i))"
@@ -110,17 +132,29 @@ def _small(t):
     return t.spark.range(9).select(i.alias("prf_ix"), ((i % 3 - 1) * 0.3).alias("x"), ((F.floor(i / 3) - 1) * 0.35).alias("y"), (0.05 + 0.03 * (i % 4)).alias("sigma"))
 
 
+#: A field for each supplier.
+_OWN = "(SELECT s_suppkey AS prf_ix, (s_suppkey % 3 - 1) * 0.3 AS x, (s_suppkey % 7 - 3) * 0.11 AS y, 0.05 + 0.03 * (s_suppkey % 4) AS sigma FROM supplier)"
+
+
+def _own(t):
+    i = F.col("s_suppkey")
+    return t.supplier.select(i.alias("prf_ix"), ((i % 3 - 1) * 0.3).alias("x"), ((i % 7 - 3) * 0.11).alias("y"), (0.05 + 0.03 * (i % 4)).alias("sigma"))
+
+
 _PIXELS = f"(SELECT f.prf_ix, r.r AS row, c.c AS col, exp(-(pow(-0.5 + c.c / 19.0 - x, 2) + pow(-0.5 + r.r / 19.0 + y, 2)) / (2 * sigma * sigma)) AS g FROM {_SMALL} f, range(20) r(r), range(20) c(c))"
 
 
-@query(f"SELECT prf_ix, row::INTEGER AS row, col::INTEGER AS col, round(g / sum(g) OVER (PARTITION BY prf_ix), 8) + 0 AS w FROM {_PIXELS}")
+_OWN_PIXELS = _PIXELS.replace(_SMALL, _OWN)
+
+
+@query(f"SELECT prf_ix, row::INTEGER AS row, col::INTEGER AS col, round(g / sum(g) OVER (PARTITION BY prf_ix), 8) + 0 AS w FROM {_OWN_PIXELS}")
 def gaussian_weights(t):
-    return GR.gaussian_weights(_small(t), 20).withColumn("w", F.round("w", 8) + F.lit(0.0))
+    return GR.gaussian_weights(_own(t), 20).withColumn("w", F.round("w", 8) + F.lit(0.0))
 
 
-@query(f"SELECT prf_ix, row::INTEGER AS row, col::INTEGER AS col FROM (SELECT *, g / max(g) OVER (PARTITION BY prf_ix) h FROM {_PIXELS}) WHERE h > 0.14")
+@query(f"SELECT prf_ix, row::INTEGER AS row, col::INTEGER AS col FROM (SELECT *, g / max(g) OVER (PARTITION BY prf_ix) h FROM {_OWN_PIXELS}) WHERE h > 0.14")
 def field_masks(t):
-    return GR.field_masks(_small(t), 20)
+    return GR.field_masks(_own(t), 20)
 
 
 _IMG = "(SELECT s_suppkey AS image_ix, r.r AS row, c.c AS col, ((s_suppkey * 31 + r.r * r.r * 7 + c.c * 13 + r.r * c.c) % 256)::DOUBLE AS v, ((s_suppkey * 17 + r.r * 5 + c.c * c.c * 3) % 256)::DOUBLE AS u FROM supplier o, range(20) r(r), range(20) c(c))"
@@ -267,24 +301,24 @@ def colour_features(t):
 
 
 @query(f"""
-SELECT prf_ix, round((x * 8.4)::DOUBLE, 6) + 0 AS x, round((y * 8.4)::DOUBLE, 6) + 0 AS y, round((sigma * 8.4)::DOUBLE, 6) + 0 AS size, round(sqrt((x * x + y * y)::DOUBLE) * 8.4, 6) + 0 AS eccentricity FROM {_SMALL}
+SELECT prf_ix, round((x * 8.4)::DOUBLE, 6) + 0 AS x, round((y * 8.4)::DOUBLE, 6) + 0 AS y, round((sigma * 8.4)::DOUBLE, 6) + 0 AS size, round(sqrt((x * x + y * y)::DOUBLE) * 8.4, 6) + 0 AS eccentricity FROM {_OWN}
 """)
 def field_degrees(t):
     """Place and size of fields in degrees of a screen 8.4 wide."""
     x, y, s = (F.col(k) * 8.4 for k in ("x", "y", "sigma"))
-    return _small(t).select("prf_ix", r6(x).alias("x"), r6(y).alias("y"), r6(s).alias("size"), r6(F.sqrt(x * x + y * y)).alias("eccentricity"))
+    return _own(t).select("prf_ix", r6(x).alias("x"), r6(y).alias("y"), r6(s).alias("size"), r6(F.sqrt(x * x + y * y)).alias("eccentricity"))
 
 
 @query("""
-WITH g AS (SELECT i AS prf_ix, (i % 40) / 40.0::DOUBLE - 0.497 AS x, (i // 40) / 40.0::DOUBLE - 0.447 AS y, 0.013 + 0.01 * (i % 11) AS s FROM range(1456) g(i)),
+WITH g AS (SELECT p_partkey AS prf_ix, (p_partkey % 40) / 40.0::DOUBLE - 0.497 AS x, p_partkey % 1456 // 40 / 40.0::DOUBLE - 0.447 AS y, 0.013 + 0.01 * (p_partkey % 11) AS s FROM part),
 c AS (SELECT prf_ix, ceil(s * 2 * 240) AS reach, 120.0 - y * 240 AS r0, x * 240 + 120.0 AS c0 FROM g),
 n AS (SELECT prf_ix, reach, CASE WHEN ceil(r0) = floor(r0) THEN r0 + 0.0001 ELSE r0 END AS r, CASE WHEN ceil(c0) = floor(c0) THEN c0 + 0.0001 ELSE c0 END AS c FROM c)
 SELECT prf_ix, greatest(least(floor(r - reach), 240), 0)::INTEGER AS xmin, greatest(least(ceil(r + reach), 240), 0)::INTEGER AS xmax, greatest(least(floor(c - reach), 240), 0)::INTEGER AS ymin, greatest(least(ceil(c + reach), 240), 0)::INTEGER AS ymax FROM n
 """)
 def clipped_boxes(t):
-    """Pixel boxes of 1,456 fields, clipped to the image."""
-    i = F.col("id")
-    g = t.spark.range(1456).select(i.alias("prf_ix"), (i % 40 / 40.0 - 0.497).alias("x"), (F.floor(i / 40) / 40.0 - 0.447).alias("y"), (0.013 + 0.01 * (i % 11)).alias("sigma"))
+    """Pixel boxes of a field for each part, clipped to the image."""
+    i = F.col("p_partkey")
+    g = t.part.select(i.alias("prf_ix"), (i % 40 / 40.0 - 0.497).alias("x"), (F.floor(i % 1456 / 40) / 40.0 - 0.447).alias("y"), (0.013 + 0.01 * (i % 11)).alias("sigma"))
     return g.select("prf_ix", G.prf_box(F.col("x"), F.col("y"), F.col("sigma"), 240).alias("b")).select("prf_ix", "b.*")
 
 
@@ -331,23 +365,23 @@ def polygons(t):
 
 
 @query("""
-WITH p AS (SELECT i, 2.0 + i % 5 x1, 3.0 + i % 4 y1, 14.0 - i % 3 x2, 4.5 + i % 2 y2, 8.0 + i % 6 x3, 15.0 - i % 5 y3 FROM range(30) g(i)),
+WITH p AS (SELECT i, 2.0 + i % 5 x1, 3.0 + i % 4 y1, 14.0 - i % 3 x2, 4.5 + i % 2 y2, 8.0 + i % 6 x3, 15.0 - i % 5 y3 FROM (SELECT p_partkey AS i FROM part)),
 q AS (SELECT i, c.c + 0.5 AS x, r.r + 0.5 AS y, p.* FROM p, range(18) r(r), range(18) c(c))
 SELECT i AS id, count(*) AS pixels FROM q
 WHERE (CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END + CASE WHEN (y2 > y) <> (y3 > y) AND x < (x3 - x2) * (y - y2) / nullif(y3 - y2, 0) + x2 THEN 1 ELSE 0 END + CASE WHEN (y3 > y) <> (y1 > y) AND x < (x1 - x3) * (y - y3) / nullif(y1 - y3, 0) + x3 THEN 1 ELSE 0 END) % 2 = 1 GROUP BY i
 """)
 def polygon_masks(t):
     i = F.col("id")
-    p = t.spark.range(30).select(i, F.array(*[c.cast("double") for c in (2.0 + i % 5, 3.0 + i % 4, 14.0 - i % 3, 4.5 + i % 2, 8.0 + i % 6, 15.0 - i % 5)]).alias("p"))
+    p = t.part.select(F.col("p_partkey").alias("id")).select(i, F.array(*[c.cast("double") for c in (2.0 + i % 5, 3.0 + i % 4, 14.0 - i % 3, 4.5 + i % 2, 8.0 + i % 6, 15.0 - i % 5)]).alias("p"))
     px = p.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(17)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(17))))
     return px.where(G.inside_polygon(F.col("col") + 0.5, F.col("row") + 0.5, F.col("p"))).groupBy("id").agg(F.count("*").alias("pixels"))
 
 
 @query()
 def field_boxes(t):
-    """Pixel boxes of the default grid; tested against a plain loop."""
-    g = GR.prf_grid(t.spark, 5)
-    return g.select("prf_ix", G.prf_box(F.col("x"), F.col("y"), F.col("sigma"), 240).alias("b"), G.prf_box(F.col("x"), F.col("y"), F.col("sigma"), 240, min_pix=8, square=True).alias("s")).select("prf_ix", "b.*", *(F.col(f"s.{c}").alias(f"square_{c}") for c in ("xmin", "xmax", "ymin", "ymax")))
+    """Pixel boxes of each channel's field of the default grid; tested against a plain loop."""
+    g = _of_channels(t, GR.prf_grid(t.spark, 5))
+    return g.select("voxel_ix", "prf_ix", G.prf_box(F.col("x"), F.col("y"), F.col("sigma"), 240).alias("b"), G.prf_box(F.col("x"), F.col("y"), F.col("sigma"), 240, min_pix=8, square=True).alias("s")).select("prf_ix", "b.*", *(F.col(f"s.{c}").alias(f"square_{c}") for c in ("xmin", "xmax", "ymin", "ymax")))
 
 
 @query("""

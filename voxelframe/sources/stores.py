@@ -29,33 +29,40 @@ def scaled_images(images: DataFrame, divide: float = 255.0) -> DataFrame:
     return images.withColumn("px", scaled(F.col("px"), divide))
 
 
-def noise_images(spark: SparkSession, n: int, side: int, seed: int = 0, mean: float = 127.5, sd: float = 30.0) -> DataFrame:
-    """n images of Gaussian noise that number, pixel and seed decide."""
+def noise_images(images: DataFrame, side: int, seed: int = 0, mean: float = 127.5, sd: float = 30.0) -> DataFrame:
+    """An image of Gaussian noise for each of images(image_ix), that number, pixel and seed decide."""
     from ..functions.stats import inverse_normal
     from ..operators.sampling import MODULUS, draw
 
-    share = lambda p: (draw(F.col("id") * 65_537 + p, seed) + 0.5) / MODULUS
+    share = lambda p: (draw(F.col("image_ix") * 65_537 + p, seed) + 0.5) / MODULUS
     px = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: mean + sd * inverse_normal(share(p)))
-    return spark.range(n).select(F.col("id").alias("image_ix"), F.lit(side).alias("w"), px.alias("px"))
+    return images.select("image_ix", F.lit(side).alias("w"), px.alias("px"))
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, w, channels, px) of .png (8 bits, not interlaced) and binary .ppm / .pgm files; px by row, column, channel."""
+    """(path, height, w, channels, px) of images that the JVM decodes (see ingest) and of binary .ppm / .pgm files; px by row, column, red to blue."""
     import numpy as np
     import pandas as pd
 
-    def read(batches):
+    from .ingest import decoded
+
+    schema = "path string, height int, w int, channels int, px array<double>"
+
+    def turned(batches):
         for pdf in batches:
-            rows = []
-            for name, content in zip(pdf.path, pdf.content, strict=True):
-                a = _decoded(content)
-                rows.append((name, *a.shape, a.astype(float).ravel()))
-            yield pd.DataFrame(rows, columns=["path", "height", "w", "channels", "px"])
+            px = []
+            for data, c in zip(pdf.data, pdf.channels, strict=True):
+                a = np.frombuffer(data, np.uint8).reshape(-1, c).astype(float)
+                px.append((a if c < 3 else a[:, [2, 1, 0, *range(3, c)]]).ravel())
+            yield pdf.drop(columns="data").assign(px=px)
 
-    def _decoded(raw: bytes) -> np.ndarray:
-        return _png(raw) if raw[:8] == b"\x89PNG\r\n\x1a\n" else _pnm(raw)
+    def read(batches):
+        for pdf in batches:
+            found = [_pnm(content) for content in pdf.content]
+            yield pd.DataFrame([(name, *a.shape, a.astype(float).ravel()) for name, a in zip(pdf.path, found, strict=True)], columns=["path", "height", "w", "channels", "px"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, height int, w int, channels int, px array<double>")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ppm,pgm}").load(path)
+    return decoded(spark, path).mapInPandas(turned, schema).union(plain.select("path", "content").mapInPandas(read, schema))
 
 
 def _pnm(raw: bytes):
@@ -71,51 +78,6 @@ def _pnm(raw: bytes):
     return np.frombuffer(raw, np.uint8, w * h * channels, head.end()).reshape(h, w, channels)
 
 
-def _png(raw: bytes):
-    import struct
-    import zlib
-
-    import numpy as np
-
-    at, parts, palette = 8, [], None
-    while at < len(raw):
-        size, kind = struct.unpack(">I4s", raw[at : at + 8])
-        body = raw[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or interlaced:
-                raise ValueError("not an image of 8-bit samples in order")
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            parts.append(body)
-        at += size + 12
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, w * channels + 1)
-    out = np.zeros((h + 1, w + 1, channels), np.int64)  # a row and a column of zeros before the first
-    for y in range(h):
-        mode, line = int(lines[y, 0]), lines[y, 1:].astype(np.int64).reshape(w, channels)
-        up = out[y, 1:]
-        if mode == 0:
-            out[y + 1, 1:] = line
-        elif mode == 1:
-            out[y + 1, 1:] = np.cumsum(line, axis=0) % 256
-        elif mode == 2:
-            out[y + 1, 1:] = (line + up) % 256
-        else:
-            for x in range(w):
-                left, above, corner = out[y + 1, x], up[x], out[y, x]
-                if mode == 3:
-                    guess = (left + above) // 2
-                else:
-                    p = left + above - corner
-                    a, b, c = np.abs(p - left), np.abs(p - above), np.abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
-                out[y + 1, x + 1] = (line[x] + guess) % 256
-    found = out[1:, 1:].astype(np.uint8)
-    return palette[found[..., 0]] if palette is not None else found
-
-
 def result_path(root: str, subject: str, model: str, when: datetime.datetime, debug: bool = False) -> str:
     """Folder of a run: root/subject/model/Jan-31-2021_1205_30, with _DEBUG for trials."""
     return f"{root}/{subject}/{model}/{when.strftime('%b-%d-%Y_%H%M_%S')}{'_DEBUG' if debug else ''}"
