@@ -43,8 +43,7 @@ def binned(df: DataFrame, x: str, y: str, bins: int, kind: str = "linear") -> Da
     rows = df.where(F.col(x).isNotNull())
     stats = [F.avg(y).alias("mean"), F.stddev_pop(y).alias("sd"), F.sum(y).alias("total"), F.count("*").alias("n")]
     if kind == "unique":
-        out = rows.groupBy(F.col(x).cast("double").alias("centre")).agg(*stats)
-        return out.select((F.row_number().over(Window.orderBy("centre")) - 1).alias("bin"), "centre", "mean", "sd", "total", "n")
+        return numbered(rows.groupBy(F.col(x).cast("double").alias("centre")).agg(*stats), "centre", "bin").select("bin", "centre", "mean", "sd", "total", "n")
     if kind == "linear":
         low, high = rows.agg(F.min(x), F.max(x)).first()
         if low is None:
@@ -61,6 +60,28 @@ def binned(df: DataFrame, x: str, y: str, bins: int, kind: str = "linear") -> Da
     return out.select("bin", F.get(F.array(*[F.lit(float(c)) for c in centres]), F.col("bin")).alias("centre"), "mean", "sd", "total", "n")
 
 
+#: Rows that one task numbers, and the most stretches that rows are numbered in.
+NUMBERED, STRETCHES = 100_000, 1024
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their place from 0 in the order of a key of different doubles.
+
+    The key's quantiles cut the rows into stretches, whose counts give the
+    number that each starts from; a task sorts a stretch, not the table.
+    """
+    n = rows.count()
+    pieces = min(max(1, -(-n // NUMBERED)), STRETCHES)
+    edges = quantiles(rows.where(~F.isnan(key)).select(F.col(key).alias("x")), [k / pieces for k in range(1, pieces)]) if pieces > 1 else []
+    stretch = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)
+    rows = rows.withColumn("__stretch", stretch)
+    starts, total = {}, 0
+    for k, count in sorted(rows.groupBy("__stretch").count().collect()):
+        starts[k], total = total, total + count
+    base = F.get(F.array(*[F.lit(starts.get(k, 0)).cast("long") for k in range(pieces)]), F.col("__stretch"))
+    return rows.withColumn(name, base + F.row_number().over(Window.partitionBy("__stretch").orderBy(key)) - 1).drop("__stretch")
+
+
 def quantiles(values: DataFrame, shares: list[float], buckets: int = 1024, few: int = 4096) -> list[float]:
     """Exact quantiles of the column x with linear interpolation; 0 for no values.
 

@@ -95,3 +95,14 @@ def template_table(images: DataFrame, bank: Bank, straight: DataFrame | None = N
     found = found.withColumn("is_curved", ~F.coalesce("only", F.lit(False)) & (F.col("curved") > F.col("linear")))
     value = lambda k: F.when(F.col("is_curved"), F.get(F.array(*[F.lit(p[k]) for p in bank.curved]), F.col("best_curved"))).otherwise(F.get(F.array(*[F.lit(p[k]) for p in bank.linear]), F.col("best_linear")))
     return found.select("image_ix", "is_curved", *[value(k).alias(name) for k, name in enumerate(("frequency", "bend", "angle"))], F.when(F.col("is_curved"), F.col("curved")).otherwise(F.col("linear")).alias("response"), "best_linear", "best_curved")
+
+
+def scored_top_images(best: DataFrame, images: DataFrame, bank: Bank) -> DataFrame:
+    """best(image_ix, ...) with bent: how the strongest bent kernel's response to the image compares with the strongest straight one's.
+
+    The keys come first: only their distinct images are read and filtered, each
+    once, however many channels share it. Images without a response are null.
+    """
+    wanted = best.select("image_ix").distinct()
+    scores = best_kernels(images.join(wanted, "image_ix", "left_semi"), bank)
+    return best.join(scores.select("image_ix", F.try_divide("curved", F.nullif("linear", F.lit(0.0))).alias("bent")), "image_ix", "left")

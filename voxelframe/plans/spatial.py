@@ -160,14 +160,6 @@ def field_masks(t):
 _IMG = "(SELECT s_suppkey AS image_ix, r.r AS row, c.c AS col, ((s_suppkey * 31 + r.r * r.r * 7 + c.c * 13 + r.r * c.c) % 256)::DOUBLE AS v, ((s_suppkey * 17 + r.r * 5 + c.c * c.c * 3) % 256)::DOUBLE AS u FROM supplier o, range(20) r(r), range(20) c(c))"
 
 
-def _images(t):
-    """Deterministic images, one for each supplier."""
-    o = t.supplier.select(F.col("s_suppkey").alias("image_ix"))
-    px = o.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    i, r, c = F.col("image_ix"), F.col("row"), F.col("col")
-    return px.select(i, r, c, ((i * 31 + r * r * 7 + c * 13 + r * c) % 256).cast("double").alias("v"), ((i * 17 + r * 5 + c * c * 3) % 256).cast("double").alias("u"))
-
-
 _W = f"(SELECT prf_ix, row, col, g / sum(g) OVER (PARTITION BY prf_ix) w FROM {_PIXELS})"
 
 
@@ -177,7 +169,7 @@ s AS (SELECT image_ix, prf_ix, any_value(mu) mu, sum(w * pow(v - mu, 2)) + 1e-6
 SELECT image_ix, prf_ix, round(mu, 4) + 0 AS mean, round(v, 4) + 0 AS var, round(c3 / pow(v, 1.5), 4) + 0 AS skew, round(c4 / (v * v), 4) + 0 AS kurtosis FROM s
 """)
 def weighted_pixel_moments(t):
-    out = PX.weighted_moments(_images(t).select("image_ix", "row", "col", "v"), GR.gaussian_weights(_small(t), 20))
+    out = PX.by_field(PX.image_moments(_arrays(t), _small(t), 20, ["image_ix"]), ["image_ix"], ["mean", "var", "skew", "kurtosis"])
     return out.select("image_ix", "prf_ix", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("mean", "var", "skew", "kurtosis")))
 
 
@@ -186,12 +178,26 @@ WITH j AS (SELECT image_ix, prf_ix, w, v, u FROM {_IMG} i JOIN {_W} USING (row,
 SELECT image_ix, prf_ix, round(sum(w * v * u) - sum(w * v) * sum(w * u), 3) + 0 AS cross FROM j GROUP BY ALL
 """)
 def weighted_cross_covariance(t):
-    return PX.weighted_cross(_images(t), GR.gaussian_weights(_small(t), 20)).withColumn("cross", F.round("cross", 3) + F.lit(0.0))
+    return PX.by_field(PX.image_cross(_pairs(t), _small(t), 20, ["image_ix"]), ["image_ix"], ["cross"]).withColumn("cross", F.round("cross", 3) + F.lit(0.0))
+
+
+@query(f"""
+WITH m AS (SELECT image_ix, prf_ix, sum(w * v) AS mv, sum(w * u) AS mu FROM {_IMG} JOIN {_W} USING (row, col) GROUP BY ALL),
+z AS (SELECT image_ix, prf_ix, row, col, (v - mv) * sqrt(w) AS a, (u - mu) * sqrt(w) AS b FROM {_IMG} JOIN {_W} USING (row, col) JOIN m USING (image_ix, prf_ix))
+SELECT x.image_ix, x.prf_ix, dy.d AS dy, dx.d AS dx, round(sum(x.a * y.b), 2) + 0 AS cross FROM z x, range(-1, 2) dy(d), range(-1, 2) dx(d), z y
+WHERE y.image_ix = x.image_ix AND y.prf_ix = x.prf_ix AND y.row = x.row + dy.d AND y.col = x.col + dx.d GROUP BY ALL
+""")
+def shifted_cross_covariance(t):
+    """Weighted covariance of two maps of every image at nine shifts."""
+    f = PX.cross_correlations(_pairs(t), _small(t), 20, ["image_ix"], 1)
+    long = f.select("image_ix", F.posexplode("cross").alias("k", "cross"))
+    k = F.col("k")
+    return long.select("image_ix", F.floor(k / 9).alias("prf_ix"), (F.floor(k % 9 / 3) - 1).alias("dy"), (k % 3 - 1).cast("long").alias("dx"), (F.round("cross", 2) + F.lit(0.0)).alias("cross"))
 
 
 @query(f"SELECT image_ix, prf_ix, round(sum(w * v), 4) + 0 AS f FROM {_IMG} i JOIN {_W} USING (row, col) GROUP BY ALL")
 def pooled_features(t):
-    return PX.pooled(_images(t).select("image_ix", "row", "col", "v"), GR.gaussian_weights(_small(t), 20)).withColumn("f", F.round("f", 4) + F.lit(0.0))
+    return PX.by_field(PX.pooled_images(_arrays(t), _small(t), 20, ["image_ix"]), ["image_ix"], ["f"]).withColumn("f", F.round("f", 4) + F.lit(0.0))
 
 
 def _arrays(t, layers: int = 1):
@@ -203,6 +209,13 @@ def _arrays(t, layers: int = 1):
     return rows.select(k.alias("image_ix"), "layer", px.alias("px"))
 
 
+def _pairs(t):
+    """(image_ix, px, other): two maps of each image."""
+    k, i = F.col("image_ix"), F.sequence(F.lit(0), F.lit(399))
+    other = F.transform(i, lambda p: F.pmod(k * 17 + F.floor(p / 20) * 5 + (p % 20) * (p % 20) * 3, F.lit(256)).cast("double"))
+    return _arrays(t).select("image_ix", "px", other.alias("other"))
+
+
 def _map_sql(grid, layers):
     pixels = f"(SELECT f.prf_ix, r.r AS row, c.c AS col, exp(-(pow(-0.5 + c.c / 19.0 - x, 2) + pow(-0.5 + r.r / 19.0 + y, 2)) / (2 * sigma * sigma)) AS g FROM ({grid}) f, range(20) r(r), range(20) c(c))"
     images = f"(SELECT s_suppkey AS image_ix, k.k::INTEGER AS layer, r.r AS row, c.c AS col, ((s_suppkey * 31 + k.k * 5 + r.r * r.r * 7 + c.c * 13 + r.r * c.c) % 256)::DOUBLE AS v FROM supplier, range({layers}) k(k), range(20) r(r), range(20) c(c))"
@@ -232,7 +245,7 @@ def pooled_maps(t):
 
 @query(f"SELECT image_ix, prf_ix, round(avg(v * (g - lo) / (hi - lo)), 4) + 0 AS f FROM {_IMG} i JOIN (SELECT *, min(g) OVER (PARTITION BY prf_ix) lo, max(g) OVER (PARTITION BY prf_ix) hi FROM {_PIXELS}) USING (row, col) GROUP BY ALL")
 def scaled_pool(t):
-    return PX.scaled_pool(_images(t).select("image_ix", "row", "col", "v"), GR.gaussian_weights(_small(t), 20)).withColumn("f", F.round("f", 4) + F.lit(0.0))
+    return PX.by_field(PX.pooled_images(_arrays(t), _small(t), 20, ["image_ix"], scaled=True), ["image_ix"], ["f"]).withColumn("f", F.round("f", 4) + F.lit(0.0))
 
 
 @query(f"""
@@ -291,13 +304,16 @@ SELECT image_ix, prf_ix, round(sum(w * l), 4) + 0 AS l, round(sum(w * a), 4) + 0
 """)
 def colour_features(t):
     """Lightness, opponent colours and saturation of every image, averaged within each field."""
-    i, r, c = F.col("image_ix"), F.col("row"), F.col("col")
-    px = t.supplier.select(F.col("s_suppkey").alias("image_ix")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    rgb = [((i * 37 + r * 11) % 256).cast("double"), ((i * 91 + c * 7) % 256).cast("double"), ((i * 53 + r * c) % 256).cast("double")]
-    maps = px.select(i, r, c, *(v.alias(n) for v, n in zip((*C.lab(*rgb), C.saturation(*rgb)), ("l", "a", "b", "s"), strict=True)))
-    rows = maps.join(GR.gaussian_weights(_small(t), 20), ["row", "col"]).groupBy("image_ix", "prf_ix")
-    pooled = lambda n, k: (F.round(F.sum(F.col("w") * F.col(n)), k) + F.lit(0.0))
-    return rows.agg(*(pooled(n, 4).alias(n) for n in "lab"), pooled("s", 5).alias("saturation"))
+    i = F.col("s_suppkey")
+    row, col = (lambda p: F.floor(p / 20)), (lambda p: p % 20)
+    rgb = lambda p: [F.pmod(v, F.lit(256)).cast("double") for v in (i * 37 + row(p) * 11, i * 91 + col(p) * 7, i * 53 + row(p) * col(p))]
+    every = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda p: F.struct(*[v.alias(n) for v, n in zip(rgb(p), "RGB", strict=True)]))
+    px = t.supplier.select(i.alias("image_ix"), every.alias("px"))
+    maps = px.select("image_ix", F.transform("px", lambda v: F.struct(*[c.alias(n) for c, n in zip((*C.lab(v["R"], v["G"], v["B"]), C.saturation(v["R"], v["G"], v["B"])), ("l", "a", "b", "saturation"), strict=True)])).alias("m"))
+    names = ["l", "a", "b", "saturation"]
+    maps = maps.select("image_ix", *[F.col(f"m.{n}").alias(n) for n in names])
+    f = PX.by_field(PX.pooled_images(maps, _small(t), 20, ["image_ix"], names), ["image_ix"], names)
+    return f.select("image_ix", "prf_ix", *((F.round(n, 4) + F.lit(0.0)).alias(n) for n in "lab"), (F.round("saturation", 5) + F.lit(0.0)).alias("saturation"))
 
 
 @query(f"""
