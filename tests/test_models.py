@@ -180,3 +180,56 @@ def test_template_bank_against_plain_search(spark):
         assert (got[n].frequency, got[n].bend, got[n].angle) == (bank.curved[np.argmax(cur)] if curved else bank.linear[np.argmax(lin)])
         assert got[n].response == pytest.approx(max(cur) if curved else max(lin), abs=1e-8)
     assert got[4].best_linear == 4 and not got[5].is_curved
+
+
+def test_a_job_that_was_killed_goes_on(spark, tmp_path, monkeypatch):
+    from voxelframe.sources import jobs as J
+
+    _, _, _, features, responses = made(spark, images=40, width=2, channels=2, fields=1)
+    features, responses = features.coalesce(1).persist(), responses.coalesce(1).persist()
+    options = {"permutations": 3, "bootstraps": 1, "together": 2, "keep_residuals": True}
+    whole = J.fit_job(features, responses, [1.0, 10.0], str(tmp_path / "whole"), **options)
+    assert len(whole.finished()) == 1 + 1 + 1 + 2 + 1
+    made_parts = []
+    kept = J.Run.part
+
+    def dying(self, stage, block, make):
+        def counted():
+            made_parts.append((stage, block))
+            if len(made_parts) == 4:
+                raise RuntimeError("killed")
+            return make()
+
+        return kept(self, stage, block, counted)
+
+    monkeypatch.setattr(J.Run, "part", dying)
+    with pytest.raises(RuntimeError, match="killed"):
+        J.fit_job(features, responses, [1.0, 10.0], str(tmp_path / "again"), **options)
+    first = made_parts[:3]
+    again = J.fit_job(features, responses, [1.0, 10.0], str(tmp_path / "again"), **options)
+    assert again.finished() == whole.finished()
+    assert not set(made_parts[4:]) & set(first) and len(made_parts) == 4 + 6 - 3  # only what was absent
+    for stage in J.STAGES:
+        a, b = (sorted((tuple(round(v, 6) if isinstance(v, float) else str(v)[:60] for v in r) for r in run.table(stage).drop("w", "mean", "sd").collect()), key=str) for run in (whole, again))
+        assert a == b and a
+    assert not [p for p in (tmp_path / "again").iterdir() if p.name.startswith("_draft")]
+    with pytest.raises(ValueError, match="other settings"):
+        J.fit_job(features, responses, [2.0], str(tmp_path / "again"), **options)
+    # slices draw what one run of all iterations draws
+    fields = whole.table("fits").select("voxel_ix", "prf_ix")
+    _, scores = M.refit(features, responses, [1.0, 10.0], fields, 3)
+    want = {(r.voxel_ix, r["iter"]): r.cc for r in scores.collect()}
+    got = {(r.voxel_ix, r["iter"]): r.cc for r in whole.table("permutation").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    p = {r.voxel_ix: r.p for r in J.permutation_p(whole).collect()}
+    cc = {r.voxel_ix: r.cc for r in whole.table("validation").collect()}
+    assert p == {v: pytest.approx((sum(got[v, i] >= cc[v] for i in range(3)) + 1) / 4) for v in range(2)}
+
+
+def test_types_name_sets():
+    from voxelframe.sources.features import FeatureSet, FeatureSets
+
+    sets = FeatureSets(*[FeatureSet(n, n) for n in ("net-1", "net-2", "edges")])
+    assert sets.named("edges, net*") == ["edges", "net-1", "net-2"] and sets.named("net-2,net*,net-2") == ["net-2", "net-1"] and sets.named("") == []
+    with pytest.raises(ValueError, match="no feature set is named gone"):
+        sets.named("edges,gone")

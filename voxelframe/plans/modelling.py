@@ -13,6 +13,10 @@ from ..operators import grids as GR
 from ..operators import models as M
 from ..operators import sampling as P
 from ..operators import trials as TR
+from ..sources import jobs as J
+from ..sources import stores as ST
+from ..sources.features import FeatureSets
+from ..sources.shared import scratch
 from .registry import query
 from .statistics import t_tail
 
@@ -139,6 +143,40 @@ for _name, _rows, _boot in (("permutation_refit", _MOVED, False), ("bootstrap_re
     query(f"{_ONE}{_PLAN} r AS ({_rows}), {_SOLVED} {_SCORED}")(_scores)
 
 
+@query(f"""{_ONE} r AS (SELECT 0 AS iter, f, c, split, z, y, 1 AS t FROM z JOIN y USING (i)), {_SOLVED},
+chosen AS (SELECT c, arg_min(f, struct_pack(l := s.loss, f := f)) AS f FROM best GROUP BY c)
+SELECT c AS voxel_ix, f::INTEGER AS prf_ix, count(*) AS n, round(covar_pop(y, s.b + s.w * z) / nullif(sqrt(var_pop(y) * var_pop(s.b + s.w * z)), 0), 5) + 0 AS cc, round(1 - sum(pow(s.b + s.w * z - y, 2)) / (var_pop(y) * count(*)), 5) + 0 AS r2
+FROM r JOIN best USING (iter, f, c) JOIN chosen USING (c, f) WHERE split = 'val' GROUP BY ALL""")
+def stored_run(t):
+    """A whole job over two blocks of channels, stored part by part and read back."""
+    run = J.fit_job(*_one_feature(t), list(_LAMBDAS), scratch(t.spark, "run"), blocks=2)
+    five = lambda c: F.round(c, 5) + F.lit(0.0)
+    fields = run.table("fits").select("voxel_ix", "prf_ix")
+    return run.table("validation").join(fields, "voxel_ix").select("voxel_ix", "prf_ix", "n", five("cc").alias("cc"), five("r2").alias("r2"))
+
+
+_SET = "x AS (SELECT vec_id i, f.f, embedding[f.f * 16 + {}]::DOUBLE x FROM embeddings, range(4) f(f))"
+
+
+def _set_sql(name, k):
+    return f"({_ONE.replace('x AS (SELECT vec_id i, f.f, embedding[f.f * 16 + 1]::DOUBLE x FROM embeddings, range(4) f(f))', _SET.format(k))} r AS (SELECT 0 AS iter, f, c, split, z, y, 1 AS t FROM z JOIN y USING (i)), {_SOLVED} SELECT 'just_{name}' AS version, f::INTEGER AS prf_ix, c AS voxel_ix, s.j::INTEGER AS lambda_ix, round(s.loss, 3) + 0 AS loss FROM best)"
+
+
+@query(f"SELECT * FROM {_set_sql('edges', 2)} UNION ALL SELECT * FROM {_set_sql('labels', 9)}")
+def registered_sets(t):
+    """Two stored feature sets, named in a table, opened side by side by type and fitted; each set alone is a fit that SQL can state."""
+    design, responses = _design(t), _responses(t, 3)
+    folder = scratch(t.spark, "sets")
+    for name, k in (("edges", 2), ("labels", 9)):
+        ST.write_features(design.withColumn("f", F.slice("f", k, 1)), f"{folder}/{name}")
+    table = t.spark.createDataFrame([(n, f"{folder}/{n}", True, [("all", 1)]) for n in ("edges", "labels")], "name string, path string, by_field boolean, groups array<struct<name:string,width:int>>")
+    sets = FeatureSets.from_table(table)
+    features, masks = sets.open(t.spark, sets.named("edg*, labels"))
+    features = features.join(design.select("image_ix", "split").distinct(), "image_ix")
+    fits = M.fit_ridge(features, responses, list(_LAMBDAS), masks).where("version like 'just%'")
+    return fits.select("version", "prf_ix", "voxel_ix", "lambda_ix", (F.round("loss", 3) + F.lit(0.0)).alias("loss"))
+
+
 @query()
 def model_residuals(t):
     design, responses = _design(t), _responses(t)

@@ -35,3 +35,21 @@ class FeatureSets:
         parts = [selected_features(read_features(spark, s.path), images, fields if s.by_field else None) for s in chosen]
         features = combined_features(parts, ["image_ix", "prf_ix"], [not s.by_field for s in chosen])
         return features.select("prf_ix", "image_ix", "f"), combined_versions({s.name: s.groups for s in chosen}, solo)
+
+    @classmethod
+    def from_table(cls, sets: DataFrame, most: int = 10_000) -> FeatureSets:
+        """The sets of a table (name, path, by_field, groups array<struct<name,width>>), groups in order."""
+        rows = sets.select("name", "path", "by_field", "groups").orderBy("name").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError("too many sets")
+        return cls(*[FeatureSet(r["name"], r["path"], {g[0]: g[1] for g in r["groups"] or []}, r["by_field"]) for r in rows])
+
+    def named(self, types: str) -> list[str]:
+        """The sets of a comma-joined list of types, in order and each once; a type ends in * for all sets that begin so."""
+        out: list[str] = []
+        for kind in filter(None, (k.strip() for k in types.split(","))):
+            found = sorted(n for n in self.sets if n.startswith(kind[:-1])) if kind.endswith("*") else [kind] if kind in self.sets else []
+            if not found:
+                raise ValueError(f"no feature set is named {kind}; there are {', '.join(sorted(self.sets))}")
+            out += [n for n in found if n not in out]
+        return out
