@@ -137,6 +137,43 @@ def template_curvature(t):
     return TE.best_kernels(_tiles(t), _BANK).select("image_ix", four("linear").alias("linear"), four("curved").alias("curved"))
 
 
+_TILE_PIXELS = "px AS (SELECT p_partkey AS image_ix, r.r AS r, c.c AS c, ((p_partkey * 31 + r.r * r.r * 7 + c.c * 13 + r.r * c.c * (p_partkey % 5)) % 256)::DOUBLE AS x FROM part, range(8) r(r), range(8) c(c))"
+
+
+@query(f"""
+WITH g AS (SELECT a.a AS a, i.i AS i, j.j AS j, exp(-(pow(j.j / 7.0 - 0.5, 2) + pow(i.i / 7.0 - 0.5, 2)) * 18) AS g, 6 * pi() * ((j.j / 7.0 - 0.5) * cos(a.a * pi() / 2) + (i.i / 7.0 - 0.5) * sin(a.a * pi() / 2)) AS phase FROM range(2) a(a), range(8) i(i), range(8) j(j)),
+m AS (SELECT a, sum(g * sin(phase + pi() / 2)) / sum(g) AS mean FROM g GROUP BY a),
+k AS (SELECT a, i, j, g * (sin(phase + pi() / 2) - mean) AS re, g * sin(phase) AS im FROM g JOIN m USING (a)),
+n AS (SELECT a, sum(sqrt(re * re + im * im)) AS total FROM k GROUP BY a),
+{_TILE_PIXELS},
+o AS (SELECT image_ix, k.a, (r + i + 4) % 8 AS y, (c + j + 4) % 8 AS x0, sqrt(pow(sum(x * re), 2) + pow(sum(x * im), 2)) / any_value(total) AS e FROM px, k JOIN n USING (a) GROUP BY ALL)
+SELECT image_ix, round(avg(ln(1 + sqrt(e))) FILTER (a = 0), 5) + 0 AS level, round(avg(ln(1 + sqrt(e))) FILTER (a = 1), 5) + 0 AS upright FROM o GROUP BY ALL
+""")
+def gabor_tiles(t):
+    """Mean compressed Gabor energy of each tile at one frequency and two orientations, which SQL can state."""
+    f = K.per_image(_tiles(t), lambda x: K.gabor_energy(x, 2, 1).mean(axis=(-2, -1)))
+    return f.select("image_ix", *[(F.round(F.col("f")[k], 5) + F.lit(0.0)).alias(n) for k, n in enumerate(("level", "upright"))])
+
+
+@query(f"""
+WITH q AS (SELECT family, a.a AS a, i.i AS i, j.j AS j, (j.j - 2) * cos(radians(a.a * 40)) + (i.i - 2) * sin(radians(a.a * 40)) AS u0, -(j.j - 2) * sin(radians(a.a * 40)) + (i.i - 2) * cos(radians(a.a * 40)) AS v FROM (VALUES (0), (1), (2)) f(family), range(2) a(a), range(5) i(i), range(5) j(j)),
+w AS (SELECT *, u0 + CASE family WHEN 0 THEN 0.3 * v * v WHEN 1 THEN 0.4 * abs(v) ELSE 0 END AS u FROM q),
+g AS (SELECT *, exp(-0.125 * (u * u + v * v / 4)) AS g, cos(pi() * u / 2) AS re, sin(pi() * u / 2) AS im FROM w),
+m AS (SELECT family, a, sum(g * re) / sum(g) AS re, sum(g * im) / sum(g) AS im FROM g GROUP BY ALL),
+k AS (SELECT g.family, g.a, i, j, g * (g.re - m.re) AS re, g * (g.im - m.im) AS im FROM g JOIN m ON g.family = m.family AND g.a = m.a),
+z AS (SELECT family, a, sqrt(sum(re * re + im * im)) AS norm FROM k GROUP BY ALL),
+{_TILE_PIXELS},
+o AS (SELECT image_ix, k.family, k.a, (r + i - 2 + 8) % 8 AS y, (c + j - 2 + 8) % 8 AS x0, sqrt(pow(sum(x * re), 2) + pow(sum(x * im), 2)) / any_value(norm) AS e FROM px, k JOIN z ON z.family = k.family AND z.a = k.a GROUP BY ALL),
+p AS (SELECT image_ix, family, a, avg(e) AS power FROM o GROUP BY ALL)
+SELECT image_ix, round(avg(power) FILTER (family = 0), 4) + 0 AS curved, round(avg(power) FILTER (family = 1), 4) + 0 AS angular, round(avg(power) FILTER (family = 2), 4) + 0 AS linear FROM p GROUP BY ALL
+""")
+def curvature_tiles(t):
+    """Mean response of three families of bent kernels to each tile, which SQL can state."""
+    banks = [[K.bent_kernel(0.5, b, o, 5, c) for o in (0, 40)] for b, c in ((0.3, True), (0.4, False), (0.0, True))]
+    f = K.per_image(_tiles(t), lambda x: K.curvature_scores(x, *banks))
+    return f.select("image_ix", *[(F.round(F.col("f")[k], 4) + F.lit(0.0)).alias(n) for k, n in enumerate(("curved", "angular", "linear"))])
+
+
 @query()
 def template_table(t):
     """Frequency, bend and angle of each tile; those of junctions are straight. Tested against a plain search."""

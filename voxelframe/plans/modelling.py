@@ -112,6 +112,31 @@ def single_feature_fit(t):
     return _fitted(M.fit_ridge(*_one_feature(t), list(_LAMBDAS)))
 
 
+_TWO = _ONE[: _ONE.index("x AS (")] + f"""
+x AS (SELECT vec_id i, f.f, embedding[f.f * 16 + 1]::DOUBLE a, embedding[f.f * 16 + 2]::DOUBLE b FROM embeddings, range(4) f(f)),
+m AS (SELECT f, avg(a) ma, stddev_pop(a) + 1e-6 da, avg(b) mb, stddev_pop(b) + 1e-6 db FROM x JOIN s USING (i) WHERE split <> 'val' GROUP BY f),
+z AS (SELECT i, f, split, (a - ma) / da a, (b - mb) / db b FROM x JOIN m USING (f) JOIN s USING (i)),
+{_ONE[_ONE.index("y AS ("):]}
+r AS (SELECT f, c, split, a, b, y FROM z JOIN y USING (i)),
+g AS (SELECT f, c, avg(a) ma, avg(b) mb, avg(y) my, count(*) * var_pop(a) aa, count(*) * var_pop(b) bb, count(*) * covar_pop(a, b) ab, count(*) * covar_pop(a, y) ay, count(*) * covar_pop(b, y) by_ FROM r WHERE split = 'trn' GROUP BY ALL),
+w AS (SELECT f, c, j, version, my, ma, mb,
+  CASE version WHEN 'full' THEN ((bb + l) * ay - ab * by_) / ((aa + l) * (bb + l) - ab * ab) WHEN 'just_a' THEN ay / (aa + l) ELSE 0 END AS wa,
+  CASE version WHEN 'full' THEN ((aa + l) * by_ - ab * ay) / ((aa + l) * (bb + l) - ab * ab) WHEN 'just_b' THEN by_ / (bb + l) ELSE 0 END AS wb
+  FROM g, (VALUES {", ".join(f"({j}, {v}::DOUBLE)" for j, v in enumerate(_LAMBDAS))}) p(j, l), (VALUES ('full'), ('just_a'), ('just_b')) v(version)),
+l AS (SELECT w.f, w.c, j, version, wa, wb, my - wa * ma - wb * mb AS bias, sum(pow(y - (my - wa * ma - wb * mb) - wa * a - wb * b, 2)) AS loss FROM w JOIN r ON r.f = w.f AND r.c = w.c AND r.split = 'holdout' GROUP BY ALL),
+best AS (SELECT f, c, version, arg_min(struct_pack(j, wa, wb, bias, loss), struct_pack(loss, j)) s FROM l GROUP BY ALL)
+SELECT version, f::INTEGER AS prf_ix, c AS voxel_ix, s.j::INTEGER AS lambda_ix, round(s.wa, 5) + 0 AS wa, round(s.wb, 5) + 0 AS wb, round(s.bias, 5) + 0 AS bias, round(s.loss, 3) + 0 AS loss FROM best"""
+
+
+@query(_TWO)
+def two_feature_fit(t):
+    """Ridge with two features in all versions of a variance partition, whose solutions SQL can state."""
+    features, responses = _design(t).withColumn("f", F.slice("f", 1, 2)), _responses(t, 3)
+    fits = M.fit_ridge(features, responses, list(_LAMBDAS), M.partial_versions({"a": [0], "b": [1]}))
+    five = lambda c: F.round(c, 5) + F.lit(0.0)
+    return fits.select("version", "prf_ix", "voxel_ix", "lambda_ix", five(F.col("w")[0]).alias("wa"), five(F.col("w")[1]).alias("wb"), five("bias").alias("bias"), (F.round("loss", 3) + F.lit(0.0)).alias("loss"))
+
+
 _PLAN = f"""
 n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {_draw('i', P.PLACES)}, i) p, count(*) OVER (PARTITION BY split) n FROM s),
 q AS (SELECT a.split, a.iter, a.i AS source, a.p FROM (SELECT split, i, o.iter, row_number() OVER (PARTITION BY split, o.iter ORDER BY {_draw('i', 'o.iter')}, i) p FROM s, range(3) o(iter)) a),
