@@ -180,6 +180,51 @@ def stored_run(t):
     return run.table("validation").join(fields, "voxel_ix").select("voxel_ix", "prf_ix", "n", five("cc").alias("cc"), five("r2").alias("r2"))
 
 
+#: The chosen field's fit of each channel, and its rows with their images.
+_CHOSEN = f"""{_ONE} r AS (SELECT 0 AS iter, i, f, c, split, z, y, 1 AS t FROM z JOIN y USING (i)), {_SOLVED},
+chosen AS (SELECT c, arg_min(f, struct_pack(l := s.loss, f := f)) AS f FROM best GROUP BY c),
+rows_ AS (SELECT r.i, r.c, r.f, r.split, r.y, s.b + s.w * r.z AS yhat FROM r JOIN chosen USING (c, f) JOIN best USING (c, f))"""
+
+
+def _chosen(t):
+    """(features, responses, fits) of the one-feature model at each channel's best field."""
+    features, responses = _one_feature(t)
+    return features, responses, M.best_field(M.fit_ridge(features, responses, list(_LAMBDAS)))
+
+
+@query(f"{_CHOSEN} SELECT c AS voxel_ix, i AS image_ix, round((y - yhat)::FLOAT::DOUBLE, 3) + 0 AS residual FROM rows_")
+def single_model_residuals(t):
+    """What the one-feature model leaves of every image's responses."""
+    features, responses, fits = _chosen(t)
+    return M.residuals(M.predict(features, fits), responses).select("voxel_ix", "image_ix", (F.round(F.col("residual").cast("double"), 3) + F.lit(0.0)).alias("residual"))
+
+
+def _resampled_sql(plan):
+    return f"""{_CHOSEN}, held AS (SELECT i, row_number() OVER (ORDER BY {_draw('i', P.PLACES)}, i) p, count(*) OVER () n FROM s WHERE split = 'val'), plan AS ({plan})
+SELECT a.c AS voxel_ix, plan.iter::INTEGER AS iter, round(covar_pop(b.y, a.yhat) / nullif(sqrt(var_pop(b.y) * var_pop(a.yhat)), 0), 5) + 0 AS cc, round(1 - sum(pow(a.yhat - b.y, 2)) / (var_pop(b.y) * count(*)), 5) + 0 AS r2
+FROM plan JOIN rows_ a ON a.i = plan.i JOIN rows_ b ON b.i = plan.source AND b.c = a.c GROUP BY ALL"""
+
+
+def _resampled(t, bootstrap):
+    features, responses, fits = _chosen(t)
+    val = features.where("split = 'val'")
+    plan = (P.bootstrap if bootstrap else P.permutation)(val.select("image_ix").distinct(), [], "image_ix", 3)
+    five = lambda c: F.round(c, 5) + F.lit(0.0)
+    return M.resampled(M.predict(val, fits), responses, plan, both_sides=bootstrap).select("voxel_ix", "iter", five("cc").alias("cc"), five("r2").alias("r2"))
+
+
+@query(_resampled_sql(f"SELECT d.iter, b.i, b.i AS source FROM (SELECT held.*, o.iter, ({_draw('(p - 1) * 31 + 7', 'o.iter')}) % n AS q FROM held, range(3) o(iter)) d JOIN held b ON b.p - 1 = d.q"))
+def single_feature_bootstrap(t):
+    """Scores of the one-feature model on drawn validation images."""
+    return _resampled(t, True)
+
+
+@query(_resampled_sql(f"SELECT q.iter, held.i, q.i AS source FROM held JOIN (SELECT i, o.iter, row_number() OVER (PARTITION BY o.iter ORDER BY {_draw('i', 'o.iter')}, i) p FROM held, range(3) o(iter)) q USING (p)"))
+def single_feature_shuffle(t):
+    """Scores of the one-feature model on validation responses that were moved."""
+    return _resampled(t, False)
+
+
 _SET = "x AS (SELECT vec_id i, f.f, embedding[f.f * 16 + {}]::DOUBLE x FROM embeddings, range(4) f(f))"
 
 
