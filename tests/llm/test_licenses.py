@@ -190,3 +190,13 @@ def test_ties_and_repeated_rows(spark):
     out = scan_licenses(df, F.col("path")).collect()
     got = {r.doc_id: r for r in out}
     assert len(out) == 8 and got[1].license == "ISC" and got[4].effective_license == "ISC" and got[7].effective_license == "GPL-3.0"
+
+
+def test_length_and_blanks_do_not_matter(spark):
+    """A licence followed by thousands of blank lines, wrapped lines with wide blanks, and six licences in one file are licence files."""
+    mit, bsd = FULL_TEXTS["MIT"], FULL_TEXTS["BSD-3-Clause"]
+    rows = [(1, "b/notice", mit + "\n" * 6000), (2, "b/y.c", PROSE), (3, "c/notice", "\n\n".join([bsd] * 6)), (4, "c/y.c", PROSE), (5, "d/notice", mit.replace(" ", "    ") + " " * 9000), (6, "d/y.c", PROSE), (7, "e/LICENSE", APACHE + "\n" * 500), (8, "e/y.c", PROSE), (9, "f/notice", mit + "\n" + PROSE * 60), (10, "f/y.c", PROSE)]
+    got = scan(spark, rows)
+    assert {i: r.license for i, r in got.items()} == {1: "MIT", 2: None, 3: "BSD-3-Clause", 4: None, 5: "MIT", 6: None, 7: "Apache-2.0", 8: None, 9: "MIT", 10: None}
+    assert {i for i, r in got.items() if r.is_license_file} == {1, 3, 5, 7}
+    assert {i: got[i].inherited_license for i in (2, 4, 6, 8, 10)} == {2: "MIT", 4: "BSD-3-Clause", 6: "MIT", 8: "Apache-2.0", 10: None}

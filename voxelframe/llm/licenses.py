@@ -2,8 +2,9 @@
 
 A header is a sentence, within a line or with the lines it is wrapped over,
 that has two words of the header templates, one of them a word that names or
-grants a licence; it reaches from its first such word to its last. A short text
-with several words of the full licence texts is compared as a whole too.
+grants a licence; it reaches from its first such word to its last. A text with
+several words of the full licence texts is compared as a whole too, however
+long it is.
 Words and pairs of neighbours are hashed to BUCKETS terms, so that the table of
 document frequencies has a fixed bound. Weights are term frequency times inverse
 document frequency over all headers and templates; similarity is the cosine of
@@ -135,13 +136,12 @@ def scan_licenses(docs: DataFrame, path: Column, text_col: str = "text", thresho
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select("doc_id", path.cast("string").alias("path"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     titled = F.coalesce(*[F.when(F.col("text").rlike(_OPENING + t), name) for name, t in TITLES.items()])
-    short = F.length("text") < 4 * max(map(len, FULL_TEXTS.values()))
     legal = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(_any_of(FULL_VOCABULARY)), F.lit(0)))) >= FULL_WORDS
     shape = "array<struct<body:string,size:int>>"
     rows = rows.select(
-        "doc_id", "path", "row", F.length("text").alias("n"), titled.alias("titled"),
+        "doc_id", "path", "row", F.length(F.regexp_replace(F.trim("text"), r"\s+", " ")).alias("n"), titled.alias("titled"),
         F.when(F.col("text").rlike(_any_of(NAMING)), headers(F.col("text"))).otherwise(F.array()).cast(shape).alias("headers"),
-        F.when(short, F.when(legal, F.col("text"))).alias("whole"),
+        F.when(legal, F.col("text")).alias("whole"),
     )
     rows = stage.put(rows, "rows")
 
