@@ -58,3 +58,20 @@ def test_empty_tables(spark):
     assert decontaminate(d, b).first().n_hit == 0
     assert decontaminate(d.limit(0), b).count() == 0
     assert Patterns([]).groups == []
+
+
+def test_blocks_keep_hits_and_no_text(spark, monkeypatch):
+    """With many blocks only hits are written; equal and repeated rows, null ids and texts keep their own rows."""
+    from voxelframe.llm import decontaminate as module
+
+    written = []
+    put = module.Stage.put
+    monkeypatch.setattr(module.Stage, "put", lambda self, df, name: written.append(df.columns) or put(self, df, name))
+    items = [(k, f"a{k} b{k} c{k}") for k in range(30)]
+    texts = [(1, "x a1 b1 c1 y a2 b2 c2"), (1, "x a1 b1 c1 y a2 b2 c2"), (1, "a3 b3 c3"), (None, "a1 b1 c1 a1 b1 c1"), (None, None), (2, "nothing")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    rows = lambda **kw: sorted((str(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"))) + str(sorted(zip(r.spans[::2], r.spans[1::2], strict=True))) for r in decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), **kw).collect()))
+    one = rows()
+    assert not written and len(one) == 6
+    assert rows(block_bytes=30) == one
+    assert len(written) > 5 and all(set(c) == {"doc_id", "digest", "spans", "items"} for c in written)

@@ -112,39 +112,68 @@ class Patterns:
                     p += 1
 
 
-def _scan(held, final: bool):
+def _found(held, batch: pa.RecordBatch) -> list[tuple[int, list[int], list[str]]]:
+    """(number of words, spans, items) of each text (column 1) of a batch; without patterns only the words are counted."""
+    raw, offsets = text_buffer(batch.column(1))
+    out = []
+    for i, j in slices(offsets):
+        h, first, starts, ends = word_hashes(raw, offsets[i : j + 1], ALNUM_SPLIT)
+        owner = np.repeat(np.arange(j - i), np.diff(first))
+        spans: dict[int, list[int]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
+        for a, b, *window in held.value.search(raw, h, owner, starts, ends) if held else ():
+            d = int(owner[a])
+            spans.setdefault(d, []).extend((a - int(first[d]), b - int(first[d])))
+            windows.setdefault(d, set()).add(tuple(window))
+        out += [(int(first[d + 1] - first[d]), spans.get(d, []), sorted({x for w in windows.get(d, ()) for x in held.value.items(*w)})) for d in range(j - i)]
+    return out
+
+
+_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>"
+
+
+def _result(ids: pa.Array, out: list[tuple[int, list[int], list[str]]]) -> pa.RecordBatch:
+    n_hit = [_covered(n, s) for n, s, _ in out]
+    digest = [hashlib.sha256(",".join(m).encode()).hexdigest() for *_, m in out]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array([n for n, *_ in out], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(m) for *_, m in out], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array([m for *_, m in out], pa.list_(pa.string())), pa.array([s for _, s, _ in out], pa.list_(pa.int64()))],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+    )
+
+
+def _scan(held):
+    """Texts to results, for a benchmark of one block."""
+
     def run(batches):
-        patterns = held.value
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
-            out = []
-            old_spans, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, j in slices(offsets):
-                h, first, starts, ends = word_hashes(raw, offsets[i : j + 1], ALNUM_SPLIT)
-                owner = np.repeat(np.arange(j - i), np.diff(first))
-                spans: dict[int, list[int]] = {}
-                windows: dict[int, set[tuple[int, int]]] = {}
-                for a, b, *window in patterns.search(raw, h, owner, starts, ends):
-                    d = int(owner[a])
-                    spans.setdefault(d, []).extend((a - int(first[d]), b - int(first[d])))
-                    windows.setdefault(d, set()).add(tuple(window))
-                for d in range(j - i):
-                    s = (old_spans[i + d] or []) + spans.get(d, [])
-                    m = sorted({*(old_items[i + d] or []), *(x for w in windows.get(d, ()) for x in patterns.items(*w))})
-                    out.append((int(first[d + 1] - first[d]), s, m))
-            if not final:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for _, s, _ in out], pa.list_(pa.int64())), pa.array([m for *_, m in out], pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
-                continue
-            n_hit = [_covered(n, s) for n, s, _ in out]
-            digest = [hashlib.sha256(",".join(m).encode()).hexdigest() for *_, m in out]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, *_ in out], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(m) for *_, m in out], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array([m for *_, m in out], pa.list_(pa.string())), pa.array([s for _, s, _ in out], pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
-            )
+            yield _result(batch.column(0), _found(held, batch))
 
     return run
 
 
+def _hits(held):
+    """(doc_id, digest, spans, items) of the texts that a block hits, without the texts."""
+
+    def run(batches):
+        for batch in batches:
+            out = _found(held, batch)
+            at = [k for k, (_, s, _) in enumerate(out) if s]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(2).take(pa.array(at, pa.int64())), pa.array([out[k][1] for k in at], pa.list_(pa.int64())), pa.array([out[k][2] for k in at], pa.list_(pa.string()))], ["doc_id", "digest", "spans", "items"])
+
+    return run
+
+
+def _words(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for n, *_ in _found(None, batch)], pa.int64())], ["doc_id", "digest", "n_words"])
+
+
+def _finished(batches):
+    for batch in batches:
+        n, spans, items = (batch.column(k).to_pylist() for k in (1, 2, 3))
+        yield _result(batch.column(0), [(a, b or [], c or []) for a, b, c in zip(n, spans, items, strict=True)])
+
+
 def _covered(n: int, spans: list[int]) -> int:
     if not spans:
         return 0
@@ -173,18 +202,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spans: first and last word (from 0) of each occurrence, flat. A null or
     empty text has no words. Benchmark rows without item_id or text are left
     out; rows that repeat an item count once. An empty benchmark hits
-    nothing. A benchmark over block_bytes is searched in blocks, one map pass
-    each; what a pass found is kept as a table and its broadcast given up before
-    the next, so that driver and executors hold one block at a time.
+    nothing. A benchmark over block_bytes is searched in blocks, one pass over
+    the texts each, and driver and executors hold one block at a time. Of a pass
+    only the hits are kept, under doc_id and digest of the text (equal rows have
+    equal hits); they are joined with the numbers of words at the end, so no
+    text is ever written.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    stage, before = Stage(spark, "decontaminate"), None
-    for k, patterns in enumerate(pattern_blocks(benchmark, limit=block_bytes)):
-        if before is not None:
-            rows = stage.put(rows.mapInArrow(_scan(before, False), f"doc_id {kind}, text string, spans array<long>, items array<string>"), f"{k}")
-            before.destroy()
-            stage.drop(f"{k - 1}")
-        before = spark.sparkContext.broadcast(patterns)
-    return rows.mapInArrow(_scan(before, True), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>")
+    blocks = pattern_blocks(benchmark, limit=block_bytes)
+    patterns, more = next(blocks), next(blocks, None)
+    if more is None:
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(patterns)), f"doc_id {kind}, {_RESULT}")
+    stage, hits = Stage(spark, "decontaminate"), None
+    keyed = rows.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    number = 0
+    while patterns is not None:
+        held = spark.sparkContext.broadcast(patterns)
+        found = keyed.mapInArrow(_hits(held), f"doc_id {kind}, digest binary, spans array<long>, items array<string>")
+        found = stage.put(found.dropDuplicates(["doc_id", "digest"]), f"hits-{number}")
+        held.destroy()
+        hits = found if hits is None else hits.union(found)
+        patterns, more, number = more, next(blocks, None) if more is not None else None, number + 1
+    hits = hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = hits.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "spans", "items")
+    counted = keyed.mapInArrow(_words, f"doc_id {kind}, digest binary, n_words long")
+    both = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").select("doc_id", "n_words", "spans", "items")
+    return both.mapInArrow(_finished, f"doc_id {kind}, {_RESULT}")
