@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import remove, shared_dir
 
+
 class Stage:
     """The staged tables of one run of an operator."""
 
