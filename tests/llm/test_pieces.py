@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
+from voxelframe.llm import entry
 from voxelframe.llm import pieces as P
 
 TEXTS = ["Hello world", None, "", " ", "a  b \n\t é\U0001f600中\x00", "x" * 3000, "  lead", "trail  ", "▁ mark", "é" * 200, "the the the", "Ñandú 123 ## foo_bar"]
@@ -33,6 +35,28 @@ def test_encoding_is_the_librarys_and_round_trips(spark, model):
         assert len(r.samples) == (0 if not t else 3) or len(set(t)) < 3
 
 
+def test_query_has_digests_of_the_ids(spark, model):
+    """The query makes the pieces of the encoding and of both samples, and its digests are theirs."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    known = {r.doc_id: r for r in P.sample_segmentations(docs, k=2, with_ids=True).collect()}
+    hashed = lambda lists: [r.h for r in spark.createDataFrame([(n, x) for n, x in enumerate(lists)], "n int, ids array<int>").orderBy("n").selectExpr("xxhash64(ids) AS h").collect()]
+    got = sorted(entry.op9_pieces(spark, sf).join(docs.select("doc_id"), "doc_id", "left_semi").collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == sorted(known)
+    encoded = [model.encode(r.text or "") for r in sorted(docs.collect(), key=lambda r: r.doc_id)]
+    assert [r.digest for r in got] == hashed(encoded) and [r.n_pieces for r in got] == list(map(len, encoded))
+    for s in range(2):
+        drawn = [known[r.doc_id].samples[s].ids for r in got]
+        assert [r.sample_digests[s] for r in got] == hashed(drawn) and [r.sample_pieces[s] for r in got] == list(map(len, drawn))
+
+
+def test_columns_are_cut_into_the_same_units():
+    texts = [*TEXTS, "▁▁", "a▁b ▁ c", " ▁ "]
+    unit, first, units = P.units_in(pa.array(texts).slice(1))
+    got = [[units[u].decode().replace(" ", P.SPACE) for u in unit[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert got == [P.units_of(t or "") for t in texts[1:]] and len(set(units)) == len(units)
+
+
 def test_draws_depend_on_the_row_key_alone(spark):
     df = spark.createDataFrame([(k % 3, "some words to be segmented here, again and again " * 8) for k in range(9)], "doc_id long, text string")
     got = {}

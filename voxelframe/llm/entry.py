@@ -70,10 +70,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's encoding and two sampled segmentations, as digests."""
-    found = sample_segmentations(_docs(spark, sf_dir), k=2)
-    field = lambda name: F.transform("samples", lambda s: s[name])
-    return found.select("doc_id", "n_pieces", "digest", "exact", F.size("samples").cast("long").alias("n_samples"), field("n_pieces").alias("sample_pieces"), field("digest").alias("sample_digests"), field("log_p").alias("sample_log_p"), field("inclusion").alias("inclusion"))
+    """Every text's encoding and two sampled segmentations, as digests of their ids."""
+    found = sample_segmentations(_docs(spark, sf_dir), k=2, with_ids=True)
+    of = lambda value: F.transform("samples", value)
+    pieces, n_samples = F.size("ids").cast("long").alias("n_pieces"), F.size("samples").cast("long").alias("n_samples")
+    sampled = of(lambda s: F.size(s["ids"]).cast("long")).alias("sample_pieces"), of(lambda s: s["digest"]).alias("sample_digests")
+    return found.select("doc_id", pieces, "digest", "exact", n_samples, *sampled, of(lambda s: s["log_p"]).alias("sample_log_p"), of(lambda s: s["inclusion"]).alias("inclusion"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

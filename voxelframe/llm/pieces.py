@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import re
 import threading
-from bisect import bisect_left
 from collections import defaultdict
 from itertools import chain, count, islice
 from math import log
@@ -46,14 +45,19 @@ from .words import U64, mix, slices, text_buffer
 SPACE = "▁"
 LONGEST = 16
 PREFIX = -2
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: Characters of different units that a task remembers, with their lattices, from slice to slice.
-HELD = 3 << 20
+HELD = 4 << 20
 #: Per character; keeps the lattice's backward sums near one.
 SCALE = 100.0
+#: Units that are encoded together.
+JOINED = 64
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _STEP = [int(v) | 1 for v in mix(np.arange(901, 906, dtype=U64))]
 _ALL = (1 << 64) - 1
+_BLANK, _MARK = ord(" "), SPACE.encode()
+#: First bits of a character of one to four bytes.
+_LEAD = (0, 0xC0, 0xE0, 0xF0)
 _local = threading.local()
 
 
@@ -87,7 +91,7 @@ class Vocabulary:
         if max(len(p) for p, _ in normal) > LONGEST:
             raise ValueError("a piece is too long for the lattice")
         self.byte_ids = {m.piece_to_id(f"<0x{b:02X}>"): b for b in range(256)}
-        self.byte_id = {b: k for k, b in self.byte_ids.items()}
+        self.byte_id = np.array([k for k, _ in sorted(self.byte_ids.items(), key=lambda x: x[1])], np.int32)
         codes, lengths = _codes([p for p, _ in normal])
         keys = np.zeros(len(normal), U64)
         at = np.concatenate([[0], np.cumsum(lengths)])[:-1]
@@ -108,7 +112,7 @@ class Vocabulary:
         rank = np.arange(n) - min(k for _, k in normal)
         self.weight = 1.0 / (np.maximum(rank, 0) + 10.0)
         self.unknown = 1.0 / (100.0 * n)
-        self.scaled = np.zeros(n + 1)  # piece -1 has no weight
+        self.scaled = np.zeros(n)
         for p, k in normal:
             self.scaled[k] = self.weight[k] * SCALE ** len(p)
 
@@ -149,25 +153,47 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def units_of(text: str) -> list[str]:
-    """The text's units; the first has the model's leading space mark."""
+    """The text's units, in plain form; the first has the model's leading space mark."""
     return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def units_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(unit of each occurrence, first occurrence of each text (texts + 1), the different units) as units_of gives them, in UTF-8 with blanks for space marks."""
+    raw, offsets = text_buffer(column)
+    raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+    some = offsets[1:] > offsets[:-1]
+    raw = np.insert(raw, offsets[:-1][some], _BLANK)  # the model's leading space mark
+    offsets = offsets + np.concatenate([[0], np.cumsum(some)])
+    if len(raw) and (marks := np.flatnonzero((raw[:-2] == _MARK[0]) & (raw[1:-1] == _MARK[1]) & (raw[2:] == _MARK[2]))).size:
+        raw[marks] = _BLANK
+        keep = np.ones(len(raw), bool)
+        keep[marks + 1] = keep[marks + 2] = False
+        raw, offsets = raw[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    blank = raw == _BLANK
+    border = np.zeros(len(raw), bool)
+    border[1:] = blank[1:] & ~blank[:-1]
+    border[offsets[:-1][some]] = True
+    starts = np.flatnonzero(border)
+    ends = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    return found.indices.to_numpy(), np.searchsorted(starts, offsets), found.dictionary.to_pylist()
+
+
 class Lattice:
     """The piece lattices of some units, flat.
 
     Unit u has the slots start[u] to end[u], one for each place between its
-    characters; a slot's edges are first[slot] to first[slot + 1] by length,
-    each with its piece (-1: the character's bytes), its chance among the
-    slot's and the chances cumulated.
+    characters; a slot's edges are first[slot] to stop[slot] by length, each
+    with its piece (-1 - code: the character's bytes), its chance among the
+    slot's and the chances cumulated. Edges of slots equally far from their
+    units' ends lie together, which is the order of the backward sums.
     """
 
     def __init__(self, vocab: Vocabulary, units: list[str] | tuple = ()):
         self.vocab = vocab
         self._room: dict[str, np.ndarray] = {}
-        self.start = self.end = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.cost, self.codes, self.others = np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0)
+        self.start = self.end = self.first = self.stop = np.zeros(0, np.int64)
+        self.others = np.zeros(0)
         self.length, self.piece, self.chance, self.cumulated = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.float32)
         if units:
             self.extend(units)
@@ -190,62 +216,56 @@ class Lattice:
             where, piece = on[real], found[real]
             if k == 0:  # every character has an edge
                 lone = np.setdiff1d(np.arange(n), where, assume_unique=True)
-                where, piece = np.concatenate([where, lone]), np.concatenate([piece, np.full(len(lone), -1)])
+                where, piece = np.concatenate([where, lone]), np.concatenate([piece, -1 - codes[lone].astype(np.int32)])
             edges[where] += 1
             hits.append((where, piece))
             on = on[found != -1]
-        begin = np.cumsum(edges) - edges  # first edge of each character
-        total = int(edges.sum())
-        length, pieces, filled = np.zeros(total, np.uint8), np.zeros(total, np.int32), begin.copy()
+        near = left.astype(np.uint16) if left.max(initial=0) <= 0xFFFF else left
+        order = np.argsort(near, kind="stable")
+        cuts, slots, counts = np.searchsorted(near[order], np.arange(1, int(left.max(initial=0)) + 2)), at[order], edges[order]
+        begin = np.cumsum(counts) - counts  # first edge of each character in this order
+        total = int(counts.sum())
+        length, pieces, filled = np.zeros(total, np.uint8), np.zeros(total, np.int32), np.zeros(n, np.int64)
+        filled[order] = begin
         for k, (where, piece) in enumerate(hits):
-            length[filled[where]], pieces[filled[where]] = k + 1, piece
-            filled[where] += 1
-        cost = np.ones(size, np.int32)  # ids of a one-character edge
-        cost[at[lone]] = 1 + (codes[lone] > 0x7F).astype(np.int32) + (codes[lone] > 0x7FF) + (codes[lone] > 0xFFFF)
-        slot_codes, others = np.zeros(size, np.uint32), np.zeros(size)
-        slot_codes[at] = codes
-        chance, cumulated = np.zeros(total), np.zeros(total, np.float32)
-        source = np.repeat(np.arange(n), edges)
-        weight = np.where(pieces < 0, vocab.unknown * SCALE, vocab.scaled[pieces])
-        target = at[source] + length
-        near = np.minimum(left, 0xFFFF).astype(np.uint16) if left.max(initial=0) <= 0xFFFF else left
-        by_left, edge_left = np.argsort(near, kind="stable"), near[source]
-        by_edge = np.argsort(edge_left, kind="stable")
-        steps = np.arange(1, int(left.max(initial=0)) + 2)
-        cuts, edge_cuts = np.searchsorted(near[by_left], steps), np.searchsorted(edge_left[by_edge], steps)
+            to = filled[where]
+            length[to], pieces[to] = k + 1, piece
+            filled[where] = to + 1
+        first, stop = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        first[slots], stop[slots] = begin, begin + counts
+        chance, cumulated, others = np.zeros(total), np.zeros(total, np.float32), np.zeros(size)
+        weight = np.where(pieces < 0, vocab.unknown * SCALE, vocab.scaled[np.maximum(pieces, 0)])
+        target = np.repeat(slots, counts) + length
+        edge_cuts = np.append(begin, total)[cuts]
         back, shift, shifted = np.ones(size), np.zeros(size), False
-        for d in range(1, len(steps)):
-            rows, mine = by_left[cuts[d - 1] : cuts[d]], by_edge[edge_cuts[d - 1] : edge_cuts[d]]
-            counts = edges[rows]
-            bounds = np.cumsum(counts) - counts
-            w = weight[mine] * back[target[mine]]
+        for i, j, a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), edge_cuts[:-1].tolist(), edge_cuts[1:].tolist(), strict=True):
+            here, some, bounds, to = slots[i:j], counts[i:j], begin[i:j] - a, target[a:b]
+            w = weight[a:b] * back[to]
             if shifted:
-                ahead = shift[target[mine]]
+                ahead = shift[to]
                 top = np.maximum.reduceat(ahead, bounds)
-                w *= np.exp(ahead - np.repeat(top, counts))
-                shift[at[rows]] = top
+                w *= np.exp(ahead - np.repeat(top, some))
+                shift[here] = top
             sums = np.add.reduceat(w, bounds)
-            p = w / np.repeat(sums, counts)
-            chance[mine] = p
+            p = w / np.repeat(sums, some)
+            chance[a:b] = p
             upto = np.cumsum(p)
-            upto -= np.repeat(upto[bounds] - p[bounds], counts)
-            upto[bounds + counts - 1] = 1.0
-            cumulated[mine] = upto
+            upto -= np.repeat(upto[bounds] - p[bounds], some)
+            upto[bounds + some - 1] = 1.0
+            cumulated[a:b] = upto
             most = np.maximum.reduceat(p, bounds)
-            ties = p == np.repeat(most, counts)
-            others[at[rows]] = np.add.reduceat(np.where(ties, 0.0, p), bounds) + (np.add.reduceat(ties.astype(np.int64), bounds) - 1) * most
+            ties = p == np.repeat(most, some)
+            others[here] = np.add.reduceat(np.where(ties, 0.0, p), bounds) + (np.add.reduceat(ties, bounds, dtype=np.int64) - 1) * most
             far = (sums > 1e100) | (sums < 1e-100)
             if far.any():
                 shifted = True
-                shift[at[rows[far]]] += np.log(sums[far])
+                shift[here[far]] += np.log(sums[far])
                 sums = np.where(far, 1.0, sums)
-            back[at[rows]] = sums
-        of_slot = np.zeros(size, np.int64)
-        of_slot[at] = edges
-        base, more = len(self.cost), len(self.piece)
+            back[here] = sums
+        base, more = len(self.first), len(self.piece)
         for name, new in (
-            ("start", start + base), ("end", start + lengths + base), ("first", more + np.cumsum(of_slot)),
-            ("cost", cost), ("codes", slot_codes), ("others", others), ("length", length), ("piece", pieces), ("chance", chance), ("cumulated", cumulated),
+            ("start", start + base), ("end", start + lengths + base), ("first", more + first), ("stop", more + stop),
+            ("others", others), ("length", length), ("piece", pieces), ("chance", chance), ("cumulated", cumulated),
         ):
             self._append(name, new)
 
@@ -263,52 +283,56 @@ class Lattice:
 
     def edges(self, slot: int) -> tuple[list[int], list[float], int]:
         """Lengths and chances of a slot's edges, and the number of the first."""
-        a, b = int(self.first[slot]), int(self.first[slot + 1])
+        a, b = int(self.first[slot]), int(self.stop[slot])
         return self.length[a:b].tolist(), self.chance[a:b].tolist(), a
 
 
 class Units:
     """The different units that a task has met lately: numbers, encodings and lattices."""
 
-    def __init__(self, vocab: Vocabulary, with_ids: bool):
-        self.vocab, self.with_ids = vocab, with_ids
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = defaultdict(count().__next__)
-        self.lat, self.ids = Lattice(self.vocab), []
-        self.n_ids, self.hash, self.whole = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.lat = Lattice(self.vocab)
+        self.ids, self.begin, self.n_ids, self.whole = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def learn(self) -> None:
         """Encode the units numbered since the last time."""
         units = list(islice(self.numbers, len(self.n_ids), None))
         if not units:
             return
-        vocab = self.vocab
-        ids = vocab.model.encode([u.replace(SPACE, " ")[1:] for u in units], num_threads=1)
-        for m, u in enumerate(units):
-            if u == SPACE:  # the model gives nothing for an empty text
-                ids[m] = [vocab.model.piece_to_id(SPACE)]
+        texts = [u.decode("utf-8", "replace") for u in units]
+        flat, n_ids, whole = self._encode_joined(units, texts) or self._encode_each(units, texts)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(n_ids) - n_ids])
+        self.ids, self.n_ids, self.whole = np.concatenate([self.ids, flat]), np.concatenate([self.n_ids, n_ids]), np.concatenate([self.whole, whole])
+        self.lat.extend([t.replace(" ", SPACE) for t in texts])
+
+    def _encode_joined(self, units: list[bytes], texts: list[str]):
+        """(ids, how many of each unit, whether they spell it), of JOINED units at a time; None where some piece does not spell its part."""
+        if any(map(bytes.isspace, (u for u in units if u.endswith(b" ")))):  # blanks alone would meet the next unit's
+            return None
+        ids = self.vocab.model.encode(["".join(texts[i : i + JOINED])[1:] for i in range(0, len(texts), JOINED)], num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+        raw, spelt = b"".join(units), self.vocab.bytes
+        blanks = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) == _BLANK)])
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        ends += blanks[ends] * (len(_MARK) - 1)
+        reached = np.cumsum(self.vocab.sizes[flat])
+        last = np.searchsorted(reached, ends)
+        if reached[-1] != ends[-1] or (reached[last] != ends).any() or b"".join(map(spelt.__getitem__, flat.tolist())) != raw.replace(b" ", _MARK):
+            return None
+        return flat, np.diff(last + 1, prepend=0), np.ones(len(units), bool)
+
+    def _encode_each(self, units: list[bytes], texts: list[str]):
+        ids = self.vocab.model.encode([t[1:] for t in texts], num_threads=1)
+        for m in [m for m, t in enumerate(texts) if t == " "]:  # the model gives nothing for an empty text
+            ids[m] = [self.vocab.model.piece_to_id(SPACE)]
         n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n_ids.sum()))
-        whole = self._whole(units, ids, flat, n_ids)
-        flat = flat.astype(U64)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids)
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(flat + U64(1) + U64(_STEP[2]) * place.astype(U64)))])
-        ends = np.cumsum(n_ids)
-        self.n_ids, self.whole = np.concatenate([self.n_ids, n_ids]), np.concatenate([self.whole, whole])
-        self.hash = np.concatenate([self.hash, total[ends] - total[ends - n_ids]])
-        if self.with_ids:
-            self.ids += ids
-        self.lat.extend(units)
-
-    def _whole(self, units: list[str], ids: list[list[int]], flat: np.ndarray, n_ids: np.ndarray) -> np.ndarray:
-        """Whether each unit's pieces spell it: all at once, or one by one where some do not."""
-        spelt, texts = self.vocab.bytes, [u.encode("utf-8", "surrogatepass") for u in units]
-        ends = np.cumsum(self.vocab.sizes[flat])[np.cumsum(n_ids) - 1]
-        if (ends == np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))).all() and b"".join(map(spelt.__getitem__, flat.tolist())) == b"".join(texts):
-            return np.ones(len(units), bool)
-        return np.array([b"".join([spelt[x] for x in e]) == t for e, t in zip(ids, texts, strict=True)], bool)
+        whole = [b"".join([self.vocab.bytes[x] for x in e]) == u.replace(b" ", _MARK) for e, u in zip(ids, units, strict=True)]
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(n_ids.sum())), n_ids, np.array(whole, bool)
 
 
 def _uniform(row: np.ndarray, *counters) -> np.ndarray:
@@ -324,39 +348,42 @@ def _seeds(row, index, sample: int):
 
 
 def _walk(lat: Lattice, unit: np.ndarray, row: np.ndarray, index: np.ndarray, sample: int):
-    """Draw a segmentation for each unit occurrence: (code, ids, log probability, log probability of all others).
+    """Draw a segmentation for each unit occurrence: (edges of all, how many of each, log probability, log probability of all others).
 
     The others' probability is summed over the edges not taken, so that it is
     exact however small, and 0 (a log of -inf) only for a unit with no other
     segmentation.
     """
     n = len(unit)
-    code, count, logp, rest = np.zeros(n, U64), np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
-    # of the occurrences not at their unit's end: number, seed, place, end, and what is drawn so far
-    on, seed, at, end = np.arange(n), _seeds(row, index, sample), lat.start[unit], lat.end[unit]
-    c, k, l, r, reach, step = code.copy(), count.copy(), logp.copy(), rest.copy(), np.ones(n), 0  # noqa: E741
+    steps, rest, drawn = np.zeros(n, np.int64), np.zeros(n), []
+    # of the occurrences not at their unit's end: number, seed, place, what is left out and what is reached so far
+    on, seed, at, r, reach = np.arange(n), _seeds(row, index, sample), lat.start[unit], np.zeros(n), np.ones(n)
     while len(on):
-        u = _uniform(seed, step).astype(np.float32)
-        edge = lat.first[at]
-        low = np.flatnonzero(lat.cumulated[edge] < u)
-        while len(low):
-            edge[low] += 1
-            low = low[lat.cumulated[edge[low]] < u[low]]
-        chance, length = lat.chance[edge], lat.length[edge]
+        u = _uniform(seed, len(drawn)).astype(np.float32)
+        first, edge = lat.first[at], lat.stop[at] - 1
+        back = np.flatnonzero((edge > first) & (lat.cumulated[edge - 1] >= u))  # from the longest edge, which is the likeliest as a rule
+        while len(back):
+            edge[back] -= 1
+            e = edge[back]
+            back = back[(e > first[back]) & (lat.cumulated[e - 1] >= u[back])]
+        chance = lat.chance[edge]
         r += reach * np.where(chance > 0.5, lat.others[at], 1.0 - chance)
         reach *= chance
-        l += np.log(chance)  # noqa: E741
-        c = c * U64(_STEP[3]) + length.astype(U64)
-        k += np.where(length == 1, lat.cost[at], 1).astype(np.int32)
-        at = at + length
-        left = at < end
-        done = ~left
-        gone = on[done]
-        code[gone], count[gone], logp[gone], rest[gone] = c[done], k[done], l[done], r[done]
-        on, seed, at, end, c, k, l, r, reach = (v[left] for v in (on, seed, at, end, c, k, l, r, reach))  # noqa: E741
-        step += 1
+        drawn.append((on, edge))
+        at = at + lat.length[edge]
+        left = lat.stop[at] > lat.first[at]  # no edge starts at the end
+        done, left = np.flatnonzero(~left), np.flatnonzero(left)
+        if len(done):
+            gone = on[done]
+            steps[gone], rest[gone] = len(drawn), r[done]
+            on, seed, at, r, reach = on[left], seed[left], at[left], r[left], reach[left]
+    begin = np.cumsum(steps) - steps
+    edges = np.empty(int(steps.sum()), np.int64)
+    for step, (on, edge) in enumerate(drawn):
+        edges[begin[on] + step] = edge
+    logp = np.add.reduceat(np.log(lat.chance[edges]), begin) if n else np.zeros(0)
     with np.errstate(divide="ignore"):
-        return code, count, logp, np.log(rest)
+        return edges, steps, logp, np.log(rest)
 
 
 def _mix_one(x: int) -> int:
@@ -375,50 +402,46 @@ def _seed_one(row: int, index: int, sample: int) -> int:
     return _mix_one(row + _STEP[0] * index + _STEP[1] * (sample + 1))
 
 
-def _walk_one(lat: Lattice, unit: int, row: int, index: int, sample: int) -> list[int]:
-    """The edge lengths that _walk drew for one occurrence."""
-    seed, at, out, end = _seed_one(row, index, sample), int(lat.start[unit]), [], int(lat.end[unit])
-    while at < end:
-        u = float(np.float32(_uniform_one(seed, len(out))))
-        a, b = int(lat.first[at]), int(lat.first[at + 1])
-        out.append(int(lat.length[a + bisect_left(lat.cumulated[a:b].tolist(), u)]))
-        at += out[-1]
-    return out
-
-
 class Taken:
     """The segmentations of a unit that are drawn already, as a tree of edges from its start."""
 
-    def __init__(self, lat: Lattice, unit: int, drawn: list[list[int]]):
+    def __init__(self, lat: Lattice, unit: int):
         self.lat, self.at, self.end = lat, [int(lat.start[unit])], int(lat.end[unit])
         self.children: list[dict[int, int]] = [{}]
-        for lengths in drawn:
-            node = 0
-            for x in lengths:
-                if x not in self.children[node]:
-                    self.children[node][x] = len(self.at)
-                    self.at.append(self.at[node] + x)
-                    self.children.append({})
-                node = self.children[node][x]
-        self.rest = [0.0] * len(self.at)
-        for node in reversed(range(len(self.at))):
-            if self.at[node] < self.end:
-                self.rest[node] = sum(self.free(node))
+        self.rest, self.found = [1.0], {}
+
+    def edges(self, node: int) -> tuple[list[int], list[float], int]:
+        if node not in self.found:
+            self.found[node] = self.lat.edges(self.at[node])
+        return self.found[node]
 
     def free(self, node: int) -> list[float]:
         """Of each edge at a node, the probability of the segmentations over it that are not drawn."""
-        lengths, chances, _ = self.lat.edges(self.at[node])
+        lengths, chances, _ = self.edges(node)
         children = self.children[node]
         return [p * self.rest[children[x]] if x in children else p for x, p in zip(lengths, chances, strict=True)]
 
-
-def _redraw(taken: Taken, row: int, sample: int):
-    """A segmentation of the unit that is not taken: (lengths, code, ids, log probability)."""
-    lat, at, node = taken.lat, taken.at[0], 0
-    out, logp, code, count = [], 0.0, 0, 0
+    def add(self, lengths: list[int]) -> None:
+        path = [0]
+        for x in lengths:
+            node = path[-1]
+            if x not in self.children[node]:
+                self.children[node][x] = len(self.at)
+                self.at.append(self.at[node] + x)
+                self.children.append({})
+                self.rest.append(1.0)
+            path.append(self.children[node][x])
+        for node in reversed(path):
+            self.rest[node] = sum(self.free(node)) if self.at[node] < self.end else 0.0
+
+
+def _redraw(taken: Taken, row: int, sample: int) -> tuple[list[int], list[int], float]:
+    """A segmentation of the unit that is not taken: (lengths, edges, log probability)."""
+    at, node = taken.at[0], 0
+    out, edges, logp = [], [], 0.0
     seed = _seed_one(row, 1 << 40, sample)
     while at < taken.end:
-        lengths, chances, _ = lat.edges(at)
+        lengths, chances, number = taken.lat.edges(at) if node is None else taken.edges(node)
         free = chances if node is None else taken.free(node)
         u, edge = _uniform_one(seed, len(out)) * sum(free), 0
         for edge, p in enumerate(free):  # noqa: B007
@@ -429,12 +452,11 @@ def _redraw(taken: Taken, row: int, sample: int):
             edge = max(k for k, p in enumerate(free) if p > 0)
         x = lengths[edge]
         logp += log(chances[edge])
-        code = code * _STEP[3] + x & _ALL
-        count += int(lat.cost[at]) if x == 1 else 1
         node = None if node is None else taken.children[node].get(x)
         out.append(x)
+        edges.append(number + edge)
         at += x
-    return out, code, count, logp
+    return out, edges, logp
 
 
 def _gumbel(u: np.ndarray) -> np.ndarray:
@@ -454,25 +476,30 @@ def _prefix(logp: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return before - np.repeat(before[np.minimum(first[:-1], max(len(logp) - 1, 0))], sizes) if len(logp) else before
 
 
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def sample_slice(lat: Lattice, unit: np.ndarray, first: np.ndarray, row: np.ndarray, k: int):
     """k segmentations of each text: (samples, threshold, lengths_of).
 
     unit: unit of each occurrence; first: first occurrence of each text (texts
-    + 1); row: seed of each text. A sample has, per occurrence, code, count
-    and logp, and per text its perturbed value, -inf where the text has no
-    further segmentation. lengths_of(sample, text, i) gives the edges.
+    + 1); row: seed of each text. A sample has, per occurrence, logp and its
+    edges, begin to begin + steps of drawn, and per text its perturbed value,
+    -inf where the text has no further segmentation. lengths_of(sample,
+    occurrence) gives the edges' lengths.
     """
     texts, n, sizes = len(first) - 1, len(unit), np.diff(first)
     owner = np.repeat(np.arange(texts), sizes)
     index = np.arange(n) - np.repeat(first[:-1], sizes)
     seeds, some = row[owner], np.flatnonzero(sizes > 0)
-    redrawn: dict[tuple[int, int], list[int]] = {}
-    taken: dict[tuple[int, int], list[list[int]]] = {}
+    taken: dict[tuple[int, int], Taken] = {}
     samples, bounds = [], []
 
     def lengths_of(s: int, j: int) -> list[int]:
-        src = int(samples[s]["src"][j])
-        return redrawn.get((src, j)) or _walk_one(lat, int(unit[j]), int(seeds[j]), int(index[j]), src)
+        begin = int(samples[s]["begin"][j])
+        return lat.length[drawn[begin : begin + int(samples[s]["steps"][j])]].tolist()
 
     def push(sample, value, from_):
         """Keep a sample and open its nodes at occurrences with index >= from_."""
@@ -491,14 +518,14 @@ def sample_slice(lat: Lattice, unit: np.ndarray, first: np.ndarray, row: np.ndar
                 best[s, some] = np.maximum.reduceat(b, first[:-1][some])
         return best.argmax(axis=0), best.max(axis=0)
 
-    code, count, logp, rest = _walk(lat, unit, seeds, index, 0)
+    drawn, steps, logp, rest = _walk(lat, unit, seeds, index, 0)
     value = np.full(texts, -np.inf)
     value[some] = _gumbel(_uniform(row[some], 7))
-    push({"code": code, "count": count, "logp": logp, "rest": rest, "src": np.zeros(n, np.int32)}, value, np.zeros(texts, np.int64))
+    push({"begin": np.cumsum(steps) - steps, "steps": steps, "logp": logp, "rest": rest}, value, np.zeros(texts, np.int64))
     for r in range(1, k):
         parent, value = top()
         go = np.flatnonzero(np.isfinite(value))
-        new = {name: samples[0][name].copy() for name in ("code", "count", "logp", "rest", "src")}
+        new = {name: samples[0][name].copy() for name in ("begin", "steps", "logp", "rest")}
         for s in range(1, len(samples)):
             mine = np.flatnonzero((parent == s)[owner])
             for name in new:
@@ -507,96 +534,109 @@ def sample_slice(lat: Lattice, unit: np.ndarray, first: np.ndarray, row: np.ndar
         for t in go.tolist():
             split[t] = int(bounds[parent[t]][first[t] : first[t + 1]].argmax())
         after = np.flatnonzero(index > split[owner])
-        new["code"][after], new["count"][after], new["logp"][after], new["rest"][after] = _walk(lat, unit[after], seeds[after], index[after], r)
-        new["src"][after] = r
+        walked, new["steps"][after], new["logp"][after], new["rest"][after] = _walk(lat, unit[after], seeds[after], index[after], r)
+        new["begin"][after] = len(drawn) + np.cumsum(new["steps"][after]) - new["steps"][after]
+        redrawn, end = [], len(drawn) + len(walked)
         for t in go.tolist():
             s, j = int(parent[t]), int(first[t] + split[t])
-            gone = taken.setdefault((s, j), [])
-            if not gone:
-                gone.append(lengths_of(s, j))
-            lengths, new["code"][j], new["count"][j], new["logp"][j] = _redraw(Taken(lat, int(unit[j]), gone), int(row[t]), r)
-            redrawn[r, j], new["src"][j] = lengths, r
-            gone.append(lengths)
-            rest = Taken(lat, int(unit[j]), gone).rest[0]
-            if rest > 0:
-                g = float(samples[s]["logp"][first[t] : j].sum()) + log(rest) + _gumbel(_uniform(row[t : t + 1], 13 + r, split[t : t + 1]))
+            if (s, j) not in taken:
+                taken[s, j] = Taken(lat, int(unit[j]))
+                taken[s, j].add(lengths_of(s, j))
+            gone = taken[s, j]
+            lengths, edges, new["logp"][j] = _redraw(gone, int(row[t]), r)
+            new["begin"][j], new["steps"][j] = end + len(redrawn), len(edges)
+            redrawn += edges
+            gone.add(lengths)
+            if gone.rest[0] > 0:
+                g = float(samples[s]["logp"][first[t] : j].sum()) + log(gone.rest[0]) + _gumbel(_uniform(row[t : t + 1], 13 + r, split[t : t + 1]))
                 bounds[s][j] = _below(g, value[t : t + 1])[0]
             else:
                 bounds[s][j] = -np.inf
+        drawn = np.concatenate([drawn, walked, np.array(redrawn, np.int64)])
         push(new, value, split + 1)
+    for sample in samples:
+        sample["drawn"] = drawn
     return samples, top()[1], lengths_of
 
 
-def _run(path: str, k: int, with_ids: bool):
+def edge_ids(lat: Lattice, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(ids of the edges in order, how many of each); None: one each. A character without a piece becomes its bytes."""
+    ids = lat.piece[edges]
+    lone = np.flatnonzero(ids < 0)
+    if not len(lone):
+        return ids, None
+    code, sizes = -1 - ids[lone].astype(np.int64), np.ones(len(edges), np.int64)
+    cost = sizes[lone] = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    at = (np.cumsum(sizes) - sizes)[lone]
+    ids = np.repeat(ids, sizes)
+    for c, lead in enumerate(_LEAD, 1):
+        here = np.flatnonzero(cost == c)
+        for k in range(c):
+            byte = code[here] >> 6 * (c - 1 - k)
+            ids[at[here] + k] = lat.vocab.byte_id[byte | lead if k == 0 else 0x80 | byte & 0x3F]
+    return ids, sizes
+
+
+def _run(path: str, k: int):
     def run(batches):
-        units = Units(vocabulary(path), with_ids)
+        units = Units(vocabulary(path))
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
             _, offsets = text_buffer(column)
             for i, j in slices(offsets, SLICE):
-                if len(units.lat.cost) > HELD:
+                if len(units.lat.first) > HELD:
                     units.clear()
-                yield _slice(units, keys.slice(i, j - i), column.slice(i, j - i).to_pylist(), batch.column(2).slice(i, j - i), k, with_ids)
+                yield _slice(units, keys.slice(i, j - i), column.slice(i, j - i), batch.column(2).slice(i, j - i), k)
 
     return run
 
 
-def _slice(known: Units, keys, texts: list, seeds, k: int, with_ids: bool):
-    number = known.numbers.__getitem__
-    found, sizes = [], []
-    for text in texts:
-        units = units_of(text or "")
-        found.extend(map(number, units))
-        sizes.append(len(units))
+def _lists(values: pa.Array | np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _slice(known: Units, keys, column: pa.Array, seeds, k: int):
+    local, first, units = units_in(column)
+    unit = np.fromiter(map(known.numbers.__getitem__, units), np.int64, len(units))[local]
     known.learn()
-    unit, first = np.array(found, np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    index = np.arange(len(unit)) - np.repeat(first[:-1], np.diff(first))
+    lat, texts = known.lat, len(first) - 1
 
     def per_text(values, kind=np.int64):
         c = np.concatenate([np.zeros(1, kind), np.cumsum(values, dtype=kind)])
         return c[first[1:]] - c[first[:-1]]
 
-    def digest(codes):
-        return per_text(mix(codes + U64(_STEP[2]) * index.astype(U64)), U64).view(np.int64)
-
     exact = per_text(~known.whole[unit]) == 0
     row = mix(np.asarray(seeds).astype(np.int64).view(U64))
-    lat = known.lat
-    samples, threshold, lengths_of = sample_slice(lat, unit, first, row, k)
-    drawn = [[] for _ in texts]
+    samples, threshold, _ = sample_slice(lat, unit, first, row, k)
+    there = np.stack([np.isfinite(s["value"]) for s in samples], 1)
+    shape = (texts, len(samples))
+    n_pieces, logp, drawn = np.zeros(shape, np.int64), np.zeros(shape), []
     for s, sample in enumerate(samples):
-        pieces_, codes, logp = per_text(sample["count"]), digest(sample["code"]), per_text(sample["logp"], float)
-        for t in np.flatnonzero(np.isfinite(sample["value"])).tolist():
-            gap = logp[t] - threshold[t]
-            inclusion = 1.0 if not np.isfinite(gap) or gap > 30 else float(-np.expm1(-np.exp(gap)))
-            one = {"n_pieces": int(pieces_[t]), "digest": int(codes[t]), "log_p": float(logp[t]), "perturbed": float(sample["value"][t]), "inclusion": inclusion}
-            if with_ids:
-                one["ids"] = [x for j in range(first[t], first[t + 1]) for x in lattice_ids(lat, int(unit[j]), lengths_of(s, j))]
-            drawn[t].append(one)
-    cols = [keys, pa.array(per_text(known.n_ids[unit])), pa.array(digest(known.hash[unit])), pa.array(exact)]
-    names = ["doc_id", "n_pieces", "digest", "exact"]
-    if with_ids:
-        cols.append(pa.array([[x for m in unit[a:b].tolist() for x in known.ids[m]] for a, b in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int32())))
-        names.append("ids")
-    cols.append(pa.array(drawn, _SAMPLES_IDS if with_ids else _SAMPLES))
-    return pa.RecordBatch.from_arrays(cols, [*names, "samples"])
-
-
-_FIELDS = [("n_pieces", pa.int64()), ("digest", pa.int64()), ("log_p", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]
-_SAMPLES = pa.list_(pa.struct(_FIELDS))
-_SAMPLES_IDS = pa.list_(pa.struct([*_FIELDS, ("ids", pa.list_(pa.int32()))]))
-_SQL = "n_pieces: long, digest: long, log_p: double, perturbed: double, inclusion: double"
-
-
-def lattice_ids(lat: Lattice, unit: int, lengths: list[int]) -> list[int]:
-    """Ids of a unit's segmentation; a character without a piece becomes its bytes."""
-    at, out = int(lat.start[unit]), []
-    for x in lengths:
-        there, _, number = lat.edges(at)
-        piece = int(lat.piece[number + there.index(x)])
-        out += [piece] if piece >= 0 else [lat.vocab.byte_id[b] for b in chr(int(lat.codes[at])).encode("utf-8", "surrogatepass")]
-        at += x
-    return out
+        edges = sample["drawn"][: int(sample["steps"].sum())] if s == 0 else sample["drawn"][_ragged(sample["begin"], sample["steps"])]  # the first has them in order
+        ids, sizes = edge_ids(lat, edges)
+        counts = sample["steps"]
+        if sizes is not None:
+            counts = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        n_pieces[:, s], logp[:, s] = per_text(counts), per_text(sample["logp"], float)
+        drawn.append(ids)
+    gap = logp - threshold[:, None]
+    with np.errstate(over="ignore"):
+        inclusion = np.where(~np.isfinite(gap) | (gap > 30), 1.0, -np.expm1(-np.exp(gap)))
+    sizes = np.where(there, n_pieces, 0)
+    begin = (np.cumsum(sizes) - sizes.ravel()).reshape(shape)
+    flat = np.empty(int(sizes.sum()), np.int32)
+    for s, ids in enumerate(drawn):
+        flat[_ragged(begin[:, s], sizes[:, s])] = ids[np.repeat(there[:, s], n_pieces[:, s])]
+    value = np.stack([s["value"] for s in samples], 1)
+    fields = [*(pa.array(x[there]) for x in (n_pieces, logp, value, inclusion)), _lists(pa.array(flat), sizes[there])]
+    n_own = per_text(known.n_ids[unit])
+    own = _lists(pa.array(known.ids[_ragged(known.begin[unit], known.n_ids[unit])]), n_own)
+    sampled = _lists(pa.StructArray.from_arrays(fields, fields=_FIELDS), there.sum(axis=1))
+    return pa.RecordBatch.from_arrays([keys, pa.array(n_own), pa.array(exact), own, sampled], ["doc_id", "n_pieces", "exact", "ids", "samples"])
+
+
+_FIELDS = [pa.field("n_pieces", pa.int64()), pa.field("log_p", pa.float64()), pa.field("perturbed", pa.float64()), pa.field("inclusion", pa.float64()), pa.field("ids", pa.list_(pa.int32()))]
+_SQL = "n_pieces: long, log_p: double, perturbed: double, inclusion: double, ids: array<int>"
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
@@ -608,7 +648,8 @@ def decode(ids: list[int], path: str | None = None) -> str:
 def sample_segmentations(docs: DataFrame, k: int = 2, path: str | None = None, with_ids: bool = False, text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, digest, exact[, ids], samples) for every row of docs.
 
-    n_pieces and digest (and ids) are of the model's own encoding; exact says
+    n_pieces and digest (and ids) are of the model's own encoding, digests are
+    of ids; exact says
     that decoding gives the text back (a text that itself holds the space mark
     U+2581 reads as spaces). samples: up to k distinct segmentations in order
     of their perturbed values: n_pieces, digest, log_p, perturbed, inclusion
@@ -619,5 +660,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, path: str | None = None, w
     path = path or default_model()
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), F.coalesce(F.xxhash64("doc_id") if kind == "string" else F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("seed"))
-    ids, more = ("ids array<int>, ", ", ids: array<int>") if with_ids else ("", "")
-    return rows.mapInArrow(_run(path, k, with_ids), f"doc_id {kind}, n_pieces long, digest long, exact boolean, {ids}samples array<struct<{_SQL}{more}>>")
+    found = rows.mapInArrow(_run(path, k), f"doc_id {kind}, n_pieces long, exact boolean, ids array<int>, samples array<struct<{_SQL}>>")
+    names = ["n_pieces", "digest", "log_p", "perturbed", "inclusion", *(["ids"] if with_ids else [])]
+    samples = F.transform("samples", lambda s: F.struct(*(F.xxhash64(s["ids"]).alias(x) if x == "digest" else s[x].alias(x) for x in names)))
+    return found.select("doc_id", "n_pieces", F.xxhash64("ids").alias("digest"), "exact", *(["ids"] if with_ids else []), samples.alias("samples"))
