@@ -1,9 +1,11 @@
 """Phrase collocations by set-oriented mining over sorted occurrence relations.
 
 The occurrence relation of length k has a row (piece, pos, id) for each place
-where a frequent phrase of k words begins. It is kept as a table that is dealt
-by piece and sorted by piece and place, so the merge-join of the relation with
-itself on the same piece and the next place needs no shuffle. Each joined pair
+where a frequent phrase of k words begins. Places are counted through a whole
+text, whose number stands for its pieces; a separator takes a place without a
+word, so no phrase goes over the border of two pieces. The relation is kept as
+a table that is dealt by text and sorted by text and place, so its merge-join
+with itself on the same text and the next place needs no shuffle. Each joined pair
 is an occurrence of a phrase of k + 1 words, named by its first and its last k
 words; groups of pairs are counted, and a semi-join with the frequent groups
 gives the relation of the next length. Nothing frequent is lost: all parts of
@@ -22,6 +24,8 @@ from .store import Stage
 LONGEST, LEAST, TOP, SCALE = 3, 10, 2000, 1_000_000
 #: A candidate inside a longer one that has this share of its occurrences is dropped.
 SHARE_PERCENT = 50
+#: Characters between words, and between pieces, inside a regular expression's brackets.
+_BLANKS, _BORDERS = r"\x20\x09", r".,;:!?\x0A-\x0D"
 #: Rows of a relation to one file.
 FILE_ROWS = 2_000_000
 #: Dictionaries of at most so many rows of numbers or words, and tables of at most so many phrases, are sent to every task.
@@ -53,14 +57,15 @@ def lowered(text: Column) -> Column:
 
 
 def pieces(docs: DataFrame, text_col: str = "text", group_col: str = "lang") -> DataFrame:
-    """(lang, piece, body) of every piece with a word; null groups are und, null texts have none."""
-    split = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(F.col(text_col).cast("string"), r"[.,;:!?\x0A-\x0D]")).alias("body"))
-    return split.where(F.col("body").rlike(r"[^\x20\x09]")).select("lang", F.monotonically_increasing_id().alias("piece"), "body")
+    """(lang, piece, body) of every text with a word, numbered; null groups are und, null texts have none."""
+    found = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("body"))
+    return found.where(F.col("body").rlike(f"[^{_BLANKS}{_BORDERS}]")).select("lang", F.monotonically_increasing_id().alias("piece"), "body")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(lang, piece, pos, word) of every word of the pieces; pos counts the words of a piece without gaps."""
-    return found.select("lang", "piece", F.posexplode(F.split("body", r"[\x20\x09]+")).alias("pos", "word")).where("word != ''")
+    """(lang, piece, pos, word) of every word of the texts and of every run of separators, which takes the place between two pieces."""
+    tokens = F.regexp_extract_all("body", F.lit(f"[^{_BLANKS}{_BORDERS}]+|[{_BORDERS}]+"), F.lit(0))
+    return found.select("lang", "piece", F.posexplode(tokens).alias("pos", "word"))
 
 
 def _few(table: DataFrame, most: int) -> bool:
@@ -100,7 +105,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     """((lang, words, a) of every phrase of 1 to longest words with at least `least` occurrences, (lang, n) of all words)."""
     spark = docs.sparkSession
     stage = Stage(spark, "phrases")
-    written = stage.put(occurrences(pieces(docs, text_col, group_col)).groupBy("lang", "word").agg(F.count("*").alias("a")), "written")
+    counted = occurrences(pieces(docs, text_col, group_col)).groupBy("lang", "word").agg(F.count("*").alias("a"))
+    written = stage.put(counted.where(~F.col("word").rlike(f"^[{_BORDERS}]")), "written")
     words = written.groupBy("lang", lowered(F.col("word")).alias("lower")).agg(F.sum("a").alias("a"))
     sizes = stage.put(written.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
