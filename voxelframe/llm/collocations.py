@@ -72,6 +72,15 @@ def _few(table: DataFrame, most: int) -> bool:
     return table.limit(most + 1).count() <= most
 
 
+def _short_ids(table: DataFrame) -> DataFrame:
+    """table, whose ids are monotonically increasing ones, with ids of four bytes where they all fit, so that two make one key of a join."""
+    part, row = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    parts, rows = table.agg(F.max(part), F.max(row)).first()
+    if parts is None or (parts + 1) * (rows + 1) >= 1 << 31:
+        return table
+    return table.withColumn("id", (part * (rows + 1) + row).cast("int"))
+
+
 def _numbered(rows: DataFrame, dictionary: DataFrame, keys: list[str], total: int) -> tuple[DataFrame, bool]:
     """(rows with the id of their entry in dictionary(*keys, a, id); rows without one go, whether rows stay in their partitions).
 
@@ -97,8 +106,8 @@ def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 def _adjacent(relation: list[DataFrame]) -> DataFrame:
     """(piece, pos, l, r): each place of the relation merge-joined with the next one of its piece; pos is that of l."""
     first, second = relation
-    left = first.select("piece", F.col("pos").alias("begins"), F.col("next").alias("pos"), F.col("id").alias("l"))
-    return left.join(second.select("piece", "pos", F.col("id").alias("r")).hint("merge"), ["piece", "pos"]).select("piece", F.col("begins").alias("pos"), "l", "r")
+    left = first.select("piece", F.col("next").alias("pos"), F.col("id").alias("l"))
+    return left.join(second.select("piece", "pos", F.col("id").alias("r")).hint("merge"), ["piece", "pos"]).select("piece", (F.col("pos") - 1).alias("pos"), "l", "r")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "lang", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +119,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     words = written.groupBy("lang", lowered(F.col("word")).alias("lower")).agg(F.sum("a").alias("a"))
     sizes = stage.put(written.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    phrases = [stage.put(words.where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.array("lower").alias("words"), "a"), "phrases")]
+    phrases = [_short_ids(stage.put(words.where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.array("lower").alias("words"), "a"), "phrases"))]
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE_ROWS + 1), 100_000)
 
     frequent = phrases[0].select("id", "lang", F.col("words")[0].alias("lower"))
@@ -127,7 +136,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
         relation = kept(*_numbered(occurrences(dealt), spelled, ["lang", "word"], total), "relation")
         for size in range(2, longest + 1):
             pairs = _adjacent(relation)
-            counted = stage.put(pairs.groupBy("l", "r").agg(F.count("*").alias("a")).where(F.col("a") >= least).select("l", "r", "a", F.monotonically_increasing_id().alias("id")), f"groups-{size}")
+            counted = _short_ids(stage.put(pairs.groupBy("l", "r").agg(F.count("*").alias("a")).where(F.col("a") >= least).select("l", "r", "a", F.monotonically_increasing_id().alias("id")), f"groups-{size}"))
             if size < longest:
                 relation = kept(*_numbered(pairs, counted, ["l", "r"], total), f"relation-{size}")
             known = phrases[-1]
