@@ -159,3 +159,38 @@ def test_very_long_texts(spark, model):
         text = texts[r.doc_id]
         assert r.ids == model.encode(text) and all(P.decode(s.ids) == text and np.isfinite(s.log_p) for s in r.samples)
     assert len({s.digest for r in got if r.doc_id == 1 for s in r.samples}) == 2
+
+
+def test_a_word_is_one_unit_whatever_follows_it(model):
+    """Units part where no piece joins two characters; encodings stay the library's, also of units without a blank before them."""
+    texts = ["word word, word. word\nword;\nword!", "(word) word's", "é.\n\x01中, 1a\t2", "a ,\n ,", "$$$ a$$$ éﬁ"]
+    unit, first, units = P.units_in(pa.array(texts[:1]))
+    assert first.tolist() == [0, len(unit)] and [units[u].decode() for u in unit] == [" word", " word", ",", " word", ".", " word", "\n", "word", ";\n", "word", "!"]
+    known = P.Units(P.vocabulary(P.default_model()))
+    unit, first, units = P.units_in(pa.array(texts))
+    numbers = known.number(units)[unit]
+    for t, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert known.whole[numbers[a:b]].all()
+        assert [x for u in numbers[a:b] for x in known.ids[known.begin[u] : known.begin[u] + known.n_ids[u]].tolist()] == model.encode(t)
+
+
+def test_forgetting_units_changes_no_result(monkeypatch):
+    """Units met once are forgotten beyond HELD, others are kept from task to task, with the same pieces and draws."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["some", "words", "again", f"x{rng.random()}", "été"]) + rng.choice([" ", ", ", ".\n", "\n"]) for _ in range(60)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts), pa.array(range(40))], ["doc_id", "text", "seed"])
+    monkeypatch.setattr(P, "SLICE", 2000)
+
+    def results():
+        return [b.to_pylist() for b in P._run(P.default_model(), 2)(iter([batch]))]
+
+    monkeypatch.setattr(P, "_local", P.threading.local())
+    want = results()
+    everything = len(P._known(P.default_model()).numbers)
+    assert results() == want and len(P._known(P.default_model()).numbers) == everything
+    monkeypatch.setattr(P, "HELD", 1500)
+    monkeypatch.setattr(P, "RESTING", 200)
+    monkeypatch.setattr(P, "_local", P.threading.local())
+    assert results() == want and results() == want
+    known = P._known(P.default_model())
+    assert len(known.numbers) < everything / 3 and len(known.lat.first) <= 200 and b" some" in known.numbers

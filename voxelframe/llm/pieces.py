@@ -2,8 +2,10 @@
 
 Encoding. No piece of the vocabulary has the space mark after another
 character (checked on loading), so no merge crosses the border before a run of
-space marks. A text is cut there into units; each distinct unit of a slice is
-encoded once. Joining the units' pieces gives the library's own encoding.
+space marks. A text is cut there into units, and between a word and what no
+piece joins to it (a comma, a line's end), so that a word makes one unit
+whatever follows it; each distinct unit is encoded once. Joining the units'
+pieces gives the library's own encoding.
 
 Sampling. The lattice of a text has an edge for each piece that spells its
 part of the text, of weight 1 / (rank + 10) (the model stores merge ranks, not
@@ -32,7 +34,7 @@ from __future__ import annotations
 import re
 import threading
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 from math import log
 
 import numpy as np
@@ -46,18 +48,23 @@ SPACE = "▁"
 LONGEST = 16
 PREFIX = -2
 SLICE = 1 << 20
-#: Characters of different units that a task remembers, with their lattices, from slice to slice.
-HELD = 4 << 20
+#: Characters of different units that a task remembers, with their lattices, beyond which those met in few slices are forgotten, and that a worker remembers from task to task.
+HELD, RESTING = 4 << 20, 1 << 19
 #: Per character; keeps the lattice's backward sums near one.
 SCALE = 100.0
+#: Of the chance one, in cumulated chances.
+PARTS = float(1 << 40)
 #: Units that are encoded together.
 JOINED = 64
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _STEP = [int(v) | 1 for v in mix(np.arange(901, 906, dtype=U64))]
 _ALL = (1 << 64) - 1
 _BLANK, _MARK = ord(" "), SPACE.encode()
+#: What parts a unit that does not begin with a blank from the one before it, where units are encoded together.
+_APART = " \n"
 #: First bits of a character of one to four bytes.
 _LEAD = (0, 0xC0, 0xE0, 0xF0)
+#: Characters that a normaliser would change: a composed accent, a ligature, a wide letter.
+_PLAIN = "e\u0301 \ufb01\uff21"
 _local = threading.local()
 
 
@@ -90,6 +97,8 @@ class Vocabulary:
             raise ValueError("a piece crosses a unit border")
         if max(len(p) for p, _ in normal) > LONGEST:
             raise ValueError("a piece is too long for the lattice")
+        self.border = self._borders()
+        self.n_apart = len(m.encode(_APART[1:]))
         self.byte_ids = {m.piece_to_id(f"<0x{b:02X}>"): b for b in range(256)}
         self.byte_id = np.array([k for k, _ in sorted(self.byte_ids.items(), key=lambda x: x[1])], np.int32)
         codes, lengths = _codes([p for p, _ in normal])
@@ -116,6 +125,21 @@ class Vocabulary:
         for p, k in normal:
             self.scaled[k] = self.weight[k] * SCALE ** len(p)
 
+    def _borders(self) -> np.ndarray:
+        """Whether units part between two bytes (first * 256 + second, a blank for the space mark): before a blank, and beside a letter where no piece has both."""
+        joined, letter = np.zeros((256, 256), bool), np.zeros(256, bool)
+        for piece in self.bytes:
+            codes = np.frombuffer(piece.replace(_MARK, b" "), np.uint8)
+            joined[codes[:-1], codes[1:]] = True
+        letter[0x41:0x5B] = letter[0x61:0x7B] = letter[0x80:] = True
+        out = ~joined & (letter[:, None] | letter)
+        out[:, 0x80:0xC0] = False  # inside a character
+        code = ord(_APART[1])
+        if joined[code].any() or joined[:, code].any() or self.model.decode(self.model.encode(_PLAIN)) != _PLAIN:
+            out[:] = False
+        out[:, _BLANK], out[_BLANK] = True, False
+        return out.ravel()
+
     def _longest_run(self) -> int:
         used = np.flatnonzero(self.slots != -1)
         runs = np.split(used, np.flatnonzero(np.diff(used) > 1) + 1)
@@ -152,13 +176,22 @@ def vocabulary(path: str) -> Vocabulary:
     return held[path]
 
 
-def units_of(text: str) -> list[str]:
+def units_of(text: str, vocab: Vocabulary | None = None) -> list[str]:
     """The text's units, in plain form; the first has the model's leading space mark."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def units_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    border, out = (vocab or vocabulary(default_model())).border, []
+    before = _BLANK
+    for c in " " + text.replace(SPACE, " ") if text else "":
+        code = c.encode()
+        if not out or border[before << 8 | code[0]]:
+            out.append("")
+        out[-1] += SPACE if c == " " else c
+        before = code[-1]
+    return out
+
+
+def units_in(column: pa.Array, vocab: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(unit of each occurrence, first occurrence of each text (texts + 1), the different units) as units_of gives them, in UTF-8 with blanks for space marks."""
+    vocab = vocab or vocabulary(default_model())
     raw, offsets = text_buffer(column)
     raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
     some = offsets[1:] > offsets[:-1]
@@ -169,9 +202,8 @@ def units_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         keep = np.ones(len(raw), bool)
         keep[marks + 1] = keep[marks + 2] = False
         raw, offsets = raw[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
-    blank = raw == _BLANK
     border = np.zeros(len(raw), bool)
-    border[1:] = blank[1:] & ~blank[:-1]
+    border[1:] = vocab.border.take(raw[:-1].astype(np.uint16) << 8 | raw[1:])
     border[offsets[:-1][some]] = True
     starts = np.flatnonzero(border)
     ends = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
@@ -192,7 +224,8 @@ class Lattice:
     def __init__(self, vocab: Vocabulary, units: list[str] | tuple = ()):
         self.vocab = vocab
         self._room: dict[str, np.ndarray] = {}
-        self.start = self.end = self.first = self.stop = np.zeros(0, np.int64)
+        self.start = self.end = np.zeros(0, np.int64)
+        self.first = self.stop = np.zeros(0, np.int32)
         self.others = np.zeros(0)
         self.length, self.piece, self.chance, self.cumulated = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.float32)
         if units:
@@ -249,10 +282,11 @@ class Lattice:
             sums = np.add.reduceat(w, bounds)
             p = w / np.repeat(sums, some)
             chance[a:b] = p
-            upto = np.cumsum(p)
-            upto -= np.repeat(upto[bounds] - p[bounds], some)
-            upto[bounds + some - 1] = 1.0
+            parts = (p * PARTS).astype(np.int64)  # whole numbers, so that sums do not depend on the other units
+            upto = np.cumsum(parts)
+            upto -= np.repeat(upto[bounds] - parts[bounds], some)
             cumulated[a:b] = upto
+            cumulated[a + bounds + some - 1] = PARTS
             most = np.maximum.reduceat(p, bounds)
             ties = p == np.repeat(most, some)
             others[here] = np.add.reduceat(np.where(ties, 0.0, p), bounds) + (np.add.reduceat(ties, bounds, dtype=np.int64) - 1) * most
@@ -262,6 +296,7 @@ class Lattice:
                 shift[here[far]] += np.log(sums[far])
                 sums = np.where(far, 1.0, sums)
             back[here] = sums
+        cumulated /= PARTS
         base, more = len(self.first), len(self.piece)
         for name, new in (
             ("start", start + base), ("end", start + lengths + base), ("first", more + first), ("stop", more + stop),
@@ -281,6 +316,24 @@ class Lattice:
         room[len(old) : size] = new
         setattr(self, name, room[:size])
 
+    def keep(self, kept: np.ndarray) -> None:
+        """Forget all units but those marked, which move up in order."""
+        sizes = self.end - self.start + 1
+        slots = np.repeat(kept, sizes)
+        first, counts = self.first[slots].astype(np.int64), (self.stop - self.first)[slots]
+        some = counts > 0
+        on = np.zeros(len(self.piece) + 1, np.int8)
+        on[first[some]] += 1
+        on[first[some] + counts[some]] -= 1
+        edges = np.cumsum(on[:-1], dtype=np.int8).astype(bool)
+        first = np.where(some, (np.cumsum(edges) - edges)[np.where(some, first, 0)], 0)
+        start = np.cumsum(sizes[kept]) - sizes[kept]
+        new = {"start": start, "end": start + sizes[kept] - 1, "first": first, "stop": first + counts, "others": self.others[slots]}
+        new |= {name: getattr(self, name)[edges] for name in ("length", "piece", "chance", "cumulated")}
+        self._room.clear()
+        for name, values in new.items():
+            setattr(self, name, values.astype(getattr(self, name).dtype, copy=False))
+
     def edges(self, slot: int) -> tuple[list[int], list[float], int]:
         """Lengths and chances of a slot's edges, and the number of the first."""
         a, b = int(self.first[slot]), int(self.stop[slot])
@@ -288,16 +341,35 @@ class Lattice:
 
 
 class Units:
-    """The different units that a task has met lately: numbers, encodings and lattices."""
+    """The different units that a worker has met lately: numbers, encodings, lattices and the slices with them."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.clear()
-
-    def clear(self) -> None:
         self.numbers: dict[bytes, int] = defaultdict(count().__next__)
-        self.lat = Lattice(self.vocab)
+        self.lat = Lattice(vocab)
         self.ids, self.begin, self.n_ids, self.whole = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.met = np.zeros(0, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Forget the units that were met in few slices, so that the others have at most so many characters."""
+        sizes, least = self.lat.end - self.lat.start + 1, 2
+        while sizes[self.met >= least].sum() > most:
+            least *= 2
+        kept = self.met >= least
+        names = list(compress(self.numbers, kept.tolist()))
+        self.numbers = defaultdict(count(len(names)).__next__, zip(names, range(len(names)), strict=True))
+        self.lat.keep(kept)
+        self.ids, self.n_ids = self.ids[_ragged(self.begin[kept], self.n_ids[kept])], self.n_ids[kept]
+        self.begin, self.whole, self.met = np.cumsum(self.n_ids) - self.n_ids, self.whole[kept], self.met[kept] // 2
+
+    def number(self, units: list[bytes]) -> np.ndarray:
+        """The number of each unit, which is different from the others; those not known are learnt."""
+        if len(self.lat.first) > HELD:
+            self.shrink(HELD // 2)
+        numbers = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+        self.learn()
+        self.met[numbers] += 1
+        return numbers
 
     def learn(self) -> None:
         """Encode the units numbered since the last time."""
@@ -308,26 +380,39 @@ class Units:
         flat, n_ids, whole = self._encode_joined(units, texts) or self._encode_each(units, texts)
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(n_ids) - n_ids])
         self.ids, self.n_ids, self.whole = np.concatenate([self.ids, flat]), np.concatenate([self.n_ids, n_ids]), np.concatenate([self.whole, whole])
+        self.met = np.concatenate([self.met, np.zeros(len(units), np.int64)])
         self.lat.extend([t.replace(" ", SPACE) for t in texts])
 
     def _encode_joined(self, units: list[bytes], texts: list[str]):
         """(ids, how many of each unit, whether they spell it), of JOINED units at a time; None where some piece does not spell its part."""
         if any(map(bytes.isspace, (u for u in units if u.endswith(b" ")))):  # blanks alone would meet the next unit's
             return None
-        ids = self.vocab.model.encode(["".join(texts[i : i + JOINED])[1:] for i in range(0, len(texts), JOINED)], num_threads=1)
+        apart, spelt = _APART.encode(), self.vocab.bytes
+        led = np.fromiter((u[0] != _BLANK for u in units), bool, len(units))
+        parts = [t if t[0] == " " else _APART + t for t in texts]
+        ids = self.vocab.model.encode(["".join(parts[i : i + JOINED])[1:] for i in range(0, len(parts), JOINED)], num_threads=1)
         flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-        raw, spelt = b"".join(units), self.vocab.bytes
+        raw = b"".join([u if u[0] == _BLANK else apart + u for u in units])
         blanks = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) == _BLANK)])
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + led * len(apart))
         ends += blanks[ends] * (len(_MARK) - 1)
         reached = np.cumsum(self.vocab.sizes[flat])
         last = np.searchsorted(reached, ends)
         if reached[-1] != ends[-1] or (reached[last] != ends).any() or b"".join(map(spelt.__getitem__, flat.tolist())) != raw.replace(b" ", _MARK):
             return None
-        return flat, np.diff(last + 1, prepend=0), np.ones(len(units), bool)
+        n_ids = np.diff(last + 1, prepend=0)
+        if led.any():
+            first = (last + 1 - n_ids)[led]
+            begin = np.concatenate([[0], ends[:-1]])[led] + len(apart) - 1 + len(_MARK)
+            if (reached[first + self.vocab.n_apart - 1] != begin).any():
+                return None
+            flat = np.delete(flat, (first[:, None] + np.arange(self.vocab.n_apart)).ravel())
+            n_ids = n_ids - led * self.vocab.n_apart
+        return flat, n_ids, np.ones(len(units), bool)
 
     def _encode_each(self, units: list[bytes], texts: list[str]):
-        ids = self.vocab.model.encode([t[1:] for t in texts], num_threads=1)
+        ids = self.vocab.model.encode([t[1:] if t[0] == " " else _APART[1:] + t for t in texts], num_threads=1)
+        ids = [e if t[0] == " " else e[self.vocab.n_apart :] for e, t in zip(ids, texts, strict=True)]
         for m in [m for m, t in enumerate(texts) if t == " "]:  # the model gives nothing for an empty text
             ids[m] = [self.vocab.model.piece_to_id(SPACE)]
         n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -335,6 +420,14 @@ class Units:
         return np.fromiter(chain.from_iterable(ids), np.int32, int(n_ids.sum())), n_ids, np.array(whole, bool)
 
 
+def _known(path: str) -> Units:
+    """The units that this worker holds, from task to task."""
+    held = _local.__dict__.setdefault("units", {})
+    if path not in held:
+        held[path] = Units(vocabulary(path))
+    return held[path]
+
+
 def _uniform(row: np.ndarray, *counters) -> np.ndarray:
     """Numbers in (0, 1) that row and counters decide."""
     h = row
@@ -358,25 +451,26 @@ def _walk(lat: Lattice, unit: np.ndarray, row: np.ndarray, index: np.ndarray, sa
     steps, rest, drawn = np.zeros(n, np.int64), np.zeros(n), []
     # of the occurrences not at their unit's end: number, seed, place, what is left out and what is reached so far
     on, seed, at, r, reach = np.arange(n), _seeds(row, index, sample), lat.start[unit], np.zeros(n), np.ones(n)
+    first, edge = lat.first.take(at), lat.stop.take(at) - 1
     while len(on):
         u = _uniform(seed, len(drawn)).astype(np.float32)
-        first, edge = lat.first[at], lat.stop[at] - 1
-        back = np.flatnonzero((edge > first) & (lat.cumulated[edge - 1] >= u))  # from the longest edge, which is the likeliest as a rule
+        back = np.flatnonzero((edge > first) & (lat.cumulated.take(edge - 1) >= u))  # from the longest edge, which is the likeliest as a rule
         while len(back):
-            edge[back] -= 1
-            e = edge[back]
-            back = back[(e > first[back]) & (lat.cumulated[e - 1] >= u[back])]
-        chance = lat.chance[edge]
-        r += reach * np.where(chance > 0.5, lat.others[at], 1.0 - chance)
+            e = edge[back] - 1
+            edge[back] = e
+            back = back[(e > first[back]) & (lat.cumulated.take(e - 1) >= u[back])]
+        chance = lat.chance.take(edge)
+        r += reach * np.where(chance > 0.5, lat.others.take(at), 1.0 - chance)
         reach *= chance
         drawn.append((on, edge))
-        at = at + lat.length[edge]
-        left = lat.stop[at] > lat.first[at]  # no edge starts at the end
+        at = at + lat.length.take(edge)
+        first, edge = lat.first.take(at), lat.stop.take(at) - 1
+        left = edge >= first  # no edge starts at the end
         done, left = np.flatnonzero(~left), np.flatnonzero(left)
         if len(done):
-            gone = on[done]
-            steps[gone], rest[gone] = len(drawn), r[done]
-            on, seed, at, r, reach = on[left], seed[left], at[left], r[left], reach[left]
+            gone = on.take(done)
+            steps[gone], rest[gone] = len(drawn), r.take(done)
+            on, seed, at, r, reach, first, edge = (x.take(left) for x in (on, seed, at, r, reach, first, edge))
     begin = np.cumsum(steps) - steps
     edges = np.empty(int(steps.sum()), np.int64)
     for step, (on, edge) in enumerate(drawn):
@@ -579,14 +673,16 @@ def edge_ids(lat: Lattice, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray |
 
 def _run(path: str, k: int):
     def run(batches):
-        units = Units(vocabulary(path))
-        for batch in batches:
-            keys, column = batch.column(0), batch.column(1)
-            _, offsets = text_buffer(column)
-            for i, j in slices(offsets, SLICE):
-                if len(units.lat.first) > HELD:
-                    units.clear()
-                yield _slice(units, keys.slice(i, j - i), column.slice(i, j - i), batch.column(2).slice(i, j - i), k)
+        units = _known(path)
+        try:
+            for batch in batches:
+                keys, column = batch.column(0), batch.column(1)
+                _, offsets = text_buffer(column)
+                for i, j in slices(offsets, SLICE):
+                    yield _slice(units, keys.slice(i, j - i), column.slice(i, j - i), batch.column(2).slice(i, j - i), k)
+        finally:
+            if len(units.lat.first) > RESTING:
+                units.shrink(RESTING)
 
     return run
 
@@ -596,9 +692,8 @@ def _lists(values: pa.Array | np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def _slice(known: Units, keys, column: pa.Array, seeds, k: int):
-    local, first, units = units_in(column)
-    unit = np.fromiter(map(known.numbers.__getitem__, units), np.int64, len(units))[local]
-    known.learn()
+    local, first, units = units_in(column, known.vocab)
+    unit = known.number(units)[local]
     lat, texts = known.lat, len(first) - 1
 
     def per_text(values, kind=np.int64):
