@@ -130,3 +130,40 @@ def test_one_row_a_text_is_dealt_and_separators_take_a_place(spark):
     rows = [(r.lang, r.pos, r.word) for r in module.occurrences(found).orderBy("lang", "pos").collect()]
     assert rows == [("en", 0, "Ab"), ("en", 1, "cd"), ("en", 2, ","), ("en", 3, "ef"), ("en", 4, ".\n"), ("en", 5, "gh"), ("und", 0, "!"), ("und", 1, "ij")]
     check(spark, [("a b. c a b,c a b", "en"), ("b ; ;a b", "en")] * 10)
+
+
+def test_words_that_share_a_code(spark, monkeypatch):
+    """Codes name words exactly, or the words themselves are joined."""
+    docs = made(6)
+    rows = module.coded(module.pieces(table(spark, docs))).collect()
+    texts, words = [r for r in rows if r.piece is not None], [r for r in rows if r.word is not None]
+    assert len({(r.lang, r.word) for r in words}) == len({r.code for r in words}) and {r.word for r in words} == {r.word.translate(LOWER) for r in words}
+    assert sum(r.a for r in words) == sum(sum(c != 0 for c in r.codes) for r in texts)
+    assert not any(r.codes[0] == 0 or r.codes[-1] == 0 for r in texts)
+    want = check(spark, docs)
+    monkeypatch.setattr(module, "SLICE", 50)
+    assert check(spark, docs) == want
+    monkeypatch.setattr(module, "_codes", lambda words, groups: (words % 5 + 1).view("int64"))
+    assert len({r.code for r in module.coded(module.pieces(table(spark, docs))).collect() if r.word is not None}) < 6
+    assert check(spark, docs) == want
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """Without a clash of codes no regular expression splits the texts a second time."""
+    monkeypatch.setattr(module, "occurrences", lambda found: 1 / 0)
+    check(spark, made(7))
+
+
+def test_only_frequent_keys_are_copied(spark, monkeypatch):
+    """A table joined by a shuffle is sent once, but for its large keys."""
+    rows = spark.range(100).selectExpr("id", "cast(if(id < 60, 0, id % 7) as int) as k")
+    keys = spark.range(7).selectExpr("cast(id as int) as k", "if(id = 0, 60L, 1L) as w")
+    monkeypatch.setattr(module, "BROADCAST_PHRASES", 1)
+    monkeypatch.setattr(module, "HOT", 5)
+    found = module._looked_up(rows, keys, ["k"], "w", 100)
+    want = [(k, 0 if k < 60 else k % 7) for k in range(100)]
+    assert sorted((r.id, r.k) for r in found.collect()) == want
+    dealt = {r.k: r.n for r in found.groupBy("k").agg(F.countDistinct(F.pmod(F.xxhash64("k", "id"), F.lit(8))).alias("n")).collect()}
+    assert dealt[0] > 1 and found.columns == ["k", "id", "w"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(w#" in plan and "explode(CASE WHEN" in plan.replace("outer ", "")
