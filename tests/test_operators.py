@@ -572,3 +572,43 @@ def test_feature_residuals_match_least_squares(spark):
         d = np.c_[x[g], np.ones(60)]
         want = y[g] - d @ np.linalg.lstsq(d[:40], y[g][:40], rcond=None)[0]
         assert all(np.allclose(got[g, k], want[k], atol=1e-9) for k in range(60))
+
+
+@pytest.mark.parametrize("shape", [(3, 32, 32), (2, 31, 33), (2, 9, 14), (1, 3, 3), (1, 1, 2), (2, 2, 12, 10)])
+@pytest.mark.parametrize(("orientations", "blocks", "pad"), [((8, 8, 8, 8), 4, 32), ((4, 3), 3, 5), ((2,), 5, 0)])
+def test_descriptor_by_products_and_transforms(shape, orientations, blocks, pad):
+    x = np.random.default_rng(0).uniform(0, 255, shape)
+    x[0, ..., 0, 0] = 0
+    h, w = shape[-2:]
+    y = np.pad(K.prefilter(x), [(0, 0)] * (x.ndim - 2) + [(pad, pad)] * 2, "symmetric")
+    fy, fx = np.meshgrid(np.fft.fftfreq(h + 2 * pad), np.fft.fftfreq(w + 2 * pad), indexing="ij")
+    want = []
+    for scale, n in enumerate(orientations):
+        for k in range(n):
+            turned = (np.angle(fx + 1j * fy) + np.pi * k / n + np.pi) % (2 * np.pi) - np.pi
+            g = np.exp(-3.5 * (np.hypot(fx, fy) * 1.85**scale / 0.3 - 1) ** 2 - n**2 / 32 * np.pi * turned**2)
+            a = np.abs(np.fft.ifft2(np.fft.fft2(y) * g))[..., pad : pad + h, pad : pad + w]
+            want.append(K.block_means(a, blocks).reshape(*shape[:-2], -1))
+    want = np.concatenate(want, axis=-1)
+    for most in (1 << 26, 0):
+        got = K.gist(x, orientations, blocks, pad, most)
+        assert got.shape == want.shape
+        assert np.abs(got - want).max() < 1e-12
+
+
+def test_descriptor_of_a_broken_image_is_its_own():
+    x = np.random.default_rng(1).uniform(0, 255, (3, 32, 32))
+    want = K.gist(x)
+    x[1, 4, 5] = np.nan
+    got = K.gist(x)
+    assert np.isnan(got[1]).all()
+    assert np.allclose(got[[0, 2]], want[[0, 2]], rtol=0, atol=1e-12)
+
+
+def test_descriptor_matrices_are_bounded():
+    for shape, kept in (((1, 8, 8), 1), ((1, 32, 32), 1), ((1, 64, 64), 0), ((1, 200, 200), 0), ((1, 2, 500), 0), ((1, 500, 2), 0)):
+        K.gist_matrices.cache_clear()
+        K.gist(np.ones(shape))
+        assert K.gist_matrices.cache_info().currsize == kept
+    K.gist(np.random.default_rng(2).uniform(0, 255, (1, 32, 32)))
+    assert sum(m.nbytes for pair in K.gist_matrices(32, 32, (8,) * 4, 32) for m in pair) <= 1 << 26

@@ -2,10 +2,14 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from voxelframe.operators import kernels as K
 from voxelframe.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +70,20 @@ def test_volume_holds_every_supplier(spark, tmp_path):
     assert out.where("value is not null").count() == spark.read.parquet(f"{SF}/supplier.parquet").count()
 
 
+def test_descriptors_of_many_suppliers_are_many_tasks(spark, tmp_path):
+    one = spark.read.parquet("/root/testdata/sf0.01/supplier.parquet")
+    many = one.crossJoin(spark.range(13)).selectExpr("s_suppkey + id * 100 as s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    many.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    out = QUERIES["gist_features"](spark, str(tmp_path))
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.image_ix for r in rows) == list(range(1300))
+    assert max(Counter(r.task for r in rows).values()) <= 512
+    p = np.arange(32)
+    for r in rows[::100]:
+        x = (r.image_ix * 31 + p[:, None] ** 2 * 7 + p * 13 + p[:, None] * p) % 256
+        assert np.allclose(r.f, K.gist(x[None].astype(float), most=0)[0], rtol=0, atol=6e-5)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -13,12 +13,13 @@ from ..sources.shared import scratch
 from .registry import query
 
 
-def _images(t, side: int = 32):
-    """Deterministic images, one for each supplier."""
+def _images(t, side: int = 32, per_task: int | None = None):
+    """Deterministic images, one for each supplier; where per_task is given, the keys are dealt to tasks of about so many images first."""
     k = F.col("s_suppkey")
     i = F.sequence(F.lit(0), F.lit(side * side - 1))
     px = F.transform(i, lambda p: (F.pmod(k * 31 + F.floor(p / side) * F.floor(p / side) * 7 + (p % side) * 13 + F.floor(p / side) * (p % side), F.lit(256))).cast("double"))
-    return t.supplier.select(k.alias("image_ix"), F.lit(side).alias("w"), px.alias("px"))
+    suppliers = t.supplier if per_task is None else t.supplier.repartition(max(1, -(-t.supplier.count() // per_task)))
+    return suppliers.select(k.alias("image_ix"), F.lit(side).alias("w"), px.alias("px"))
 
 
 def _short(df):
@@ -39,7 +40,8 @@ def gabor_maps(t):
 
 @query()
 def gist_features(t):
-    return _short(K.per_image(_images(t), K.gist))
+    """Scene descriptors. A few MB of suppliers are one task when read, so their keys are dealt out."""
+    return _short(K.per_image(_images(t, per_task=512), K.gist))
 
 
 @query()
